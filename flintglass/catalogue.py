@@ -1,0 +1,3 @@
+"""Every registered query with its DuckDB equivalent."""
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
