@@ -37,9 +37,8 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     letter = _is_letter(points)
     if not letter.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    p = np.where(letter, points, 32).astype(np.int64)
+    p = np.concatenate([[32], np.where(letter, points, 32).astype(np.int64), [32]])
     p = p[np.concatenate([[True], (p[1:] != 32) | (p[:-1] != 32)])]  # runs of other characters are one blank
-    p = np.concatenate([[32], p, [32]])
     return np.unique(p[:-2] << 42 | p[1:-1] << 21 | p[2:], return_counts=True)
 
 
