@@ -32,13 +32,15 @@ from .textops import WordHasher, cut, lower_ascii, mix, shingle_hashes
 
 NGRAM, PERCENT, ORDERS = 3, 90, 3
 #: The frequency sketch keeps at most so many shingles; they only shape the order.
-FREQUENT = 150_000
+FREQUENT = 400_000
 #: Shingles that a task has met so often are reported to the sketch, and those of at least so many documents kept.
-LOCAL_COUNT, LEAST_DOCUMENTS = 6, 12
+LOCAL_COUNT, LEAST_DOCUMENTS = 3, 6
 #: A task's counter is thinned beyond so many distinct shingles.
 COUNTER = 6_000_000
 #: Rounds with one partner a class before all remaining pairs are compared.
 STAR_ROUNDS = 2
+#: Classes to verify are broadcast (two numbers each) up to so many rows, and joined by a shuffle of the texts beyond.
+BROADCAST_ROWS = 100_000
 _TOP = np.uint64(1 << 63)
 
 
@@ -53,6 +55,7 @@ def frequent_shingles(docs: DataFrame, ngram: int, most: int = FREQUENT) -> tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, tokens, counts = WordHasher(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        met: set[int] = set()
         waiting: list[np.ndarray] = []
 
         def fold() -> None:
@@ -72,8 +75,15 @@ def frequent_shingles(docs: DataFrame, ngram: int, most: int = FREQUENT) -> tupl
         size = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                waiting.append(shingle_set(text, ngram, hasher))
-                size += len(waiting[-1])
+                found = shingle_set(text, ngram, hasher)
+                cls = class_key(found)
+                if cls in met or len(found) == 0:
+                    continue  # a copy of a text of this task proposes no pairs
+                if len(met) > 1_000_000:
+                    met.clear()
+                met.add(cls)
+                waiting.append(found)
+                size += len(found)
                 if size > 2_000_000:
                     fold()
                     size = 0
@@ -186,8 +196,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, ngram: int,
                     sets.append(tokens.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, schema.field("tokens").type)], schema=schema)
 
+    wanted = cut(wanted)
     texts = docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text")
-    known = texts.join(wanted.hint("shuffle_hash"), "doc_id").select("cls", "text")
+    small = wanted.count() <= BROADCAST_ROWS
+    known = texts.join(F.broadcast(wanted) if small else wanted.hint("shuffle_hash"), "doc_id").select("cls", "text")
     nameless = texts.filter("doc_id IS NULL").selectExpr("CAST(NULL AS LONG) AS cls", "text")  # found by their class only
     made = [x.mapInArrow(run, "cls long, tokens array<long>") for x in (known, nameless)]
     sets = made[0].union(made[1].join(wanted.select("cls"), "cls", "left_semi")).dropDuplicates(["cls"])
@@ -249,7 +261,14 @@ def _star_pairs(rows: DataFrame, turn: int, percent: int, labelled: bool) -> Dat
 
 
 def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that share a token and fit in size and position."""
+    """All pairs of different components that share a token and fit in size and position.
+
+    Tokens with the same members give the same pairs, so that the first of them in the order stands for all; the first
+    token that a pair shares is always among those kept, and the position bound holds for it."""
+    rows = rows.select("token", "cls", "n", "pos", "label").distinct()
+    alike = rows.groupBy("token").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
+    first = alike.groupBy("k", "x", "y").agg(F.min("token").alias("token")).select("token")
+    rows = rows.join(first, "token", "left_semi")
     one = lambda s: rows.select("token", F.col("cls").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"i{s}"), F.col("label").alias(f"l{s}"))
     na, nb = F.col("na"), F.col("nb")
     least = F.ceil(F.lit(percent) * (na + nb) / F.lit(100 + percent))
