@@ -1,3 +1,385 @@
-"""Every registered query with its DuckDB equivalent."""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Every registered query of the reference's operators with its DuckDB equivalent."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as fn
+from .operators import content, enrich, images, packets
+from .plans.views import edges, packets as packets_v, table, tags, with_views
+from .streaming import live
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = with_views(sql)
+        return f
+
+    return register
+
+
+# ---- packets
+
+_COUNTS = "SELECT file, count(*) AS n_packets, count(*) FILTER (dport IN (80, 443)) AS n_http, count(*) FILTER (sport = 53 OR dport = 53) AS n_dns FROM packets_v GROUP BY file"
+_FLOWS = "SELECT file, concat(ip_src, '/', sport, '=>', ip_dst, '/', dport) AS flow, min(pkt_no) AS first_pkt FROM packets_v GROUP BY ALL"
+_KEY = "file, ip_src, sport, ip_dst, dport"
+_SEGMENTS = f"""WITH ep AS (SELECT *, coalesce(sum(fin) OVER (PARTITION BY {_KEY} ORDER BY pkt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM packets_v WHERE ip_proto = 6),
+ op AS (SELECT *, max(syn) OVER (PARTITION BY {_KEY}, epoch ORDER BY pkt_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS opened FROM ep),
+ fi AS (SELECT *, row_number() OVER (PARTITION BY {_KEY}, epoch, seq ORDER BY pkt_no) AS rn FROM op WHERE opened = 1 AND len > 0),
+ seg AS (SELECT *, coalesce(lag(seq + len) OVER (PARTITION BY {_KEY}, epoch ORDER BY seq) = seq, true) AS joined FROM fi WHERE rn = 1)"""
+_TCP = _SEGMENTS + f" SELECT {_KEY}, CAST(epoch AS BIGINT) AS epoch, count(*) AS n_packets, min(ts_us) AS first_us, max(ts_us) AS last_us, bool_and(joined) AS valid FROM seg GROUP BY ALL"
+_UDP = f"""WITH g AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER w > 21600000000 THEN 1 ELSE 0 END AS new FROM packets_v WHERE ip_proto = 17 AND len > 0 WINDOW w AS (PARTITION BY {_KEY} ORDER BY pkt_no)),
+ s AS (SELECT *, sum(new) OVER (PARTITION BY {_KEY} ORDER BY pkt_no ROWS UNBOUNDED PRECEDING) AS session FROM g)
+ SELECT {_KEY}, CAST(session AS BIGINT) AS session, count(*) AS n_packets, min(ts_us) AS first_us, max(ts_us) AS last_us FROM s GROUP BY ALL"""
+SESSION_US = 6 * 3600 * 1_000_000
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packet counts of each capture with its number of distinct flows."""
+    p = packets_v(spark, sf_dir)
+    return packets.packet_counts(p).join(packets.distinct_flows(p).groupBy("file").agg(F.count("*").alias("n_flows")), "file")
+
+
+@query(_COUNTS)
+def packet_counts(spark, sf_dir):
+    return packets.packet_counts(packets_v(spark, sf_dir))
+
+
+@query("SELECT file, role, ip, min(pkt_no) AS first_pkt FROM (SELECT file, pkt_no, 'src' AS role, ip_src AS ip FROM packets_v UNION ALL SELECT file, pkt_no, 'dst', ip_dst FROM packets_v) GROUP BY ALL")
+def distinct_ips(spark, sf_dir):
+    return packets.distinct_ips(packets_v(spark, sf_dir))
+
+
+@query(_FLOWS)
+def distinct_flows(spark, sf_dir):
+    return packets.distinct_flows(packets_v(spark, sf_dir))
+
+
+@query("SELECT file, ip_src, ip_dst, concat('/', event_type, '/', k) AS uri, min(pkt_no) AS pkt_no, arg_min(sport, pkt_no) AS sport FROM packets_v WHERE dport IN (80, 443) GROUP BY ALL")
+def distinct_http(spark, sf_dir):
+    rows = packets_v(spark, sf_dir).filter(packets.is_http(F.col("dport"))).withColumn("uri", F.concat(F.lit("/"), "event_type", F.lit("/"), F.col("k").cast("string")))
+    return packets.first_by_key(rows, ["file", "ip_src", "ip_dst", "uri"], "pkt_no", ["sport"])
+
+
+@query("SELECT file, CASE k % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'CNAME' ELSE 'PTR' END AS type, event_type AS request, k AS response, min(pkt_no) AS pkt_no, arg_min(ip_src, pkt_no) AS ip_src FROM packets_v WHERE sport = 53 OR dport = 53 GROUP BY ALL")
+def distinct_dns(spark, sf_dir):
+    kind = F.when(F.col("k") % 3 == 0, "A").when(F.col("k") % 3 == 1, "CNAME").otherwise("PTR")
+    rows = packets_v(spark, sf_dir).filter(packets.is_dns(F.col("sport"), F.col("dport"))).select("*", kind.alias("type"), F.col("event_type").alias("request"), F.col("k").alias("response"))
+    return packets.first_by_key(rows, ["file", "type", "request", "response"], "pkt_no", ["ip_src"])
+
+
+@query(_SEGMENTS + f" SELECT {_KEY}, CAST(epoch AS BIGINT) AS epoch, count(*) AS n_packets FROM op WHERE opened = 1 GROUP BY ALL")
+def tcp_epochs(spark, sf_dir):
+    return packets.tcp_epochs(packets_v(spark, sf_dir)).groupBy(*packets.STREAM, F.col("epoch").cast("long").alias("epoch")).agg(F.count("*").alias("n_packets"))
+
+
+@query("SELECT * FROM (" + _TCP + ") WHERE valid")
+def tcp_valid_streams(spark, sf_dir):
+    return tcp_stream_stats(spark, sf_dir).filter("valid")
+
+
+@query(_TCP)
+def tcp_stream_stats(spark, sf_dir):
+    return packets.tcp_streams(packets_v(spark, sf_dir)).withColumn("epoch", F.col("epoch").cast("long"))
+
+
+@query(_UDP)
+def udp_sessions(spark, sf_dir):
+    return packets.udp_sessions(packets_v(spark, sf_dir), SESSION_US).withColumn("session", F.col("session").cast("long"))
+
+
+@query(_SEGMENTS + f" SELECT {_KEY}, CAST(epoch AS BIGINT) AS epoch, string_agg(concat('<', k, '>'), '' ORDER BY seq) AS data, substr(string_agg(concat('<', k, '>'), '' ORDER BY seq), 1, 8) AS head FROM seg GROUP BY ALL HAVING bool_and(joined)")
+def stream_bytes(spark, sf_dir):
+    rows = packets.tcp_segments(packets_v(spark, sf_dir)).withColumn("payload", F.concat(F.lit("<"), F.col("k").cast("string"), F.lit(">")))
+    found = packets.stream_bytes(rows, "payload", first=8)
+    return found.select(*packets.STREAM, F.col("epoch").cast("long").alias("epoch"), F.col("data").cast("string").alias("data"), F.col("head").cast("string").alias("head"))
+
+
+# ---- contents
+
+_HEX = "WITH h AS (SELECT doc_id, substr(hex(encode(text)), 1, 204800) AS x FROM documents WHERE text <> ''), b AS (SELECT doc_id, substr(x, 2 * CAST(i AS BIGINT) + 1, 2) AS v FROM (SELECT doc_id, x, unnest(range(length(x) // 2)) AS i FROM h)), c AS (SELECT doc_id, v, count(*) AS c FROM b GROUP BY ALL), n AS (SELECT doc_id, CAST(sum(c) AS BIGINT) AS n, CAST(sum(c * c) AS DOUBLE) AS q FROM c GROUP BY ALL), e AS (SELECT doc_id, n, -sum(c / n * log2(c / n)) AS entropy, max(q) * 256 / n - n AS chi_square FROM c JOIN n USING (doc_id) GROUP BY doc_id, n)"
+
+
+@query(_HEX + " SELECT doc_id, n, round(entropy, 6) AS entropy, round(chi_square, 3) AS chi_square, CASE WHEN n < 1280 THEN 'uncategorized' WHEN entropy < 7.9 THEN 'plain' WHEN chi_square > 206 AND chi_square < 311 THEN 'encrypted' ELSE 'compressed' END AS entropy_class FROM e")
+def entropy_class(spark, sf_dir):
+    found = content.entropy_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return found.withColumn("entropy", F.round("entropy", 6)).withColumn("chi_square", F.round("chi_square", 3))
+
+
+@query("SELECT page_id, len(s) AS n_spans, CAST(list_sum(list_transform(s, lambda x: length(x))) AS BIGINT) AS n_chars FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p>.*?</p>') AS s FROM pages) WHERE len(s) > 0")
+def carve_spans(spark, sf_dir):
+    s = content.spans(F.col("html"), "<p>", "</p>")
+    found = table(spark, sf_dir, "pages").select("page_id", s.alias("s")).filter("size(s) > 0")
+    return found.select("page_id", F.size("s").cast("long").alias("n_spans"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))
+
+
+@query("SELECT page_id, 'GET' AS method, regexp_extract(url, '^[a-z]+://[^/]+(/[^#]*)', 1) AS uri, '1.1' AS version, lower(regexp_extract(url, '^[a-z]+://([^/:]+)', 1)) AS host, 'http11' AS protocol FROM pages WHERE regexp_matches(url, '^[a-z]+://[^/]+/[^# ]+')")
+def http_parse(spark, sf_dir):
+    u = F.col("url")
+    raw = F.concat(F.lit("GET "), F.regexp_extract(u, r"^[a-z]+://[^/]+(/[^#]*)", 1), F.lit(" HTTP/1.1\r\nHost: "), F.lower(F.regexp_extract(u, r"^[a-z]+://([^/:]+)", 1)), F.lit("\r\nAccept: a:b\r\nbad line\r\n\r\n"))
+    rows = table(spark, sf_dir, "pages").filter(u.rlike(r"^[a-z]+://[^/]+/[^# ]+")).select("page_id", content.http_request(raw).alias("r"), content.protocol(F.split(raw, "\r\n")[0]).alias("protocol"))
+    return rows.select("page_id", "r.method", "r.uri", "r.version", F.col("r.headers")["host"].alias("host"), "protocol")
+
+
+@query("SELECT doc_id, 'plain' AS decoder, CAST(length(base64(encode(text))) AS BIGINT) AS n FROM documents WHERE text <> '' UNION ALL SELECT doc_id, 'base64', CAST(octet_length(encode(text)) AS BIGINT) FROM documents WHERE text <> ''")
+def base64_decode(spark, sf_dir):
+    coded = table(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"[\r\n]", "").cast("binary").alias("payload"))
+    return content.decoded(coded, "payload").select("doc_id", "decoder", F.octet_length("decoded").cast("long").alias("n"))
+
+
+_RULES = [("mit_line", "Released under the MIT License."), ("apache_line", "Licensed under the Apache License"), ("token", "token = "), ("insult", "stupid"), ("mail", "example.com")]
+
+
+@query("SELECT doc_id, rule FROM documents, (VALUES " + ", ".join(f"('{n}', '{p}')" for n, p in _RULES) + ") r(rule, pattern) WHERE contains(text, pattern)")
+def rule_match(spark, sf_dir):
+    return content.rule_matches(table(spark, sf_dir, "documents"), "doc_id", "text", _RULES)
+
+
+@query("SELECT event_type, k, count(*) AS n FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY ALL")
+def json_path_project(spark, sf_dir):
+    k = F.from_json("props", "k long")["k"]
+    return table(spark, sf_dir, "events").select("event_type", k.alias("k")).groupBy("event_type", "k").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'pro|duct' AS product, event_type AS name, CAST(user_id % 10 AS VARCHAR) AS severity, CAST(user_id AS VARCHAR) AS suser, count(*) AS n FROM events GROUP BY ALL")
+def cef_events(spark, sf_dir):
+    line = F.concat(F.lit("Jan 1 host CEF:0|acme|pro\\|duct|1.0|"), F.col("event_id").cast("string"), F.lit("|"), "event_type", F.lit("|"), (F.col("user_id") % 10).cast("string"), F.lit("|msg=some text here suser="), F.col("user_id").cast("string"))
+    c = F.col("c")
+    rows = table(spark, sf_dir, "events").select(content.cef_event(line).alias("c")).select(c["product"].alias("product"), c["name"].alias("name"), c["severity"].alias("severity"), c["extension"]["suser"].alias("suser"))
+    return rows.groupBy("product", "name", "severity", "suser").agg(F.count("*").alias("n"))
+
+
+@query("""WITH h AS (SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages), s AS (SELECT DISTINCT regexp_extract(host, '([^.]+)$', 1) AS suffix FROM h WHERE host <> '')
+ SELECT host, regexp_extract(host, '([^.]+)$', 1) AS suffix, regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS domain, regexp_replace(regexp_extract(host, '^(.*\\.)[^.]+\\.[^.]+$', 1), '\\.$', '') AS subdomain FROM h WHERE host LIKE '%.%'""")
+def registered_domain(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    suffixes = pages.select(F.regexp_extract(F.lower("url"), r"^[a-z]+://[^/:?#]*?([^./:?#]+)(?:[/:?#]|$)", 1).alias("suffix")).filter("suffix <> ''").distinct()
+    return content.registered_domains(pages, "url", suffixes).filter("domain IS NOT NULL")
+
+
+# ---- addresses and feeds
+
+_IP = "16777216 + c_custkey * 7919"
+_RANGES = "SELECT 16777216 + n_nationkey * 400000 AS first_ip, 16777216 + n_nationkey * 400000 + 299999 AS last_ip, 12 AS prefix_len, n_name AS owner FROM {0} UNION ALL SELECT 16777216 + n_nationkey * 400000 + 1000, 16777216 + n_nationkey * 400000 + 90999, 15, concat(n_name, '-inner') FROM {0}"
+_OWNER = f"WITH r AS ({_RANGES.format('nation')}), c AS (SELECT c_custkey, {_IP} AS ip FROM customer), m AS (SELECT c_custkey, ip, arg_max(owner, prefix_len) AS owner FROM c JOIN r ON ip BETWEEN first_ip AND last_ip GROUP BY ALL)"
+
+
+def _ranged(spark, sf_dir):
+    ranges = spark.sql(_RANGES.replace("{0}", "{n}"), n=table(spark, sf_dir, "nation")).selectExpr("CAST(first_ip AS LONG) AS first_ip", "CAST(last_ip AS LONG) AS last_ip", "prefix_len", "owner")
+    points = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_IP} AS ip")
+    return enrich.range_join(points, ranges, "ip")
+
+
+@query(_OWNER + " SELECT c_custkey, c.ip, coalesce(owner, '') AS owner FROM c LEFT JOIN m USING (c_custkey)")
+def ip_owner(spark, sf_dir):
+    return _ranged(spark, sf_dir).select("c_custkey", "ip", F.coalesce("owner", F.lit("")).alias("owner"))
+
+
+@query(_OWNER + " SELECT coalesce(owner, 'Unknown') AS region, count(*) AS n FROM c LEFT JOIN m USING (c_custkey) GROUP BY ALL")
+def ip_location(spark, sf_dir):
+    rows = _ranged(spark, sf_dir).filter(fn.is_public(F.col("ip")))
+    return rows.groupBy(F.coalesce("owner", F.lit("Unknown")).alias("region")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT key % 50 AS ip, host FROM (SELECT c_custkey AS key, c_mktsegment AS host FROM customer UNION ALL SELECT s_suppkey, concat('host', s_nationkey) FROM supplier WHERE s_acctbal >= 0)")
+def host_names(spark, sf_dir):
+    one = table(spark, sf_dir, "customer").selectExpr("c_custkey % 50 AS ip", "c_mktsegment AS host", "CAST(NULL AS STRING) AS error")
+    two = table(spark, sf_dir, "supplier").selectExpr("s_suppkey % 50 AS ip", "concat('host', s_nationkey) AS host", "CASE WHEN s_acctbal < 0 THEN 'timeout' END AS error")
+    return enrich.merge_host_names(one, two)
+
+
+@query("SELECT md5(concat('ind', event_id)) AS value, 'MD5' AS kind, CAST(ts AS DATE) AS day FROM events UNION ALL SELECT concat(event_id % 223 + 1, '.', (event_id // 223) % 256, '.', (event_id // 57088) % 256, '.', event_id // 14614528), 'IP', CAST(ts AS DATE) FROM events")
+def synthetic_indicators(spark, sf_dir):
+    from .sources.feeds import indicators
+
+    return indicators(table(spark, sf_dir, "events"), "event_id", "ts")
+
+
+# ---- image catalogue
+
+
+@query("WITH v AS (SELECT image, name, string_split(name, '.') AS p FROM tags_v) SELECT image, arg_max(name, CAST(p[1] AS BIGINT) * 1000000000000 + CAST(p[2] AS BIGINT) * 10000000000 + CAST(p[3] AS BIGINT) * 100000000 + CAST(p[4] AS BIGINT)) AS latest FROM v GROUP BY ALL")
+def latest_tag_by_version(spark, sf_dir):
+    return images.latest_tag_by_version(tags(spark, sf_dir), ["image"])
+
+
+_FAMILY = "WITH cur AS (SELECT image, arg_min(name, ord) AS current FROM tags_v GROUP BY ALL), f AS (SELECT t.image, t.name, c.current FROM tags_v t JOIN cur c USING (image) WHERE starts_with(t.name, regexp_replace(c.current, '[0-9]+$', '')) AND regexp_matches(t.name, '^[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+$'))"
+
+
+def _current(spark, sf_dir):
+    return tags(spark, sf_dir).groupBy("image").agg(F.min_by("name", "ord").alias("current"))
+
+
+@query(_FAMILY + " SELECT image, current, count(*) AS n_tags FROM f GROUP BY ALL")
+def tag_family(spark, sf_dir):
+    return images.in_family(tags(spark, sf_dir), _current(spark, sf_dir), ["image"]).groupBy("image", "current").agg(F.count("*").alias("n_tags"))
+
+
+@query(_FAMILY + " SELECT image, current, arg_max(name, CAST(regexp_extract(name, '([0-9]+)$', 1) AS BIGINT)) AS latest FROM f GROUP BY ALL HAVING max(CAST(regexp_extract(name, '([0-9]+)$', 1) AS BIGINT)) > max(CAST(regexp_extract(current, '([0-9]+)$', 1) AS BIGINT))")
+def outdated_images(spark, sf_dir):
+    current = _current(spark, sf_dir)
+    return images.outdated(current, images.latest_tag_by_version(images.in_family(tags(spark, sf_dir), current, ["image"]), ["image"]), ["image"])
+
+
+_TIMED = "SELECT o_custkey AS image, o_orderkey AS ord, CASE WHEN o_orderkey % 7 = 0 THEN md5(CAST(o_orderkey AS {s})) ELSE concat('v', o_orderkey) END AS name, o_orderdate AS last_updated FROM {o}"
+
+
+@query("SELECT image, arg_max(name, CAST(epoch_us(last_updated) AS HUGEINT) * 100000000 - ord) AS latest FROM (" + _TIMED.format(s="VARCHAR", o="orders") + ") WHERE length(name) < 20 GROUP BY ALL")
+def latest_tag_by_time(spark, sf_dir):
+    return images.latest_tag_by_time(spark.sql(_TIMED.format(s="STRING", o="{o}"), o=table(spark, sf_dir, "orders")), ["image"])
+
+
+@query("SELECT base, count(*) AS n_dependents, string_agg(CAST(dependent AS VARCHAR), ',' ORDER BY dependent) AS dependents FROM edges_v GROUP BY ALL")
+def dependents_by_base(spark, sf_dir):
+    return images.dependents_by_base(edges(spark, sf_dir)).withColumn("dependents", F.array_join(F.transform("dependents", lambda d: d.cast("string")), ","))
+
+
+_CLOSURE = "WITH RECURSIVE edges_v AS (SELECT p_partkey AS dependent, CAST(floor(p_partkey / 3) AS BIGINT) AS base FROM part WHERE p_partkey > 0), reach(image, level) AS (SELECT CAST(1 AS BIGINT), 0 UNION ALL SELECT e.dependent, r.level + 1 FROM reach r JOIN edges_v e ON e.base = r.image)"
+
+
+def _closure(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    return images.base_closure(spark, e, e.filter("dependent = 1").selectExpr("dependent AS base"))
+
+
+@query()
+def base_closure(spark, sf_dir):
+    return _closure(spark, sf_dir)
+
+
+ORACLE_SQL["base_closure"] = _CLOSURE + " SELECT image, CAST(max(level) AS BIGINT) AS level FROM reach GROUP BY ALL"
+
+
+@query()
+def update_waves(spark, sf_dir):
+    old = table(spark, sf_dir, "part").filter("p_size < 25").selectExpr("p_partkey AS image")
+    return _closure(spark, sf_dir).join(old, "image").groupBy("level").agg(F.count("*").alias("n_images"), F.min("image").alias("first_image"))
+
+
+ORACLE_SQL["update_waves"] = _CLOSURE + ", l AS (SELECT image, CAST(max(level) AS BIGINT) AS level FROM reach GROUP BY ALL) SELECT level, count(*) AS n_images, min(image) AS first_image FROM l JOIN part ON p_partkey = image WHERE p_size < 25 GROUP BY ALL"
+
+
+@query("WITH a AS (SELECT DISTINCT s_nationkey AS name FROM supplier WHERE s_acctbal < 0), b AS (SELECT DISTINCT c_nationkey AS name FROM customer WHERE c_acctbal > 9000) SELECT name, 'first' AS side FROM a WHERE name NOT IN (SELECT name FROM b) UNION ALL SELECT name, 'second' FROM b WHERE name NOT IN (SELECT name FROM a)")
+def deprecation_diff(spark, sf_dir):
+    a = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").selectExpr("s_nationkey AS name")
+    return images.list_difference(a, table(spark, sf_dir, "customer").filter("c_acctbal > 9000").selectExpr("c_nationkey AS name"), "name")
+
+
+@query("SELECT s_suppkey AS name, s_name AS reason FROM supplier UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment <> '' AND c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+def insert_if_absent(spark, sf_dir):
+    old = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS name", "s_name AS reason")
+    return images.insert_if_absent(old, table(spark, sf_dir, "customer").selectExpr("c_custkey AS name", "c_mktsegment AS reason"), "name")
+
+
+@query("SELECT c_custkey AS name, CASE WHEN s_suppkey IS NULL THEN 'now' ELSE concat('s', s_nationkey) END AS created FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
+def carry_created_time(spark, sf_dir):
+    new = table(spark, sf_dir, "customer").selectExpr("c_custkey AS name")
+    return images.carry_created(new, table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS name", "concat('s', s_nationkey) AS created"), "name", F.lit("now"))
+
+
+@query("SELECT o_custkey AS name, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 1")
+def duplicate_entries(spark, sf_dir):
+    return images.duplicate_entries(table(spark, sf_dir, "orders").selectExpr("o_custkey AS name"), "name")
+
+
+@query("SELECT p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) AND p_size >= 5 AND p_partkey NOT IN (SELECT base FROM edges_v)")
+def unused_images(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    used = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").selectExpr("l_partkey AS name")
+    dev = part.filter("p_size < 5").selectExpr("p_partkey AS name")
+    return images.without(part.selectExpr("p_partkey AS name"), "name", used, dev, edges(spark, sf_dir).selectExpr("base AS name"))
+
+
+@query("SELECT DISTINCT l_suppkey AS name FROM lineitem WHERE l_quantity > 10 AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def missing_expected(spark, sf_dir):
+    wanted = table(spark, sf_dir, "lineitem").filter("l_quantity > 10").selectExpr("l_suppkey AS name").distinct()
+    return images.without(wanted, "name", table(spark, sf_dir, "supplier").filter("s_acctbal > 0").selectExpr("s_suppkey AS name"))
+
+
+@query("SELECT p_partkey AS name FROM part WHERE p_type LIKE '%E%' AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40)")
+def uncovered_manifests(spark, sf_dir):
+    have = table(spark, sf_dir, "part").filter("p_type LIKE '%E%'").selectExpr("p_partkey AS name")
+    return images.without(have, "name", table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 40").selectExpr("l_partkey AS name"))
+
+
+@query("SELECT image, name, CAST((row_number() OVER (PARTITION BY image ORDER BY ord) - 1) // 7 AS BIGINT) AS batch FROM tags_v")
+def update_batches(spark, sf_dir):
+    return images.batches(tags(spark, sf_dir), "image", "ord", 7).select("image", "name", "batch")
+
+
+@query("SELECT image, name, rn FROM (SELECT image, name, row_number() OVER (PARTITION BY image ORDER BY ord) AS rn FROM tags_v) WHERE rn <= 30")
+def first_n_per_base(spark, sf_dir):
+    return images.first_per_base(tags(spark, sf_dir), "image", "ord", 30).select("image", "name", "rn")
+
+
+@query("SELECT o_orderpriority AS run, count(*) AS n_total, count(*) FILTER (o_orderstatus <> 'F') AS n_ok, count(*) FILTER (o_orderstatus = 'F') AS n_failed, CAST(min(o_orderdate) AS DATE) AS first_day, CAST(max(o_orderdate) AS DATE) AS last_day FROM orders GROUP BY ALL")
+def build_summary(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderpriority AS run", "o_orderstatus <> 'F' AS ok", "CAST(o_orderdate AS DATE) AS day")
+    return images.build_summary(rows, "run")
+
+
+@query("SELECT o_custkey AS run, concat('{', string_agg(concat(o_orderkey, ':', o_orderpriority), ',' ORDER BY concat(o_orderkey, ':', o_orderpriority)), '}') AS report FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL")
+def failure_report(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").selectExpr("o_custkey AS run", "o_orderstatus <> 'F' AS ok", "CAST(o_orderkey AS STRING) AS image", "o_orderpriority AS step")
+    return images.failure_report(rows, "run")
+
+
+# ---- licences and versions
+
+_LINES = "WITH f AS (SELECT source AS image, doc_id, unnest(regexp_extract_all(text, '(?:Licensed|Released|licensed) under [^.\\n]*')) AS license FROM documents)"
+_APPROVED = [("Apache", "Apache License"), ("MIT", "MIT"), ("GPL", "GNU General Public License")]
+_CASE = "CASE " + " ".join(f"WHEN license LIKE '%{p}%' THEN '{n}'" for n, p in _APPROVED) + " END"
+
+
+def _license_lines(spark, sf_dir):
+    lines = F.explode(F.regexp_extract_all("text", F.lit(r"(?:Licensed|Released|licensed) under [^.\n]*"), F.lit(0)))
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("image"), "doc_id", lines.alias("license"))
+
+
+@query(_LINES + f" SELECT image, doc_id, license, {_CASE} AS approved FROM f")
+def license_match(spark, sf_dir):
+    return enrich.license_matches(_license_lines(spark, sf_dir), _APPROVED, ["image", "doc_id"])
+
+
+@query(f"SELECT p_brand AS image, p_partkey AS pkg FROM part WHERE NOT (p_partkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) OR (p_partkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0) AND contains(p_brand, '#1')))")
+def license_exclusion(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").selectExpr("p_brand AS image", "p_partkey AS pkg")
+    return enrich.apply_exclusions(rows, table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS pkg", "CASE WHEN s_acctbal >= 0 THEN array('#1') END AS docker_images"))
+
+
+@query(_LINES + f", m AS (SELECT image, license, {_CASE} AS approved FROM f) SELECT image, bool_and(approved IS NOT NULL) AS passes, count(*) FILTER (approved IS NULL) AS n_failed, min(license) FILTER (approved IS NULL) AS first_failed FROM m GROUP BY ALL")
+def compliance_verdict(spark, sf_dir):
+    return enrich.compliance(license_match(spark, sf_dir), "image")
+
+
+@query("SELECT p_partkey, p_size % 3 = 0 AS ok, concat('3.', p_size) AS correct FROM part")
+def version_conformance(spark, sf_dir):
+    text = F.expr("CASE p_size % 3 WHEN 0 THEN concat('3.', p_size) WHEN 1 THEN concat('>=3.', p_size) ELSE concat('3.', p_size, ',<4') END")
+    found = fn.version_conformance(F.expr("concat('3.', p_size, '.', p_partkey)"), text, False)
+    return table(spark, sf_dir, "part").select("p_partkey", found.alias("v")).select("p_partkey", "v.ok", "v.correct")
+
+
+# ---- streams
+
+
+@query("SELECT file, CAST(epoch_us(time_bucket(INTERVAL '1 day', ts)) AS BIGINT) AS window_us, count(*) AS n_packets, count(*) FILTER (dport IN (80, 443)) AS n_http, count(*) FILTER (sport = 53 OR dport = 53) AS n_dns FROM packets_v GROUP BY ALL")
+def packet_counts_live(spark, sf_dir):
+    return live.packet_counts_live(spark, packets_v(spark, sf_dir), "1 day")
+
+
+@query(_UDP.replace(f"SELECT {_KEY}, CAST(session AS BIGINT) AS session, count", f"SELECT {_KEY}, count").replace("GROUP BY ALL", f"GROUP BY {_KEY}, session"))
+def udp_sessions_live(spark, sf_dir):
+    return live.udp_sessions_live(spark, packets_v(spark, sf_dir), SESSION_US)
+
+
+@query(f"SELECT {_KEY}, n_packets, first_us, last_us FROM (" + _TCP + ") WHERE valid")
+def tcp_streams_live(spark, sf_dir):
+    return live.tcp_streams_live(spark, packets_v(spark, sf_dir))
