@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .textops import WordHasher, blank_words, per_row, sample_fraction, shingle_hashes
 
 #: At most about so many labelled documents are used to fit the field.
-MAX_LABELLED = 3000
+MAX_LABELLED = 1500
 #: Training sequences are cut into runs of so many lines; nothing is left out.
 RUN = 40
 SYMBOLS = "#*$%&|<>"
@@ -98,7 +98,7 @@ def _posterior(x: np.ndarray, mask: np.ndarray, w: np.ndarray, t: np.ndarray) ->
     return p, pair * mask[:, 1:, None, None]
 
 
-def fit_field(docs: list[tuple[np.ndarray, int]], steps: int = 120) -> LineField:
+def fit_field(docs: list[tuple[np.ndarray, int]], steps: int = 80) -> LineField:
     """docs: (features of the lines, quality 0/1). Maximum likelihood by Adam, with two rounds of relabelling."""
     runs = [(x[i : i + RUN], q) for x, q in docs for i in range(0, len(x), RUN)]
     if not runs or len({q for _, q in runs}) < 2:
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     """Fit on a sample of about `max_labelled` labelled documents, drawn by a hash of their id."""
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality")
     share = sample_fraction(known, max_labelled)
-    known = known.filter(F.xxhash64("doc_id") % 1_000_000 < int(share * 1_000_000)).dropDuplicates(["doc_id"])
+    known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).dropDuplicates(["doc_id"])
     schema = pa.schema([("quality", pa.int32()), ("x", pa.list_(pa.float64())), ("n", pa.list_(pa.int32()))])
 
     def features(text: str | None, quality: int) -> tuple:
