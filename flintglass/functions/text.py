@@ -21,7 +21,7 @@ def parse_versions(text: Column) -> Column:
 def tag_family_regex(tag: Column) -> Column:
     """A pattern for tags of the same form: each version's last part and a trailing number may be any number."""
     escaped = F.regexp_replace(tag, r"[.+]", r"\\$0")
-    return F.concat(F.regexp_replace(escaped, r"(\d+(?:\\\.\d+)*\\\.)\d+|\d+$", r"$1[\\\\d]+"), F.lit("$"))
+    return F.concat(F.regexp_replace(escaped, r"(\d+(?:\\\.\d+)*\\\.)\d+|\d+$", r"$1[\\d]+"), F.lit("$"))
 
 
 def split_image_ref(ref: Column) -> Column:
