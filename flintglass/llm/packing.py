@@ -13,6 +13,7 @@ null or repeated ids; an empty table gives no pieces; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -28,35 +29,72 @@ GROUP = 8_000
 #: Nodes of one bin's search, in the first and in the second try.
 NODES = (300, 3_000)
 #: Blank-separated strings whose ids a task remembers.
-CACHE = 400_000
+CACHE = 600_000
+
+
+#: Letters of ASCII and Latin-1, then marks that the pre-tokenizer never joins with letters.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&|]*)")
 
 
 class ChunkTokenizer:
     """ids of a text as little-endian bytes. The model never joins text across ASCII white space, so that each
-    blank-separated string is encoded once and remembered."""
+    blank-separated string is encoded once and remembered; of strings of letters and marks, the two parts are."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.model, self.known = Tokenizer.from_file(path), {}
+        self.model, self.chunks, self.parts = Tokenizer.from_file(path), {}, {"": b""}
+        self.ends = np.zeros(self.model.get_vocab_size(), bool)
+        for token, i in self.model.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+
+    def _encode_parts(self, missing: list[str]) -> None:
+        """Each is one word of the model, so that a joined text falls apart at the tokens that end a word."""
+        if len(self.parts) + len(missing) > 2 * CACHE:
+            self.parts = {"": b""}
+        for lo in range(0, len(missing), 2_000):
+            part = missing[lo : lo + 2_000]
+            ids = np.array(self.model.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part):
+                found = [x.tobytes() for x in np.split(ids, cuts[:-1])]
+            else:
+                found = [np.array(self.model.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in part]
+            self.parts.update(zip(part, found, strict=True))
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.chunks) + len(words) > CACHE:
+            self.chunks = {}
+        split, rest = [], []
+        for w in words:
+            m = _PLAIN.fullmatch(text := w.decode("utf-8", "replace"))
+            if m:
+                split.append((w, m[1].lower(), m[2]))
+            else:
+                rest.append((w, text))
+        self._encode_parts([*{p for _, *both in split for p in both if p not in self.parts}])
+        for w, letters, marks in split:
+            if letters not in self.parts or marks not in self.parts:
+                self._encode_parts([p for p in (letters, marks) if p])
+                self.parts.setdefault("", b"")
+            self.chunks[w] = self.parts[letters] + self.parts[marks]
+        for lo in range(0, len(rest), 10_000):
+            found = self.model.encode_batch_fast([text for _, text in rest[lo : lo + 10_000]], add_special_tokens=False)
+            self.chunks.update((w, np.array(e.ids, "<u4").tobytes()) for (w, _), e in zip(rest[lo : lo + 10_000], found, strict=True))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        chunks = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
         out, end = [], np.uint32(END_ID).astype("<u4").tobytes()
-        for words in chunks:
-            new = {w for w in words if w not in self.known}
+        split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+        for lo in range(0, len(split), 64):
+            group = split[lo : lo + 64]
+            new = {w for words in group for w in words if w not in self.chunks}
             if new:
-                if len(self.known) + len(new) > CACHE:
-                    self.known = {}
-                    new = set(words)
-                ordered = list(new)
-                for lo in range(0, len(ordered), 10_000):
-                    part = ordered[lo : lo + 10_000]
-                    found = self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                    self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
-            known = self.known
-            out.append(b"".join([known[w] for w in words]) + end)
+                if len(self.chunks) + len(new) > CACHE:
+                    new = {w for words in group for w in words}
+                self._learn(new)
+            chunks = self.chunks
+            out += [b"".join([chunks[w] for w in words]) + end for words in group]
         return out
 
 
