@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .textops import WordHasher, alnum_words, shingle_hashes
+from .textops import WordHasher, alnum_words, shingle_hashes, slices
 
 WINDOW, SHINGLE = 10, 3
 BLOCK_WORDS = 200_000
@@ -73,7 +73,7 @@ def rarity(docs: DataFrame, tokens: dict[int, list[int]]) -> dict[tuple[int, int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, counts = WordHasher(), {k: np.zeros(len(v), np.int64) for k, v in sizes.items()}
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 h = hasher.array(alnum_words(text))
                 for k, known in sizes.items():
@@ -152,7 +152,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, p
 
         def run(batches: Iterator[pa.RecordBatch], first: bool = i == 0, index=index, out: pa.Schema = out) -> Iterator[pa.RecordBatch]:
             hasher = WordHasher()
-            for batch in batches:
+            for batch in slices(batches):
                 at = batch.schema.get_field_index("text")
                 rows = []
                 before = [(None, [], [])] * batch.num_rows if first else list(zip(*(batch.column(len(carried) + j).to_pylist() for j in range(3)), strict=True))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .textops import WordHasher, cut, lower_ascii, mix, shingle_hashes
+from .textops import WordHasher, cut, lower_ascii, mix, shingle_hashes, slices
 
 NGRAM, PERCENT, ORDERS = 3, 90, 3
 #: The frequency sketch keeps at most so many shingles; they only shape the order.
@@ -36,7 +36,7 @@ FREQUENT = 400_000
 #: Shingles that a task has met so often are reported to the sketch, and those of at least so many documents kept.
 LOCAL_COUNT, LEAST_DOCUMENTS = 3, 6
 #: A task's counter is thinned beyond so many distinct shingles.
-COUNTER = 6_000_000
+COUNTER = 3_000_000
 #: Rounds with one partner a class before all remaining pairs are compared.
 STAR_ROUNDS = 2
 #: Classes to verify are broadcast (two numbers each) up to so many rows, and joined by a shuffle of the texts beyond.
@@ -54,26 +54,26 @@ def frequent_shingles(docs: DataFrame, ngram: int, most: int = FREQUENT) -> tupl
     schema = pa.schema([("token", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, tokens, counts = WordHasher(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        hasher, tokens, counts = WordHasher(), np.zeros(0, np.uint64), np.zeros(0, np.int32)
         met: set[int] = set()
         waiting: list[np.ndarray] = []
 
         def fold() -> None:
             nonlocal tokens, counts
             every = np.concatenate([tokens, *waiting])
-            n = np.concatenate([counts, np.ones(len(every) - len(tokens), np.int64)])
+            n = np.concatenate([counts, np.ones(len(every) - len(tokens), np.int32)])
             waiting.clear()
             order = np.argsort(every, kind="stable")
             every, n = every[order], n[order]
             starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, int)
-            tokens, counts = every[starts], np.add.reduceat(n, starts) if len(starts) else n
+            tokens, counts = every[starts], np.add.reduceat(n, starts, dtype=np.int32) if len(starts) else n
             least = 1
             while len(tokens) > COUNTER:
                 least += 1
                 tokens, counts = tokens[counts >= least], counts[counts >= least]
 
         size = 0
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 found = shingle_set(text, ngram, hasher)
                 cls = class_key(found)
@@ -84,12 +84,12 @@ def frequent_shingles(docs: DataFrame, ngram: int, most: int = FREQUENT) -> tupl
                 met.add(cls)
                 waiting.append(found)
                 size += len(found)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     fold()
                     size = 0
         fold()
         often = counts >= LOCAL_COUNT
-        yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], schema=schema)
 
     found = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = found.filter(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "token").limit(most).toArrow()
@@ -128,7 +128,7 @@ def signatures(docs: DataFrame, ngram: int, percent: int, frequent: tuple[np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, met = WordHasher(), set()
-        for batch in batches:
+        for batch in slices(batches):
             cols: list[list] = [[] for _ in schema]
             for text in batch.column(1).to_pylist():
                 tokens = shingle_set(text, ngram, hasher)
@@ -186,7 +186,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, ngram: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        for batch in batches:
+        for batch in slices(batches):
             keys, sets = [], []
             for cls, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = shingle_set(text, ngram, hasher)

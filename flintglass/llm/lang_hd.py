@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import mix, sample_fraction
+from .textops import mix, sample_fraction, slices
 
 DIMENSIONS = 1024
 MAX_TRAINING = 20_000
@@ -120,7 +120,7 @@ def learn(docs: DataFrame, max_training: int = MAX_TRAINING) -> list[tuple[str,
 
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundler, sums = Bundler(), {}
-        for batch in batches:
+        for batch in slices(batches):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo in range(0, len(texts), 64):
                 x = bundler.bundle(texts[lo : lo + 64])
@@ -150,7 +150,7 @@ def predict(docs: DataFrame, prototypes: list[tuple[str, np.ndarray]]) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundler = Bundler()
-        for batch in batches:
+        for batch in slices(batches):
             texts, langs, scores = batch.column(1).to_pylist(), [], []
             for lo in range(0, len(texts), 128):
                 x = bundler.bundle(texts[lo : lo + 128])

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: ASCII bytes outside [0-9a-z] become blanks; bytes of longer UTF-8 sequences stay.
 _ALNUM = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 #: Words remembered by a task; the store is emptied when it is full.
-WORD_CACHE = 400_000
+WORD_CACHE = 250_000
+#: Rows that a task holds as Python values at a time.
+SLICE = 1_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -66,12 +68,19 @@ def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out + _M3 * np.uint64(width))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches; an empty batch stays."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+
+
 def per_row(columns: list[str], schema: pa.Schema, fn: Callable[..., tuple], keep: list[str] | None = None):
     """A mapInArrow function: fn(*values of `columns`) -> values of the new fields; `keep` columns pass through."""
     keep = keep or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             values = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
             rows = [fn(*row) for row in zip(*values, strict=True)]
             new = list(zip(*rows, strict=True)) if rows else [()] * (len(schema) - len(keep))
