@@ -36,7 +36,7 @@ FREQUENT = 400_000
 #: Shingles that a task has met so often are reported to the sketch, and those of at least so many documents kept.
 LOCAL_COUNT, LEAST_DOCUMENTS = 3, 6
 #: A task's counter is thinned beyond so many distinct shingles.
-COUNTER = 3_000_000
+COUNTER = 1_500_000
 #: Rounds with one partner a class before all remaining pairs are compared.
 STAR_ROUNDS = 2
 #: Classes to verify are broadcast (two numbers each) up to so many rows, and joined by a shuffle of the texts beyond.
@@ -84,7 +84,7 @@ def frequent_shingles(docs: DataFrame, ngram: int, most: int = FREQUENT) -> tupl
                 met.add(cls)
                 waiting.append(found)
                 size += len(found)
-                if size > 1_000_000:
+                if size > 500_000:
                     fold()
                     size = 0
         fold()

@@ -29,7 +29,7 @@ GROUP = 8_000
 #: Nodes of one bin's search, in the first and in the second try.
 NODES = (300, 3_000)
 #: Blank-separated strings whose ids a task remembers.
-CACHE = 400_000
+CACHE = 250_000
 
 
 #: Letters of ASCII and Latin-1, then marks that the pre-tokenizer never joins with letters.

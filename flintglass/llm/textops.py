@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: ASCII bytes outside [0-9a-z] become blanks; bytes of longer UTF-8 sequences stay.
 _ALNUM = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 #: Words remembered by a task; the store is emptied when it is full.
-WORD_CACHE = 250_000
+WORD_CACHE = 120_000
 #: Rows that a task holds as Python values at a time.
 SLICE = 1_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
