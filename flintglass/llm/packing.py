@@ -34,6 +34,7 @@ CACHE = 250_000
 
 #: Letters of ASCII and Latin-1, then marks that the pre-tokenizer never joins with letters.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&|]*)")
+_MARKS = b".,;:!?#*$%&|"
 
 
 class ChunkTokenizer:
@@ -44,23 +45,24 @@ class ChunkTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.model, self.chunks, self.parts = Tokenizer.from_file(path), {}, {"": b""}
+        self.model, self.chunks, self.parts = Tokenizer.from_file(path), {}, {b"": b""}
         self.ends = np.zeros(self.model.get_vocab_size(), bool)
         for token, i in self.model.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
 
-    def _encode_parts(self, missing: list[str]) -> None:
+    def _encode_parts(self, missing: list[bytes]) -> None:
         """Each is one word of the model, so that a joined text falls apart at the tokens that end a word."""
         if len(self.parts) + len(missing) > 2 * CACHE:
-            self.parts = {"": b""}
+            self.parts = {b"": b""}
         for lo in range(0, len(missing), 2_000):
             part = missing[lo : lo + 2_000]
-            ids = np.array(self.model.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            ids = np.array(self.model.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
             if len(cuts) == len(part):
-                found = [x.tobytes() for x in np.split(ids, cuts[:-1])]
+                data, marks = ids.tobytes(), [0, *cuts.tolist()]
+                found = [data[x:y] for x, y in zip(marks, marks[1:], strict=False)]
             else:
-                found = [np.array(self.model.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in part]
+                found = [np.array(self.model.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in part]
             self.parts.update(zip(part, found, strict=True))
 
     def _learn(self, words: set[bytes]) -> None:
@@ -68,17 +70,21 @@ class ChunkTokenizer:
             self.chunks = {}
         split, rest = [], []
         for w in words:
-            m = _PLAIN.fullmatch(text := w.decode("utf-8", "replace"))
-            if m:
-                split.append((w, m[1].lower(), m[2]))
+            letters = w.rstrip(_MARKS)
+            if letters.isalpha():
+                split.append((w, letters.lower(), w[len(letters) :]))
+            elif m := _PLAIN.fullmatch(text := w.decode("utf-8", "replace")):
+                split.append((w, m[1].lower().encode(), m[2].encode()))
             else:
                 rest.append((w, text))
-        self._encode_parts([*{p for _, *both in split for p in both if p not in self.parts}])
+        known = self.parts
+        self._encode_parts([*{x for _, x, _ in split if x not in known} | {x for _, _, x in split if x not in known}])
+        known = self.parts
         for w, letters, marks in split:
-            if letters not in self.parts or marks not in self.parts:
+            if letters not in known or marks not in known:
                 self._encode_parts([p for p in (letters, marks) if p])
-                self.parts.setdefault("", b"")
-            self.chunks[w] = self.parts[letters] + self.parts[marks]
+                known = self.parts
+            self.chunks[w] = known[letters] + known[marks]
         for lo in range(0, len(rest), 10_000):
             found = self.model.encode_batch_fast([text for _, text in rest[lo : lo + 10_000]], add_special_tokens=False)
             self.chunks.update((w, np.array(e.ids, "<u4").tobytes()) for (w, _), e in zip(rest[lo : lo + 10_000], found, strict=True))
@@ -88,13 +94,12 @@ class ChunkTokenizer:
         split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
         for lo in range(0, len(split), 64):
             group = split[lo : lo + 64]
-            new = {w for words in group for w in words if w not in self.chunks}
+            every = set().union(*group)
+            new = every.difference(self.chunks)
             if new:
-                if len(self.chunks) + len(new) > CACHE:
-                    new = {w for words in group for w in words}
-                self._learn(new)
-            chunks = self.chunks
-            out += [b"".join([chunks[w] for w in words]) + end for words in group]
+                self._learn(every if len(self.chunks) + len(new) > CACHE else new)
+            ids_of = self.chunks.__getitem__
+            out += [b"".join(map(ids_of, words)) + end for words in group]
         return out
 
 
