@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .textops import WordHasher, cut, lower_ascii, mix, shingle_hashes, slices
+from .textops import cut, lower_ascii, mix, shingle_hashes, slices, word_hashes
 
 NGRAM, PERCENT, ORDERS = 3, 90, 3
 #: The frequency sketch keeps at most so many shingles; they only shape the order.
@@ -44,9 +44,9 @@ BROADCAST_ROWS = 100_000
 _TOP = np.uint64(1 << 63)
 
 
-def shingle_set(text: str | None, ngram: int, hasher: WordHasher) -> np.ndarray:
-    words = lower_ascii(text).split()
-    return np.unique(shingle_hashes(hasher.array(words), ngram)) if words else np.zeros(0, np.uint64)
+def shingle_set(text: str | None, ngram: int) -> np.ndarray:
+    found = np.sort(shingle_hashes(word_hashes(lower_ascii(text)), ngram))
+    return found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
 
 
 def frequent_shingles(docs: DataFrame, ngram: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +54,7 @@ def frequent_shingles(docs: DataFrame, ngram: int, most: int = FREQUENT) -> tupl
     schema = pa.schema([("token", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, tokens, counts = WordHasher(), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        tokens, counts = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         met: set[int] = set()
         waiting: list[np.ndarray] = []
 
@@ -75,7 +75,7 @@ def frequent_shingles(docs: DataFrame, ngram: int, most: int = FREQUENT) -> tupl
         size = 0
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                found = shingle_set(text, ngram, hasher)
+                found = shingle_set(text, ngram)
                 cls = class_key(found)
                 if cls in met or len(found) == 0:
                     continue  # a copy of a text of this task proposes no pairs
@@ -98,16 +98,22 @@ def frequent_shingles(docs: DataFrame, ngram: int, most: int = FREQUENT) -> tupl
     return tokens[order], top.column("n").to_numpy()[order]
 
 
-def ranks(tokens: np.ndarray, order: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def frequent_among(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the frequent tokens and their counts as 31-bit numbers."""
+    known, counts = frequent
+    if not len(known):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    often = np.flatnonzero(known[at] == tokens)
+    return often, np.minimum(counts[at[often]], (1 << 30) - 1).astype(np.uint64)
+
+
+def ranks(tokens: np.ndarray, order: int, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Place of each token in a global order, as sortable 64-bit numbers: rare ones by hash, frequent ones by count."""
     mixed = mix(tokens, order + 1)
     out = mixed >> np.uint64(1)
-    known, counts = frequent
-    if len(known):
-        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-        often = known[at] == tokens
-        n = np.minimum(counts[at[often]], (1 << 30) - 1).astype(np.uint64)
-        out[often] = _TOP | n << np.uint64(32) | mixed[often] >> np.uint64(32)
+    if len(often):
+        out[often] = _TOP | counts << np.uint64(32) | mixed[often] >> np.uint64(32)
     return out
 
 
@@ -127,11 +133,11 @@ def signatures(docs: DataFrame, ngram: int, percent: int, frequent: tuple[np.nda
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT pairs of numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, met = WordHasher(), set()
+        met = set()
         for batch in slices(batches):
             cols: list[list] = [[] for _ in schema]
             for text in batch.column(1).to_pylist():
-                tokens = shingle_set(text, ngram, hasher)
+                tokens = shingle_set(text, ngram)
                 n = len(tokens)
                 cls = class_key(tokens)
                 cols[1].append(n)
@@ -141,10 +147,11 @@ def signatures(docs: DataFrame, ngram: int, percent: int, frequent: tuple[np.nda
                     if len(met) > 1_000_000:
                         met.clear()
                     met.add(cls)
+                    common = frequent_among(tokens, shared.value)
                 length = prefix_length(n, percent)
                 for k in range(orders):
                     if fresh:
-                        r = ranks(tokens, k, shared.value)
+                        r = ranks(tokens, k, *common)
                         cols[3 + k].append(np.sort(_signed(np.partition(r, length - 1)[:length] if length < n else r)))
                     else:
                         cols[3 + k].append(None)
@@ -185,11 +192,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, ngram: int,
     schema = pa.schema([("cls", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in slices(batches):
             keys, sets = [], []
             for cls, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = shingle_set(text, ngram, hasher)
+                tokens = shingle_set(text, ngram)
                 key = class_key(tokens)
                 if cls is None or key == cls:
                     keys.append(key)

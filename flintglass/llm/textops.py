@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -16,6 +17,8 @@ _ALNUM = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 WORD_CACHE = 120_000
 #: Rows that a task holds as Python values at a time.
 SLICE = 1_000
+#: Bytes hashed at a time; words of more bytes than SHORT are hashed one by one.
+BLOCK, SHORT = 1 << 18, 64
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -47,6 +50,37 @@ class WordHasher(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words between ASCII white space, made from all bytes of a block at once."""
+    parts, at = [], 0
+    while at < len(data):
+        end = min(at + BLOCK, len(data))
+        if end < len(data):  # cut between words; a word longer than a block stays whole
+            blank = _BLANKS.search(data, end)
+            end = blank.start() if blank else len(data)
+        parts.append(_block_hashes(data[at:end]))
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def _block_hashes(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = ~_IS_BLANK[raw]
+    step = np.diff(inside)
+    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lengths = ends - starts
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
+    values = _BYTE[raw[inside[1:-1].view(bool)]] * _PLACE[np.minimum(place, SHORT)]
+    out = mix(np.add.reduceat(values, first) + lengths.astype(np.uint64) * _M3)
+    for i in np.flatnonzero(lengths > SHORT):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return out
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective 64-bit mixer; each seed gives another global order of the same tokens."""
     x = x ^ np.uint64((seed * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF)
@@ -55,6 +89,12 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Random numbers for each byte and each place in a word; white space.
+_BYTE, _PLACE = mix(np.arange(1, 257, dtype=np.uint64), 7), mix(np.arange(1, SHORT + 2, dtype=np.uint64), 8) | np.uint64(1)
+_IS_BLANK = np.array([chr(c) in " \t\n\x0b\x0c\r" for c in range(256)])
+_BLANKS = re.compile(rb"[ \t-\r]")
+
+
 def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     """One hash for each run of `size` words; fewer words give a single hash of them all."""
     n = len(hashes)
