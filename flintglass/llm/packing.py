@@ -17,6 +17,7 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,96 +29,104 @@ CAPACITY, END_ID = 4096, 1
 GROUP = 8_000
 #: Nodes of one bin's search, in the first and in the second try.
 NODES = (300, 3_000)
-#: Blank-separated strings whose ids a task remembers.
-CACHE = 250_000
-
-
-#: Letters of ASCII and Latin-1, then marks that the pre-tokenizer never joins with letters.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&|]*)")
-_MARKS = b".,;:!?#*$%&|"
-
-
-class ChunkTokenizer:
-    """ids of a text as little-endian bytes. The model never joins text across ASCII white space, so that each
-    blank-separated string is encoded once and remembered; of strings of letters and marks, the two parts are."""
+#: Pre-tokens whose ids a Python worker remembers.
+CACHE = 500_000
+#: New pre-tokens encoded in one call.
+JOINED = 4_000
+#: Characters of the texts that are cut at a time.
+GROUP_CHARS = 1_000_000
+
+#: Fixed values of the tokenizer's pre-tokenization, here for ASCII and the letters of Latin-1, in lower case.
+_LOWER = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
+_PRETOKEN = re.compile(rb"[a-z\xdf-\xf6\xf8-\xff]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
+_KNOWN = bytes(c for c in range(256) if c < 0x80 or c >= 0xC0 and c not in (0xD7, 0xF7))
+
+
+def _groups(texts: list[str | None]) -> Iterator[list[str]]:
+    """Runs of texts of about GROUP_CHARS characters."""
+    group, size = [], 0
+    for t in texts:
+        group.append(t or "")
+        size += len(group[-1])
+        if size >= GROUP_CHARS:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+class PretokenTokenizer:
+    """ids of a text as little-endian bytes, equal to those of the whole text.
+
+    The model encodes each pre-token (run of letters, digit, run of marks) by itself. Texts of ASCII and Latin-1 letters
+    are therefore cut into pre-tokens, of which each is encoded once and remembered; other texts (and those that might
+    hold a special token) are given to the model whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.model, self.chunks, self.parts = Tokenizer.from_file(path), {}, {b"": b""}
+        self.model, self.known = Tokenizer.from_file(path), {}
         self.ends = np.zeros(self.model.get_vocab_size(), bool)
         for token, i in self.model.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
 
-    def _encode_parts(self, missing: list[bytes]) -> None:
-        """Each is one word of the model, so that a joined text falls apart at the tokens that end a word."""
-        if len(self.parts) + len(missing) > 2 * CACHE:
-            self.parts = {b"": b""}
-        for lo in range(0, len(missing), 2_000):
-            part = missing[lo : lo + 2_000]
-            ids = np.array(self.model.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, missing: list[bytes]) -> None:
+        """Each pre-token ends with a token that ends a word, so that a joined text falls apart there."""
+        for lo in range(0, len(missing), JOINED):
+            part = missing[lo : lo + JOINED]
+            ids = self._encode(b" ".join(part).decode("latin-1"))
             cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
             if len(cuts) == len(part):
                 data, marks = ids.tobytes(), [0, *cuts.tolist()]
                 found = [data[x:y] for x, y in zip(marks, marks[1:], strict=False)]
             else:
-                found = [np.array(self.model.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in part]
-            self.parts.update(zip(part, found, strict=True))
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.chunks) + len(words) > CACHE:
-            self.chunks = {}
-        split, rest = [], []
-        for w in words:
-            letters = w.rstrip(_MARKS)
-            if letters.isalpha():
-                split.append((w, letters.lower(), w[len(letters) :]))
-            elif m := _PLAIN.fullmatch(text := w.decode("utf-8", "replace")):
-                split.append((w, m[1].lower().encode(), m[2].encode()))
-            else:
-                rest.append((w, text))
-        known = self.parts
-        self._encode_parts([*{x for _, x, _ in split if x not in known} | {x for _, _, x in split if x not in known}])
-        known = self.parts
-        for w, letters, marks in split:
-            if letters not in known or marks not in known:
-                self._encode_parts([p for p in (letters, marks) if p])
-                known = self.parts
-            self.chunks[w] = known[letters] + known[marks]
-        for lo in range(0, len(rest), 10_000):
-            found = self.model.encode_batch_fast([text for _, text in rest[lo : lo + 10_000]], add_special_tokens=False)
-            self.chunks.update((w, np.array(e.ids, "<u4").tobytes()) for (w, _), e in zip(rest[lo : lo + 10_000], found, strict=True))
+                found = [self._encode(w.decode("latin-1")).tobytes() for w in part]
+            self.known.update(zip(part, found, strict=True))
+
+    def _pretokens(self, text: str) -> list[bytes] | None:
+        try:
+            data = text.encode("latin-1").translate(_LOWER)
+        except UnicodeEncodeError:
+            return None
+        return None if data.translate(None, _KNOWN) or b"<|" in data else _PRETOKEN.findall(data)
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         out, end = [], np.uint32(END_ID).astype("<u4").tobytes()
-        split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        for lo in range(0, len(split), 64):
-            group = split[lo : lo + 64]
-            every = set().union(*group)
-            new = every.difference(self.chunks)
-            if new:
-                self._learn(every if len(self.chunks) + len(new) > CACHE else new)
-            ids_of = self.chunks.__getitem__
-            out += [b"".join(map(ids_of, words)) + end for words in group]
+        for group in _groups(texts):
+            cut = [self._pretokens(t) for t in group]
+            every = set().union(*(c for c in cut if c))
+            new = every.difference(self.known)
+            if new and len(self.known) + len(new) > CACHE:
+                self.known, new = {}, every
+            self._learn(list(new))
+            ids_of = self.known.__getitem__
+            out += [(self._encode(t).tobytes() if c is None else b"".join(map(ids_of, c))) + end for t, c in zip(group, cut, strict=True)]
         return out
 
 
+@lru_cache(maxsize=1)
+def worker_tokenizer(path: str) -> PretokenTokenizer:
+    """One for all tasks of a Python worker."""
+    return PretokenTokenizer(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of every piece of every document."""
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     fields += [("ids", pa.list_(pa.int32()))] * with_ids
     schema = pa.schema(fields)
-    holder: list[ChunkTokenizer] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not holder:
-            holder.append(ChunkTokenizer(tokenizer_path))
+        tokenizer = worker_tokenizer(tokenizer_path)
         for batch in batches:
             rows: list[tuple] = []
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo in range(0, len(texts), 500):
-                for doc_id, data in zip(ids_of[lo : lo + 500], holder[0].ids(texts[lo : lo + 500]), strict=True):
+                for doc_id, data in zip(ids_of[lo : lo + 500], tokenizer.ids(texts[lo : lo + 500]), strict=True):
                     for k, at in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[at : at + 4 * capacity]
                         row = (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))

@@ -336,3 +336,17 @@ def test_html(spark):
     assert html_tree.extract("<div>" * 3000 + "x" + "</div>" * 3000, model) in ("", "x")
     assert html_tree.fit(spark.createDataFrame([], "page_id long, url string, html string")) is not None
 
+
+
+def test_packing_ids_equal_those_of_whole_texts():
+    import random
+
+    from tokenizers import Tokenizer
+
+    model, cut = Tokenizer.from_file(default_tokenizer()), packing.PretokenTokenizer(default_tokenizer())
+    rng = random.Random(5)
+    plain, wide = "abcXYZ éÉßøØÿÞ'''sStTrReEvVmMlLdD 0189.,;!?#-_<|>\n\t\r\x0b\x0c\x1c\x00\x7f", "²½ªµº×÷\x85\xa0ΣςЖж漢éİ"
+    texts = ["".join(rng.choice(plain + wide * (k % 2)) for _ in range(rng.randint(0, 60))) for k in range(4_000)]
+    texts += [None, "", "a<|endoftext|>b", "<|STARTOFTEXT|>", "it's 'Tis I'LL don't"]
+    for text, found in zip(texts, cut.ids(texts), strict=True):
+        assert np.frombuffer(found, "<u4").tolist() == [*model.encode(text or "", add_special_tokens=False).ids, 1], text
