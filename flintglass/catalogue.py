@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as fn
-from .operators import content, enrich, images, packets
+from .operators import content, enrich, images, messages, packets
 from .plans.views import edges, packets as packets_v, table, tags, with_views
 from .streaming import live
 
@@ -103,6 +103,38 @@ def stream_bytes(spark, sf_dir):
     return found.select(*packets.STREAM, F.col("epoch").cast("long").alias("epoch"), F.col("data").cast("string").alias("data"), F.col("head").cast("string").alias("head"))
 
 
+@query("SELECT file, 'A' AS type, concat(event_type, '.com') AS request, ip_dst AS response, min(pkt_no) AS pkt_no FROM packets_v WHERE sport = 53 OR dport = 53 GROUP BY ALL")
+def dns_answers(spark, sf_dir):
+    """First answer by type, name and value; each DNS packet carries a response with one compressed answer."""
+    wire = """unhex(concat('000081800001000100000000', lpad(hex(length(event_type)), 2, '0'), hex(event_type), '03636F6D00', '00010001',
+     'C00C', '00010001', '0000003C', '0004', 'C00002', lpad(hex(CAST(substring_index(ip_dst, '.', -1) AS INT)), 2, '0')))"""
+    rows = packets_v(spark, sf_dir).filter(packets.is_dns(F.col("sport"), F.col("dport"))).select("file", "pkt_no", F.explode(messages.dns_answers(F.expr(wire))).alias("a"))
+    return packets.first_by_key(rows.select("file", "pkt_no", "a.*"), ["file", "type", "request", "response"], "pkt_no", [])
+
+
+@query("SELECT doc_id, CAST(0 AS INT) AS place, md5(text) AS digest FROM documents WHERE text <> '' UNION ALL SELECT doc_id, CASE WHEN text <> '' THEN 1 ELSE 0 END, md5(lang) FROM documents WHERE lang <> ''")
+def http_payloads(spark, sf_dir):
+    """Bodies of two pipelined messages a document, its text and its language."""
+    head = lambda c: F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Length: "), F.octet_length(c).cast("string"), F.lit("\r\n\r\n"), c)
+    text, lang = (F.coalesce(F.col(c), F.lit("")) for c in ("text", "lang"))
+    stream = F.concat(head(text), head(lang)).cast("binary")
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(messages.http_bodies(stream)).alias("place", "body")).select("doc_id", "place", F.md5("body").alias("digest"))
+
+
+@query("SELECT pkt_no, CAST(row_number() OVER (PARTITION BY file, ip_src, ip_dst, event_type ORDER BY pkt_no) AS INT) AS number FROM packets_v")
+def file_numbering(spark, sf_dir):
+    return messages.number_files(packets_v(spark, sf_dir), ["file", "ip_src", "ip_dst", "event_type"], ["pkt_no"]).select("pkt_no", "number")
+
+
+@query(
+    f"SELECT file, 'counts' AS section, CAST(to_json(struct_pack(n_packets, n_http, n_dns)) AS VARCHAR) AS item FROM ({_COUNTS})"
+    f" UNION ALL SELECT file, 'flows', CAST(to_json(struct_pack(flow, first_pkt)) AS VARCHAR) FROM ({_FLOWS})"
+)
+def capture_summary(spark, sf_dir):
+    p = packets_v(spark, sf_dir)
+    return messages.summary_items(F.col("file"), counts=(packets.packet_counts(p), ["n_packets", "n_http", "n_dns"]), flows=(packets.distinct_flows(p), ["flow", "first_pkt"]))
+
+
 # ---- contents
 
 _HEX = "WITH h AS (SELECT doc_id, substr(hex(encode(text)), 1, 204800) AS x FROM documents WHERE text <> ''), b AS (SELECT doc_id, substr(x, 2 * CAST(i AS BIGINT) + 1, 2) AS v FROM (SELECT doc_id, x, unnest(range(length(x) // 2)) AS i FROM h)), c AS (SELECT doc_id, v, count(*) AS c FROM b GROUP BY ALL), n AS (SELECT doc_id, CAST(sum(c) AS BIGINT) AS n, CAST(sum(c * c) AS DOUBLE) AS q FROM c GROUP BY ALL), e AS (SELECT doc_id, n, -sum(c / n * log2(c / n)) AS entropy, max(q) * 256 / n - n AS chi_square FROM c JOIN n USING (doc_id) GROUP BY doc_id, n)"

@@ -1,10 +1,12 @@
+import gzip
 import json
 import struct
+import zlib
 
 from pyspark.sql import functions as F
 
 from flintglass.functions import text as fn
-from flintglass.operators import content, packets
+from flintglass.operators import content, messages, packets
 from flintglass.sources import captures, catalogues
 
 
@@ -62,3 +64,33 @@ def test_constraints(spark):
         r = spark.range(1).select(fn.version_conformance(F.lit(base), F.lit(text), tilde).alias("v")).first().v
         assert (r.ok, r.correct) == (ok, right)
     assert spark.range(1).select(fn.constraint(F.lit(">=3.9")).alias("v")).first().v.operator == ">="
+
+
+def _summed(data):
+    data += b"\0" * (len(data) % 2)
+    total = sum(struct.unpack(f">{len(data) // 2}H", data))
+    while total >> 16:
+        total = (total & 0xFFFF) + (total >> 16)
+    return struct.pack(">H", 0xFFFF ^ total)
+
+
+def test_messages(spark):
+    bodies = [b"plain", zlib.compress(b"deflated"), gzip.compress(b"zipped"), b"broken"]
+    codings = [b"", b"Content-Encoding: deflate\r\n", b"content-encoding: x\r\nTransfer-Encoding: gzip\r\n", b"Content-Encoding: gzip\r\n"]
+    http = b"GET / HTTP/1.1\r\nHost: a\r\n\r\n" + b"".join(b"HTTP/1.1 200 OK\r\n" + c + b"Content-Length: %d\r\n\r\n" % len(b) + b for b, c in zip(bodies, codings, strict=True))
+    question = struct.pack(">6H", 7, 0x8180, 1, 3, 0, 0) + b"\x03www\x01a\x00" + b"\0\1\0\1"
+    answers = b"\xc0\x0c\0\5\0\1\0\0\0\x3c\0\4\1b\xc0\x10" + b"\xc0\x10\0\1\0\1\0\0\0\x3c\0\4\1\2\3\4" + b"\xc0\x0c\0\x10\0\1\0\0\0\x3c\0\1\0"
+    loop = struct.pack(">6H", 7, 0x8180, 0, 1, 0, 0) + b"\xc0\x0c"
+    rows = spark.createDataFrame([(1, http, question + answers), (2, None, None), (3, b"", loop), (4, b"\r\n\r\n", question[:3]), (5, b"x", question[:2] + b"\x01\x80" + (question + answers)[4:])], "id int, h binary, d binary")
+    found = {r.id: r for r in rows.select("id", messages.http_bodies("h").alias("h"), messages.dns_answers("d").alias("d")).collect()}
+    assert [bytes(b) for b in found[1].h] == [b"plain", b"deflated", b"zipped", b"broken"]
+    assert [tuple(a) for a in found[1].d] == [("CNAME", "www.a", "b.a"), ("A", "a", "1.2.3.4")]
+    assert all(not found[i].h and not found[i].d for i in (2, 3, 4, 5))
+
+    raw = frame("10.0.0.1", "10.0.0.2", 5, 6, b"odd", proto=6)
+    ip = raw[14:24] + _summed(raw[14:34]) + raw[26:34]
+    segment = raw[34:]
+    right = segment[:16] + _summed(ip[12:20] + struct.pack(">HH", 6, len(segment)) + segment) + segment[18:]
+    frames = [raw, raw[:14] + ip + segment, raw[:14] + ip + right, raw[:20], None]
+    got = [r.ok for r in spark.createDataFrame(list(enumerate(frames)), "id int, frame binary").select("id", messages.checksum_ok("frame").alias("ok")).orderBy("id").collect()]
+    assert got == [False, False, True, None, None]
