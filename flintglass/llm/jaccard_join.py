@@ -8,8 +8,8 @@ EVERY order the two prefixes share a token and their known parts differ in no mo
 then the whole sets are compared. Both filters are exact: no link is lost.
 
 Groups of near copies are not expanded into pairs. First each class is compared with the class of smallest doc_id with
-which it shares most prefix tokens; components of the links found are joined; after some such rounds, all pairs that
-share a prefix token and lie in different components are compared. Result: one row for each document with its
+which it shares most prefix tokens; components of the links found are joined; after some such rounds, whether or not
+they found anything, all pairs that share a prefix token and lie in different components are compared. Result: one row for each document with its
 class and component.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing, not even with each other (each is
@@ -232,6 +232,8 @@ def link_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
             at = shared.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
             mixed = at.groupBy("token").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("token")
             at = at.join(mixed, "token", "left_semi")
+        elif turn == STAR_ROUNDS:
+            at = shared.withColumn("label", F.col("cls"))  # no link yet: each class is its own component
         if turn < STAR_ROUNDS:
             pairs = _star_pairs(at, turn, percent, labels is not None)
         else:
@@ -240,7 +242,7 @@ def link_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         if pairs.isEmpty():
-            break
+            continue  # a round without a new partner says nothing about the pairs of the last round
         tested = pairs if tested is None else tested.union(pairs)
         found = cut(_verified(cut(_near(pairs, chosen, percent, orders)), docs, members, ngram, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
         edges = found if edges is None else cut(edges.union(found))

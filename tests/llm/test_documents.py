@@ -239,6 +239,16 @@ def test_jaccard(spark, docs, empty):
     assert jaccard_join.link_components(empty).count() == 0
 
 
+def test_jaccard_compares_all_pairs_when_stars_find_none(spark):
+    passage = [f"p{i}" for i in range(102)]
+    long = lambda name: " ".join(passage + [f"{name}{i}" for i in range(200)])
+    short = [(2, " ".join(passage)), (3, " ".join([*passage[:-1], "other"]))]
+    for others in ([(1, long("x"))], [(1, long("x")), (9, long("y"))]):
+        rows = spark.createDataFrame(others + short, "doc_id long, text string")
+        found = {r.doc_id: r.component_id for r in jaccard_join.link_components(rows).collect()}
+        assert found == {2: 2, 3: 2, **{d: d for d, _ in others}}
+
+
 def test_decontamination(spark, docs, empty):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
     extra = spark.createDataFrame([(900, "short item"), (901, None), (902, "!!"), (None, "word5 word6 word7 word8 word9 word10 word11 word12 word13 word14 word15"), (903, "same"), (900, "Short, ITEM")], bench.schema)
