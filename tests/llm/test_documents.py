@@ -147,6 +147,28 @@ def test_licenses(docs, empty):
     assert len(license_rules.rules()) > 300 and license_rules.scan(empty).count() == 0
 
 
+def test_license_texts_and_wrapped_lines():
+    cases = {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the X)": "mit",
+        "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided": "bsd",
+        "Neither the name of the X Group nor the names of its contributors may be used to endorse or promote products\nderived from this software without specific prior": "bsd",
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the": "isc",
+        "This software is provided 'as-is', without any express or implied\nwarranty. In no event": "zlib",
+        "Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and accompanying documentation covered by\nthis license": "boost",
+        "covered\nby\nthe MIT terms": "mit", "governed\nby the Mozilla\nPublic License": "mpl", "released under the Apache\nLicense": "apache",
+    }
+    gated, free = license_rules.Scanner(), license_rules.Scanner(gated=False)
+    for text, label in cases.items():
+        assert label in license_rules.scan_text(text, gated)[5].split(","), text
+        assert license_rules.scan_text(text, gated) == license_rules.scan_text(text, free)
+    for line in license_rules.TEXTS.strip().split("\n"):  # the gate's words stand in the passage, outside its options
+        label, passage = line.split(" | ")
+        rule = license_rules._text_rule(label, passage)
+        re.compile(rule.pattern)
+        assert all(re.search(rf"(?<![a-z]){k}(?![a-z])", re.sub(r"\([^()]*\)", "", passage)) for k in rule.keys)
+    assert {r.label for r in license_rules.rules() if r.rank == 0 and "spdx" not in r.pattern} == {r.label for r in license_rules.rules()}
+
+
 def test_language(spark, docs, empty):
     rng = np.random.default_rng(0)
     assert abs(float((lang_hd.letter_vectors(np.arange(97, 123)).astype(int) @ lang_hd.letter_vectors(np.arange(97, 123)).astype(int).T)[np.triu_indices(26, 1)].mean())) < 30, rng
