@@ -94,3 +94,18 @@ def test_messages(spark):
     frames = [raw, raw[:14] + ip + segment, raw[:14] + ip + right, raw[:20], None]
     got = [r.ok for r in spark.createDataFrame(list(enumerate(frames)), "id int, frame binary").select("id", messages.checksum_ok("frame").alias("ok")).orderBy("id").collect()]
     assert got == [False, False, True, None, None]
+
+
+def test_base_closure_has_no_depth_or_row_limit(spark):
+    from flintglass.operators import images
+
+    def levels(pairs, roots=(0,)):
+        edges = spark.createDataFrame(pairs, "base long, dependent long")
+        return {r.image: r.level for r in images.base_closure(spark, edges, spark.createDataFrame([(r,) for r in roots], "base long")).collect()}
+
+    assert levels([(i, i + 1) for i in range(55)]) == {i: i for i in range(56)}, "deeper than 50 levels"
+    # shared bases: 3 ** 13 paths, more than a recursive query may hold
+    assert levels([(3 * k + i, 3 * k + 3 + j) for k in range(13) for i in range(3) for j in range(3)], (0, 1, 2)) == {i: i // 3 for i in range(42)}
+    cyclic = [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (4, 3), (4, 5), (1, 1), (8, 9), (0, 0)]
+    assert levels(cyclic) == {0: 0, 1: 1, 2: 2, 3: None, 4: None, 5: None}
+    assert levels(cyclic, ()) == {}
