@@ -5,7 +5,9 @@ a text bundles (adds) its trigrams' vectors, a language prototype bundles the te
 between text and prototypes decides. Letters are case-folded; all other characters are one blank. Vectors come from a
 seeded mixer of the code point, so that every script works and every task makes the same vectors.
 
-Prototypes are learned from a bounded sample (`MAX_TRAINING` documents by a hash of their text) of the training fold.
+Prototypes are learned from a sample of the labelled rows of the training fold, drawn by a hash of the text: about
+`MAX_TRAINING` distinct texts dealt equally to the languages, `LEAST_TRAINING` at least for each, and every row of a
+language with fewer.
 Defined results: `und` and score 0 for a null text or one without letters; with nothing learned all are `und`; ties go to
 the first language in order; one row for each input row; other columns are ignored.
 """
@@ -19,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import mix, sample_fraction, slices
+from .textops import mix, slices
 
 DIMENSIONS = 1024
-MAX_TRAINING = 20_000
+MAX_TRAINING, LEAST_TRAINING = 20_000, 500
 #: Trigram vectors kept by a task; the store is rebuilt when it is full.
 STORE = 16_384
 #: Trigrams bundled at a time, so that a long text needs no more memory than a short one.
@@ -114,8 +116,9 @@ class Bundler:
 def learn(docs: DataFrame, max_training: int = MAX_TRAINING) -> list[tuple[str, np.ndarray]]:
     """(language, unit prototype) in order of the language; docs: the rows that may be learned from."""
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    share = sample_fraction(docs, max_training)
-    drawn = known.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    counts = known.groupBy("lang").agg(F.least(F.count("*"), F.approx_count_distinct(F.xxhash64("text"))).alias("n"))  # one row for each language
+    each = max(LEAST_TRAINING, max_training // max(1, counts.count()))
+    drawn = known.join(F.broadcast(counts), "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) * F.col("n") < F.lit(each * 1_000_000)).select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("v", pa.list_(pa.float64()))])
 
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

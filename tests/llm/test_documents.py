@@ -184,6 +184,16 @@ def test_language(spark, docs, empty):
     assert lang_hd.learn(empty.select("lang", "text")) == [] and {r.lang_pred for r in lang_hd.predict(docs, []).collect()} == {"und"}
 
 
+def test_language_sample_counts_labelled_rows_by_language(spark):
+    rows = [(None, f"no language {i}") for i in range(3_000)] + [("aa", f"plain words {i}") for i in range(3_000)] + [("zz", f"rare {i}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    prototypes = dict(lang_hd.learn(docs, max_training=2))
+    assert set(prototypes) == {"aa", "zz"}
+    rare = lang_hd.Bundler().bundle([t for lang, t in rows if lang == "zz"])
+    whole = (rare / np.linalg.norm(rare, axis=1, keepdims=True)).astype(np.float64).sum(0)
+    assert np.allclose(prototypes["zz"], whole / np.linalg.norm(whole), atol=1e-6), "all rows of a rare language are learned from"
+
+
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
