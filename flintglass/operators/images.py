@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_versions, tag_family_regex
+from ..plans.shared import cut
 
 
 def latest_tag_by_version(tags: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,18 +43,10 @@ def dependents_by_base(edges: DataFrame) -> DataFrame:
     return edges.groupBy("base").agg(F.count("*").alias("n_dependents"), F.array_sort(F.collect_list("dependent")).alias("dependents"))
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    """Materialised in the checkpoint folder, so that the lineage of many rounds stays short."""
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
-    return rows.checkpoint()
-
-
 def _gathered(parts: list[DataFrame]) -> DataFrame:
     """The union of the rounds so far; many are written as one, so that plans stay short."""
     if len(parts) > 20:
-        parts[:] = [_kept(reduce(DataFrame.union, parts))]
+        parts[:] = [cut(reduce(DataFrame.union, parts))]
     return reduce(DataFrame.union, parts)
 
 
@@ -63,13 +55,13 @@ def base_closure(spark: SparkSession, edges: DataFrame, roots: DataFrame) -> Dat
 
     Rounds of joins, one row for each image, at any depth. Images on a cycle and those built on them have no longest way:
     their level is null. An edge of an image to itself is ignored."""
-    edges = _kept(edges.filter("dependent <> base").select("base", "dependent").distinct())
-    fresh = _kept(roots.select(F.col("base").alias("image")).distinct())
+    edges = cut(edges.filter("dependent <> base").select("base", "dependent").distinct())
+    fresh = cut(roots.select(F.col("base").alias("image")).distinct())
     reached, level, again = [fresh.withColumn("level", F.lit(0).cast("long"))], 0, False
     while True:
         level += 1
         ahead = edges.join(fresh.withColumnRenamed("image", "base"), "base", "left_semi").select(F.col("dependent").alias("image")).distinct()
-        ahead = _kept(ahead.join(_gathered(reached).select("image", F.lit(True).alias("known")), "image", "left"))
+        ahead = cut(ahead.join(_gathered(reached).select("image", F.lit(True).alias("known")), "image", "left"))
         n, n_known = ahead.agg(F.count("*"), F.count("known")).first()
         again = again or n_known > 0
         if n == n_known:
@@ -77,23 +69,23 @@ def base_closure(spark: SparkSession, edges: DataFrame, roots: DataFrame) -> Dat
         fresh = ahead.filter("known IS NULL").select("image")
         reached.append(fresh.withColumn("level", F.lit(level).cast("long")))
     found = _gathered(reached)
-    return _longest(edges, _kept(found.select("image"))) if again else found
+    return _longest(edges, cut(found.select("image"))) if again else found
 
 
 def _longest(edges: DataFrame, images: DataFrame) -> DataFrame:
     """(image, level) where ways of several lengths or cycles exist: an image is settled after all of its bases.
 
     The images are closed under dependents, so that those without a base among them are roots."""
-    inside = _kept(edges.join(images.withColumnRenamed("image", "base"), "base", "left_semi"))
-    need = _kept(inside.groupBy(F.col("dependent").alias("image")).agg(F.count("*").alias("need")))
-    ready = _kept(images.filter("image IS NULL").union(images.join(need, "image", "left_anti").filter("image IS NOT NULL")))
+    inside = cut(edges.join(images.withColumnRenamed("image", "base"), "base", "left_semi"))
+    need = cut(inside.groupBy(F.col("dependent").alias("image")).agg(F.count("*").alias("need")))
+    ready = cut(images.filter("image IS NULL").union(images.join(need, "image", "left_anti").filter("image IS NOT NULL")))
     settled, level, waiting = [], 0, None
     while not ready.isEmpty():
         settled.append(ready.withColumn("level", F.lit(level).cast("long")))
         level += 1
         got = inside.join(ready.withColumnRenamed("image", "base"), "base", "left_semi").groupBy(F.col("dependent").alias("image")).agg(F.count("*").alias("got"))
         got = got if waiting is None else got.union(waiting).groupBy("image").agg(F.sum("got").alias("got"))
-        step = _kept(got.join(need, "image"))
+        step = cut(got.join(need, "image"))
         ready, waiting = step.filter("got = need").select("image"), step.filter("got < need").select("image", "got")
         _gathered(settled)
     if not settled:

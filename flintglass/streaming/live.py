@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,15 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.packets import STREAM, is_dns, is_http
+from ..plans.shared import fresh_folder
 
 _KEPT = [*STREAM, "pkt_no", "ts_us", "ip_proto", "seq", "syn", "fin", "len"]
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-live-", dir="/tmp")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
-
-
 def _replay(spark: SparkSession, packets: DataFrame, folder: str) -> DataFrame:
     rows = packets.select(*_KEPT).withColumn("ts", F.timestamp_micros("ts_us"))
     rows.write.parquet(f"{folder}/in")
@@ -41,7 +35,7 @@ def _collect(spark: SparkSession, stream: DataFrame, folder: str, mode: str) ->
 
 def packet_counts_live(spark: SparkSession, packets: DataFrame, window: str) -> DataFrame:
     """Running packet, HTTP-port and DNS-port counts of each capture and window."""
-    folder = _folder(spark, "counts")
+    folder = fresh_folder(spark, "counts")
     rows = _replay(spark, packets, folder)
     counted = rows.groupBy("file", F.window("ts", window).alias("w")).agg(
         F.count("*").alias("n_packets"), F.count_if(is_http(F.col("dport"))).alias("n_http"), F.count_if(is_dns(F.col("sport"), F.col("dport"))).alias("n_dns")
@@ -51,7 +45,7 @@ def packet_counts_live(spark: SparkSession, packets: DataFrame, window: str) ->
 
 def udp_sessions_live(spark: SparkSession, packets: DataFrame, timeout_us: int) -> DataFrame:
     """Session statistics of directional UDP flows by event-time session windows."""
-    folder = _folder(spark, "udp")
+    folder = fresh_folder(spark, "udp")
     rows = _replay(spark, packets.filter("ip_proto = 17 AND len > 0"), folder)
     found = rows.groupBy(*STREAM, F.session_window("ts", f"{timeout_us // 1_000_000} seconds").alias("w")).agg(F.count("*").alias("n_packets"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
     return _collect(spark, found.drop("w"), folder, "complete")
@@ -94,7 +88,7 @@ class _TcpStreams(StatefulProcessor):
 
 def tcp_streams_live(spark: SparkSession, packets: DataFrame) -> DataFrame:
     """Contiguous TCP streams as they close; the end of a capture is a FIN of each of its keys."""
-    folder = _folder(spark, "tcp")
+    folder = fresh_folder(spark, "tcp")
     tcp = packets.filter("ip_proto = 6").select(*_KEPT)
     ends = tcp.groupBy(*STREAM).agg((F.max("pkt_no") + 1).alias("pkt_no"), F.max("ts_us").alias("ts_us"))
     ends = ends.selectExpr(*STREAM, "pkt_no", "ts_us", "6 AS ip_proto", "0L AS seq", "0 AS syn", "1 AS fin", "0 AS len")
