@@ -4,11 +4,15 @@ The block elements of a page are nodes with a hidden state (content or not). Nod
 element (tag, class and id words, text length, link share), edge potentials from parent and child state and from
 whether the child's tag opens an article or page furniture. Sum-product messages go upward and downward once and
 give each node's marginal; blocks of nodes with a marginal of at least 0.5 are the main text. The model is trained by
-maximum likelihood on labelled pages: the ones written below, and a bounded sample (`MAX_TRAINING`) of the table's own
-pages, labelled by their article or main element.
+maximum likelihood on labelled pages: the ones written below, and a bounded sample (`MAX_TRAINING` pages of at most
+`MAX_PAGE_CHARS` characters) of the table's own pages, labelled by their article or main element. Each of the latter is
+also taken with that element turned into a plain and into a named div, so that the model does not rest on the tag alone.
+
+The parser follows HTML's rules for optional tags, attributes and comments and reads each character a bounded number
+of times. A form is left out unless it holds an article or main element or more than half of the page's text.
 
 Defined results: null or empty html, or html without text, gives an empty text with 0 characters; one row for each input
-row; other columns are ignored.
+row, repeated rows included; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,28 +26,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import per_row, sample_fraction
+from .textops import hash_below, per_row
 
-MAX_TRAINING = 200
+MAX_TRAINING, MAX_PAGE_CHARS = 200, 65_536
 
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title noscript template xmp iframe noframes".split())
+RAW = frozenset("script style textarea title noscript xmp iframe noframes".split())
+HEAD = frozenset("title meta link base basefont bgsound script style noscript template noframes".split())
 BLOCK = frozenset(
     "html body article main section header footer nav aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
-    "blockquote pre figure figcaption form fieldset details summary address hr dialog menu search center option select button legend".split()
+    "blockquote pre figure figcaption form fieldset details summary address hr dialog menu search center option select button legend hgroup dir listing".split()
 )
 CLOSES_P = BLOCK - frozenset(("html", "body", "td", "th", "caption", "option"))
 TAGS = ("html", "body", "article", "main", "section", "header", "footer", "nav", "aside", "div", "p", "li", "ul", "form", "table", "blockquote", "pre", "figure", "dialog")
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-NEVER = frozenset(("head", "script", "style", "noscript", "template", "iframe", "form", "button", "select", "option", "svg", "object", "textarea", "noframes", "xmp"))
+NEVER = frozenset(("head", "script", "style", "noscript", "template", "iframe", "button", "select", "option", "svg", "object", "textarea", "noframes", "xmp", "datalist", "audio", "video", "canvas", "math"))
+#: A start tag closes an open element of its group unless one of the others stands between.
+IMPLIED = {
+    "li": (("li",), ()), "dt": (("dt", "dd"), ()), "dd": (("dt", "dd"), ()), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr")),
+    "thead": (("thead", "tbody", "tfoot", "caption"), ("table",)), "tbody": (("thead", "tbody", "tfoot", "caption"), ("table",)), "tfoot": (("thead", "tbody", "tfoot", "caption"), ("table",)), "option": (("option",), ("select",)),
+}
+LOOSE = frozenset(("address", "div", "p"))
 CUES = (
     r"(?:^|[^a-z])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner)(?:$|[^a-z])", r"nav|menu|breadcrumb|pagination|pager|toolbar", r"comment|reply|replies|respond|discuss|disqus",
     r"cookie|consent|notice|popup|modal|newsletter|subscribe|gdpr|alert", r"sidebar|aside|widget|related|recommend|share|social|tags", r"foot|header|masthead|copyright|legal", r"article|content|post|entry|story|main|text|body",
 )
 _CUES = [re.compile(c) for c in CUES]
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:([\"'])|([^\s>]*)))?")
+_END = re.compile(r"[\s/]*>?")
+_COMMENT_END = re.compile(r"--!?>")
+_RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>?", re.I) for n in RAW}
+_HINTS = frozenset(("class", "id", "role"))
 _BLANK = re.compile(r"\s+")
 N_FEATURES = len(TAGS) + len(CUES) + 8
 N_EDGES = 4 * 3
@@ -61,89 +76,188 @@ class Page:
     blocks: list[tuple[int, str]]
 
 
+def _attributes(source: str, at: int, unclosed: set[str]) -> tuple[list[str], int]:
+    """Values of class, id and role, and the place after the tag. A quote that is never closed is part of its value;
+    `unclosed` remembers such quotes, so that no text is searched for them twice."""
+    hints: list[str] = []
+    while m := _ATTRIBUTE.match(source, at):
+        at, value = m.end(), m[3]
+        if m[2]:
+            end = -1 if m[2] in unclosed else source.find(m[2], at)
+            if end < 0:
+                unclosed.add(m[2])
+                end = at
+                while end < len(source) and source[end] != ">" and not source[end].isspace():
+                    end += 1
+            value = source[at:end]
+            at = min(end + (end < len(source) and source[end] == m[2]), len(source))
+        if value and m[1].lower() in _HINTS:
+            hints.append(value.lower())
+    return hints, _END.match(source, at).end()
+
+
+def _markup(source: str, at: int) -> int | None:
+    """The place after a comment, declaration or instruction that starts at `at`; None where there is none."""
+    if source.startswith("<!--", at):
+        if source.startswith((">", "->"), at + 4):
+            return source.index(">", at) + 1
+        m = _COMMENT_END.search(source, at + 4)
+        return m.end() if m else len(source)
+    if source[at + 1 : at + 2] in ("!", "?", "/"):
+        end = source.find(">", at)
+        return end + 1 if end >= 0 else len(source)
+    return None
+
+
 def parse(source: str) -> Page:
-    """Block elements become nodes; inline elements only add text; script, style and form parts are never text."""
+    """Block elements become nodes; inline elements only add text; script, style and form controls are never text."""
     page = Page([-1], ["html"], [""], [0], [0], [])
-    stack, buffer, muted, links = [(0, "html")], [], 0, 0
-    at, lower = 0, None
+    stack, buffer, muted, links, linked = [(0, "html")], [], 0, 0, 0
+    opened: dict[str, int] = {"html": 1}
+    found: list[tuple[int, str, int, int]] = []  # node, text, characters in links, innermost form
+    forms: list[int] = []
+    outer: dict[int, int] = {}
+    unclosed: set[str] = set()
 
     def flush() -> None:
+        nonlocal linked
         if buffer:
             text = _BLANK.sub(" ", "".join(buffer)).strip()
             if text:
-                page.blocks.append((stack[-1][0], text))
-                page.size[stack[-1][0]] += len(text)
+                found.append((stack[-1][0], text, linked, forms[-1] if forms else -1))
             buffer.clear()
+        linked = 0
 
     def close(depth: int) -> None:
         nonlocal muted
         flush()
         while len(stack) > depth:
-            muted -= stack.pop()[1] in NEVER
+            node, name = stack.pop()
+            opened[name] -= 1
+            muted -= name in NEVER
+            if name == "form":
+                forms.pop()
 
     def text(piece: str) -> None:
+        nonlocal linked
+        if stack[-1][1] == "head" and piece and not piece.isspace():
+            close(len(stack) - 1)  # text ends a head that was left open
         if piece and not muted:
             decoded = htmllib.unescape(piece)
             buffer.append(decoded)
             if links:
-                page.linked[stack[-1][0]] += len(decoded)
-
-    while True:
-        m = _TOKEN.search(source, at)
-        text(source[at : m.start()] if m else source[at:])
-        if not m:
-            break
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+                linked += len(decoded)
+
+    at = seen = 0  # `seen`: text before it is taken
+    while (at := source.find("<", at)) >= 0:
+        name = _NAME.match(source, at + 1)
+        shut = None if name else _NAME.match(source, at + 2) if source.startswith("</", at) else None
+        if not name and not shut:
+            end = _markup(source, at)
+            if end is None:
+                at += 1  # a plain character
+                continue
+            text(source[seen:at])
+            at = seen = end
             continue
-        if m[1]:
-            if name in BLOCK or name in NEVER:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][1] == name), 0)
+        text(source[seen:at])
+        if shut:
+            tag = shut[0].lower()
+            end = source.find(">", shut.end())
+            at = seen = end + 1 if end >= 0 else len(source)
+            if opened.get(tag):
+                depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][1] == tag)
                 if depth:
                     close(depth)
                     links = 0
-            elif name == "a":
+            elif tag == "a":
                 links = max(0, links - 1)
             continue
-        if name in RAW and not m[3].endswith("/"):
-            lower = lower if lower is not None else source.lower()
-            end = lower.find("</" + name, at)
-            at = len(source) if end < 0 else end
-            gap = source.find(">", at)
-            at = len(source) if gap < 0 else gap + 1
+        tag = name[0].lower()
+        hints: list[str] = []
+        at = name.end()
+        if source.startswith(">", at):
+            at += 1
+        else:
+            hints, at = _attributes(source, at, unclosed)
+        seen = at
+        if stack[-1][1] == "head" and tag not in HEAD:
+            close(len(stack) - 1)
+        if tag in RAW:
+            m = _RAW_END[tag].search(source, at)
+            at = seen = m.end() if m else len(source)
             continue
-        if name == "a":
+        if tag == "a":
             links += 1
-        if name in ("br", "hr", "img", "wbr"):
-            buffer.append(" " if name != "wbr" else "")
-        if name in VOID or not (name in BLOCK or name in NEVER):
+        if tag in ("br", "hr", "img", "wbr"):
+            buffer.append(" " if tag != "wbr" else "")
+        if tag in VOID or not (tag in BLOCK or tag in NEVER or tag == "head"):
+            continue
+        if tag in ("svg", "math") and source[at - 2 : at] == "/>":
             continue
-        if name in ("html", "body") and any(t == name for _, t in stack[1:]):
+        if tag in ("html", "body", "head") and (opened.get(tag) and len(stack) > 1 or tag == "head" and (found or len(stack) > 2)):
             continue
-        if name in CLOSES_P:
+        if tag in CLOSES_P and opened.get("p") and stack[-1][1] == "p":
+            close(len(stack) - 1)
+        if tag in HEADINGS and stack[-1][1] in HEADINGS:
+            close(len(stack) - 1)
+        ends, walls = IMPLIED.get(tag, ((), ()))
+        if any(opened.get(x) for x in ends):
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][1] == "p":
+                other = stack[i][1]
+                if other in ends:
                     close(i)
                     break
-                if stack[i][1] in ("td", "th", "div", "article", "section", "li"):
+                if other in walls or not walls and other not in LOOSE:
                     break
-        if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][1] == name:
-            close(len(stack) - 1)
         flush()
         links = 0
-        hint = " ".join(a or b or c for a, b, c in _NAMED.findall(m[3])).lower()
         page.parent.append(stack[-1][0])
-        page.tag.append(name)
-        page.hint.append(hint)
-        page.linked.append(0)
-        page.size.append(0)
-        stack.append((len(page.tag) - 1, name))
-        muted += name in NEVER
-    close(0)
+        page.tag.append(tag)
+        page.hint.append(" ".join(hints))
+        node = len(page.tag) - 1
+        if tag == "form":
+            outer[node] = forms[-1] if forms else -1
+            forms.append(node)
+        stack.append((node, tag))
+        opened[tag] = opened.get(tag, 0) + 1
+        muted += tag in NEVER
+    text(source[seen:])
+    close(1)
+    flush()
+    _fill(page, found, outer)
     return page
 
 
+def _fill(page: Page, found: list[tuple[int, str, int, int]], outer: dict[int, int]) -> None:
+    """Blocks, sizes and link sizes without the forms' own text; a form around the page's text becomes a div."""
+    page.size, page.linked = [0] * len(page.tag), [0] * len(page.tag)
+    wide = set()
+    if outer:
+        inside = dict.fromkeys(outer, 0)
+        for _, text, _, form in found:
+            while form >= 0:
+                inside[form] += len(text)
+                form = outer[form]
+        total = sum(len(text) for _, text, _, _ in found)
+        wide = {f for f, n in inside.items() if 2 * n > total}
+        for i, tag in enumerate(page.tag):
+            if tag in ("article", "main"):
+                while i >= 0:
+                    if page.tag[i] == "form":
+                        wide.add(i)
+                    i = page.parent[i]
+    for node, text, linked, form in found:
+        while form >= 0 and form in wide:
+            form = outer[form]
+        if form < 0:
+            page.blocks.append((node, text))
+            page.size[node] += len(text)
+            page.linked[node] += linked
+    for f in wide:
+        page.tag[f] = "div"
+
+
 def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
     """Node features, and the kind of each node's edge to its parent: 0 plain, 1 opens an article, 2 opens furniture."""
     x, kind = np.zeros((len(page.tag), N_FEATURES)), np.zeros(len(page.tag), int)
@@ -239,12 +353,13 @@ LABELLED = (
     "<body><article y><header><h1>{short}</h1></header><p>{long}</p><pre>{short}</pre><div class=share n><a href=1>Share</a></div><section class=comments n><p>{long}</p><p>{short}</p></section><figure><figcaption>{short}</figcaption></figure></article><aside class=related><p>{long}</p></aside><div class='newsletter'><p>{short}</p></div></body>",
     "<body><div class=banner>{short}</div><div id=main-content y><p>{long}</p><p>{long}</p><h2>{short}</h2><p>{short}</p><nav n><a href=1>Next</a></nav></div><div class=copyright>{short}</div><dialog class=popup><p>{long}</p></dialog></body>",
     "<body><header><p>{long}</p></header><main y><article><h1>{short}</h1><p>{long}</p><aside n><p>{long}</p></aside><p>{short}</p><div><p>{long}</p><div>{short}</div></div></article></main><footer><p>{long}</p></footer></body>",
+    "<body><p y>{long}</p><div class=comment><p>{long}</p></div><aside><p>{long}</p></aside></body>",
     "<body><header y><h1>{short}</h1></header><p y>{long}</p><p y>{long}</p><div class=ads><p>{short}</p></div><p y>{short}</p></body>",
 )
 
 
 def labelled_pages() -> list[tuple[Page, list[bool]]]:
-    """The written pages with short and long fillings; the y and n marks become states of the nodes."""
+    """The written pages with short and long fillings; the y and n marks become states of the nodes (one for each)."""
     out = []
     for words in (3, 8):
         for source in LABELLED:
@@ -270,13 +385,22 @@ def own_labels(page: Page) -> list[bool] | None:
     return states if found else None
 
 
+def disguised(page: Page, hint: str) -> Page:
+    """The page with its article and main elements turned into div elements."""
+    opens = [t in ("article", "main") for t in page.tag]
+    tags = ["div" if o else t for t, o in zip(page.tag, opens, strict=True)]
+    hints = [hint if o else h for h, o in zip(page.hint, opens, strict=True)]
+    return Page(page.parent, tags, hints, page.linked, page.size, page.blocks)
+
+
 def fit(pages: DataFrame, max_training: int = MAX_TRAINING) -> TreeModel:
-    """Train on the written pages and about `max_training` pages of the table, drawn by a hash of the html."""
-    share = sample_fraction(pages, max_training)
-    drawn = pages.select("html").filter(F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(F.xxhash64("html")).limit(4 * max_training)
-    own = [(p, own_labels(p)) for p in (parse(r.html) for r in drawn.collect() if r.html)]
-    written = labelled_pages()
-    own = [(p, y) for p, y in own if y is not None]
+    """Train on the written pages and about `max_training` distinct pages of the table, drawn by a hash of the html."""
+    drawn = pages.select("html").filter(hash_below("html", max_training, pages.count())).filter(F.length("html") <= MAX_PAGE_CHARS)
+    rows = drawn.distinct().orderBy(F.xxhash64("html"), "html").limit(max_training).collect()  # max_training * MAX_PAGE_CHARS characters at most
+    written, own = labelled_pages(), []
+    for page in (parse(r.html) for r in rows if r.html):
+        if states := own_labels(page):
+            own += [(page, states), (disguised(page, ""), states), (disguised(page, "content"), states)]
     repeat = max(1, len(own) // (2 * len(written)))
     return train(written * repeat + own)
 

@@ -2,8 +2,9 @@
 
 A linear-chain conditional random field with two states (content, boilerplate) runs over the lines of a text that have
 a word; Viterbi decoding marks each line, and the share of words in content lines decides whether the document stays.
-The field is fitted on a bounded sample of labelled documents (`MAX_LABELLED`): every line starts with its document's
-quality as label, and lines of bad documents that the field itself finds to be content are relabelled twice.
+The field is fitted on a bounded sample of labelled documents (about `MAX_LABELLED`, `MAX_RUNS` runs of their lines):
+every line starts with its document's quality as label, and lines of bad documents that the field itself finds to be
+content are relabelled twice. The share that a document needs is chosen on a fourth of the sample that was held out.
 
 Defined results: null text = text without words (all counts 0, content share 0, base_failed true, kept false); a
 repeated doc_id gives one row for each input row; without labels no line is boilerplate and the base rule decides;
@@ -12,6 +13,7 @@ extra columns of the input are ignored unless named in `keep`.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import WordHasher, blank_words, per_row, sample_fraction, shingle_hashes
+from .textops import WordHasher, blank_words, cut, hash_below, per_row, shingle_hashes, slices
 
-#: At most about so many labelled documents are used to fit the field.
-MAX_LABELLED = 1500
-#: Training sequences are cut into runs of so many lines; nothing is left out.
-RUN = 40
+#: About so many labelled documents are drawn, with a hash of their id; a fourth of them is held out.
+MAX_LABELLED = 2000
+#: Lines of a training run, and the most runs (N_FEATURES numbers a line) that reach the driver, drawn by a hash.
+RUN, MAX_RUNS = 40, 4_000
+#: Share of the good held-out documents that must stay.
+KEEP_GOOD = 0.995
 SYMBOLS = "#*$%&|<>"
 N_FEATURES = 14
 _SPACE = " \t\n\r\x0b\x0c"
@@ -140,28 +144,40 @@ def text_lines(text: str | None) -> list[str]:
     return [line for line in (text or "").split("\n") if line.strip(_SPACE)]
 
 
+def drawn_texts(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """(doc_id, quality, text, held) of about `max_labelled` labelled documents, one row an id."""
+    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL")
+    known = known.filter(hash_below("doc_id", max_labelled, known.count())).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # about max_labelled ids
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 0
+    return cut(found.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).withColumn("held", held))
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> LineField:
-    """Fit on a sample of about `max_labelled` labelled documents, drawn by a hash of their id."""
-    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality")
-    share = sample_fraction(known, max_labelled)
-    known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).dropDuplicates(["doc_id"])
-    schema = pa.schema([("quality", pa.int32()), ("x", pa.list_(pa.float64())), ("n", pa.list_(pa.int32()))])
-
-    def features(text: str | None, quality: int) -> tuple:
-        lines = text_lines(text)
-        return quality, line_features(lines).ravel().tolist(), [len(x.split()) for x in lines]
-
-    found = (
-        docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most max_labelled ids
-        .mapInArrow(per_row(["text", "quality"], schema, features), "quality int, x array<double>, n array<int>").collect()
-    )
-    rows = [(np.array(r.x).reshape(-1, N_FEATURES), int(r.quality), np.array(r.n, float)) for r in found if r.x]
-    field = fit_field([(x, q) for x, q, _ in rows])
-    if {q for _, q, _ in rows} == {0, 1}:
-        shares = np.array([(viterbi(x @ field.weights, field.transitions) * n).sum() / max(n.sum(), 1) for x, _, n in rows])
-        good = np.array([q for _, q, _ in rows], bool)
-        grid = [s for s in np.linspace(0.05, 0.95, 19) if (shares[good] >= s).mean() >= 0.995]
-        field.share = float(max(grid, key=lambda s: ((shares[~good] < s).mean(), -abs(s - 0.5)), default=0.05))
+    """Fit the field on runs of lines, then choose the share on the held-out documents."""
+    drawn = drawn_texts(docs, labels, max_labelled)
+    schema = pa.schema([("doc_id", pa.int64()), ("run", pa.int32()), ("quality", pa.int32()), ("x", pa.list_(pa.float64()))])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 50):
+            rows = []
+            for doc_id, quality, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                x = line_features(text_lines(text))
+                rows += [(doc_id, i, quality, x[i : i + RUN].ravel().tolist()) for i in range(0, len(x), RUN)]
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+    found = drawn.filter("NOT held").selectExpr("CAST(doc_id AS LONG) AS doc_id", "quality", "text").mapInArrow(runs, "doc_id long, run int, quality int, x array<double>")
+    rows = found.orderBy(F.xxhash64("doc_id", "run"), "doc_id", "run").limit(MAX_RUNS).collect()  # RUN * N_FEATURES numbers a row at most
+    field = fit_field([(np.array(r.x).reshape(-1, N_FEATURES), r.quality) for r in rows])
+
+    measured = pa.schema([("quality", pa.int32()), ("share", pa.float64())])
+    share = per_row(["text"], measured, lambda text: (content_share(text_lines(text), field)[0],), ["quality"])
+    held = drawn.filter("held").select("quality", "text").mapInArrow(share, "quality int, share double").collect()  # two numbers a document
+    good, bad = (np.array([r.share for r in held if r.quality == q]) for q in (1, 0))
+    if len(good) and len(bad):
+        grid = [s for s in np.linspace(0.05, 0.95, 19) if (good >= s).mean() >= KEEP_GOOD]
+        field.share = float(max(grid, key=lambda s: ((bad < s).mean(), -abs(s - 0.5)), default=0.05))
     return field
 
 

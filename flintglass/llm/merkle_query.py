@@ -1,4 +1,7 @@
-"""The registered fixity query: the pages table against a replica with known damage, derived by Spark from the same rows."""
+"""The registered fixity query: the pages table against a replica that Spark derives from the same rows.
+
+The given tables hold no second replica, so the damage is simulated by rules over the urls; the audit knows nothing of them.
+"""
 
 from __future__ import annotations
 

@@ -1,21 +1,30 @@
 """Personal data by boosted candidates, in DataFrame expressions only.
 
 Base rules (e-mail, IPv4, card, phone) always give spans. High-recall generators propose further, overlapping spans;
-each gets a code of format and context features. Boosted depth-2 trees are fitted on the counts of (code, label, fold)
-over all documents - at most 2 ** N_BITS codes, so the table that reaches the driver has a fixed bound - where a
-candidate that overlaps a base span is positive. Scores are made monotone probabilities on a held-out fold, and a
-threshold per generator (precision of at least MIN_PRECISION there) selects what is added to the base spans.
+each gets a code of format and context features. Boosted depth-2 trees are fitted on counts of (code, label, fold): of
+the candidates of all documents, positive where they hold a base span, and of the written examples below, whose marked
+values are personal data that no base rule knows. At most 2 ** N_BITS codes a generator exist, so the table that reaches
+the driver has a fixed bound. Scores are made monotone probabilities on a held-out fold, and a threshold for each
+generator (precision of at least MIN_PRECISION there) selects the candidates. Selected candidates that are no base span
+themselves are added to the base spans; they may overlap them, where they hold more than the base rule found.
+
+Positions are sums over the lengths of matches and of the gaps between them, taken in blocks, and context comes from
+the gaps, so that a text with many candidates costs no more a candidate than a short one (but for 1 / CHUNK of it).
 
 The trees never see the base rules' own tests (Luhn, part sizes). Defined results: null text = empty text (no span);
-one row for each input row; a generator without positives adds nothing; other columns are ignored.
+one row for each input row, repeated rows included; an empty table gives no rows; a generator without positives adds
+nothing; ties take the smaller bit; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textops import cut
@@ -29,105 +38,190 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-# Generators (name, pattern, character that a text needs).
+# Generators (name, pattern).
 GENERATORS = {
-    "mail_like": r"(?<!\S)[^\s@]++(?:@|\(at\))[^\s@]++",
+    "mail_like": r"(?<![^\s<>\x22\x27,;:=])[^\s@(\[<>\x22\x27,;:=]++(?:\x27[^\s@(\[<>\x22\x27,;:=]++)?+(?:@|\x20?[(\[]at[)\]]\x20?)[\w-]++(?:\.[\w-]++)*+",
     "number_like": r"(?<![0-9])(?:\+|\()?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+",
-    "dotted_like": r"(?<![0-9])[0-9]{1,4}+(?:[.:][0-9]{1,5}+){2,7}+",
+    "dotted_like": r"(?<![0-9.])[0-9]{1,4}+(?:[.:][0-9]{1,5}+){2,7}+",
+    "date_like": r"(?<![0-9./-])[0-9]{1,4}+[./-][0-9]{1,2}+[./-][0-9]{1,4}+(?![0-9./-])",
+    "account_like": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}+){3,8}+(?![A-Za-z0-9])",
+    "colon_like": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}+(?:[:-][0-9A-Fa-f]{1,4}+){5,7}+(?![0-9A-Fa-f:])",
 }
+#: Characters of the gap before a candidate that give its context.
 CONTEXT = 24
 # Words of the context, tested before the span in lower case.
-_CUES = (r"(phone|tel|call|fax|mobil|appel)", r"(card|visa|credit|iban|konto|tarjeta|carte)", r"(mail|contact|@|write)", r"(\bip\b|host|server|addr|port)")
+_CUES = (
+    r"(phone|tel|call|fax|mobil|appel|handy)", r"(card|visa|credit|iban|konto|account|tarjeta|carte|ssn|social|passport)", r"(mail|contact|@|write|reach)", r"(\bip\b|host|server|addr|port|\bmac\b)",
+    r"(born|birth|\bdob\b|n\u00e9e? le|geboren|nacid)", r"(version|release|isbn|order|total|page|section|part|updated|published|build)",
+)
 N_BITS = 18
-ROUNDS, RATE, MIN_PRECISION = 24, 0.4, 0.9
-
-
-def _found(text: Column, pattern: str) -> Column:
-    """All matches as (start, end, value); positions come from the lengths of the gaps that split() leaves."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.array_append(acc["spans"], F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"))).alias("spans"))
-
-    pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["spans"])
-
-
-def _luhn(digits: Column) -> Column:
-    turned = F.reverse(digits)
-    values = F.transform(F.sequence(F.lit(1), F.length(digits)), lambda i: F.ascii(F.substr(turned, i, F.lit(1))) - 48)
-    total = F.aggregate(
-        F.transform(values, lambda v, i: F.when(i % 2 == 0, v).when(v > 4, 2 * v - 9).otherwise(2 * v)), F.lit(0), lambda a, v: a + v
-    )
-    return total % 10 == 0
-
-
-def _valid(kind: str, span: Column) -> Column:
-    digits = F.regexp_replace(span["value"], "[^0-9]", "")
-    if kind == "ip":
-        bare = F.transform(F.split(span["value"], r"\."), lambda p: F.ltrim(p, F.lit("0")))
-        return F.forall(bare, lambda p: (F.length(p) < 3) | ((F.length(p) == 3) & (p <= "255")))
-    if kind == "card":
-        return F.when(F.length(digits).between(16, 19), _luhn(digits)).otherwise(False)
-    if kind == "phone":
-        return F.length(digits).between(8, 15)
-    return F.lit(True)
-
-
-def _code(text: Column, span: Column) -> Column:
-    """Format and context features of a candidate as bits of one integer."""
-    v = span["value"]
-    digits = F.length(F.regexp_replace(v, "[^0-9]", ""))
-    before = F.lower(F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT))))
-    after = F.substring(text, span["end"] + 1, F.lit(2))
+#: Matches whose lengths are summed together.
+CHUNK = 256
+ROUNDS, RATE, MIN_PRECISION = 60, 0.4, 0.9
+#: What one written example weighs against one candidate of the table.
+WRITTEN_WEIGHT = 20
+# Written examples; what stands between << and >> is personal data. The first of each pair of lines
+# trains, the second calibrates.
+WRITTEN = """
+write to <<jane.doe(at)example.org>> today
+please mail <<sam.hill(at)example.net>> about it
+contact <<bob[at]mail.example.net>>
+contact: <<ann[at]post.example.org>> or come by
+reach me: <<maria (at) example.com>>
+reach us: <<peter (at) example.org>>
+mail <<d'arcy@example.com>> please
+mail <<o'neil@example.org>> now
+deploy with root@server and wait
+log in as admin@cluster and go
+look(at)this strange thing
+the state(at)rest of it
+call <<555-123-4567>> now
+call <<555-867-5309>> later
+tel <<(212) 555-0187>>
+tel. <<(415) 555-0133>>
+phone: <<020 7946 0958>>
+phone <<0171 496 0123>>
+fax <<0171 234 5678>> office
+fax <<0221 345 6789>> desk
+mobile <<07700 900123>>
+mobil: <<07700 900456>>
+ssn <<123-45-6789>>
+social security <<987-65-4321>>
+account <<1234 5678 9012>> at the bank
+konto <<4321 8765 2109>> bei
+order 1234567 has come
+order 7654321 went out
+in the years 2019 2020 2021 and
+in the years 1997 1998 1999 they
+total 12.345.678 units
+total 98.765.432 pieces
+isbn 978-3-16-148410-0
+isbn 978-0-30-640615-7
+build 170000000123
+build 180000000456
+as 3.14159265 shows
+as 2.71828182 shows
+page 1 2 3 4 5 6 7 8 of
+page 2 3 4 5 6 7 8 9 of
+host <<10.0.0.12:8080>> is up
+server <<192.168.1.20:443>> is up
+ip <<172.16.4.9:3306>> is up
+addr <<10.1.2.3:6379>> is up
+version 1.22.3 is out
+version 4.10.2 is out
+at 12:30:45 sharp
+at 23:59:59 sharp
+section 1.2.3.4.5 says
+section 5.4.3.2.1 says
+release 2024.01.31 has
+release 2023.12.01 has
+born <<12/03/1985>> in
+born on <<07/11/1992>> in
+dob <<1990-07-21>>
+dob: <<1984-02-03>>
+date of birth <<03.11.1972>>
+birth date <<21.06.1969>>
+published 12/03/2015 by
+published 07/11/2012 by
+updated 2021-07-21 again
+updated 2020-02-03 again
+it was 03.11.2020 then
+it was 21.06.2019 then
+iban <<DE89 3704 0044 0532 0130 00>>
+IBAN: <<GB29 NWBK 6016 1331 9268 19>>
+konto <<FR14 2004 1010 0505 0001 3M02 606>>
+account <<ES91 2100 0418 4502 0005 1332>>
+iban <<NL20 INGB 0001 2345 67>> please
+iban: <<BE68 5390 0754 7034>> please
+account <<AT61 1904 3002 3457 3201>> bank
+konto <<NO93 8601 1117 947>> bank
+part AB12 3456 7890 1234 fits
+part CD34 5678 9012 3456 fits
+release RC01 2023 1101 0002
+release RC02 2024 0301 0001
+mac <<00:1A:2B:3C:4D:5E>>
+addr <<00-1B-63-84-45-E6>>
+mac <<3C:22:FB:AA:01:7E>> seen
+mac addr <<F0:9F:C2:11:22:33>> seen
+port <<00-14-22-01-23-45>>
+addr <<00-50-56-C0-00-08>>
+host <<2001:0db8:85a3:0000:0000:8a2e:0370:7334>>
+server <<2001:0db8:0000:0042:0000:8a2e:0370:7335>>
+part 12:30:45:10:20:30 of
+part 11:22:33:44:55:10 of
+""".strip().split("\n")
+_MARKED = re.compile(r"<<(.*?)>>")
+_SPANS = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
+
+
+def _located(rows: DataFrame, patterns: dict[str, tuple[str, str]]) -> DataFrame:
+    """For each name (pattern, test) an array s_<name> of its matches in `t`: start, end, value and the gaps around.
+
+    Each step is a projection of its own, so that no match is made twice."""
+    def step(sql: Callable[[str], str], kind: str, mark: str) -> DataFrame:
+        return rows.withColumns({f"{mark}_{n}": F.expr(f"CASE WHEN {test if mark == 'h' else f'size(h_{n}) > 0'} THEN {sql(n)} ELSE CAST(array() AS {kind}) END") for n, (_, test) in patterns.items()})
+
+    rows = step(lambda n: f"regexp_extract_all(t, r'{patterns[n][0]}', 0)", "array<string>", "h")
+    rows = step(lambda n: f"split(t, r'{patterns[n][0]}', -1)", "array<string>", "g")
+    rows = step(lambda n: f"zip_with(h_{n}, slice(g_{n}, 1, size(h_{n})), (h, g) -> length(h) + length(g))", "array<int>", "n")
+    running = "aggregate(slice({n}, b * {c} + 1, {c}), CAST(array() AS array<int>), (a, x) -> array_append(a, coalesce(try_element_at(a, -1), 0) + x))"
+    # running sums in blocks of CHUNK, so that the work does not grow with the square of their number
+    rows = step(lambda n: f"transform(sequence(0, (size(n_{n}) - 1) div {CHUNK}), b -> {running.format(n=f'n_{n}', c=CHUNK)})", "array<array<int>>", "b")
+    rows = step(
+        lambda n: f"aggregate(b_{n}, struct(0 AS at, CAST(array() AS array<array<int>>) AS parts), (a, p) -> struct(a.at + element_at(p, -1) AS at, "
+        "array_append(a.parts, transform(p, x -> x + a.at)) AS parts), a -> flatten(a.parts))", "array<int>", "e",
+    )
+    rows = step(
+        lambda n: f"zip_with(zip_with(h_{n}, e_{n}, (h, e) -> struct(e - length(h) AS start, e AS end, h AS value)), "
+        f"zip_with(slice(g_{n}, 1, size(h_{n})), slice(g_{n}, 2, size(h_{n})), (b, a) -> struct(lower(substring(b, -{CONTEXT}, {CONTEXT})) AS before, substring(a, 1, 2) AS after)), "
+        "(p, c) -> struct(p.start AS start, p.end AS end, p.value AS value, c.before AS before, c.after AS after))", _SPANS, "s",
+    )
+    return rows.select(*(c for c in rows.columns if c[:2] not in ("h_", "g_", "n_", "b_", "e_")))
+
+
+def _valid(kind: str, value: str) -> str:
+    """SQL test of a base match."""
+    digits = f"regexp_replace({value}, '[^0-9]', '')"
+    bare = "ltrim('0', p)"
+    return {
+        "email": "true", "ip": f"forall(split({value}, '[.]'), p -> length({bare}) < 3 OR length({bare}) = 3 AND {bare} <= '255')",
+        "card": f"CASE WHEN length({digits}) BETWEEN 16 AND 19 THEN luhn_check({digits}) ELSE false END", "phone": f"length({digits}) BETWEEN 8 AND 15",
+    }[kind]
+
+
+def _code() -> str:
+    """SQL of the format and context features of a candidate `s` as bits of one integer."""
+    digits = "length(regexp_replace(s.value, '[^0-9]', ''))"
     bits = [
-        digits >= 8, digits >= 11, digits >= 13, digits >= 16, digits >= 20, v.startswith("+"), F.contains(v, F.lit("(")),
-        v.rlike("[ -]"), v.rlike(r"\..*\."), v.rlike(r"\.[A-Za-z]{2,}$"), v.rlike("^[A-Za-z0-9]"), v.rlike("[:,;]"),
-        *(before.rlike(c) for c in _CUES), before.rlike(r"[A-Za-z0-9]$"), after.rlike("^[A-Za-z0-9]"),
+        f"{digits} >= 8", f"{digits} >= 11", f"{digits} >= 16", "startswith(s.value, '+')", "contains(s.value, '(')", "s.value RLIKE '[ -]'", r"s.value RLIKE r'\..*\.'",
+        r"s.value RLIKE r'\.[A-Za-z]{2,}$'", "s.value RLIKE '^[A-Za-z0-9]'", "s.value RLIKE '[:,;]'", *(f"s.before RLIKE r'{c}'" for c in _CUES),
+        "s.before RLIKE '[A-Za-z0-9]$'", "s.after RLIKE '^[A-Za-z0-9]'",
     ]
-    code = F.lit(0)
-    for i, b in enumerate(bits):
-        code = code + F.when(b, F.lit(1 << i)).otherwise(F.lit(0))
-    return code
+    return " + ".join(f"IF({b}, {1 << i}, 0)" for i, b in enumerate(bits))
 
 
-def _or_empty(test: Column, spans: Column) -> Column:
-    return F.when(test, spans).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+def propose(docs: DataFrame) -> DataFrame:
+    """(doc_id, fold, base: array of (kind, start, end), candidates: array of (generator, start, end, code, label, own)).
 
+    label: the candidate holds a base span or, where `docs` has a column `truth`, one of its values; own: it is itself
+    what a base rule finds. Nothing but the candidate's own text is searched for these."""
+    truth = "truth" if "truth" in docs.columns else "CAST(NULL AS array<string>) AS truth"
+    rows = docs.selectExpr("doc_id", "coalesce(text, '') AS t", truth)
+    digit, mail = "t RLIKE '[0-9]'", "contains(t, '@')"
+    tests = {"email": mail, "phone": f"contains(t, '+') AND {digit}", "mail_like": rf"({mail} OR t RLIKE r'[(\[]at[)\]]')"}
+    rows = _located(rows, {n: (p, tests.get(n, digit)) for n, p in (BASE | GENERATORS).items()})
+    base = [f"transform(filter(s_{k}, s -> {_valid(k, 's.value')}), s -> struct('{k}' AS kind, s.start AS start, s.end AS end))" for k in KINDS]
+    inside = ", ".join(f"filter(regexp_extract_all(s.value, r'{p}', 0), v -> {_valid(k, 'v')})" for k, p in BASE.items())
+    described = "struct(c.generator, c.start, c.end, c.code, CASE WHEN truth IS NULL THEN size(c.inside) > 0 ELSE exists(truth, v -> contains(c.value, v)) END AS label, array_contains(c.inside, c.value) AS own)"
+    found = [f"transform(transform(s_{n}, s -> struct({i} AS generator, s.start AS start, s.end AS end, s.value AS value, {_code()} AS code, concat({inside}) AS inside)), c -> {described})" for i, n in enumerate(GENERATORS)]
+    return rows.selectExpr("doc_id", "CAST(pmod(xxhash64(t), 4) AS INT) AS fold", f"concat({', '.join(base)}) AS base", f"concat({', '.join(found)}) AS candidates")
 
-def propose(docs: DataFrame) -> DataFrame:
-    """(doc_id, fold, base: array of (kind, start, end), candidates: array of (generator, start, end, code, label))."""
-    text = F.col("t")
-    needs = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+")), "mail_like": F.contains(text, F.lit("@")) | F.contains(text, F.lit("(at)"))}
-    digit = F.col("has_digit")
-    rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
-    rows = rows.withColumn("has_digit", text.rlike("[0-9]")).withColumn("fold", F.pmod(F.xxhash64("t"), F.lit(4)).cast("int"))
-    for kind, pattern in BASE.items():
-        rows = rows.withColumn(f"b_{kind}", _or_empty(needs.get(kind, digit) & (digit | F.lit(kind == "email")), _found(text, pattern)))
-    for name, pattern in GENERATORS.items():
-        rows = rows.withColumn(f"g_{name}", _or_empty(needs.get(name, digit), _found(text, pattern)))
-
-    def checked(kind: str) -> Column:
-        good = F.filter(f"b_{kind}", lambda s: _valid(kind, s))
-        return F.transform(good, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-
-    base = [checked(k) for k in KINDS]
-    rows = rows.withColumn("base", F.concat(*base))
-
-    def described(i: int, name: str) -> Column:
-        return F.transform(
-            f"g_{name}",
-            lambda s: F.struct(
-                F.lit(i).alias("generator"), s["start"].alias("start"), s["end"].alias("end"), _code(text, s).alias("code"),
-                F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])).alias("label"),
-            ),
-        )
-
-    return rows.select("doc_id", "fold", "base", F.concat(*(described(i, n) for i, n in enumerate(GENERATORS))).alias("candidates"))
+
+def written_examples(spark: SparkSession) -> DataFrame:
+    """The written examples as (doc_id: line, text, truth)."""
+    quoted = lambda x: '"' + x + '"'
+    lines = [f"({i}, {quoted(_MARKED.sub(r'\1', line))}, CAST(array({', '.join(map(quoted, _MARKED.findall(line)))}) AS array<string>))" for i, line in enumerate(WRITTEN)]
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(lines) + " AS examples(doc_id, text, truth)")
 
 
 @dataclass
@@ -145,13 +239,10 @@ class Booster:
             total += high if x >> b & 1 else low
         return total
 
-    def column(self, x: Column) -> Column:
-        total = F.lit(self.start)
-        is_set = lambda b: x.bitwiseAND(F.lit(1 << b)) != 0
-        for bit, unset, isset in self.trees:
-            leaf = lambda t: F.when(is_set(t[0]), F.lit(t[2])).otherwise(F.lit(t[1]))
-            total = total + F.when(is_set(bit), leaf(isset)).otherwise(leaf(unset))
-        return total
+    def sql(self, x: str) -> str:
+        """The score of a widened code as an SQL expression."""
+        leaf = lambda t: f"IF({x} & {1 << t[0]} <> 0, {t[2]!r}D, {t[1]!r}D)"
+        return " + ".join([f"{self.start!r}D", *(f"IF({x} & {1 << bit} <> 0, {leaf(isset)}, {leaf(unset)})" for bit, unset, isset in self.trees)])
 
 
 def widened(code: int, generator: int) -> int:
@@ -159,46 +250,40 @@ def widened(code: int, generator: int) -> int:
     return code | 1 << (N_BITS + generator)
 
 
-def fit_booster(counts: list[tuple[int, int, bool, int, int]], rounds: int = ROUNDS) -> Booster:
+def _bits(codes: np.ndarray) -> np.ndarray:
+    return (codes[:, None] >> np.arange(N_BITS + len(GENERATORS)) & 1).astype(np.float64)
+
+
+def fit_booster(counts: list[tuple[int, int, bool, int, float]], rounds: int = ROUNDS) -> Booster:
     """counts: (generator, code, label, fold, n). Fold 0 calibrates, the others train."""
-    model, n_bits = Booster(), N_BITS + len(GENERATORS)
+    model = Booster()
     train: dict[int, list[float]] = {}
     for g, code, label, fold, n in counts:
         if fold:
             train.setdefault(widened(code, g), [0.0, 0.0])[bool(label)] += n
     if not train:
         return model
-    pos, neg = sum(p for _, p in train.values()), sum(m for m, _ in train.values())
-    model.start = math.log((pos + 1) / (neg + 1))
-    rows = sorted(train.items())
-    scores = [model.start] * len(rows)
-
-    def split(part: list[int], grads: list[tuple[float, float]]) -> tuple:
-        best = (-1.0, 0, 0.0, 0.0)
-        total_g, total_h = sum(grads[i][0] for i in part), sum(grads[i][1] for i in part)
-        for b in range(n_bits):
-            g = h = 0.0
-            for i in part:
-                if rows[i][0] >> b & 1:
-                    g, h = g + grads[i][0], h + grads[i][1]
-            gain = g * g / (h + 1) + (total_g - g) ** 2 / (total_h - h + 1)
-            if gain > best[0]:
-                best = (gain, b, RATE * (total_g - g) / (total_h - h + 1), RATE * g / (h + 1))
-        return best[1:]
+    codes = np.array(sorted(train), np.int64)
+    neg, pos = np.array([train[c] for c in codes.tolist()]).T
+    model.start = math.log((pos.sum() + 1) / (neg.sum() + 1))
+    bits, scores = _bits(codes), np.full(len(codes), model.start)
+
+    def split(part: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> tuple:
+        """(bit, value where it is unset, value where it is set) of the greatest gain."""
+        g, h = grad[part] @ bits[part], hess[part] @ bits[part]
+        other_g, other_h = grad[part].sum() - g, hess[part].sum() - h
+        bit = int(np.argmax(g * g / (h + 1) + other_g * other_g / (other_h + 1)))
+        return bit, float(RATE * other_g[bit] / (other_h[bit] + 1)), float(RATE * g[bit] / (h[bit] + 1))
 
     for _ in range(rounds):
-        grads = []
-        for (_, (m, p)), s in zip(rows, scores, strict=True):
-            q = 1 / (1 + math.exp(-s))
-            grads.append((p - (m + p) * q, (m + p) * q * (1 - q)))
-        everything = list(range(len(rows)))
-        bit = split(everything, grads)[0]
-        sides = [[i for i in everything if (rows[i][0] >> bit & 1) == v] for v in (0, 1)]
-        tree = (bit, split(sides[0], grads), split(sides[1], grads))
+        q = 1 / (1 + np.exp(-scores))
+        grad, hess = pos - (pos + neg) * q, (pos + neg) * q * (1 - q)
+        bit = split(np.ones(len(codes), bool), grad, hess)[0]
+        isset = bits[:, bit] > 0
+        tree = (bit, split(~isset, grad, hess), split(isset, grad, hess))
         model.trees.append(tree)
-        for i, (x, _) in enumerate(rows):
-            b, low, high = tree[1 + (x >> bit & 1)]
-            scores[i] += high if x >> b & 1 else low
+        for side, (b, low, high) in ((~isset, tree[1]), (isset, tree[2])):
+            scores[side] += np.where(bits[side, b] > 0, high, low)
     for generator in range(len(GENERATORS)):
         held: dict[float, list[float]] = {}
         for g, code, label, fold, n in counts:
@@ -215,24 +300,32 @@ def fit_booster(counts: list[tuple[int, int, bool, int, int]], rounds: int = ROU
     return model
 
 
-def fit(proposed: DataFrame) -> Booster:
+def _counts(proposed: DataFrame, fold: Column) -> list[tuple]:
+    """(generator, code, label, fold, n) of all candidates; a row for each of at most generators * 2 ** N_BITS codes reaches the driver."""
     c = F.col("c")
-    counts = proposed.select("fold", F.explode("candidates").alias("c")).groupBy(c["generator"].alias("g"), c["code"].alias("code"), c["label"].alias("y"), (F.col("fold") > 0).cast("int").alias("fold")).agg(F.count("*").alias("n"))
-    return fit_booster([tuple(r) for r in counts.collect()])  # at most 4 * generators * 2 ** N_BITS rows
+    number = lambda y, f: F.count_if((c["label"] == y) & (F.col("f") == f))
+    rows = proposed.select(fold.cast("int").alias("f"), F.explode("candidates").alias("c")).groupBy(c["generator"].alias("g"), c["code"].alias("code"))
+    found = rows.agg(*(number(bool(y), f).alias(f"n{y}{f}") for y in (0, 1) for f in (0, 1))).collect()
+    return [(r.g, r.code, bool(y), f, r[f"n{y}{f}"]) for r in found for y in (0, 1) for f in (0, 1) if r[f"n{y}{f}"]]
+
+
+def fit(proposed: DataFrame) -> Booster:
+    counts = _counts(proposed, F.col("fold") > 0)
+    written = _counts(propose(written_examples(proposed.sparkSession)), F.col("doc_id") % 2 == 0)
+    return fit_booster(counts + [(*x[:4], WRITTEN_WEIGHT * x[4]) for x in written])
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id and spans: array of (kind, start, end), base kinds first in their order, then the generators' names."""
-    proposed = cut(propose(docs))
+    """doc_id, base and spans (arrays of (kind, start, end); base kinds first in their order, then the generators'
+    names), n_candidates and n_selected."""
+    proposed = cut(propose(docs.select("doc_id", "text")))
     model = fit(proposed)
-    own = F.array(*(F.lit(1 << (N_BITS + i)) for i in range(len(GENERATORS))))
-    x = lambda c: c["code"].bitwiseOR(F.element_at(own, c["generator"] + 1))
-    limit = F.array(*(F.lit(min(t, 1e300)) for t in model.thresholds))
-    apart = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    chosen = F.filter("candidates", lambda c: (model.column(x(c)) >= F.element_at(limit, c["generator"] + 1) - 1e-9) & apart(c))
-    names = F.array(*(F.lit(n) for n in GENERATORS))
-    added = F.transform(chosen, lambda c: F.struct(F.element_at(names, c["generator"] + 1).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    return proposed.select("doc_id", "base", F.concat("base", added).alias("spans"))
+    limit = " ".join(f"WHEN {i} THEN {min(t, 1e300)!r}D" for i, t in enumerate(model.thresholds))
+    score = model.sql(f"(c.code | shiftleft(1, {N_BITS} + c.generator))")
+    names = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(GENERATORS))
+    selected = proposed.withColumn("selected", F.expr(f"filter(candidates, c -> {score} >= CASE c.generator {limit} END - 1e-9D)"))
+    added = F.expr(f"transform(filter(selected, c -> NOT c.own), c -> struct(CASE c.generator {names} END AS kind, c.start AS start, c.end AS end))")
+    return selected.select("doc_id", "base", F.concat("base", added).alias("spans"), F.size("candidates").cast("long").alias("n_candidates"), F.size("selected").cast("long").alias("n_selected"))
 
 
 def digest_text(spans: Column) -> Column:
@@ -246,4 +339,4 @@ def report(docs: DataFrame) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [number(k) for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(digest_text(F.col("base")), 256).alias("base_sha256"), digest_text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(digest_text(F.col("base")), 256).alias("base_sha256"), digest_text(F.col("spans")).alias("spans"), "n_candidates", "n_selected")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_tree, jaccard_join, lang_hd, license_rules, line_crf, merkle_query, packing, pii_boost, secret_cnn
-from .textops import per_row, table
+from .textops import table
 
 
 def default_tokenizer() -> str:
@@ -61,11 +60,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secret_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    net = secret_cnn.fit(docs)
-    fields = [("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("score", pa.float64())]
-    schema = pa.schema([("doc_id", pa.int64()), *fields])
-    ddl = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, score double"
-    return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(per_row(["text"], schema, lambda t: secret_cnn.report_row(t, net), ["doc_id"]), ddl)
+    return secret_cnn.report(docs, secret_cnn.fit(docs))
 
 
 QUERIES = {f.__name__: f for f in (op1_line_crf, op2_merkle_fixity, op3_pii_boosting, op4_license_rules, op5_language_hd, op6_bin_completion, op7_html_tree, op8_jaccard_join, op9_decontamination, op10_secret_cnn)}

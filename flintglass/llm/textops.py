@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..plans.shared import cut as cut
 
 #: ASCII bytes outside [0-9a-z] become blanks; bytes of longer UTF-8 sequences stay.
 _ALNUM = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -132,21 +134,16 @@ def per_row(columns: list[str], schema: pa.Schema, fn: Callable[..., tuple], kee
     return run
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder and cut the lineage; survives lost executors.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) a local one is made."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
-    return df.checkpoint()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sample_fraction(df: DataFrame, rows: int) -> float:
-    """The fraction that leaves about `rows` rows; 1 when the table is not larger."""
-    return min(1.0, rows / max(1, df.count()))
+def hash_limit(rows: int, of: int) -> int | None:
+    """Below this number lie about `rows` of `of` 63-bit hashes, never none; None where all are wanted."""
+    return None if of <= rows else max(1, int(rows / of * 2.0**63))
+
+
+def hash_below(column: str, rows: int, of: int) -> Column:
+    """True for about `rows` of `of` rows by a hash of a column, at any number of rows; True for all where there are no more."""
+    limit = hash_limit(rows, of)
+    return F.lit(True) if limit is None else F.shiftrightunsigned(F.xxhash64(column), 1) < F.lit(limit)

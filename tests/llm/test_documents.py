@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flintglass.llm import decontaminate, html_tree, jaccard_join, lang_hd, license_rules, line_crf, merkle_fixity, packing, pii_boost, secret_cnn
@@ -32,7 +33,8 @@ def edge(spark):
 @pytest.fixture(scope="module")
 def docs(spark, edge):
     given = spark.read.parquet(f"{SF}/documents.parquet")
-    return given.select("doc_id", "text", "lang").withColumn("doc_id", given.doc_id + 1000).unionByName(edge.select("doc_id", "text", "lang"))
+    given = given.selectExpr("doc_id + 1000 AS doc_id", "text", "lang", "'x' AS kept", "'y' AS n_words")  # clashing extra columns stay
+    return given.unionByName(edge)
 
 
 @pytest.fixture(scope="module")
@@ -46,7 +48,9 @@ def rows_of(df):
 
 def test_quality_measures(spark, docs, empty):
     field = line_crf.fit(docs, spark.read.parquet(f"{SF}/labels.parquet").selectExpr("doc_id + 1000 AS doc_id", "quality", "toxic"))
-    found = line_crf.score_documents(docs.withColumn("kept2", docs.lang), field, ["doc_id", "text"], "").collect()
+    found = line_crf.score_documents(docs, field, ["doc_id", "text"], "").collect()
+    carried = line_crf.score_documents(docs, field, docs.columns, "_q_")
+    assert carried.select(*docs.columns).exceptAll(docs).count() == 0 and carried.count() == docs.count()
     assert len(found) == docs.count()
     for r in found:
         text = r.text or ""
@@ -90,6 +94,26 @@ def test_merkle(spark):
     assert {r.fault for r in merkle_fixity.audit(none, x, "off", ["a"]).collect()} == {"extra"}
 
 
+def test_merkle_plans_do_not_grow_with_the_tree(spark):
+    sizes = []
+    for n in (16, 4096):
+        x = spark.range(n).selectExpr("id AS off", "CAST(id AS STRING) AS a")
+        y = x.filter("off <> 5")
+        found = merkle_fixity.audit(x, y, "off", ["a"], 4, 4)
+        sizes.append(len(found._jdf.queryExecution().optimizedPlan().toString()))
+        assert [tuple(r) for r in found.collect()] == [(5, 1, "missing")]
+    assert max(sizes) < 1.2 * min(sizes)
+    far = 2**62 + 2**53 + 1
+    x = spark.createDataFrame([(far,), (far + 64,), (-far,), (2**63 - 1,), (-(2**63),)], "off long").withColumn("a", F.lit("x"))
+    assert {(r.off, r.leaf) for r in merkle_fixity.audit(x, x.limit(0), "off", ["a"]).collect()} == {(r.off, r.off // 64) for r in x.collect()}
+
+
+def test_merkle_folds_an_offset_with_most_records(spark):
+    x = spark.range(3_000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE id END AS off", "CAST(id AS STRING) AS a")
+    y = x.filter("a <> '999'").union(spark.createDataFrame([(1, "1")], "off long, a string"))
+    assert {(r.off, r.leaf, r.fault) for r in merkle_fixity.audit(x, y, "off", ["a"]).collect()} == {(None, None, "missing"), (1, 0, "extra")}
+
+
 def test_merkle_query_equals_sql(spark):
     import duckdb
 
@@ -123,6 +147,32 @@ def test_pii(spark, docs, empty):
     assert pii_boost.report(empty).count() == 0
 
 
+def test_pii_adds_what_no_base_rule_knows(spark, docs):
+    planted = {
+        "please mail tim.woods(at)example.net soon": "mail_like:12:36", "call 555-222-3333 now": "number_like:5:17", "he was born 01/02/1980 in": "date_like:12:22",
+        "host 10.20.30.40:9090 is": "ip:5:16,dotted_like:5:21", "iban NL91 ABNA 0417 1643 00 ok": "account_like:5:27", "mac 00:1B:44:11:3A:B7 up": "colon_like:4:21",
+        "version 3.4.5 is": "", "order 9999999 came": "", "it was 03.11.2020 then": "", "log in as root@server": "", "": "",
+    }
+    rows = spark.createDataFrame(list(enumerate(planted, 100)), "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    found = {r.doc_id: r for r in pii_boost.report(rows).collect()}
+    for i, (text, want) in enumerate(planted.items(), 100):
+        got = set(filter(None, found[i].spans.split(",")))
+        assert got >= set(filter(None, want.split(","))) and (want or not got), (text, got)
+    model = pii_boost.fit(pii_boost.propose(rows))
+    for r in pii_boost.propose(rows).collect():  # the added spans are the candidates that the trees select, one by one
+        chosen = [c for c in r.candidates if model.raw(pii_boost.widened(c.code, c.generator)) >= model.thresholds[c.generator] - 1e-9]
+        if r.doc_id is not None and 100 <= r.doc_id < 100 + len(planted):
+            assert (found[r.doc_id].n_candidates, found[r.doc_id].n_selected) == (len(r.candidates), len(chosen))
+            names = [f"{list(pii_boost.GENERATORS)[c.generator]}:{c.start}:{c.end}" for c in chosen if not c.own]
+            assert found[r.doc_id].spans == ",".join([*(f"{b.kind}:{b.start}:{b.end}" for b in r.base), *names])
+
+
+def test_pii_positions_in_texts_of_many_matches(spark):
+    text = " ".join(f"u{i}@m.org 10.0.0.{i % 256}" for i in range(3 * pii_boost.CHUNK + 5))
+    row = pii_boost.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in brute_pii(text)).encode()).hexdigest()
+
+
 def test_booster_learns_and_calibrates():
     counts = [(0, code, bool(code & 3 == 3), fold, 50) for code in range(64) for fold in (0, 1)]
     model = pii_boost.fit_booster(counts)
@@ -307,8 +357,6 @@ def test_decontamination(spark, docs, empty):
                     items |= found
         want.append((r.doc_id, len(words), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)))
     assert rows_of(decontaminate.report(every, bench)) == sorted(want, key=repr)
-    from pyspark.sql import functions as F
-
     blocked = decontaminate.scan(every, bench, block_words=60).select("doc_id", "n_words", F.size("hits").cast("long"), F.size("items").cast("long"), F.sha2(F.array_join("items", ","), 256), F.size("hits") > 0)
     assert rows_of(blocked) == sorted(want, key=repr)
     assert decontaminate.report(empty, bench).count() == 0
@@ -320,29 +368,61 @@ def brute_secrets(text):
     return sorted((m.start(), i, name, m.end()) for i, (name, p, f, good) in enumerate(kinds) for m in re.finditer(p, text, f) if good(m))
 
 
-def test_secrets(spark, docs):
+def test_secrets(spark, docs, empty):
     net = secret_cnn.fit(docs)
-    for r in docs.collect():
+    given = docs.collect()
+    for r, found in zip(given, secret_cnn.scan_texts([r.text for r in given], net), strict=True):
         spans = brute_secrets(r.text or "")
-        row = secret_cnn.report_row(r.text, net)
+        row = secret_cnn.report_row(*found)
         assert row[:4] == (*[sum(s[1] == k for s in spans) for k in range(3)], hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, k, e in spans).encode()).hexdigest())
         assert not spans or set(f"{k}:{s}:{e}" for s, _, k, e in spans) <= set(row[4].split(","))
+        assert secret_cnn.scan_text(r.text, net) == found, "a text's result does not depend on its neighbours"
     text = EDGE[9][1]
     clean = secret_cnn.redacted(text, *secret_cnn.scan_text(text, net))
     assert "deadbeef" not in clean and "AKIAABC" not in clean and clean.count("[secret]") >= 4 and "token=short" in clean
     assert secret_cnn.redacted(None, [], []) is None
+    assert secret_cnn.report(empty, net).count() == 0 and secret_cnn.fit(empty).threshold is not None
+    planted = {
+        "Authorization: Bearer abcDEF123ghiJKL456mnoPQR789stu": (22, 52), "aws_secret_access_key: wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY": (23, 63), "ghp_16C7e42F292c6912E7710c838347Ae178B4a": (0, 40),
+        "host 192.168.100.200 up": None, "see http://www.somewhere.example/path/page-12.html": None, "internationalization of": None, "AbstractSingletonProxyFactoryBean": None, "at 2024-01-31T12:30:45 by john_smith_2024": None,
+    }
+    for text, span in planted.items():
+        assert [x[:2] for x in secret_cnn.scan_text(text, net)[1]] == ([span] if span else []), text
+    assert {r.spans for r in secret_cnn.report(spark.createDataFrame([(1, t) for t, s in planted.items() if not s], "doc_id long, text string"), net).collect()} == {""}
+
+
+def test_secret_query(spark):
+    found = QUERIES["op10_secret_cnn"](spark, SF).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert len(found) == len(texts) and all((r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in brute_secrets(texts[r.doc_id] or "")) for k in range(3)) for r in found)
 
 
 def test_network_learns_and_keeps_recall():
     rng = np.random.default_rng(2)
     draw = lambda letters, n: "".join(rng.choice(list(letters), n))
-    texts = [(draw("0123456789abcdef", 32), True) for _ in range(300)] + [("www." + draw("aeiou", 20) + "1.example", False) for _ in range(300)]
-    codes = np.concatenate([secret_cnn.windows(t, 0, len(t)) for t, _ in texts])
-    labels, held = np.array([y for _, y in texts]), np.arange(600) % 4 == 0
-    net = secret_cnn.train(codes, labels, held)
-    p = net.probability(codes[held])
-    assert np.mean(p[labels[held]] >= net.threshold) >= secret_cnn.MIN_RECALL and np.mean(p[~labels[held]] >= net.threshold) < 0.1
-    assert len(secret_cnn.windows("x" * 1000, 0, 1000)) == -(-1000 // secret_cnn.INSIDE)
+    texts = [(draw("0123456789abcdef", 32), True) for _ in range(300)] + [("www." + draw("aeiou", 60) + "1.example", False) for _ in range(300)]
+    findings = []
+    for i, (t, y) in enumerate(texts):
+        codes, place = secret_cnn.codes_of(["left " + t + " right"])
+        at, until, _ = secret_cnn.window_starts(place + 5, place + 5 + len(t))
+        findings.append((secret_cnn.windows(codes, at, until), y, i % 4 == 0))
+    net = secret_cnn.train(findings)
+    held = [(net.probability(net.score(w).max()), y) for w, y, h in findings if h]
+    assert np.mean([p >= net.threshold for p, y in held if y]) >= secret_cnn.MIN_RECALL and not any(p >= net.threshold for p, y in held if not y)
+    for w, _, _ in findings[::50]:  # the tables score as the layers do
+        assert np.allclose(net.score(w), net.forward(w)[3], atol=1e-4)
+
+
+def test_windows_hold_the_whole_candidate_and_both_sides():
+    text = "ab " + "k" * 100 + " cd"
+    codes, place = secret_cnn.codes_of([text, "z"])
+    at, until, owner = secret_cnn.window_starts(place[:1] + 3, place[:1] + 103)
+    found = secret_cnn.windows(codes, at, until)
+    spell = lambda row: "".join(chr(c + 31) if c else "_" for c in row)
+    assert [spell(r) for r in found] == [
+        ("_" * 21 + "ab " + "k" * 48 + "k" * 16), ("k" * 24 + "k" * 48 + "k" * 4 + " cd" + "_" * 9), ("k" * 24 + "kkkk" + "_" * 44 + " cd" + "_" * 13),
+    ]
+    assert len(secret_cnn.window_starts(np.array([0]), np.array([1000]))[0]) == -(-1000 // secret_cnn.INSIDE)
 
 
 def test_sum_product_is_exact():
@@ -366,18 +446,70 @@ def expected_page(source):
     return "\n".join(p for p in parts if p)
 
 
+LONG_TEXT = "a sentence that goes on for some time, with words and more words. " * 3
+#: Hand-written pages of many shapes and their main text; {0} is a long paragraph.
+SHAPES = {
+    "<html><head><title>t</title></head><body><nav><ul><li><a href=1>Home</a></ul></nav><main><h1>Caf&eacute;</h1><p>{0}<p>One<br>two<form><p>form</p></form><script>x('</p>')</script><aside><p>{0}</p></aside><p>{0}</main><div class=comments><p>{0}</p></div><footer>end</footer></body>": "Café|{0}|One two|{0}",
+    "<title>x</title><table><tr><td class=menu><a href=1>Home</a><br><a href=2>b</a><td class=content><h2>Head</h2><p>{0}<p>{0}</table><div id=footer>imprint</div>": "Head|{0}|{0}",
+    "<html><head><meta charset=utf-8><title>no head end</title><article><h1>Head</h1><p>{0}</article>": "Head|{0}",
+    "<head><title>t</title><p>{0}": "{0}",
+    "<form action=x><input name=q><div class=wrapper><article><h1>Head</h1><p>{0}</p></article></div><div class=footer>foot</div></form>": "Head|{0}",
+    "<form><nav><a href=1>Home</a></nav><div class=content><p>{0}</p><p>{0}</p></div></form>": "{0}|{0}",
+    "<article><p title=o'neil>{0}</p><p title='a>b' class=x>second</p></article>": "{0}|second",
+    "<div class=header>Site</div><div class=nav><a href=1>a</a></div><div class=post><h1>Head</h1><div>{0}</div><div>{0}</div></div><div id=sidebar><h3>More</h3><p>{0}</p></div>": "Head|{0}|{0}",
+    "<p>{0}</p><p>{0}</p>": "{0}|{0}",
+    "<body><nav><a href=1>x</a></nav><article><h1>T</h1><ol><li>{0}<li>Second<ul><li>in<li>ner</ul></ol><dl><dt>term<dd>{0}</dl></article>": "T|{0}|Second|in|ner|term|{0}",
+    "<div class='cookie-banner'>We use cookies <button>OK</button></div><article><p>{0}</p><div class=ads>{0}</div><p>{0}</p></article><section id=comments><article class=comment><p>{0}</p></article></section>": "{0}|{0}",
+    "<article><h1>a < b</h1><p>x <3 y &lt;b&gt; </> <!-- c --><!--> z <![CDATA[q]]> {0}</p></article>": "a < b|x <3 y <b> z {0}",
+    "<article><p>{0}</p><!-- never closed <p>lost</p></article>": "{0}",
+    "<article><p>{0}</p><p title='never closed>x</p></article>": "{0}|x",
+    "<article><p>{0}</p><SCRIPT>if (a</script2) {{}}</SCRIPT ><svg><text>no</text></svg><textarea><p>no</textarea><p>end</article>": "{0}|end",
+}
+
+
 def test_html(spark):
     found = {r.page_id: r for r in QUERIES["op7_html_tree"](spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
         assert found[r.page_id].text == expected_page(r.html) and found[r.page_id].n_chars == len(found[r.page_id].text)
-    model = html_tree.train(html_tree.labelled_pages())
-    long = "a sentence that goes on for some time, with words and more words. " * 3
-    page = f"<html><head><title>t</title></head><body><nav><ul><li><a href=1>Home</a></ul></nav><main><h1>Caf&eacute;</h1><p>{long}<p>One<br>two<form><p>form</p></form><script>x('</p>')</script><aside><p>{long}</p></aside><p>{long}</main><div class=comments><p>{long}</p></div><footer>end</footer></body>"
-    assert html_tree.extract(page, model) == "\n".join(["Café", long.strip(), "One two", long.strip()])
+
+
+def test_html_shapes(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    shaped = {html.format(LONG_TEXT): want.format(LONG_TEXT.strip()).replace("|", "\n") for html, want in SHAPES.items()}
+    for model in (html_tree.train(html_tree.labelled_pages()), html_tree.fit(pages)):
+        for html, want in shaped.items():
+            assert html_tree.extract(html, model) == want, html
+    for r in pages.collect():  # the same pages without the tag that gives the labels, and without optional tags
+        for change in (("<article>", "<div class=content>"), ("<article>", "<div>"), ("</head><body>", ""), ("</p>", ""), ("<body>", "<body><form id=page>")):
+            html = r.html.replace(*change).replace("</article>", "</div>" if "<div" in change[1] else "</article>")
+            assert html_tree.extract(html, model) == expected_page(r.html)
     assert html_tree.extract(None, model) == html_tree.extract("", model) == html_tree.extract("<p></p>", model) == ""
     assert html_tree.extract("<div>" * 3000 + "x" + "</div>" * 3000, model) in ("", "x")
-    assert html_tree.fit(spark.createDataFrame([], "page_id long, url string, html string")) is not None
+    rows = spark.createDataFrame([(1, "u", None), (None, None, ""), (1, "u", "<p>" + LONG_TEXT), (1, "u", "<p>" + LONG_TEXT)], "page_id long, url string, html string").withColumn("n_chars", F.lit("clash"))
+    assert rows_of(html_tree.extract_pages(rows, model).select("page_id", "n_chars")) == [(1, 0), (1, len(LONG_TEXT.strip())), (1, len(LONG_TEXT.strip())), (None, 0)]
+    none = rows.limit(0)
+    assert html_tree.extract_pages(none, html_tree.fit(none)).count() == 0
+
+
+def test_html_takes_time_in_proportion():
+    import time
+
+    model = html_tree.train(html_tree.labelled_pages()[:2], steps=2)
+    for unit in ("<p title='o>x", '<p title="o>x', "<a", "<div>", "</p>x", "<!--", "<li><div>", "<form>", "<b x=", "< "):
+        took = []
+        for n in (3_000, 24_000):
+            began = time.process_time()
+            html_tree.extract(unit * n, model)
+            took.append(time.process_time() - began)
+        assert took[1] < 24 * took[0] + 1, unit
+
+
+def test_samples_are_never_empty_and_never_unbounded(spark):
+    from flintglass.llm.textops import hash_below, hash_limit
 
+    assert all(0.99 < hash_limit(200, of) / 2**63 * of / 200 < 1.01 for of in (10**6, 10**9, 10**12, 10**15)) and hash_limit(200, 200) is None
+    rows = spark.range(20_000).selectExpr("CAST(id AS STRING) AS t")
+    assert 120 < rows.filter(hash_below("t", 200, 20_000)).count() < 300 and rows.filter(hash_below("t", 200, 100)).count() == 20_000
 
 
 def test_packing_ids_equal_those_of_whole_texts():
