@@ -26,7 +26,7 @@ from .textops import WordHasher, blank_words, cut, hash_below, per_row, shingle_
 #: About so many labelled documents are drawn, with a hash of their id; a fourth of them is held out.
 MAX_LABELLED = 2000
 #: Lines of a training run, and the most runs (N_FEATURES numbers a line) that reach the driver, drawn by a hash.
-RUN, MAX_RUNS = 40, 4_000
+RUN, MAX_RUNS = 20, 3_000
 #: Share of the good held-out documents that must stay.
 KEEP_GOOD = 0.995
 SYMBOLS = "#*$%&|<>"

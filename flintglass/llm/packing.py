@@ -1,17 +1,22 @@
-"""Best-fit packing of tokenised documents by bin completion.
+"""Best-fit packing of tokenised documents by bin completion with branch and bound.
 
 A document's ids end with END_ID and are cut into pieces of at most `capacity`. Pieces are dealt by hash into packing
-groups of about GROUP pieces, and each group is packed on its own: the largest piece opens a sequence, undominated
-fillings of the rest are searched depth first with waste bounds, and the best filling found (best fit is the first
-incumbent) completes it. A whole best-fit-decreasing packing is the incumbent solution; the group's lower bound
-ceil(total / capacity) proves optimality and ends the search.
+groups of about GROUP pieces, and each group is packed on its own: the largest piece opens a sequence, the undominated
+fillings of its room are tried from the least waste on, and the search goes back over all sequences. A branch ends when
+the waste so far shows that it cannot need fewer sequences than the best packing known; best-fit decreasing and a dive
+that takes the fullest filling each time are the first incumbents, and a lower bound ends the search.
+
+A group whose search ends within its budgets (FILL_NODES, NODES) has the fewest sequences possible; beyond, the best
+packing found stands, with all its pieces. Groups of a dozen pieces are always solved.
 
 Defined results: null text = empty text (one piece that holds END_ID alone); one document for each input row, also with
-null or repeated ids; an empty table gives no pieces; other columns are ignored.
+null or repeated ids (equal rows are dealt to different groups); an empty table gives no pieces; ties go to the row that
+sorts first; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -24,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textops import cut
+
 CAPACITY, END_ID = 4096, 1
-#: Pieces of a packing group; a group loses at most about one sequence.
+#: Pieces of a packing group.
 GROUP = 8_000
-#: Nodes of one bin's search, in the first and in the second try.
-NODES = (300, 3_000)
+#: Nodes of the search for one filling in the two dives, and of the branch and bound over all sequences of a group.
+FILL_NODES, NODES = (300, 3_000), 60_000
 #: Pre-tokens whose ids a Python worker remembers.
 CACHE = 500_000
 #: New pre-tokens encoded in one call.
@@ -40,6 +47,24 @@ GROUP_CHARS = 1_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
 _PRETOKEN = re.compile(rb"[a-z\xdf-\xf6\xf8-\xff]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
 _KNOWN = bytes(c for c in range(256) if c < 0x80 or c >= 0xC0 and c not in (0xD7, 0xF7))
+#: The settings of a vocabulary file for which these rules hold.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def cuts_alike(model) -> bool:
+    """Whether a tokenizer cuts texts by the rules above and marks the end of each pre-token."""
+    settings = json.loads(model.to_str())
+    special = all(t["content"].startswith("<|") for t in settings["added_tokens"])
+    return special and settings["model"].get("end_of_word_suffix") == "</w>" and all(settings[k] == v for k, v in _RULES.items())
 
 
 def _groups(texts: list[str | None]) -> Iterator[list[str]]:
@@ -59,14 +84,15 @@ class PretokenTokenizer:
     """ids of a text as little-endian bytes, equal to those of the whole text.
 
     The model encodes each pre-token (run of letters, digit, run of marks) by itself. Texts of ASCII and Latin-1 letters
-    are therefore cut into pre-tokens, of which each is encoded once and remembered; other texts (and those that might
-    hold a special token) are given to the model whole."""
+    are therefore cut into pre-tokens, of which each is encoded once and remembered; other texts (those that might hold a
+    special token, and all texts of a vocabulary file with other rules) are given to the model whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model, self.known = Tokenizer.from_file(path), {}
+        self.cuts = cuts_alike(self.model)
         self.ends = np.zeros(self.model.get_vocab_size(), bool)
         for token, i in self.model.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -88,6 +114,8 @@ class PretokenTokenizer:
             self.known.update(zip(part, found, strict=True))
 
     def _pretokens(self, text: str) -> list[bytes] | None:
+        if not self.cuts:
+            return None
         try:
             data = text.encode("latin-1").translate(_LOWER)
         except UnicodeEncodeError:
@@ -155,11 +183,49 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def completion(room: int, sizes: list[int], count: dict[int, int], nodes: int) -> list[int]:
-    """A filling of `room` from the multiset with the least waste found: undominated sets in falling order of size."""
+def lower_bound(lengths: list[int], capacity: int) -> int:
+    """Martello and Toth's L2: pieces that exclude each other, and what the smaller ones need beside them."""
+    x = np.sort(np.array(lengths, np.int64))
+    below = np.concatenate([[0], np.cumsum(x)])
+    half = np.searchsorted(x, capacity // 2, "right")
+    best = -(-int(below[-1]) // capacity)
+    for k in np.unique(np.concatenate([[0], x[:half]])).tolist():
+        large, least = np.searchsorted(x, capacity - k, "right"), np.searchsorted(x, k, "left")
+        middle = max(0, large - half)
+        room = middle * capacity - int(below[max(large, half)] - below[half])
+        small = int(below[half] - below[min(least, half)])
+        best = max(best, len(x) - int(max(large, half)) + middle + max(0, -(-(small - room) // capacity)))
+    return best
+
+
+class Pieces:
+    """A multiset of lengths: the sizes present in rising order, and how many of each."""
+
+    def __init__(self, lengths: list[int]):
+        self.count: dict[int, int] = {}
+        for v in lengths:
+            self.count[v] = self.count.get(v, 0) + 1
+        self.sizes = sorted(self.count)
+
+    def take(self, v: int) -> int:
+        self.count[v] -= 1
+        if not self.count[v]:
+            del self.count[v]
+            del self.sizes[bisect_left(self.sizes, v)]
+        return v
+
+    def put(self, v: int) -> None:
+        if v not in self.count:
+            self.count[v] = 0
+            insort(self.sizes, v)
+        self.count[v] += 1
+
+
+def fullest(room: int, left: Pieces, nodes: int) -> list[int]:
+    """A filling of `room` with the least waste found, larger pieces first; at most about `nodes` steps."""
+    sizes, count = left.sizes, left.count
     best: list[int] = []
-    least = room
-    budget = nodes
+    least, budget = room, nodes
 
     def descend(room: int, high: int, chosen: list[int]) -> bool:
         nonlocal best, least, budget
@@ -176,9 +242,8 @@ def completion(room: int, sizes: list[int], count: dict[int, int], nodes: int) -
             budget -= 1
             if count[v] > chosen.count(v):
                 rest = room - v
-                # what is left can only be filled by sizes up to v: many small ones are left to later bins
                 if rest and rest - least >= 7 * v:
-                    break
+                    break  # a dive leaves the many small pieces to later sequences; the search below knows no such rule
                 chosen.append(v)
                 done = descend(rest, at + 1, chosen)
                 chosen.pop()
@@ -191,47 +256,123 @@ def completion(room: int, sizes: list[int], count: dict[int, int], nodes: int) -
     return best
 
 
-def complete_bins(lengths: list[int], capacity: int, nodes: int) -> list[list[int]]:
-    """Bins of positions: the largest piece left opens a bin, which its best completion fills."""
-    waiting: dict[int, list[int]] = {}
-    for i in sorted(range(len(lengths)), reverse=True):
-        waiting.setdefault(lengths[i], []).append(i)
-    count = {v: len(w) for v, w in waiting.items()}
-    sizes, bins = sorted(waiting), []
-
-    def take(v: int) -> int:
-        count[v] -= 1
-        if not count[v]:
-            del count[v]
-            del sizes[bisect_left(sizes, v)]
-        return waiting[v].pop()
-
-    while sizes:
-        largest = sizes[-1]
-        members = [take(largest)]
-        if largest < capacity:
-            members += [take(v) for v in completion(capacity - largest, sizes, count, nodes)]
+def dive(lengths: list[int], capacity: int, nodes: int) -> list[list[int]]:
+    """Sequences (lists of lengths): the largest piece left opens one, which the fullest filling found completes."""
+    left, bins = Pieces(lengths), []
+    while left.sizes:
+        members = [left.take(left.sizes[-1])]
+        if members[0] < capacity:
+            members += [left.take(v) for v in fullest(capacity - members[0], left, nodes)]
         bins.append(members)
     return bins
 
 
-def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """The fewest bins found; stops at the lower bound."""
-    bound = -(-sum(lengths) // capacity)
-    best = best_fit_decreasing(lengths, capacity)
-    for nodes in NODES:
-        if len(best) <= bound:
-            break
-        tried = complete_bins(lengths, capacity, nodes)
-        if len(tried) < len(best):
-            best = tried
-    return best
+def dominated(filling: list[int], room: int, left: Pieces) -> bool:
+    """Whether one piece left out could stand for some of the filling's pieces, being as large or larger, and still fit."""
+    used: dict[int, int] = {}
+    one, some, many = 1, 0, 0  # bit t: the empty set, sets of one piece, of more pieces have the sum t
+    for v in filling:
+        used[v] = used.get(v, 0) + 1
+        many |= (some | many) << v
+        some |= 1 << v
+    sums, slack = one | some | many, room - sum(filling)
+    for x in left.sizes[: bisect_right(left.sizes, room)]:
+        if left.count[x] > used.get(x, 0):
+            low = max(0, x - slack)
+            if sums >> low & (1 << (x - low)) - 1 or many >> x & 1:
+                return True
+    return False
+
+
+class OutOfNodes(Exception):
+    pass
+
+
+def fillings(room: int, left: Pieces, spend) -> list[list[int]]:
+    """All undominated fillings of `room`, from the least waste on; the empty one if nothing fits."""
+    found: list[list[int]] = []
+
+    def descend(room_left: int, high: int, chosen: list[int]) -> None:
+        spend()
+        at = bisect_right(left.sizes, room_left, 0, high) - 1
+        if (at < 0 or all(left.count[v] == chosen.count(v) for v in left.sizes[: at + 1])) and not dominated(chosen, room, left):
+            found.append(chosen[:])
+        while at >= 0:
+            v = left.sizes[at]
+            if left.count[v] > chosen.count(v):
+                chosen.append(v)
+                descend(room_left - v, at + 1, chosen)
+                chosen.pop()
+            at -= 1
+
+    descend(room, len(left.sizes), [])
+    return sorted(found, key=lambda f: (-sum(f), [-v for v in f]))
+
+
+def branch_and_bound(lengths: list[int], capacity: int, best: list[list[int]], bound: int, nodes: int) -> tuple[list[list[int]], bool]:
+    """The best packing found, as lists of lengths, and whether it is proved to need the fewest sequences."""
+    left, total, budget = Pieces(lengths), sum(lengths), nodes
+
+    def spend() -> None:
+        nonlocal budget
+        budget -= 1
+        if budget < 0:
+            raise OutOfNodes
+
+    def opened(waste: int) -> list:
+        """[largest piece, its fillings, the next of them, the one in use, waste before]."""
+        largest = left.take(left.sizes[-1])
+        return [largest, fillings(capacity - largest, left, spend), 0, None, waste]
+
+    try:
+        path = [opened(0)]
+        while path:
+            largest, options, at, used, waste = frame = path[-1]
+            for v in used or ():
+                left.put(v)
+            frame[3] = None
+            filling = options[at] if at < len(options) else None
+            more = waste + capacity - largest - sum(filling or ())
+            if filling is None or -(-(total + more) // capacity) >= len(best):  # later fillings waste no less
+                left.put(largest)
+                path.pop()
+                continue
+            for v in filling:
+                left.take(v)
+            frame[2], frame[3] = at + 1, filling
+            if left.sizes:
+                path.append(opened(more))
+            elif len(path) < len(best):
+                best = [[f[0], *f[3]] for f in path]
+                if len(best) <= bound:
+                    return best, True
+    except OutOfNodes:
+        return best, False
+    return best, True
+
+
+def pack_lengths(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> list[list[int]]:
+    """Sequences as lists of positions."""
+    if not lengths:
+        return []
+    bound = lower_bound(lengths, capacity)
+    best = [[lengths[i] for i in b] for b in best_fit_decreasing(lengths, capacity)]
+    for n in FILL_NODES:
+        if len(best) > bound:
+            best = min(best, dive(lengths, capacity, n), key=len)
+    if len(best) > bound:
+        best, _ = branch_and_bound(lengths, capacity, best, bound, nodes)
+    waiting: dict[int, list[int]] = {}
+    for i in range(len(lengths) - 1, -1, -1):
+        waiting.setdefault(lengths[i], []).append(i)
+    return [[waiting[v].pop() for v in b] for b in best]
 
 
-def pack(parts: DataFrame, n_documents: int, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to the pieces; n_documents only sets the number of packing groups."""
-    groups = max(1, -(-n_documents // GROUP))
-    dealt = parts.withColumn("_group", F.pmod(F.xxhash64(*parts.columns[:5]), F.lit(groups)))
+def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Adds sequence_id and offset to the pieces."""
+    parts = cut(parts)  # row numbers of a written table are the same in every attempt of a task
+    groups = max(1, -(-parts.count() // GROUP))
+    dealt = parts.withColumn("_group", F.pmod(F.xxhash64(*parts.columns[:5], F.monotonically_increasing_id()), F.lit(groups)))
 
     def run(table: pa.Table) -> pa.Table:
         group = table.column("_group")[0].as_py()
@@ -250,4 +391,4 @@ def pack(parts: DataFrame, n_documents: int, capacity: int = CAPACITY) -> DataFr
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    return pack(pieces(docs, tokenizer_path, capacity, with_ids), docs.count(), capacity)
+    return pack(pieces(docs, tokenizer_path, capacity, with_ids), capacity)

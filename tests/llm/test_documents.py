@@ -276,6 +276,68 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, default_tokenizer()).count() == 0
 
 
+def fewest_bins(lengths, capacity):
+    """The optimum over all orders, by subsets."""
+    best = {0: (0, capacity)}
+    for m in range(1 << len(lengths)):
+        b, used = best[m]
+        for i, v in enumerate(lengths):
+            if not m >> i & 1:
+                step = (b, used + v) if used + v <= capacity else (b + 1, v)
+                best[m | 1 << i] = min(best.get(m | 1 << i, (99, 0)), step)
+    return best[(1 << len(lengths)) - 1][0]
+
+
+def test_branch_and_bound_equals_an_exact_solver():
+    import random
+
+    rng = random.Random(11)
+    cases = [[42, 49, 25, 18, 60, 57, 30, 31, 19, 58], [100] * 3, [1], [51] * 4, []]
+    cases += [[rng.randint(rng.choice((1, 10, 20)), rng.choice((35, 60, 100))) for _ in range(rng.randint(1, 10))] for _ in range(400)]
+    for lengths in cases:
+        bins = packing.pack_lengths(lengths, 100)
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= 100 for b in bins)
+        assert len(bins) == (fewest_bins(lengths, 100) if lengths else 0)
+        if lengths:
+            assert packing.lower_bound(lengths, 100) <= len(bins)
+            largest = [[v] for v in lengths]  # from the worst incumbent, by the search alone
+            found, proved = packing.branch_and_bound(lengths, 100, largest, packing.lower_bound(lengths, 100), 10**6)
+            assert len(found) == len(bins) and proved
+
+
+def test_fillings_are_the_undominated_ones():
+    left = packing.Pieces([50, 30, 30, 20, 10])
+    assert packing.fillings(60, left, lambda: None) == [[50, 10], [30, 30]]
+    assert packing.fillings(5, left, lambda: None) == [[]]
+    assert packing.dominated([30, 20, 10], 60, left) and packing.dominated([20, 10], 60, left) and not packing.dominated([50, 10], 60, left)
+
+
+def test_other_vocabulary_files_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model, own = Tokenizer.from_file(path), packing.PretokenTokenizer(path)
+    assert not own.cuts and packing.PretokenTokenizer(default_tokenizer()).cuts
+    texts = ["Some Text, it's  two\n lines", "", None]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.ids(texts)] == [[*model.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_equal_rows_are_dealt_to_different_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 50)
+    rows = spark.range(1_000).selectExpr("7L AS doc_id", "'the same words' AS text")
+    found = packing.pack_documents(rows, default_tokenizer()).selectExpr("sequence_id >> 32 AS g").groupBy("g").count().collect()
+    assert len(found) == 20 and max(r["count"] for r in found) < 100
+
+
+def test_packing_query(spark):
+    found = QUERIES["op6_bin_completion"](spark, SF).collect()
+    sizes = Counter()
+    for r in found:
+        sizes[r.sequence_id] += r.length
+    assert max(sizes.values()) <= 4096 and len(sizes) == packing.lower_bound([r.length for r in found], 4096)
+
+
 def test_bin_completion_is_tight():
     rng = np.random.default_rng(3)
     for _ in range(5):
@@ -357,8 +419,11 @@ def test_decontamination(spark, docs, empty):
                     items |= found
         want.append((r.doc_id, len(words), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)))
     assert rows_of(decontaminate.report(every, bench)) == sorted(want, key=repr)
-    blocked = decontaminate.scan(every, bench, block_words=60).select("doc_id", "n_words", F.size("hits").cast("long"), F.size("items").cast("long"), F.sha2(F.array_join("items", ","), 256), F.size("hits") > 0)
-    assert rows_of(blocked) == sorted(want, key=repr)
+    carried = decontaminate.scan(docs, bench, docs.columns, "_d_")
+    assert carried.columns == [*docs.columns, "_d_n_words", "_d_hits", "_d_items"]
+    assert carried.select(*docs.columns).exceptAll(docs).count() == 0 and carried.count() == docs.count()
+    # a bitmap that holds back nothing gives more places and equal rows
+    assert rows_of(decontaminate.report(every, bench, bits=8)) == sorted(want, key=repr)
     assert decontaminate.report(empty, bench).count() == 0
     assert decontaminate.report(every, bench.limit(0)).filter("contaminated").count() == 0
 
