@@ -1,31 +1,16 @@
-"""Every registered query of the reference's operators with its DuckDB equivalent."""
+"""Queries over captures, contents, addresses and image catalogues with their DuckDB equivalents."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as fn
 from .operators import content, enrich, images, messages, packets
-from .plans.views import edges, packets as packets_v, table, tags, with_views
+from .plans.registered import ORACLE_SQL, QUERIES, query
+from .plans.views import edges, packets as packets_v, table, tags
 from .streaming import live
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = with_views(sql)
-        return f
-
-    return register
-
-
 # ---- packets
 
 _COUNTS = "SELECT file, count(*) AS n_packets, count(*) FILTER (dport IN (80, 443)) AS n_http, count(*) FILTER (sport = 53 OR dport = 53) AS n_dns FROM packets_v GROUP BY file"
@@ -126,13 +111,58 @@ def file_numbering(spark, sf_dir):
     return messages.number_files(packets_v(spark, sf_dir), ["file", "ip_src", "ip_dst", "event_type"], ["pkt_no"]).select("pkt_no", "number")
 
 
-@query(
-    f"SELECT file, 'counts' AS section, CAST(to_json(struct_pack(n_packets, n_http, n_dns)) AS VARCHAR) AS item FROM ({_COUNTS})"
-    f" UNION ALL SELECT file, 'flows', CAST(to_json(struct_pack(flow, first_pkt)) AS VARCHAR) FROM ({_FLOWS})"
-)
+_DNS = "SELECT file, CASE k % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'CNAME' ELSE 'PTR' END AS type, event_type AS request, k AS response, min(pkt_no) AS pkt_no FROM packets_v WHERE sport = 53 OR dport = 53 GROUP BY ALL"
+_HTTP = "SELECT file, ip_src, ip_dst, concat('/', event_type, '/', k) AS uri, min(pkt_no) AS pkt_no FROM packets_v WHERE dport IN (80, 443) GROUP BY ALL"
+_DSTS = "SELECT file, ip_dst AS ip, min(pkt_no) AS first_pkt FROM packets_v GROUP BY ALL"
+
+
+def _items(section: str, sql: str, fields: str) -> str:
+    return f"SELECT file, '{section}' AS section, CAST(to_json(struct_pack({fields})) AS VARCHAR) AS item FROM ({sql})"
+
+
+@query(" UNION ALL ".join([
+    _items("counts", _COUNTS, "n_packets, n_http, n_dns"), _items("flows", _FLOWS, "flow, first_pkt"), _items("dns_data", _DNS, "type, request, response"),
+    _items("http_requests", _HTTP, "ip_src, ip_dst, uri"), _items("destination_ip_details", _DSTS, "ip, first_pkt"),
+]))
 def capture_summary(spark, sf_dir):
+    """The five sections of a capture's document, one JSON item a row."""
     p = packets_v(spark, sf_dir)
-    return messages.summary_items(F.col("file"), counts=(packets.packet_counts(p), ["n_packets", "n_http", "n_dns"]), flows=(packets.distinct_flows(p), ["flow", "first_pkt"]))
+    return messages.summary_items(
+        F.col("file"), counts=(packets.packet_counts(p), ["n_packets", "n_http", "n_dns"]), flows=(packets.distinct_flows(p), ["flow", "first_pkt"]), dns_data=(distinct_dns(spark, sf_dir), ["type", "request", "response"]),
+        http_requests=(distinct_http(spark, sf_dir), ["ip_src", "ip_dst", "uri"]), destination_ip_details=(packets.distinct_ips(p).filter("role = 'dst'"), ["ip", "first_pkt"]),
+    )
+
+
+@query(f"SELECT {_KEY}, CAST(epoch AS BIGINT) AS epoch, CAST(pos AS BIGINT) AS pos, CAST(len AS BIGINT) AS len FROM (SELECT *, sum(len) OVER (PARTITION BY {_KEY}, epoch ORDER BY seq ROWS UNBOUNDED PRECEDING) - len AS pos, bool_and(joined) OVER (PARTITION BY {_KEY}, epoch) AS valid FROM ({_SEGMENTS} SELECT * FROM seg)) WHERE valid")
+def stream_chunks(spark, sf_dir):
+    found = packets.stream_chunks(packets.tcp_segments(packets_v(spark, sf_dir)))
+    return found.select(*packets.STREAM, F.col("epoch").cast("long").alias("epoch"), "pos", F.col("len").cast("long").alias("len"))
+
+
+@query(f"SELECT {_KEY}, CAST(session AS BIGINT) AS session, string_agg(concat('<', k, '>'), '' ORDER BY pkt_no) AS data FROM ({_UDP.split(' SELECT file, ip_src')[0]} SELECT * FROM s) GROUP BY ALL")
+def udp_stream_bytes(spark, sf_dir):
+    rows = packets.udp_numbered(packets_v(spark, sf_dir), SESSION_US).withColumn("payload", F.concat(F.lit("<"), F.col("k").cast("string"), F.lit(">")))
+    return packets.stream_bytes(rows.withColumn("joined", F.lit(True)), "payload", "pkt_no", part="session").select(*packets.STREAM, F.col("session").cast("long").alias("session"), F.col("data").cast("string").alias("data"))
+
+
+@query(f"SELECT 'tcp' AS proto, {_KEY}, epoch AS number, n_packets, first_us, last_us FROM ({_TCP}) WHERE valid UNION ALL SELECT 'udp', {_KEY}, session, n_packets, first_us, last_us FROM ({_UDP})")
+def all_streams(spark, sf_dir):
+    return packets.all_streams(packets_v(spark, sf_dir), SESSION_US)
+
+
+@query(_HTTP)
+def http_sorted(spark, sf_dir):
+    return distinct_http(spark, sf_dir).select("file", "ip_src", "ip_dst", "uri", "pkt_no").orderBy("file", "ip_src", "ip_dst", "uri", "pkt_no")
+
+
+@query(_DNS)
+def dns_sorted(spark, sf_dir):
+    return distinct_dns(spark, sf_dir).select("file", "type", "request", "response", "pkt_no").orderBy("file", "type", "request", "response", "pkt_no")
+
+
+@query("SELECT flow, first_pkt, ip_src, CAST(sport AS INT) AS sport, ip_dst, CAST(dport AS INT) AS dport FROM (" + _FLOWS.replace("AS flow,", "AS flow, ip_src, sport, ip_dst, dport,").replace("GROUP BY ALL", "GROUP BY file, ip_src, sport, ip_dst, dport") + ")")
+def flow_split(spark, sf_dir):
+    return packets.distinct_flows(packets_v(spark, sf_dir)).withColumn("s", packets.split_flow_key(F.col("flow"))).select("flow", "first_pkt", "s.*")
 
 
 # ---- contents
@@ -148,17 +178,17 @@ def entropy_class(spark, sf_dir):
 
 @query("SELECT page_id, len(s) AS n_spans, CAST(list_sum(list_transform(s, lambda x: length(x))) AS BIGINT) AS n_chars FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p>.*?</p>') AS s FROM pages) WHERE len(s) > 0")
 def carve_spans(spark, sf_dir):
-    s = content.spans(F.col("html"), "<p>", "</p>")
+    s = content.spans(F.col("html"), ("<p>", "</p>"))
     found = table(spark, sf_dir, "pages").select("page_id", s.alias("s")).filter("size(s) > 0")
     return found.select("page_id", F.size("s").cast("long").alias("n_spans"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))
 
 
-@query("SELECT page_id, 'GET' AS method, regexp_extract(url, '^[a-z]+://[^/]+(/[^#]*)', 1) AS uri, '1.1' AS version, lower(regexp_extract(url, '^[a-z]+://([^/:]+)', 1)) AS host, 'http11' AS protocol FROM pages WHERE regexp_matches(url, '^[a-z]+://[^/]+/[^# ]+')")
+@query("SELECT page_id, 'GET' AS method, regexp_extract(url, '^[a-z]+://[^/]+(/[^#]*)', 1) AS uri, '1.1' AS version, lower(regexp_extract(url, '^[a-z]+://([^/:]+)', 1)) AS host, 'http11' AS protocol, 'b=2' AS cookie FROM pages WHERE regexp_matches(url, '^[a-z]+://[^/]+/[^# ]+')")
 def http_parse(spark, sf_dir):
     u = F.col("url")
-    raw = F.concat(F.lit("GET "), F.regexp_extract(u, r"^[a-z]+://[^/]+(/[^#]*)", 1), F.lit(" HTTP/1.1\r\nHost: "), F.lower(F.regexp_extract(u, r"^[a-z]+://([^/:]+)", 1)), F.lit("\r\nAccept: a:b\r\nbad line\r\n\r\n"))
+    raw = F.concat(F.lit("GET "), F.regexp_extract(u, r"^[a-z]+://[^/]+(/[^#]*)", 1), F.lit(" HTTP/1.1\r\nHost: "), F.lower(F.regexp_extract(u, r"^[a-z]+://([^/:]+)", 1)), F.lit("\r\nCookie: a=1\r\nAccept: a:b\r\nbad line\r\ncookie: b=2\r\n\r\n"))
     rows = table(spark, sf_dir, "pages").filter(u.rlike(r"^[a-z]+://[^/]+/[^# ]+")).select("page_id", content.http_request(raw).alias("r"), content.protocol(F.split(raw, "\r\n")[0]).alias("protocol"))
-    return rows.select("page_id", "r.method", "r.uri", "r.version", F.col("r.headers")["host"].alias("host"), "protocol")
+    return rows.select("page_id", "r.method", "r.uri", "r.version", F.col("r.headers")["host"].alias("host"), "protocol", F.col("r.headers")["cookie"].alias("cookie"))
 
 
 @query("SELECT doc_id, 'plain' AS decoder, CAST(length(base64(encode(text))) AS BIGINT) AS n FROM documents WHERE text <> '' UNION ALL SELECT doc_id, 'base64', CAST(octet_length(encode(text)) AS BIGINT) FROM documents WHERE text <> ''")
@@ -183,7 +213,7 @@ def json_path_project(spark, sf_dir):
 
 @query("SELECT 'pro|duct' AS product, event_type AS name, CAST(user_id % 10 AS VARCHAR) AS severity, CAST(user_id AS VARCHAR) AS suser, count(*) AS n FROM events GROUP BY ALL")
 def cef_events(spark, sf_dir):
-    line = F.concat(F.lit("Jan 1 host CEF:0|acme|pro\\|duct|1.0|"), F.col("event_id").cast("string"), F.lit("|"), "event_type", F.lit("|"), (F.col("user_id") % 10).cast("string"), F.lit("|msg=some text here suser="), F.col("user_id").cast("string"))
+    line = F.concat(F.lit("Jan 1 host CEF:0|acme|pro\\|duct|1.0|"), F.col("event_id").cast("string"), F.lit("|"), "event_type", F.lit("|"), (F.col("user_id") % 10).cast("string"), F.lit("|suser=0 msg=some text here suser="), F.col("user_id").cast("string"))
     c = F.col("c")
     rows = table(spark, sf_dir, "events").select(content.cef_event(line).alias("c")).select(c["product"].alias("product"), c["name"].alias("name"), c["severity"].alias("severity"), c["extension"]["suser"].alias("suser"))
     return rows.groupBy("product", "name", "severity", "suser").agg(F.count("*").alias("n"))
@@ -215,20 +245,25 @@ def ip_owner(spark, sf_dir):
     return _ranged(spark, sf_dir).select("c_custkey", "ip", F.coalesce("owner", F.lit("")).alias("owner"))
 
 
-@query(_OWNER + " SELECT coalesce(owner, 'Unknown') AS region, count(*) AS n FROM c LEFT JOIN m USING (c_custkey) GROUP BY ALL")
+_PLACES = "SELECT 16777216 + n_nationkey * 400000 AS first_ip, 16777216 + n_nationkey * 400000 + 299999 AS last_ip, 12 AS prefix_len, n_nationkey * 1.5E0 AS latitude, n_nationkey * -2.5E0 AS longitude, CASE WHEN n_nationkey % 4 > 0 THEN concat('r', n_regionkey) END AS region, n_name AS country FROM {0}"
+
+
+@query(f"SELECT c_custkey, latitude, longitude, CASE WHEN country IS NOT NULL THEN coalesce(region, 'Unknown') END AS region, country FROM customer LEFT JOIN ({_PLACES.format('nation')}) ON {_IP} BETWEEN first_ip AND last_ip")
 def ip_location(spark, sf_dir):
-    rows = _ranged(spark, sf_dir).filter(fn.is_public(F.col("ip")))
-    return rows.groupBy(F.coalesce("owner", F.lit("Unknown")).alias("region")).agg(F.count("*").alias("n"))
+    places = spark.sql(_PLACES.replace("{0}", "{n}"), n=table(spark, sf_dir, "nation")).withColumns({c: F.col(c).cast("long") for c in ("first_ip", "last_ip")})
+    return enrich.ip_locations(table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_IP} AS ip"), places, "ip").drop("ip")
+
 
+_NAMES = "SELECT c_custkey % 50 AS ip, CASE WHEN c_custkey % 50 < 45 THEN c_mktsegment END AS host, CASE WHEN c_custkey % 50 >= 45 THEN 'down' END AS error FROM {c} UNION ALL SELECT s_suppkey % 50, CASE WHEN s_suppkey % 50 < 40 OR s_suppkey % 50 = 47 THEN concat('host', s_nationkey) END, CASE WHEN s_suppkey % 50 >= 40 AND s_suppkey % 50 <> 47 THEN 'timeout' END FROM {s}"
 
-@query("SELECT DISTINCT key % 50 AS ip, host FROM (SELECT c_custkey AS key, c_mktsegment AS host FROM customer UNION ALL SELECT s_suppkey, concat('host', s_nationkey) FROM supplier WHERE s_acctbal >= 0)")
+
+@query("WITH n AS (" + _NAMES.format(c="customer", s="supplier") + ") SELECT DISTINCT ip, host, CAST(NULL AS VARCHAR) AS error FROM n WHERE host IS NOT NULL UNION ALL SELECT ip, NULL, min(error) FROM n GROUP BY ip HAVING count(host) = 0 AND count(error) > 0")
 def host_names(spark, sf_dir):
-    one = table(spark, sf_dir, "customer").selectExpr("c_custkey % 50 AS ip", "c_mktsegment AS host", "CAST(NULL AS STRING) AS error")
-    two = table(spark, sf_dir, "supplier").selectExpr("s_suppkey % 50 AS ip", "concat('host', s_nationkey) AS host", "CASE WHEN s_acctbal < 0 THEN 'timeout' END AS error")
-    return enrich.merge_host_names(one, two)
+    rows = spark.sql(_NAMES, c=table(spark, sf_dir, "customer"), s=table(spark, sf_dir, "supplier"))
+    return enrich.merge_host_names(rows, rows.limit(0))
 
 
-@query("SELECT md5(concat('ind', event_id)) AS value, 'MD5' AS kind, CAST(ts AS DATE) AS day FROM events UNION ALL SELECT concat(event_id % 223 + 1, '.', (event_id // 223) % 256, '.', (event_id // 57088) % 256, '.', event_id // 14614528), 'IP', CAST(ts AS DATE) FROM events")
+@query("SELECT md5(concat('ind', event_id)) AS value, 'MD5' AS kind, CAST(ts AS DATE) AS day FROM events UNION ALL SELECT concat(event_id % 223 + 1, '.', (event_id // 223) % 256, '.', (event_id // 57088) % 256, '.', event_id // 14614528), 'IP', CAST(ts AS DATE) FROM events UNION ALL SELECT concat('host', event_id, '.example.com'), 'Domain', CAST(ts AS DATE) FROM events UNION ALL SELECT concat('http://host', event_id, '.example.com/', event_id % 97), 'URL', CAST(ts AS DATE) FROM events")
 def synthetic_indicators(spark, sf_dir):
     from .sources.feeds import indicators
 
@@ -352,13 +387,13 @@ def first_n_per_base(spark, sf_dir):
     return images.first_per_base(tags(spark, sf_dir), "image", "ord", 30).select("image", "name", "rn")
 
 
-@query("SELECT o_orderpriority AS run, count(*) AS n_total, count(*) FILTER (o_orderstatus <> 'F') AS n_ok, count(*) FILTER (o_orderstatus = 'F') AS n_failed, CAST(min(o_orderdate) AS DATE) AS first_day, CAST(max(o_orderdate) AS DATE) AS last_day FROM orders GROUP BY ALL")
+@query("SELECT o_orderpriority AS run, count(*) AS n_total, count(*) FILTER (o_orderstatus <> 'F') AS n_ok, count(*) FILTER (o_orderstatus = 'F') AS n_failed, CAST(min(o_orderdate) AS DATE) AS first_day, CAST(max(o_orderdate) AS DATE) AS last_day, CAST(date_diff('second', min(CAST(o_orderdate AS TIMESTAMP)), max(CAST(o_orderdate AS TIMESTAMP))) AS BIGINT) AS seconds FROM orders GROUP BY ALL")
 def build_summary(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").selectExpr("o_orderpriority AS run", "o_orderstatus <> 'F' AS ok", "CAST(o_orderdate AS DATE) AS day")
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderpriority AS run", "o_orderstatus <> 'F' AS ok", "CAST(o_orderdate AS TIMESTAMP) AS at")
     return images.build_summary(rows, "run")
 
 
-@query("SELECT o_custkey AS run, concat('{', string_agg(concat(o_orderkey, ':', o_orderpriority), ',' ORDER BY concat(o_orderkey, ':', o_orderpriority)), '}') AS report FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL")
+@query("""SELECT o_custkey AS run, concat('{', coalesce(string_agg(concat('"', o_orderkey, '":{"step":"', o_orderpriority, '"}'), ',' ORDER BY CAST(o_orderkey AS VARCHAR)) FILTER (o_orderstatus = 'F'), ''), '}') AS report FROM orders GROUP BY ALL""")
 def failure_report(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").selectExpr("o_custkey AS run", "o_orderstatus <> 'F' AS ok", "CAST(o_orderkey AS STRING) AS image", "o_orderpriority AS step")
     return images.failure_report(rows, "run")
@@ -392,11 +427,24 @@ def compliance_verdict(spark, sf_dir):
     return enrich.compliance(license_match(spark, sf_dir), "image")
 
 
-@query("SELECT p_partkey, p_size % 3 = 0 AS ok, concat('3.', p_size) AS correct FROM part")
+_CONSTRAINTS = [(">=3.9,<=3.11", "<=", "3.11"), ("===3.9", "===", "3.9"), ("<3.11,>=3.9", ">=", "3.9"), ("~=3.1", "~=", "3.1"), ("!=3.10", "!=", "3.10"), ("^3.8.1", "^", "3.8.1"), ("3.10", "", "3.10"), ("=3.1", "=", "3.1"), ("3.7 < x", "<", " x"), ("~3.12", "~", "3.12"), ("==2", "==", "2")]
+_NTH = "CASE p_partkey % " + str(len(_CONSTRAINTS)) + " {} END"
+_WHENS = [" ".join(f"WHEN {i} THEN '{c[k]}'" for i, c in enumerate(_CONSTRAINTS)) for k in range(3)]
+
+
+@query(f"SELECT p_partkey, {_NTH.format(_WHENS[1])} AS operator, {_NTH.format(_WHENS[2])} AS version FROM part")
+def constraint_operator(spark, sf_dir):
+    text = F.expr(_NTH.format(_WHENS[0]))
+    return table(spark, sf_dir, "part").select("p_partkey", fn.constraint(text).alias("c")).select("p_partkey", "c.operator", "c.version")
+
+
+@query("SELECT p_partkey, tilde, CASE WHEN p_size % 5 = 0 THEN true ELSE CASE WHEN tilde THEN p_size % 5 = 2 ELSE p_size % 5 = 1 END END AS ok, concat(CASE WHEN tilde THEN '~' ELSE '' END, CASE WHEN p_size % 5 = 0 THEN '.0' ELSE concat('3.', p_size) END) AS correct FROM part, (VALUES (true), (false)) t(tilde)")
 def version_conformance(spark, sf_dir):
-    text = F.expr("CASE p_size % 3 WHEN 0 THEN concat('3.', p_size) WHEN 1 THEN concat('>=3.', p_size) ELSE concat('3.', p_size, ',<4') END")
-    found = fn.version_conformance(F.expr("concat('3.', p_size, '.', p_partkey)"), text, False)
-    return table(spark, sf_dir, "part").select("p_partkey", found.alias("v")).select("p_partkey", "v.ok", "v.correct")
+    base = F.expr("CASE WHEN p_size % 5 = 0 THEN '' ELSE concat('3.', p_size, '.', p_partkey) END")
+    text = F.expr("CASE p_size % 5 WHEN 1 THEN concat('3.', p_size) WHEN 2 THEN concat('~3.', p_size) WHEN 3 THEN concat('^3.', p_size, ',<4') ELSE '3.*' END")
+    part = table(spark, sf_dir, "part")
+    both = [part.select("p_partkey", F.lit(t).alias("tilde"), fn.version_conformance(base, text, t).alias("v")) for t in (True, False)]
+    return both[0].union(both[1]).select("p_partkey", "tilde", "v.ok", "v.correct")
 
 
 # ---- streams
@@ -404,14 +452,17 @@ def version_conformance(spark, sf_dir):
 
 @query("SELECT file, CAST(epoch_us(time_bucket(INTERVAL '1 day', ts)) AS BIGINT) AS window_us, count(*) AS n_packets, count(*) FILTER (dport IN (80, 443)) AS n_http, count(*) FILTER (sport = 53 OR dport = 53) AS n_dns FROM packets_v GROUP BY ALL")
 def packet_counts_live(spark, sf_dir):
-    return live.packet_counts_live(spark, packets_v(spark, sf_dir), "1 day")
+    return live.replay(packets_v(spark, sf_dir), lambda rows: live.packet_counts_live(rows, "1 day"))
 
 
 @query(_UDP.replace(f"SELECT {_KEY}, CAST(session AS BIGINT) AS session, count", f"SELECT {_KEY}, count").replace("GROUP BY ALL", f"GROUP BY {_KEY}, session"))
 def udp_sessions_live(spark, sf_dir):
-    return live.udp_sessions_live(spark, packets_v(spark, sf_dir), SESSION_US)
+    return live.replay(packets_v(spark, sf_dir).filter("ip_proto = 17 AND len > 0"), lambda rows: live.udp_sessions_live(rows, SESSION_US))
 
 
 @query(f"SELECT {_KEY}, n_packets, first_us, last_us FROM (" + _TCP + ") WHERE valid")
 def tcp_streams_live(spark, sf_dir):
-    return live.tcp_streams_live(spark, packets_v(spark, sf_dir))
+    return live.replay(packets_v(spark, sf_dir).filter("ip_proto = 6"), live.tcp_streams_live)
+
+
+from . import catalogue_landed  # noqa: E402, F401  registers its queries too

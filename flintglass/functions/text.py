@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Constraint operators in the order in which they are tried.
-OPERATORS = ("~=", "==", "^", "~", ">=", "<=", ">", "<", "!=", "=")
+# Constraint operators in the order in which they are tried; forms of versions and names.
+OPERATORS = ("^", "<=", ">=", "<", ">", "!=", "~=", "~", "===", "==", "=")
+PYTHON_IN_TAG = r"3.\d{1,3}.\d{1,3}"
+KEBAB = r"^([a-z][a-z0-9]*)(-[a-z0-9]+)*$"
 
 
 def parse_versions(text: Column) -> Column:
@@ -33,21 +35,85 @@ def split_image_ref(ref: Column) -> Column:
 
 
 def constraint(text: Column) -> Column:
-    """(operator, version): the first operator of the list that occurs anywhere, and the rest of the text."""
-    op = F.lit("")
+    """(operator, version): the first operator of the list that occurs anywhere, and what stands behind its first place."""
+    found = F.struct(F.lit("").alias("operator"), text.alias("version"))
     for o in reversed(OPERATORS):
-        op = F.when(F.contains(text, F.lit(o)), o).otherwise(op)
-    return F.struct(op.alias("operator"), F.trim(F.replace(text, op, F.lit(""))).alias("version"))
+        behind = F.substr(text, F.instr(text, o) + len(o))
+        found = F.when(F.contains(text, F.lit(o)), F.struct(F.lit(o).alias("operator"), behind.alias("version"))).otherwise(found)
+    return found
 
 
 def version_conformance(base: Column, text: Column, tilde: bool) -> Column:
-    """Whether a constraint names exactly the major and minor of the base version, and the right form."""
-    found = constraint(text)
-    parts = F.split(base, r"\.")
-    plain = F.concat_ws(".", parts[0], F.coalesce(F.get(parts, 1), F.lit("0")))
-    right = F.concat(F.lit("~"), plain) if tilde else plain
-    ok = (base == "") | ((F.trim(text) == right) & ~F.contains(text, F.lit(",")) & ~F.contains(text, F.lit("*")) & (found["operator"] == ("~" if tilde else "")))
-    return F.struct(ok.alias("ok"), right.alias("correct"))
+    """Whether a constraint names exactly the major and minor of the base version, and the right form; an empty base passes."""
+    parts = F.split(constraint(base)["version"], r"\.")
+    right = F.concat(F.lit("~" if tilde else ""), F.concat_ws(".", parts[0], F.coalesce(F.get(parts, 1), F.lit("0"))))
+    return F.struct(((base == "") | (text == right)).alias("ok"), right.alias("correct"))
+
+
+def version_to_write(version: Column, path: Column) -> Column:
+    """Major and minor of a version of numbers (with a tilde for pyproject files); other versions stay."""
+    parts = F.split(version, r"\.")
+    short = F.concat(F.when(F.contains(path, F.lit("pyproject")), "~").otherwise(""), parts[0], F.lit("."), F.get(parts, 1))
+    return F.when(version.rlike(r"^\d+(\.\d+)+$"), short).otherwise(version)
+
+
+def version_line(content: Column, path: Column) -> Column:
+    """The interpreter version line of a manifest, empty where it has none."""
+    pip = F.regexp_extract(content, r'python_version = "[^"]*"', 0)
+    return F.when(F.contains(path, F.lit("Pipfile")), pip).otherwise(F.regexp_extract(content, r'(?m)^python = "[^"]*"', 0))
+
+
+def rewrite_manifest(content: Column, path: Column, version: Column) -> Column:
+    """(content, changed): the version line renewed where it differs."""
+    old = version_line(content, path)
+    name = F.when(F.contains(path, F.lit("Pipfile")), "python_version").otherwise("python")
+    new = F.concat(name, F.lit(' = "'), version_to_write(version, path), F.lit('"'))
+    changed = (old != "") & (old != new)
+    return F.struct(F.when(changed, F.replace(content, old, new)).otherwise(content).alias("content"), changed.alias("changed"))
+
+
+def python_version_in_tag(tag: Column) -> Column:
+    """The first interpreter version that a tag holds, else null."""
+    found = F.regexp_extract(tag, PYTHON_IN_TAG, 0)
+    return F.when(found != "", found)
+
+
+def image_full_name(org: Column, image: Column, version: Column, revision: Column) -> Column:
+    return F.concat(org, F.lit("/"), image, F.lit(":"), F.coalesce(version, F.lit("1.0.0")), F.lit("."), revision.cast("string"))
+
+
+def archive_name(full_name: Column) -> Column:
+    return F.concat(F.replace(F.replace(full_name, F.lit("/"), F.lit("__")), F.lit(":"), F.lit("_")), F.lit(".tar"))
+
+
+def same_release(one: Column, two: Column) -> Column:
+    """Whether the first three dotted parts of two versions are equal."""
+    head = lambda v: F.slice(F.split(v, r"\."), 1, 3)
+    return head(one) == head(two)
+
+
+def external_branch(repo: Column, image: Column, old: Column, new: Column) -> Column:
+    return F.concat(F.lit("autoupdate/Update_"), repo, F.lit("_"), image, F.lit("_from_"), old, F.lit("_to_"), new)
+
+
+def internal_branch(base: Column, names: Column, new: Column) -> Column:
+    """names: array of the images of one batch."""
+    return F.concat(F.lit("autoupdate/"), base, F.lit("_"), F.array_join(names, "-"), F.lit("_"), new)
+
+
+def file_time_text(epoch: Column) -> Column:
+    """Epoch seconds as UTC text without colons and blanks; `unknown` for null."""
+    return F.coalesce(F.replace(F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd HH-mm-ss"), F.lit(" "), F.lit("_")), F.lit("unknown"))
+
+
+def title_matches(title: Column, author: Column, prefix: str, name: str) -> Column:
+    """Requests whose title starts with a prefix and whose author is the given one."""
+    return F.startswith(title, F.lit(prefix)) & (author == name)
+
+
+def rewrite_date(content: Column, now: Column) -> Column:
+    """The date of the last-modified comment renewed."""
+    return F.regexp_replace(content, F.lit(r"# Last modified: .*"), F.concat(F.lit("# Last modified: "), now))
 
 
 def last_modified(content: Column) -> Column:
@@ -58,7 +124,7 @@ def last_modified(content: Column) -> Column:
 def rewrite_base(content: Column, name: Column, old: Column, new: Column, now: Column) -> Column:
     """A build file with its base reference moved to the new tag and its date line renewed."""
     moved = F.replace(content, F.concat(name, F.lit(":"), old), F.concat(name, F.lit(":"), new))
-    return F.regexp_replace(moved, F.lit(r"# Last modified: .*"), F.concat(F.lit("# Last modified: "), now))
+    return rewrite_date(moved, now)
 
 
 def ip_to_long(ip: Column) -> Column:
@@ -76,4 +142,4 @@ def is_public(ip: Column) -> Column:
 
 
 def kebab(name: Column) -> Column:
-    return name.rlike(r"^([a-z][a-z0-9]*)(-[a-z0-9]+)*$")
+    return name.rlike(KEBAB)

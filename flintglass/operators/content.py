@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import file_time_text
+from .messages import http_bodies
+
 ENTROPY_BYTES, LEAST_BYTES = 102_400, 1280
-# Format, header, trailer (None: to the end), extension, category. The pattern text is Latin-1.
+# Format, (header, trailer or None: to the end) alternatives, extension, category. The pattern text is Latin-1.
 SIGNATURES = (
-    ("avi", "RIFF.{4}AVI LIST", None, "avi", "Video"), ("bmp", "BM.{4}\\x00\\x00\\x00\\x00", None, "bmp", "Image"), ("elf", "\\x7FELF", None, "", "Executable"),
-    ("exe", "MZ.{254}PE", None, "exe", "Executable"), ("gif", "GIF8[79]a", "\\x00\\x3B", "gif", "Image"), ("jpeg", "\\xFF\\xD8\\xFF", "\\xFF\\xD9", "jpg", "Image"),
-    ("mkv", "\\x1A\\x45\\xDF\\xA3.{4}matroska", None, "mpg", "Video"), ("mp3", "ID3", None, "mp3", "Audio"), ("mpg", "\\x00\\x00\\x01[\\xB0-\\xBF]", "\\x00\\x00\\x01[\\xB7\\xB9]", "mpg", "Video"),
-    ("pdf", "%PDF", ".*%%EOF", "pdf", "Document"), ("png", "\\x89PNG\\r\\n\\x1A\\n", "IEND\\xAE\\x42\\x60\\x82", "png", "Image"), ("rar", "Rar!\\x1A\\x07", None, "rar", "Compressed"),
-    ("wav", "RIFF.{4}WAVEfmt", None, "wav", "Audio"), ("zip", "PK\\x03\\x04", None, "zip", "Compressed"),
-)
+    ("avi", (("RIFF.{4}AVI LIST", None),), "avi", "Video"),
+    ("bmp", (("BM.{4}\\x00\\x00\\x00\\x00", None),), "bmp", "Image"),
+    ("elf", (("\\x7FELF", None),), "", "Executable"),
+    ("exe", (("MZ.{254}PE", None),), "exe", "Executable"),
+    ("gif", (("GIF8[79]a", "\\x00\\x3B"),), "gif", "Image"),
+    ("jpeg", (("\\xFF\\xD8\\xFF", "\\xFF\\xD9"), (".{6}JFIF\\x00", None)), "jpg", "Image"),
+    ("mkv", (("\\x1A\\x45\\xDF\\xA3.{4}matroska", None),), "mpg", "Video"),
+    ("mp3", (("ID3", None),), "mp3", "Audio"),
+    ("mpg", (("\\x00\\x00\\x01[\\xB0-\\xBF]", "\\x00\\x00\\x01[\\xB7\\xB9]"),), "mpg", "Video"),
+    ("pdf", (("%PDF", ".*%%EOF[()\\n\\r]?"),), "pdf", "Document"),
+    ("png", (("\\x89PNG\\r\\n\\x1A\\n", "IEND\\xAE\\x42\\x60\\x82"),), "png", "Image"),
+    ("rar", (("Rar!\\x1A\\x07", None),), "rar", "Compressed"),
+    ("wav", (("RIFF.{4}WAVEfmt", None),), "wav", "Audio"),
+    ("zip", (("PK\\x03\\x04", None),), "zip", "Compressed"),
+)
 
 
 def byte_histograms(rows: DataFrame, key: str, data: str, limit: int = ENTROPY_BYTES) -> DataFrame:
@@ -26,8 +38,14 @@ def byte_histograms(rows: DataFrame, key: str, data: str, limit: int = ENTROPY_B
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins = [np.bincount(np.frombuffer((b or b"")[:limit], np.uint8), minlength=256) for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(b.sum()) for b in bins], pa.int64()), pa.array([b.tolist() for b in bins], pa.list_(pa.int64()))], ["k", "n", "bins"])
+            data = batch.column(1)
+            bins = np.zeros((batch.num_rows, 256), np.int64)
+            for i in range(batch.num_rows):
+                held = data[i].as_buffer()
+                if held is not None:
+                    bins[i] = np.bincount(np.frombuffer(held, np.uint8)[:limit], minlength=256)
+            lists = pa.ListArray.from_arrays(np.arange(0, bins.size + 1, 256, dtype=np.int32), bins.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bins.sum(1)), lists], ["k", "n", "bins"])
 
     found = rows.select(key, F.col(data).cast("binary")).mapInArrow(run, f"k {kind.dataType.simpleString()}, n long, bins array<long>")
     return found.withColumnRenamed("k", key)
@@ -49,29 +67,87 @@ def entropy_classes(rows: DataFrame, key: str, data: str) -> DataFrame:
     return found.withColumn("entropy_class", kind)
 
 
-def spans(text: Column, header: str, trailer: str | None) -> Column:
-    """Non-overlapping spans from a header to the nearest trailer, or to the end."""
-    return F.regexp_extract_all(text, F.lit(f"(?s){header}.*" + (f"?{trailer}" if trailer else "")), F.lit(0))
+def spans(text: Column, *signatures: tuple[str, str | None]) -> Column:
+    """Non-overlapping spans from a header to the nearest trailer, or to the end; of several signatures the first that fits."""
+    forms = [f"{header}.*" + (f"?{trailer}" if trailer else "") for header, trailer in signatures]
+    return F.regexp_extract_all(text, F.lit("(?s)" + "|".join(f"(?:{f})" for f in forms)), F.lit(0))
+
 
+def carve(payloads: DataFrame, data: str, signatures: tuple = SIGNATURES) -> DataFrame:
+    """One row for each signature match in a binary column: format, category, ext, number, carved bytes.
 
-def carve(payloads: DataFrame, data: str) -> DataFrame:
-    """One row for each signature match in a binary column: format, category, ext, number, carved bytes."""
+    signatures: rows (format, ((header, trailer), ..), extension, category); users pass SIGNATURES with rows of their own."""
     text = F.decode(F.col(data), "ISO-8859-1")
-    found = [
-        F.transform(spans(text, header, trailer), lambda s, i: F.struct(F.lit(name).alias("format"), F.lit(category).alias("category"), F.lit(ext).alias("ext"), (i + 1).alias("number"), F.encode(s, "ISO-8859-1").alias("carved")))
-        for name, header, trailer, ext, category in SIGNATURES
-    ]
-    return payloads.withColumn("c", F.explode(F.concat(*found))).select(*payloads.columns, "c.*")
+
+    def matches(name: str, forms: tuple, ext: str, category: str) -> Column:
+        kind = [F.lit(v).alias(n) for n, v in (("format", name), ("category", category), ("ext", ext))]
+        return F.transform(spans(text, *forms), lambda s, i: F.struct(*kind, (i + 1).alias("number"), F.encode(s, "ISO-8859-1").alias("carved")))
+
+    return payloads.withColumn("c", F.explode(F.concat(*(matches(*row) for row in signatures)))).select(*payloads.columns, "c.*")
+
+
+#: Decoders of a payload column by name, with their order; null for a payload that one cannot decode.
+DECODERS: dict[str, tuple[int, Callable[[Column], Column]]] = {
+    "plain": (10, lambda c: c), "base64": (50, lambda c: F.try_to_binary(F.decode(c, "ISO-8859-1"), F.lit("base64"))),
+}
+#: Protocols by name: order, test of the first line, the payloads of a stream (array of binary).
+DISSECTORS: dict[str, tuple[int, Callable[[Column], Column], Callable[[Column], Column]]] = {
+    "http10": (45, lambda line: F.contains(line, F.lit("HTTP/1.0")), lambda data: http_bodies(data)), "http11": (50, lambda line: F.contains(line, F.lit("HTTP/1.1")), lambda data: http_bodies(data)),
+    "unknown": (200, lambda line: F.lit(True), lambda data: F.array(data)),
+}
+
+
+def register_decoder(name: str, order: int, decode: Callable[[Column], Column]) -> None:
+    DECODERS[name] = (order, decode)
+
+
+def register_dissector(name: str, order: int, test: Callable[[Column], Column], payloads: Callable[[Column], Column]) -> None:
+    DISSECTORS[name] = (order, test, payloads)
 
 
 def decoded(payloads: DataFrame, data: str) -> DataFrame:
-    """Each payload plain and, where it is valid, decoded from base64."""
-    forms = F.array(F.struct(F.lit("plain").alias("decoder"), F.col(data).alias("decoded")), F.struct(F.lit("base64").alias("decoder"), F.try_to_binary(F.decode(F.col(data), "ISO-8859-1"), F.lit("base64")).alias("decoded")))
+    """Each payload through each decoder in order; `ord` is the decoder's place, results that are null are left out."""
+    listed = sorted(DECODERS.items(), key=lambda d: (d[1][0], d[0]))
+    forms = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(name).alias("decoder"), decode(F.col(data)).alias("decoded")) for i, (name, (_, decode)) in enumerate(listed)))
     return payloads.withColumn("d", F.explode(F.filter(forms, lambda f: f["decoded"].isNotNull()))).select(*payloads.columns, "d.*")
 
 
+def _dissectors() -> list[tuple[str, tuple]]:
+    return sorted(DISSECTORS.items(), key=lambda d: (d[1][0], d[0]))
+
+
 def protocol(first_line: Column) -> Column:
-    return F.when(F.contains(first_line, F.lit("HTTP/1.0")), "http10").when(F.contains(first_line, F.lit("HTTP/1.1")), "http11").otherwise("unknown")
+    """The first registered protocol whose test the first line passes."""
+    return F.coalesce(*(F.when(test(first_line), name) for name, (_, test, _) in _dissectors()))
+
+
+def dissected(streams: DataFrame, data: str) -> DataFrame:
+    """protocol and payload: the payloads of each stream by its protocol."""
+    line = F.split(F.decode(F.substring(data, 1, 4096), "ISO-8859-1"), "\r\n")[0]
+    kinds = streams.withColumn("protocol", protocol(line))
+    payloads = F.coalesce(*(F.when(F.col("protocol") == name, take(F.col(data))) for name, (_, _, take) in _dissectors()))
+    return kinds.withColumn("payload", F.explode(payloads))
+
+
+def found_files(streams: DataFrame, data: str, entropy: bool = False) -> DataFrame:
+    """The files inside the payloads of streams (file, ip_src, ip_dst, first_us): name, category, ext and bytes; entropy:
+    each decoded payload also as a file of its own, with its entropy class as category."""
+    keys = ["file", "ip_src", "ip_dst", "first_us"]
+    payloads = decoded(dissected(streams, data).select(*keys, "payload"), "payload").select(*keys, "ord", "decoded")
+    files = carve(payloads, "decoded").select(*keys, "ord", "category", "ext", "number", "carved")
+    if entropy:
+        whole = payloads.withColumn("id", F.struct(*keys, "ord", F.md5("decoded").alias("digest")))
+        classes = entropy_classes(whole.dropDuplicates(["id"]), "id", "decoded").select("id", F.col("entropy_class").alias("category"))
+        own = whole.join(classes, "id").select(*keys, "ord", "category", F.lit("unknown").alias("ext"), F.lit(1).alias("number"), F.col("decoded").alias("carved"))
+        files = files.unionByName(own)
+    place = Window.partitionBy(*keys, "category", "ext").orderBy("ord", "number", F.md5("carved"))
+    name = F.concat_ws("_", F.concat("category", F.lit("s")), "ip_src", "ip_dst", file_time_text(F.col("first_us") / 1_000_000), F.row_number().over(place).cast("string"))
+    return files.withColumn("name", F.concat(name, F.when(F.col("ext") != "", F.concat(F.lit("."), "ext")).otherwise("")))
+
+
+def last_of_each(pairs: Column) -> Column:
+    """A map of pairs (k, v) in which the last of several values of a key stays."""
+    return F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])))
 
 
 def http_request(raw: Column) -> Column:
@@ -81,7 +157,7 @@ def http_request(raw: Column) -> Column:
     head = lines[0]
     header = F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.contains(x, F.lit(":")))
     pairs = F.transform(header, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("v")))
-    whole = F.struct(F.regexp_extract(head, pattern, 1).alias("method"), F.regexp_extract(head, pattern, 2).alias("uri"), F.regexp_extract(head, pattern, 3).alias("version"), F.map_from_entries(pairs).alias("headers"))
+    whole = F.struct(F.regexp_extract(head, pattern, 1).alias("method"), F.regexp_extract(head, pattern, 2).alias("uri"), F.regexp_extract(head, pattern, 3).alias("version"), last_of_each(pairs).alias("headers"))
     return F.when(head.rlike(pattern), whole)
 
 
@@ -93,7 +169,7 @@ def cef_event(line: Column) -> Column:
     names = F.regexp_extract_all(extension, F.lit(r"(\w+)=(.*?)(?=\s\w+=|$)"), F.lit(1))
     values = F.regexp_extract_all(extension, F.lit(r"(\w+)=(.*?)(?=\s\w+=|$)"), F.lit(2))
     fields = ("version", "vendor", "product", "device_version", "event_id", "name", "severity")
-    return F.struct(*(part(i).alias(f) for i, f in enumerate(fields)), F.map_from_arrays(names, values).alias("extension"))
+    return F.struct(*(part(i).alias(f) for i, f in enumerate(fields)), last_of_each(F.zip_with(names, values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))).alias("extension"))
 
 
 def rule_matches(docs: DataFrame, key: str, text: str, rules: list[tuple[str, str]]) -> DataFrame:

@@ -24,10 +24,80 @@ def in_family(tags: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame
     return tags.join(current, keys).filter(F.regexp_like("name", F.concat(F.lit("^"), tag_family_regex(F.col("current")))))
 
 
-def outdated(current: DataFrame, latest: DataFrame, keys: list[str]) -> DataFrame:
-    """Images whose current version list is smaller than the newest tag's."""
+def outdated(current: DataFrame, latest: DataFrame, keys: list[str], by_time: bool = False) -> DataFrame:
+    """Images whose current version list is smaller than the newest tag's; by_time: also those of the same tag that was
+    updated (`last_updated`) after the image was modified (`last_modified`)."""
     both = current.join(latest, keys)
-    return both.filter(parse_versions(F.col("current")) < parse_versions(F.col("latest")))
+    old = parse_versions(F.col("current")) < parse_versions(F.col("latest"))
+    if by_time:
+        old = old | ((F.col("current") == F.col("latest")) & F.coalesce(F.col("last_updated") > F.col("last_modified"), F.lit(False)))
+    return both.filter(old)
+
+
+def base_kind(ref: Column, orgs: tuple[str, ...]) -> Column:
+    """`internal` for references of one of the own organisations, else `external`."""
+    return F.when(ref.rlike("(" + "|".join(orgs) + ")/"), "internal").otherwise("external")
+
+
+def active(images: DataFrame, devonly: bool = False) -> DataFrame:
+    """Images (deprecated, devonly as property texts, tag) that are in use and have a tag to update."""
+    is_true = lambda c: F.coalesce(F.col(c), F.lit("")) == "true"
+    rows = images.filter(~is_true("deprecated") & (F.coalesce("tag", F.lit("")) != ""))
+    return rows if devonly else rows.filter(~is_true("devonly"))
+
+
+def without_ignored(images: DataFrame, ignored: DataFrame, name: str, now: Column) -> DataFrame:
+    """Drops images of the list (name, permanent, valid_until as dd/MM/yyyy), but for entries that are no longer valid."""
+    past = F.to_timestamp("valid_until", "dd/MM/yyyy") < now
+    holding = ignored.filter(F.coalesce("permanent", F.lit(False)) | ~F.coalesce(past, F.lit(False)))
+    return images.join(holding.select(name).distinct(), name, "left_anti")
+
+
+def content_images(files: DataFrame, org: str, keep_deprecated: bool = False) -> DataFrame:
+    """Distinct images that files (text) refer to; files that are deprecated at their top level do not count."""
+    rows = files if keep_deprecated else files.filter(~F.coalesce(F.col("text").rlike(r"(?m)^deprecated ?: ?true"), F.lit(False)))
+    return rows.select(F.explode(F.regexp_extract_all("text", F.lit(rf"{org}/([A-Za-z0-9-]+):"), F.lit(1))).alias("image")).distinct()
+
+
+def changed_files(changes: DataFrame, root: str) -> DataFrame:
+    """(image, path, status) of changes (path, status) below the folders of images."""
+    image = F.regexp_extract("path", rf"^{root}/([^/]+)/", 1)
+    return changes.select(image.alias("image"), "path", "status").filter("image <> ''")
+
+
+def changed_images(images: DataFrame, changes: DataFrame, root: str, pattern: str | None = None) -> DataFrame:
+    """Images with a changed file, and whose folder matches the pattern where one is given."""
+    found = images.join(changed_files(changes, root).select("image").distinct(), "image", "left_semi")
+    return found if pattern is None else found.filter(F.concat(F.lit(f"{root}/"), "image").rlike(pattern))
+
+
+def superseded_branches(branches: DataFrame, bases: DataFrame, external: bool = True) -> DataFrame:
+    """(base, branch) of update branches that aim at a version below the base's newest tag; bases: (repo, image, latest).
+
+    A branch may name an image by any of its parts up to an underscore; each of them is looked up, so that the join is by equality."""
+    if external:
+        rest, target = F.regexp_extract("branch", r"^origin/autoupdate/.*?Update_(.*)$", 1), F.when(F.contains("branch", F.lit("_to_")), F.substring_index("branch", "_to_", -1))
+        key = F.concat("repo", F.lit("_"), "image")
+    else:
+        rest, target = F.regexp_extract("branch", r"^origin/autoupdate/(.*)$", 1), F.when(F.contains("branch", F.lit("_")), F.substring_index("branch", "_", -1))
+        key = F.concat("repo", F.lit("/"), "image")
+    parts = F.split(rest, "_")
+    heads = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "_"))
+    named = branches.filter(rest != "").select("branch", target.alias("target"), F.explode(heads).alias("key"))
+    both = named.join(bases.select(key.alias("key"), F.concat("repo", F.lit("/"), "image").alias("base"), "latest"), "key")
+    return both.filter(parse_versions(F.col("target")) < parse_versions(F.col("latest"))).select("base", "branch").distinct()
+
+
+def update_totals(images: DataFrame, base: str) -> DataFrame:
+    """Updated, skipped and processed images (outdated, pushed) of each base."""
+    done = F.col("outdated") & F.col("pushed")
+    return images.groupBy(base).agg(F.count_if(done).alias("n_updated"), F.count_if(~F.col("outdated")).alias("n_skipped"), F.count("*").alias("n_processed"))
+
+
+def not_set_apart(images: DataFrame, devonly: DataFrame, apart: tuple[str, ...]) -> DataFrame:
+    """Images that are neither for development only nor among those that are built apart."""
+    rows = images.join(devonly.select("image").distinct(), "image", "left_anti")
+    return rows.filter(~F.col("image").rlike("(" + "|".join(apart) + ")")) if apart else rows
 
 
 def is_sha_tag(name: Column) -> Column:
@@ -134,13 +204,16 @@ def first_per_base(rows: DataFrame, base: str, order: str, most: int) -> DataFra
 
 
 def build_summary(events: DataFrame, run: str) -> DataFrame:
-    """Steps, successes, failures and span of each run."""
+    """Steps, successes, failures, first and last day and duration in seconds of each run."""
     return events.groupBy(run).agg(
-        F.count("*").alias("n_total"), F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_failed"), F.min("day").alias("first_day"), F.max("day").alias("last_day")
-    )
+        F.count("*").alias("n_total"), F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_failed"), F.min("at").cast("date").alias("first_day"), F.max("at").cast("date").alias("last_day"),
+        (F.unix_seconds(F.max("at")) - F.unix_seconds(F.min("at"))).alias("seconds"),
+    )
 
 
 def failure_report(events: DataFrame, run: str) -> DataFrame:
-    """The failed images of each run with their step, as one JSON-like text in order."""
-    failed = events.filter(~F.col("ok")).groupBy(run).agg(F.array_sort(F.collect_list(F.concat_ws(":", "image", "step"))).alias("f"))
-    return failed.select(run, F.concat(F.lit("{"), F.array_join("f", ","), F.lit("}")).alias("report"))
+    """The failed images of each run with their step, as one JSON object in order of the image; `{}` without a failure."""
+    last = events.groupBy(run, "image").agg(F.max(F.when(~F.col("ok"), F.col("step"))).alias("step"))
+    failed = F.array_sort(F.collect_list(F.when(F.col("step").isNotNull(), F.struct("image", F.struct("step").alias("at")))))
+    return last.groupBy(run).agg(F.to_json(F.map_from_entries(failed)).alias("report"))
+

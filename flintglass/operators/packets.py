@@ -74,18 +74,35 @@ def tcp_streams(packets: DataFrame) -> DataFrame:
     )
 
 
-def stream_bytes(segments: DataFrame, payload: str, order: str = "seq", first: int | None = None) -> DataFrame:
-    """The payloads of each stream in order as one value, and its first bytes."""
+def stream_chunks(segments: DataFrame, order: str = "seq") -> DataFrame:
+    """The segments of valid streams with `pos`, their place in the stream's bytes: a stream of any length stays many rows."""
+    w = Window.partitionBy(*STREAM, "epoch")
+    rows = segments.withColumn("valid", F.bool_and("joined").over(w)).withColumn("pos", F.sum("len").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("len"))
+    return rows.filter("valid").drop("valid")
+
+
+def stream_bytes(segments: DataFrame, payload: str, order: str = "seq", first: int | None = None, part: str = "epoch") -> DataFrame:
+    """The payloads of each stream in order as one value, and its first bytes; for streams that fit in a row (see stream_chunks)."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(payload).cast("binary").alias("b"))))
-    rows = segments.groupBy(*STREAM, "epoch").agg(F.bool_and("joined").alias("valid"), F.array_join(F.transform(parts, lambda p: F.hex(p["b"])), "").alias("h"))
-    rows = rows.filter("valid").withColumn("data", F.unhex("h")).drop("h", "valid")
+    rows = segments.groupBy(*STREAM, part).agg(F.bool_and("joined").alias("valid"), F.aggregate(parts, F.lit(b""), lambda a, p: F.concat(a, p["b"])).alias("data"))
+    rows = rows.filter("valid").drop("valid")
     return rows if first is None else rows.withColumn("head", F.substring("data", 1, first))
 
 
-def udp_sessions(packets: DataFrame, timeout_us: int = 120_000_000) -> DataFrame:
-    """Sessions of a directional flow: a gap strictly greater than the time-out opens the next one."""
+def udp_numbered(packets: DataFrame, timeout_us: int = 120_000_000) -> DataFrame:
+    """UDP packets with the number of their session: a gap strictly greater than the time-out opens the next one."""
     w = Window.partitionBy(*STREAM).orderBy("pkt_no")
     gap = F.col("ts_us") - F.lag("ts_us").over(w)
     rows = packets.filter("ip_proto = 17 AND len > 0").withColumn("new", F.coalesce((gap > timeout_us).cast("int"), F.lit(0)))
-    rows = rows.withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return rows.groupBy(*STREAM, "session").agg(F.count("*").alias("n_packets"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
+    return rows.withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("new")
+
+
+def udp_sessions(packets: DataFrame, timeout_us: int = 120_000_000) -> DataFrame:
+    return udp_numbered(packets, timeout_us).groupBy(*STREAM, "session").agg(F.count("*").alias("n_packets"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
+
+
+def all_streams(packets: DataFrame, timeout_us: int = 120_000_000) -> DataFrame:
+    """Valid TCP streams and UDP sessions as one table."""
+    tcp = tcp_streams(packets).filter("valid").select(F.lit("tcp").alias("proto"), *STREAM, F.col("epoch").cast("long").alias("number"), "n_packets", "first_us", "last_us")
+    udp = udp_sessions(packets, timeout_us).select(F.lit("udp").alias("proto"), *STREAM, F.col("session").cast("long").alias("number"), "n_packets", "first_us", "last_us")
+    return tcp.unionByName(udp)

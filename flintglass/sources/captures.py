@@ -28,24 +28,29 @@ def records(content: bytes) -> Iterator[tuple[int, int, int, bytes]]:
         at += 16 + caplen
 
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """All captures of a path or glob; one task reads a file, and packets are numbered within it."""
+def parse_captures(files: DataFrame) -> DataFrame:
+    """The records of captures (path, content: whole files as binary values), numbered within each."""
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     names = ["file", "pkt_no", "ts_us", "caplen", "len", "frame"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows: list[tuple] = []
-                for n, record in enumerate(records(content)):
-                    rows.append((path, n, *record))
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                for n, record in enumerate(records(content.as_py() or b"")):
+                    rows.append((path.as_py(), n, *record))
                     if len(rows) == BATCH:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                         rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+
+def read_captures(spark: SparkSession, path: str) -> DataFrame:
+    """All captures of a path or glob; one task reads a file, which holds 2 GB at most (longer captures are landed in parts)."""
+    return parse_captures(spark.read.format("binaryFile").load(path))
 
 
 def _number(start, size: int):

@@ -5,39 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import version_line
 
-def build_properties(spark: SparkSession, path: str) -> DataFrame:
-    """(path, props): `key=value` lines split at the first `=`; lines that start with # are comments."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("line"))
-    pairs = lines.filter("line LIKE '%=%' AND line NOT LIKE '#%'").select("path", F.trim(F.substring_index("line", "=", 1)).alias("k"), F.trim(F.expr("substring(line, instr(line, '=') + 1)")).alias("v"))
-    last = pairs.groupBy("path", "k").agg(F.max("v").alias("v"))
+
+def landed_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of text files."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+
+
+def build_properties(files: DataFrame) -> DataFrame:
+    """(path, props): `key=value` lines split at the first `=`, the last line of a key; lines that start with # are comments."""
+    lines = files.select("path", F.posexplode(F.split("content", r"\r?\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
+    pairs = lines.filter("line LIKE '%=%' AND line NOT LIKE '#%'").select("path", "pos", F.trim(F.substring_index("line", "=", 1)).alias("k"), F.trim(F.expr("substring(line, instr(line, '=') + 1)")).alias("v"))
+    last = pairs.groupBy("path", "k").agg(F.max_by("v", "pos").alias("v"))
     return last.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("props"))
 
 
-def image_bases(spark: SparkSession, path: str) -> DataFrame:
+def image_bases(files: DataFrame) -> DataFrame:
     """One row for each FROM reference of a build file."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     return files.select("path", "content", F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^FROM (\S+)"), F.lit(1))).alias("ref"))
 
 
-def python_requirements(spark: SparkSession, path: str) -> DataFrame:
-    """The interpreter version line of Pipfile and pyproject manifests."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    pip = F.regexp_extract("content", r'python_version = "([^"]*)"', 1)
-    toml = F.regexp_extract("content", r'(?m)^python = "([^"]*)"', 1)
-    return files.select("path", F.when(F.endswith("path", F.lit("Pipfile")), pip).otherwise(toml).alias("version"))
+def python_requirements(files: DataFrame) -> DataFrame:
+    """The interpreter version of Pipfile and pyproject manifests."""
+    return files.select("path", F.regexp_extract(version_line(F.col("content"), F.col("path")), '"([^"]*)"', 1).alias("version"))
 
 
-def ordered_list(spark: SparkSession, path: str, field: str, element: str) -> DataFrame:
-    """A JSON list under `field`, with the place of each entry as `ord`."""
-    rows = spark.read.schema(f"{field} array<struct<{element}>>").json(path, multiLine=True)
-    return rows.select(F.posexplode(field).alias("ord", "e")).select("ord", "e.*")
+def ordered_list(files: DataFrame, field: str, element: str) -> DataFrame:
+    """A JSON list under `field` of each file, with the place of each entry as `ord`; element: fields as `name: type`."""
+    rows = files.select("path", F.from_json("content", f"{field} array<struct<{element}>>")[field].alias("list"))
+    return rows.select("path", F.posexplode("list").alias("ord", "e")).select("path", "ord", "e.*")
 
 
-def registry_tags(spark: SparkSession, path: str) -> DataFrame:
-    """Tags of landed registry pages, in order of page and place."""
-    pages = spark.read.schema("image string, page int, results array<struct<name string, last_updated timestamp>>".replace("name string", "name: string").replace("last_updated timestamp", "last_updated: timestamp")).json(path)
-    return pages.select("image", "page", F.posexplode("results").alias("pos", "t")).select("image", (F.col("page") * 1_000_000 + F.col("pos")).alias("ord"), "t.name", "t.last_updated")
+def registry_tags(pages: DataFrame) -> DataFrame:
+    """Tags of landed registry pages (image, page, body: JSON with `results`, or a plain list of names), in order of page and place."""
+    body = F.col("body")
+    full = F.from_json(body, "results array<struct<name: string, last_updated: timestamp>>")["results"]
+    plain = F.transform(F.from_json(body, "array<string>"), lambda n: F.struct(n.alias("name"), F.lit(None).cast("timestamp").alias("last_updated")))
+    listed = F.when(F.startswith(F.ltrim(body), F.lit("[")), plain).otherwise(full)
+    return pages.select("image", "page", F.posexplode(listed).alias("pos", "t")).select("image", (F.col("page") * 1_000_000 + F.col("pos")).alias("ord"), "t.name", "t.last_updated")
 
 
 def package_inventory(rows: DataFrame, text: str) -> DataFrame:

@@ -7,14 +7,27 @@ from pyspark.sql import functions as F
 
 
 def indicators(rows: DataFrame, key: str, ts: str) -> DataFrame:
-    """(value, kind, day): one MD5 and one IPv4 indicator for each key; the address spells the key in mixed bases."""
+    """(value, kind, day): one MD5, IPv4, Domain and URL indicator for each key; the address spells the key in mixed bases."""
     k = F.col(key)
     md5 = F.md5(F.concat(F.lit("ind"), k.cast("string")))
     parts = (k % 223 + 1, F.floor(k / 223) % 256, F.floor(k / 57088) % 256, F.floor(k / 14614528))
     ip = F.concat_ws(".", *(p.cast("string") for p in parts))
-    both = F.array(F.struct(md5.alias("value"), F.lit("MD5").alias("kind")), F.struct(ip.alias("value"), F.lit("IP").alias("kind")))
-    return rows.select(F.explode(both).alias("i"), F.col(ts).cast("date").alias("day")).select("i.value", "i.kind", "day")
+    host = F.concat(F.lit("host"), k.cast("string"), F.lit(".example.com"))
+    url = F.concat(F.lit("http://"), host, F.lit("/"), (k % 97).cast("string"))
+    every = F.array(*(F.struct(v.alias("value"), F.lit(n).alias("kind")) for n, v in (("MD5", md5), ("IP", ip), ("Domain", host), ("URL", url))))
+    return rows.select(F.explode(every).alias("i"), F.col(ts).cast("date").alias("day")).select("i.value", "i.kind", "day")
 
 
 def write_csv(feed: DataFrame, path: str) -> None:
-    feed.write.csv(path, header=False, quote='"')
+    """CSV without a header, quoted only where needed."""
+    feed.write.csv(path, header=False, quote='"', escape='"')
+
+
+def write_entries(entries: DataFrame, path: str, name: str) -> None:
+    """A list as JSON lines, sorted by name."""
+    entries.orderBy(name).write.json(path)
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """Found files as Parquet, a folder for each category, source and destination."""
+    files.write.partitionBy("category", "ip_src", "ip_dst").parquet(path)

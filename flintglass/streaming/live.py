@@ -1,11 +1,16 @@
-"""Streaming forms of the packet operators. The input is written once as files and replayed by `availableNow`."""
+"""Packet operators on streams with event time.
+
+Each takes a streaming (or batch) table of packets with the columns of `packets` and an event time `ts`; a watermark
+closes windows, sessions and idle TCP streams, so that state does not grow for ever. `replay` runs one over a finished
+table and returns what it gives.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -13,57 +18,54 @@ from ..operators.packets import STREAM, is_dns, is_http
 from ..plans.shared import fresh_folder
 
 _KEPT = [*STREAM, "pkt_no", "ts_us", "ip_proto", "seq", "syn", "fin", "len"]
+#: How late a packet may come; a TCP stream without a packet for so long is closed.
+LATE, IDLE_MS = "10 minutes", 3_600_000
 
 
-def _replay(spark: SparkSession, packets: DataFrame, folder: str) -> DataFrame:
-    rows = packets.select(*_KEPT).withColumn("ts", F.timestamp_micros("ts_us"))
-    rows.write.parquet(f"{folder}/in")
-    return spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
-
-
-def _collect(spark: SparkSession, stream: DataFrame, folder: str, mode: str) -> DataFrame:
-    """Runs the stream to the end of its input; the sink is a Parquet folder, the last batch wins in complete mode."""
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+def replay(packets: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Writes a table as files, streams them through the operator to the end and reads the sink.
 
-    stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(write).start().awaitTermination()
-    found = spark.read.parquet(f"{folder}/out")
-    if mode == "complete":
-        found = found.join(found.agg(F.max("batch").alias("batch")), "batch", "left_semi")
-    return found.drop("batch")
+    A last row of no capture, years later, moves the watermark past all others, so that everything closes."""
+    spark = packets.sparkSession
+    folder = fresh_folder(spark, "live")
+    rows = packets.select(*_KEPT).withColumn("ts", F.timestamp_micros("ts_us"))
+    late = {"file": F.lit(None), "ts": F.max("ts") + F.expr("INTERVAL 3650 DAYS"), "ts_us": F.max("ts_us"), "ip_proto": F.max("ip_proto"), "len": F.lit(1)}
+    end = rows.agg(*(late.get(f.name, F.lit(0)).cast(f.dataType).alias(f.name) for f in rows.schema))
+    rows.unionByName(end).write.parquet(f"{folder}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = operator(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+    stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out").filter("file IS NOT NULL")
 
 
-def packet_counts_live(spark: SparkSession, packets: DataFrame, window: str) -> DataFrame:
-    """Running packet, HTTP-port and DNS-port counts of each capture and window."""
-    folder = fresh_folder(spark, "counts")
-    rows = _replay(spark, packets, folder)
-    counted = rows.groupBy("file", F.window("ts", window).alias("w")).agg(
+def packet_counts_live(packets: DataFrame, window: str, late: str = LATE) -> DataFrame:
+    """Packet, HTTP-port and DNS-port counts of each capture and window, when the window is over."""
+    counted = packets.withWatermark("ts", late).groupBy("file", F.window("ts", window).alias("w")).agg(
         F.count("*").alias("n_packets"), F.count_if(is_http(F.col("dport"))).alias("n_http"), F.count_if(is_dns(F.col("sport"), F.col("dport"))).alias("n_dns")
     )
-    return _collect(spark, counted.select("file", F.unix_micros("w.start").alias("window_us"), "n_packets", "n_http", "n_dns"), folder, "complete")
+    return counted.select("file", F.unix_micros("w.start").alias("window_us"), "n_packets", "n_http", "n_dns")
 
 
-def udp_sessions_live(spark: SparkSession, packets: DataFrame, timeout_us: int) -> DataFrame:
-    """Session statistics of directional UDP flows by event-time session windows."""
-    folder = fresh_folder(spark, "udp")
-    rows = _replay(spark, packets.filter("ip_proto = 17 AND len > 0"), folder)
-    found = rows.groupBy(*STREAM, F.session_window("ts", f"{timeout_us // 1_000_000} seconds").alias("w")).agg(F.count("*").alias("n_packets"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
-    return _collect(spark, found.drop("w"), folder, "complete")
+def udp_sessions_live(packets: DataFrame, timeout_us: int, late: str = LATE) -> DataFrame:
+    """Session statistics of directional UDP flows by event-time session windows, when the session is over."""
+    found = packets.withWatermark("ts", late).groupBy(*STREAM, F.session_window("ts", f"{timeout_us // 1_000_000} seconds").alias("w"))
+    return found.agg(F.count("*").alias("n_packets"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us")).drop("w")
 
 
 class _TcpStreams(StatefulProcessor):
-    """Segments of the open stream by sequence number; a FIN emits the stream if it is contiguous.
+    """Segments of the open stream by sequence number; a FIN, or no packet for IDLE_MS, emits the stream if it is contiguous.
 
     The state of a key holds one stream; rows of a batch come in any order and are taken by packet number."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.open = handle.getValueState("open", "started boolean")
         self.segments = handle.getMapState("segments", "seq long", "len long, ts_us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = list(rows)
-        found = []
-        for r in pd.concat(frames).sort_values("pkt_no").itertuples(index=False):
+        found, last = [], 0
+        for r in pd.concat(list(rows)).sort_values("pkt_no").itertuples(index=False):
+            last = max(last, int(r.ts_us) // 1000)
             if r.syn:
                 self.open.update((True,))
             if not self.open.exists():
@@ -72,8 +74,23 @@ class _TcpStreams(StatefulProcessor):
                 self.segments.updateValue((int(r.seq),), (int(r.len), int(r.ts_us)))
             if r.fin:
                 found += self._close(key)
+        if self.open.exists():
+            self._forget_timers()
+            self.handle.registerTimer(max(last, timerValues.getCurrentWatermarkInMs()) + IDLE_MS)
         if found:
-            yield pd.DataFrame(found, columns=[*STREAM, "n_packets", "first_us", "last_us"])
+            yield self._rows(found)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        found = self._close(key)
+        if found:
+            yield self._rows(found)
+
+    def _forget_timers(self) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+
+    def _rows(self, found: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(found, columns=[*STREAM, "n_packets", "first_us", "last_us"])
 
     def _close(self, key) -> list[tuple]:
         parts = sorted((k[0], *v) for k, v in self.segments.iterator())
@@ -86,14 +103,8 @@ class _TcpStreams(StatefulProcessor):
         pass
 
 
-def tcp_streams_live(spark: SparkSession, packets: DataFrame) -> DataFrame:
-    """Contiguous TCP streams as they close; the end of a capture is a FIN of each of its keys."""
-    folder = fresh_folder(spark, "tcp")
-    tcp = packets.filter("ip_proto = 6").select(*_KEPT)
-    ends = tcp.groupBy(*STREAM).agg((F.max("pkt_no") + 1).alias("pkt_no"), F.max("ts_us").alias("ts_us"))
-    ends = ends.selectExpr(*STREAM, "pkt_no", "ts_us", "6 AS ip_proto", "0L AS seq", "0 AS syn", "1 AS fin", "0 AS len")
-    rows = _replay(spark, tcp.unionByName(ends), folder)
+def tcp_streams_live(packets: DataFrame, late: str = LATE) -> DataFrame:
+    """Contiguous TCP streams as they close. The end of a capture, which closes what is open, is an idle time here."""
     schema = "file string, ip_src string, sport long, ip_dst string, dport int, n_packets long, first_us long, last_us long"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    found = rows.groupBy(*STREAM).transformWithStateInPandas(_TcpStreams(), outputStructType=schema, outputMode="Append", timeMode="None")
-    return _collect(spark, found, folder, "append")
+    keyed = packets.withWatermark("ts", late).groupBy(*STREAM)
+    return keyed.transformWithStateInPandas(_TcpStreams(), outputStructType=schema, outputMode="Append", timeMode="EventTime")
