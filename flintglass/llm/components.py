@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from .textops import cut
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (u, v); label is the smallest node of its component.
 
     Each round takes the smallest label among a node and its neighbours and then the label's own label; rounds are
-    written to the checkpoint folder, so that lineage stays short and lost executors cost one round at most."""
+    written to the checkpoint folder, so that lineage stays short and lost executors cost one round at most. Labels only
+    get smaller, so that the rounds end, after about the logarithm of the longest way."""
     both = cut(edges.select("u", "v").union(edges.select("v", "u")).filter("u <> v").distinct())
     labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
         step = labels.join(near.withColumnRenamed("u", "node"), "node").select("node", "label", F.least("label", "near").alias("next"))
         root = step.select(F.col("node").alias("next"), F.col("next").alias("jump"))
@@ -24,4 +25,3 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         labels = moved.select("node", F.col("next").alias("label"))
         if not changed:
             return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

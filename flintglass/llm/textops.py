@@ -138,6 +138,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(prefix: str, columns: list[str]) -> str:
+    """The prefix, lengthened until no column starts with it."""
+    while any(c.lower().startswith(prefix.lower()) for c in columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def hash_limit(rows: int, of: int) -> int | None:
     """Below this number lie about `rows` of `of` 63-bit hashes, never none; None where all are wanted."""
     return None if of <= rows else max(1, int(rows / of * 2.0**63))
