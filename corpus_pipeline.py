@@ -2,13 +2,14 @@
 
 STAGES are (name, function) pairs; each function takes (spark, docs, sf_dir) and gives the next stage's docs. Every stage
 is written as Parquet to the cluster's shared folder (spark.checkpoint.dir) and read again.
+
+Defined results of every stage: a row's fate depends on the row alone and on the group of copies it belongs to, never on
+other rows of the same doc_id; null texts count as empty ones; extra columns pass through unchanged, whatever their
+names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,49 +17,45 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from flintglass.llm import decontaminate, jaccard_join, line_crf, packing, secret_cnn
 from flintglass.llm.registry import default_tokenizer
-from flintglass.llm.textops import table
+from flintglass.llm.textops import slices, table, unused
+from flintglass.plans.shared import fresh_folder
 
 #: Near duplicates in the pipeline: five-word shingles, Jaccard similarity of 80 % or more.
 NEAR_NGRAM, NEAR_PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule or the line labels reject go."""
+    """Documents that the base rule or the line labels reject go. Null, empty and blank texts have too few words and go;
+    repeated rows share one verdict."""
     field = line_crf.fit(docs, table(spark, sf_dir, "labels"))
-    return line_crf.score_documents(docs, field, docs.columns, "_q_").filter("_q_kept").select(*docs.columns)
+    mark = unused("_q_", docs.columns)
+    return line_crf.score_documents(docs, field, docs.columns, mark).filter(F.col(mark + "kept")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each component stays, once."""
-    found = jaccard_join.link_components(docs, NEAR_NGRAM, NEAR_PERCENT)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    named = left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]) if _repeats(docs) else left.filter("doc_id IS NOT NULL")
-    return named.union(left.filter("doc_id IS NULL"))
-
-
-def _repeats(docs: DataFrame) -> bool:
-    ids = docs.filter("doc_id IS NOT NULL").select("doc_id")
-    return not ids.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    """One row of each component of near copies stays: that of the smallest doc_id (null ids last). Texts without words
+    link with nothing and stay; equal rows are copies of each other; a text under a doc_id that also stands on a copy stays."""
+    return jaccard_join.one_of_each(docs, NEAR_NGRAM, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with any benchmark window go."""
-    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), docs.columns, "_d_")
-    return found.filter(F.size("_d_hits") == 0).select(*docs.columns)
+    """Documents with any benchmark window go. Null and empty texts hold none and stay, as do all with an empty benchmark."""
+    mark = unused("_d_", docs.columns)
+    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), docs.columns, mark)
+    return found.filter(F.size(mark + "hits") == 0).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Found secrets are replaced by a mark in the text; n_chars follows the text where it is given."""
+    """Found secrets are replaced by a mark in the text; n_chars follows the text where it is given. Null texts stay null."""
     net = secret_cnn.fit(docs)
     schema = to_arrow_schema(docs.schema)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index("text")
-            texts = [secret_cnn.redacted(t, *secret_cnn.scan_text(t, net)) for t in batch.column(at).to_pylist()]
+            texts = batch.column(at).to_pylist()
             arrays = list(batch.columns)
-            arrays[at] = pa.array(texts, schema.field(at).type)
+            arrays[at] = pa.array([secret_cnn.redacted(t, *found) for t, found in zip(texts, secret_cnn.scan_texts(texts, net), strict=True)], schema.field(at).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     clean = docs.mapInArrow(run, docs.schema)
@@ -66,6 +63,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences. A null or empty text is one piece of the end mark alone; equal rows give pieces each."""
     return packing.pack_documents(docs, default_tokenizer())
 
 
@@ -75,8 +73,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-", dir="/tmp")
-    folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    folder = fresh_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
