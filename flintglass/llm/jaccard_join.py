@@ -225,24 +225,27 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, ngram: int,
     return both.filter(100 * common >= percent * (F.size("ta") + F.size("tb") - common)).select("a", "b")
 
 
-def _shared_tokens(sets: DataFrame) -> DataFrame:
-    """(token, cls, n, pos, low, high) of the tokens in prefixes of several classes, with two of their classes as leaders."""
+def _shared_tokens(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """(token, cls, n, pos, low, low_n, high, high_n) of the tokens in prefixes of several classes, with two of their
+    classes as leaders and the leaders' set sizes."""
     rows = sets.filter("p0 IS NOT NULL").select("cls", "n", F.posexplode("p0").alias("pos", "token"))
     leaders = rows.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high")
-    return rows.join(leaders.hint("shuffle_hash"), "token")
+    for name in LEADERS:
+        leaders = leaders.join(members.select(F.col("cls").alias(name), F.col("n").alias(f"{name}_n")), name)
+    return rows.join(cut(leaders).hint("shuffle_hash"), "token")
 
 
 def class_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, orders: int = ORDERS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, cls) of every document, and (cls, first_doc, copies, comp) of every class with words."""
     sets = cut(signatures(docs, ngram, percent, frequent_shingles(docs, ngram), orders))
-    members = cut(sets.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")))
-    shared = cut(_shared_tokens(sets))
+    members = cut(sets.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.max("n").alias("n")))
+    shared = cut(_shared_tokens(sets, members))
 
     edges, labels, tested = None, None, None
     for leader in (*LEADERS, None):
         label = lambda rows, name, to: rows.withColumn(to, F.col(name)) if labels is None else rows.join(labels.select(F.col("node").alias(name), F.col("label").alias(to)), name, "left").withColumn(to, F.coalesce(to, name))  # noqa: E731, B023
         if leader is not None:
-            pairs = _star_pairs(label(label(shared, "cls", "label"), leader, "lead_label"), leader)
+            pairs = _star_pairs(label(label(shared, "cls", "label"), leader, "lead_label"), leader, percent)
         else:
             pairs = _cross_pairs(label(shared, "cls", "label"), percent)
         if tested is not None:
@@ -257,7 +260,7 @@ def class_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT
     known = members.withColumn("comp", F.col("cls"))
     if labels is not None:
         known = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("label", "cls")).drop("label")
-    return sets.select("doc_id", "n", "cls"), known
+    return sets.select("doc_id", "n", "cls"), known.drop("n")
 
 
 def link_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
@@ -269,9 +272,9 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _star_pairs(rows: DataFrame, leader: str) -> DataFrame:
-    """One partner for each class: of the leaders of its tokens in other components, the one met most often."""
-    led = rows.filter(F.col("label") != F.col("lead_label"))
+def _star_pairs(rows: DataFrame, leader: str, percent: int) -> DataFrame:
+    """One partner for each class: of the leaders of its tokens in other components and of fitting size, the one met most often."""
+    led = rows.filter((F.col("label") != F.col("lead_label")) & _fits(F.col("n"), F.col(f"{leader}_n"), percent))
     counted = led.groupBy("cls", F.col(leader).alias("other")).agg(F.count("*").alias("n_shared"))
     best = counted.groupBy("cls").agg(F.max_by("other", F.struct("n_shared", "other")).alias("other"))
     return best.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
