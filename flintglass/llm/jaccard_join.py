@@ -8,7 +8,7 @@ EVERY order the two prefixes share a token and their known parts differ in no mo
 then the whole sets are compared. Both filters are exact: no link is lost.
 
 Groups of near copies are not expanded into pairs. First each class is compared with one leader of its tokens (the class
-of the smallest key, then of the largest), the one with which it shares most of them; components of the links found are
+of the smallest doc_id, then of the largest), the one with which it shares most of them; components of the links found are
 joined; after these rounds, whether or not they found anything, the classes of different components that share a prefix
 token are compared, each component's classes only with those of others. What is known of a token (its leaders) is
 aggregated before the shuffle, and joins by a token, class or component have plain exchanges on both sides, so that
@@ -226,13 +226,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, ngram: int,
 
 
 def _shared_tokens(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """(token, cls, n, pos, low, low_n, high, high_n) of the tokens in prefixes of several classes, with two of their
-    classes as leaders and the leaders' set sizes."""
-    rows = sets.filter("p0 IS NOT NULL").select("cls", "n", F.posexplode("p0").alias("pos", "token"))
-    leaders = rows.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high")
+    """(token, cls, n, pos, low, low_n, high, high_n) of the tokens in prefixes of several classes, with their classes of
+    smallest and largest doc_id as leaders (null where no row has an id) and the leaders' set sizes."""
+    chosen = sets.filter("p0 IS NOT NULL")
+    rows = chosen.select("cls", "n", "doc_id", F.posexplode("p0").alias("pos", "token"))
+    leaders = rows.groupBy("token").agg(F.min("cls").alias("one"), F.max("cls").alias("other"), F.min("doc_id").alias("low_doc"), F.max("doc_id").alias("high_doc")).filter("one <> other").drop("one", "other")
+    of_doc = cut(chosen.groupBy("doc_id").agg(F.min("cls").alias("cls")).join(members.select("cls", "n"), "cls"))
     for name in LEADERS:
-        leaders = leaders.join(members.select(F.col("cls").alias(name), F.col("n").alias(f"{name}_n")), name)
-    return rows.join(cut(leaders).hint("shuffle_hash"), "token")
+        leaders = leaders.join(of_doc.select(F.col("doc_id").alias(f"{name}_doc"), F.col("cls").alias(name), F.col("n").alias(f"{name}_n")), f"{name}_doc", "left").drop(f"{name}_doc")
+    return rows.drop("doc_id").join(cut(leaders).hint("shuffle_hash"), "token")
 
 
 def class_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, orders: int = ORDERS) -> tuple[DataFrame, DataFrame]:
@@ -285,13 +287,15 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
     Tokens with the same members give the same pairs, so that the first of them in the order stands for all; the first
     token that a pair shares is always among those kept, and the position bound holds for it. The components that meet
-    in a token are paired first, so that no two classes of one component meet."""
+    in a token are paired first, by the ranges of their sizes and places, so that no two classes of one component meet."""
     rows = rows.select("token", "cls", "n", "pos", "label").distinct()
     alike = rows.groupBy("token").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"), F.min("label").alias("low"), F.max("label").alias("high"))
     first = alike.filter("low <> high").groupBy("k", "x", "y").agg(F.min("token").alias("token")).select("token")
     rows = cut(rows.join(first, "token", "left_semi"))
-    met = cut(rows.select("token", "label").distinct())
-    meeting = met.withColumnRenamed("label", "la").join(met.withColumnRenamed("label", "lb"), "token").filter("la < lb")
+    met = cut(rows.groupBy("token", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest")))
+    side = lambda s: met.select("token", F.col("label").alias(f"l{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("least", "most", "rest")))
+    could = (100 * F.least("most_a", "most_b") >= percent * F.greatest("least_a", "least_b")) & (F.least("rest_a", "rest_b") >= F.ceil(F.lit(percent) * (F.col("least_a") + F.col("least_b")) / F.lit(100 + percent)))
+    meeting = side("a").join(side("b"), "token").filter((F.col("la") < F.col("lb")) & could).select("token", "la", "lb")
     one = lambda s: rows.select("token", F.col("cls").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"i{s}"), F.col("label").alias(f"l{s}"))
     na, nb = F.col("na"), F.col("nb")
     least = F.ceil(F.lit(percent) * (na + nb) / F.lit(100 + percent))
