@@ -7,12 +7,11 @@ common lines and passages hardly ever stand in a prefix. The first order propose
 EVERY order the two prefixes share a token and their known parts differ in no more tokens than the threshold allows;
 then the whole sets are compared. Both filters are exact: no link is lost.
 
-Groups of near copies are not expanded into pairs. First each class is compared with one leader of its tokens (the class
-of the smallest doc_id, then of the largest), the one with which it shares most of them; components of the links found are
-joined; after these rounds, whether or not they found anything, the classes of different components that share a prefix
-token are compared, each component's classes only with those of others. What is known of a token (its leaders) is
-aggregated before the shuffle, and joins by a token, class or component have plain exchanges on both sides, so that
-Spark can split a hot one. Result: one row for each document with its class and component.
+Groups of near copies are not expanded into pairs. First each class is compared with the class of smallest doc_id with
+which it shares most prefix tokens; components of the links found are joined; after some such rounds, whether or not
+they found anything, all pairs that share a prefix token and lie in different components are compared. Result: one row
+for each document with its class and component. The windows and the join by a prefix token hold all classes of the token
+in one task; prefix tokens are rare ones, but for those of a large group of near copies.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing, not even with each other (each is
 its own component); repeated rows give one row each; a null doc_id never names a component that has another id; an
@@ -28,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window
 
 from .components import components
 from .textops import cut, lower_ascii, mix, shingle_hashes, slices, unused, word_hashes
@@ -39,8 +39,8 @@ FREQUENT = 400_000
 LOCAL_COUNT, LEAST_DOCUMENTS = 3, 6
 #: A task's counter is thinned beyond so many distinct shingles.
 COUNTER = 1_500_000
-#: Leaders of a token by which the first rounds take one partner a class, before all remaining pairs are compared.
-LEADERS = ("low", "high")
+#: Rounds with one partner a class before all remaining pairs are compared.
+STAR_ROUNDS = 2
 #: Classes to verify are broadcast (two numbers each) up to so many rows, and joined by a shuffle of the texts beyond.
 BROADCAST_ROWS = 100_000
 _TOP = np.uint64(1 << 63)
@@ -172,22 +172,13 @@ def class_key(tokens: np.ndarray) -> int:
     return int(mix(np.array([a ^ mix(b[None] + np.uint64(len(tokens)), 103)[0]], np.uint64), 104).view(np.int64)[0])
 
 
-def _of_classes(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows (with a column cls) of the classes in the pairs."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
-    small = wanted.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(wanted) if small else wanted, "cls", "left_semi")
-
-
 def _near(pairs: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
     """Pairs (a, b) that pass the prefix filters of all orders."""
-    prefixes = sets.filter("p0 IS NOT NULL").select("cls", "n", *(f"p{k}" for k in range(orders)))
-    chosen = cut(_of_classes(prefixes, pairs).dropDuplicates(["cls"]))
-    side = lambda s: chosen.select(F.col("cls").alias(s), F.col("n").alias(f"n{s}"), *(F.col(f"p{k}").alias(f"{s}{k}") for k in range(orders)))
+    side = lambda s: sets.select(F.col("cls").alias(s), F.col("n").alias(f"n{s}"), *(F.col(f"p{k}").alias(f"{s}{k}") for k in range(orders)))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     na, nb = F.col("na"), F.col("nb")
     spare = na + nb - 2 * F.ceil(F.lit(percent) * (na + nb) / F.lit(100 + percent))
-    keep = _fits(na, nb, percent)
+    keep = (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
     for k in range(orders):
         a, b = F.col(f"a{k}"), F.col(f"b{k}")
         last = F.least(F.element_at(a, -1), F.element_at(b, -1))
@@ -199,7 +190,7 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataF
 
 def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, ngram: int, percent: int) -> DataFrame:
     """Pairs whose whole sets reach the threshold; the sets are made again from the texts of the classes in question."""
-    wanted = cut(_of_classes(members.select("cls", F.col("first_doc").alias("doc_id")), pairs))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(members, "cls").select("cls", F.col("first_doc").alias("doc_id"))
     schema = pa.schema([("cls", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,56 +204,55 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, ngram: int,
                     sets.append(tokens.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, schema.field("tokens").type)], schema=schema)
 
+    wanted = cut(wanted)
     texts = docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text")
     small = wanted.count() <= BROADCAST_ROWS
     known = texts.join(F.broadcast(wanted) if small else wanted.hint("shuffle_hash"), "doc_id").select("cls", "text")
     nameless = texts.filter("doc_id IS NULL").selectExpr("CAST(NULL AS LONG) AS cls", "text")  # found by their class only
     made = [x.mapInArrow(run, "cls long, tokens array<long>") for x in (known, nameless)]
-    sets = cut(made[0].union(made[1].join(wanted.select("cls"), "cls", "left_semi")).dropDuplicates(["cls"]))
+    sets = made[0].union(made[1].join(wanted.select("cls"), "cls", "left_semi")).dropDuplicates(["cls"])
     side = lambda s: sets.select(F.col("cls").alias(s), F.col("tokens").alias(f"t{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("ta", "tb"))
     return both.filter(100 * common >= percent * (F.size("ta") + F.size("tb") - common)).select("a", "b")
 
 
-def _shared_tokens(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """(token, cls, n, pos, low, low_n, high, high_n) of the tokens in prefixes of several classes, with their classes of
-    smallest and largest doc_id as leaders (null where no row has an id) and the leaders' set sizes."""
-    chosen = sets.filter("p0 IS NOT NULL")
-    rows = chosen.select("cls", "n", "doc_id", F.posexplode("p0").alias("pos", "token"))
-    leaders = rows.groupBy("token").agg(F.min("cls").alias("one"), F.max("cls").alias("other"), F.min("doc_id").alias("low_doc"), F.max("doc_id").alias("high_doc")).filter("one <> other").drop("one", "other")
-    of_doc = cut(chosen.groupBy("doc_id").agg(F.min("cls").alias("cls")).join(members.select("cls", "n"), "cls"))
-    for name in LEADERS:
-        leaders = leaders.join(of_doc.select(F.col("doc_id").alias(f"{name}_doc"), F.col("cls").alias(name), F.col("n").alias(f"{name}_n")), f"{name}_doc", "left").drop(f"{name}_doc")
-    return rows.drop("doc_id").join(cut(leaders).hint("shuffle_hash"), "token")
-
-
 def class_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, orders: int = ORDERS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, cls) of every document, and (cls, first_doc, copies, comp) of every class with words."""
     sets = cut(signatures(docs, ngram, percent, frequent_shingles(docs, ngram), orders))
-    members = cut(sets.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.max("n").alias("n")))
-    shared = cut(_shared_tokens(sets, members))
+    members = cut(sets.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")))
+    chosen = sets.filter("p0 IS NOT NULL").select("cls", "n", *(f"p{k}" for k in range(orders))).dropDuplicates(["cls"])
+    rows = sets.filter("p0 IS NOT NULL").select("cls", "n", "doc_id", F.posexplode("p0").alias("pos", "token"))
+    by_token = Window.partitionBy("token").orderBy("doc_id", "cls")
+    shared = rows.withColumn("before", F.lag("cls").over(by_token)).withColumn("after", F.lead("cls").over(by_token))
+    shared = cut(shared.filter(F.coalesce(F.col("before") != F.col("cls"), F.lit(False)) | F.coalesce(F.col("after") != F.col("cls"), F.lit(False))).select("token", "cls", "n", "pos", "doc_id"))
 
     edges, labels, tested = None, None, None
-    for leader in (*LEADERS, None):
-        label = lambda rows, name, to: rows.withColumn(to, F.col(name)) if labels is None else rows.join(labels.select(F.col("node").alias(name), F.col("label").alias(to)), name, "left").withColumn(to, F.coalesce(to, name))  # noqa: E731, B023
-        if leader is not None:
-            pairs = _star_pairs(label(label(shared, "cls", "label"), leader, "lead_label"), leader, percent)
+    for turn in range(STAR_ROUNDS + 1):
+        at = shared
+        if labels is not None:
+            at = shared.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+            mixed = at.groupBy("token").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("token")
+            at = at.join(mixed, "token", "left_semi")
+        elif turn == STAR_ROUNDS:
+            at = shared.withColumn("label", F.col("cls"))  # no link yet: each class is its own component
+        if turn < STAR_ROUNDS:
+            pairs = _star_pairs(at, turn, percent, labels is not None)
         else:
-            pairs = _cross_pairs(label(shared, "cls", "label"), percent)
+            pairs = _all_pairs(at, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         if pairs.isEmpty():
             continue  # a round without a new partner says nothing about the pairs of the last round
         tested = pairs if tested is None else tested.union(pairs)
-        found = cut(_verified(cut(_near(pairs, sets, percent, orders)), docs, members, ngram, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        found = cut(_verified(cut(_near(pairs, chosen, percent, orders)), docs, members, ngram, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
         edges = found if edges is None else cut(edges.union(found))
         labels = components(edges)
     known = members.withColumn("comp", F.col("cls"))
     if labels is not None:
         known = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("label", "cls")).drop("label")
-    return sets.select("doc_id", "n", "cls"), known.drop("n")
+    return sets.select("doc_id", "n", "cls"), known
 
 
 def link_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
@@ -274,34 +264,34 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _star_pairs(rows: DataFrame, leader: str, percent: int) -> DataFrame:
-    """One partner for each class: of the leaders of its tokens in other components and of fitting size, the one met most often."""
-    led = rows.filter((F.col("label") != F.col("lead_label")) & _fits(F.col("n"), F.col(f"{leader}_n"), percent))
-    counted = led.groupBy("cls", F.col(leader).alias("other")).agg(F.count("*").alias("n_shared"))
+def _star_pairs(rows: DataFrame, turn: int, percent: int, labelled: bool) -> DataFrame:
+    """One partner for each class: of the leaders of its tokens, the one met most often.
+
+    Leaders are the member of smallest doc_id in the first turn and of largest doc_id after it."""
+    order = [F.col("doc_id").asc() if turn % 2 == 0 else F.col("doc_id").desc(), F.col("cls").asc()]
+    w = Window.partitionBy("token").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    led = rows.withColumn("lead", F.first(F.struct("cls", "n", *(["label"] if labelled else []))).over(w))
+    apart = F.col("lead.label") != F.col("label") if labelled else F.col("lead.cls") != F.col("cls")
+    led = led.filter(apart & _fits(F.col("lead.n"), F.col("n"), percent))
+    counted = led.groupBy("cls", F.col("lead.cls").alias("other")).agg(F.count("*").alias("n_shared"))
     best = counted.groupBy("cls").agg(F.max_by("other", F.struct("n_shared", "other")).alias("other"))
     return best.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
 
 
-def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
+def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components that share a token and fit in size and position.
 
     Tokens with the same members give the same pairs, so that the first of them in the order stands for all; the first
-    token that a pair shares is always among those kept, and the position bound holds for it. The components that meet
-    in a token are paired first, by the ranges of their sizes and places, so that no two classes of one component meet."""
+    token that a pair shares is always among those kept, and the position bound holds for it."""
     rows = rows.select("token", "cls", "n", "pos", "label").distinct()
-    alike = rows.groupBy("token").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"), F.min("label").alias("low"), F.max("label").alias("high"))
-    first = alike.filter("low <> high").groupBy("k", "x", "y").agg(F.min("token").alias("token")).select("token")
-    rows = cut(rows.join(first, "token", "left_semi"))
-    met = cut(rows.groupBy("token", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest")))
-    side = lambda s: met.select("token", F.col("label").alias(f"l{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("least", "most", "rest")))
-    could = (100 * F.least("most_a", "most_b") >= percent * F.greatest("least_a", "least_b")) & (F.least("rest_a", "rest_b") >= F.ceil(F.lit(percent) * (F.col("least_a") + F.col("least_b")) / F.lit(100 + percent)))
-    meeting = side("a").join(side("b"), "token").filter((F.col("la") < F.col("lb")) & could).select("token", "la", "lb")
+    alike = rows.groupBy("token").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
+    first = alike.groupBy("k", "x", "y").agg(F.min("token").alias("token")).select("token")
+    rows = rows.join(first, "token", "left_semi")
     one = lambda s: rows.select("token", F.col("cls").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"i{s}"), F.col("label").alias(f"l{s}"))
     na, nb = F.col("na"), F.col("nb")
     least = F.ceil(F.lit(percent) * (na + nb) / F.lit(100 + percent))
-    near = _fits(na, nb, percent) & (F.least(na - F.col("ia"), nb - F.col("ib")) >= least)
-    both = meeting.join(one("a"), ["token", "la"]).join(one("b"), ["token", "lb"])
-    return both.filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _fits(na, nb, percent) & (F.least(na - F.col("ia"), nb - F.col("ib")) >= least)
+    return one("a").join(one("b"), "token").filter(near).select("a", "b").distinct()
 
 
 def _named(sets: DataFrame, known: DataFrame) -> DataFrame:
@@ -333,8 +323,9 @@ def one_of_each(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, ord
 
     mark = unused("_join_", docs.columns)
     keyed = with_class(docs.withColumn(mark + "id", F.col("doc_id").cast("long")), ngram, mark + "cls")
-    fate = grouped.join(winners, "comp").select(*(F.col(c).alias(mark + c) for c in ("cls", "comp", "win_doc", "win_cls", "repeated")))
-    judged = keyed.join(fate, mark + "cls", "left")
+    fate = cut(grouped.join(winners, "comp").select(*(F.col(c).alias(mark + c) for c in ("cls", "comp", "win_doc", "win_cls", "repeated"))))
+    small = fate.count() <= BROADCAST_ROWS  # five numbers a row
+    judged = keyed.join(F.broadcast(fate) if small else fate, mark + "cls", "left")
     is_first = F.col(mark + "id").eqNullSafe(F.col(mark + "win_doc")) & (F.col(mark + "cls") == F.col(mark + "win_cls"))
     stays, twice = F.col(mark + "comp").isNull() | is_first, F.coalesce(F.col(mark + "repeated"), F.lit(False))
     kept = judged.filter(stays & ~twice).select(*docs.columns)
