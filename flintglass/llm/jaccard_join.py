@@ -61,14 +61,18 @@ def frequent_shingles(docs: DataFrame, ngram: int, most: int = FREQUENT) -> tupl
         waiting: list[np.ndarray] = []
 
         def fold() -> None:
+            """Merge what waits into the counter; only the new part is sorted."""
             nonlocal tokens, counts
-            every = np.concatenate([tokens, *waiting])
-            n = np.concatenate([counts, np.ones(len(every) - len(tokens), np.int32)])
+            if not waiting:
+                return
+            fresh, n = np.unique(np.concatenate(waiting), return_counts=True)
             waiting.clear()
-            order = np.argsort(every, kind="stable")
-            every, n = every[order], n[order]
-            starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, int)
-            tokens, counts = every[starts], np.add.reduceat(n, starts, dtype=np.int32) if len(starts) else n
+            at = np.searchsorted(tokens, fresh)
+            known = np.zeros(len(fresh), bool)
+            known[at < len(tokens)] = tokens[at[at < len(tokens)]] == fresh[at < len(tokens)]
+            counts[at[known]] += n[known].astype(np.int32)
+            counts = np.insert(counts, at[~known], n[~known].astype(np.int32))
+            tokens = np.insert(tokens, at[~known], fresh[~known])
             least = 1
             while len(tokens) > COUNTER:
                 least += 1

@@ -37,7 +37,7 @@ GROUP = 8_000
 #: Nodes of the search for one filling in the two dives, and of the branch and bound over all sequences of a group.
 FILL_NODES, NODES = (300, 3_000), 60_000
 #: Pre-tokens whose ids a Python worker remembers.
-CACHE = 500_000
+CACHE = 250_000
 #: New pre-tokens encoded in one call.
 JOINED = 4_000
 #: Characters of the texts that are cut at a time.

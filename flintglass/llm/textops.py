@@ -111,10 +111,13 @@ def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches; an empty batch stays."""
+    """The same rows in smaller batches; an empty batch stays. After the last one Arrow gives its unused memory back, as
+    the worker may wait for later tasks."""
     for batch in batches:
         for at in range(0, max(1, batch.num_rows), rows):
             yield batch.slice(at, rows)
+    batch = None
+    pa.default_memory_pool().release_unused()
 
 
 def per_row(columns: list[str], schema: pa.Schema, fn: Callable[..., tuple], keep: list[str] | None = None):

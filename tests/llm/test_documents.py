@@ -1,6 +1,7 @@
 """Brute-force versions of the document operators, compared on the smallest tables and on hand-made rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -383,6 +384,15 @@ def test_jaccard(spark, docs, empty):
     assert jaccard_join.link_components(empty).count() == 0
 
 
+def test_frequent_shingles_are_counted_over_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LOCAL_COUNT", 1)
+    texts = [" ".join(random.Random(i).choices("abcdefg", k=40)) for i in range(300)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    expected = Counter(x for t in set(texts) for x in jaccard_join.shingle_set(t, 3).tolist())
+    tokens, counts = jaccard_join.frequent_shingles(docs, 3)
+    assert dict(zip(tokens.tolist(), counts.tolist(), strict=True)) == {x: n for x, n in expected.items() if n >= jaccard_join.LEAST_DOCUMENTS}
+
+
 def test_jaccard_compares_all_pairs_when_stars_find_none(spark):
     passage = [f"p{i}" for i in range(102)]
     long = lambda name: " ".join(passage + [f"{name}{i}" for i in range(200)])
