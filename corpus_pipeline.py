@@ -22,11 +22,20 @@ from flintglass.plans.shared import fresh_folder
 
 #: Near duplicates in the pipeline: five-word shingles, Jaccard similarity of 80 % or more.
 NEAR_NGRAM, NEAR_PERCENT = 5, 80
+#: Rows of an Arrow batch; whole texts travel in them, and the JVM keeps the room of the largest ones.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS rows, unless they are smaller already."""
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the line labels reject go. Null, empty and blank texts have too few words and go;
     repeated rows share one verdict."""
+    small_batches(spark)
     field = line_crf.fit(docs, table(spark, sf_dir, "labels"))
     mark = unused("_q_", docs.columns)
     return line_crf.score_documents(docs, field, docs.columns, mark).filter(F.col(mark + "kept")).select(*docs.columns)
@@ -35,11 +44,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near copies stays: that of the smallest doc_id (null ids last). Texts without words
     link with nothing and stay; equal rows are copies of each other; a text under a doc_id that also stands on a copy stays."""
+    small_batches(spark)
     return jaccard_join.one_of_each(docs, NEAR_NGRAM, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with any benchmark window go. Null and empty texts hold none and stay, as do all with an empty benchmark."""
+    small_batches(spark)
     mark = unused("_d_", docs.columns)
     found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), docs.columns, mark)
     return found.filter(F.size(mark + "hits") == 0).select(*docs.columns)
@@ -47,6 +58,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Found secrets are replaced by a mark in the text; n_chars follows the text where it is given. Null texts stay null."""
+    small_batches(spark)
     net = secret_cnn.fit(docs)
     schema = to_arrow_schema(docs.schema)
 
@@ -64,6 +76,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences. A null or empty text is one piece of the end mark alone; equal rows give pieces each."""
+    small_batches(spark)
     return packing.pack_documents(docs, default_tokenizer())
 
 
