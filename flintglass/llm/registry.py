@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_tree, jaccard_join, lang_hd, license_rules, line_crf, merkle_query, packing, pii_boost, secret_cnn
+from . import bpe_tree, conversation_trie, decontaminate, html_tree, jaccard_join, lang_hd, license_rules, line_crf, merkle_query, packing, pii_boost, secret_cnn
 from .textops import table
 
 
@@ -16,6 +16,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_tokenizer() -> str:
+    """Path of the public byte-level vocabulary file; bpe_tree.encode takes any other of that kind."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_crf.score_documents(docs, line_crf.fit(docs, table(spark, sf_dir, "labels")))
@@ -63,5 +70,14 @@ def op10_secret_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_cnn.report(docs, secret_cnn.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_crf, op2_merkle_fixity, op3_pii_boosting, op4_license_rules, op5_language_hd, op6_bin_completion, op7_html_tree, op8_jaccard_join, op9_decontamination, op10_secret_cnn)}
-ORACLE_SQL = {"op2_merkle_fixity": merkle_query.SQL}
+def op11_segment_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe_tree.encode(table(spark, sf_dir, "documents"), byte_tokenizer(), decoded=True)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_crf, op2_merkle_fixity, op3_pii_boosting, op4_license_rules, op5_language_hd, op6_bin_completion, op7_html_tree, op8_jaccard_join, op9_decontamination, op10_secret_cnn, op11_segment_bpe, op12_conversation_trie)}
+ORACLE_SQL = {"op2_merkle_fixity": merkle_query.SQL, "op12_conversation_trie": conversation_trie.SQL}

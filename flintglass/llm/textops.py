@@ -120,6 +120,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
     pa.default_memory_pool().release_unused()
 
 
+def groups(texts: list[str | None], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Runs (from, to) of texts of about `chars` characters; no run for no texts."""
+    lo = size = 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= chars or i + 1 == len(texts):
+            yield lo, i + 1
+            lo, size = i + 1, 0
+
+
 def per_row(columns: list[str], schema: pa.Schema, fn: Callable[..., tuple], keep: list[str] | None = None):
     """A mapInArrow function: fn(*values of `columns`) -> values of the new fields; `keep` columns pass through."""
     keep = keep or []
