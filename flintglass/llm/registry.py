@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, conversation_trie, decontaminate, html_tree, jaccard_join, lang_hd, license_rules, line_crf, merkle_query, packing, pii_boost, secret_cnn
+from . import bpe_tree, conversation_trie, decontaminate, dual_tree, html_tree, jaccard_join, lang_hd, license_rules, line_crf, merkle_query, packing, pii_boost, secret_cnn
 from .textops import table
 
 
@@ -79,5 +79,9 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_crf, op2_merkle_fixity, op3_pii_boosting, op4_license_rules, op5_language_hd, op6_bin_completion, op7_html_tree, op8_jaccard_join, op9_decontamination, op10_secret_cnn, op11_segment_bpe, op12_conversation_trie)}
-ORACLE_SQL = {"op2_merkle_fixity": merkle_query.SQL, "op12_conversation_trie": conversation_trie.SQL}
+def op13_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_crf, op2_merkle_fixity, op3_pii_boosting, op4_license_rules, op5_language_hd, op6_bin_completion, op7_html_tree, op8_jaccard_join, op9_decontamination, op10_secret_cnn, op11_segment_bpe, op12_conversation_trie, op13_dual_tree_search)}
+ORACLE_SQL = {"op2_merkle_fixity": merkle_query.SQL, "op12_conversation_trie": conversation_trie.SQL, "op13_dual_tree_search": dual_tree.SQL}
