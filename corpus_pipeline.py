@@ -10,6 +10,9 @@ names; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,12 +29,29 @@ NEAR_NGRAM, NEAR_PERCENT = 5, 80
 BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 
 
+#: Columns that stages read by name.
+OWN_COLUMNS = ("doc_id", "text", "n_chars")
+
+
+def any_names(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage over a table whose other columns have any names: they bear plain ones while it runs."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain = docs.toDF(*(c if c in OWN_COLUMNS else f"extra_{i}" for i, c in enumerate(docs.columns)))
+        return stage(spark, plain, sf_dir).toDF(*docs.columns)
+
+    return run
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to BATCH_ROWS rows, unless they are smaller already."""
+    """Sets the session's Arrow batches to BATCH_ROWS rows, unless they are smaller already. A stage's rows are made when
+    its caller writes them, so that the setting has to stay until then; run() gives the old one back."""
     if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
         spark.conf.set(BATCH_SETTING, BATCH_ROWS)
 
 
+@any_names
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the line labels reject go. Null, empty and blank texts have too few words and go;
     repeated rows share one verdict."""
@@ -41,6 +61,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_crf.score_documents(docs, field, docs.columns, mark).filter(F.col(mark + "kept")).select(*docs.columns)
 
 
+@any_names
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near copies stays: that of the smallest doc_id (null ids last). Texts without words
     link with nothing and stay; equal rows are copies of each other; a text under a doc_id that also stands on a copy stays."""
@@ -48,6 +69,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard_join.one_of_each(docs, NEAR_NGRAM, NEAR_PERCENT)
 
 
+@any_names
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with any benchmark window go. Null and empty texts hold none and stay, as do all with an empty benchmark."""
     small_batches(spark)
@@ -56,6 +78,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return found.filter(F.size(mark + "hits") == 0).select(*docs.columns)
 
 
+@any_names
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Found secrets are replaced by a mark in the text; n_chars follows the text where it is given. Null texts stay null."""
     small_batches(spark)
@@ -87,8 +110,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    docs, batch_rows = table(spark, sf_dir, "documents"), spark.conf.get(BATCH_SETTING)
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+    finally:
+        spark.conf.set(BATCH_SETTING, batch_rows)
     return docs
