@@ -35,7 +35,11 @@ CAPACITY, END_ID = 4096, 1
 #: Pieces of a packing group.
 GROUP = 8_000
 #: Nodes of the search for one filling in the two dives, and of the branch and bound over all sequences of a group.
-FILL_NODES, NODES = (300, 3_000), 60_000
+FILL_NODES, NODES = (300, 3_000), 400_000
+#: Of the search: sequences beside the wasteful ones, waste above one sequence (a part of it), nodes of a try, tries without gain.
+TOGETHER, SPARE, TRY_NODES, TURNS = 24, 1, 10_000, 60
+#: Waste of the first fillings that are made.
+FIRST_WASTE = 8
 #: Pre-tokens whose ids a Python worker remembers.
 CACHE = 250_000
 #: New pre-tokens encoded in one call.
@@ -222,38 +226,42 @@ class Pieces:
 
 
 def fullest(room: int, left: Pieces, nodes: int) -> list[int]:
-    """A filling of `room` with the least waste found, larger pieces first; at most about `nodes` steps."""
+    """A filling of `room` with the least waste found, larger pieces first; at most about `nodes` steps. Equal pieces are
+    taken in one step, so that the search is no deeper than the different lengths whose sum fits."""
     sizes, count = left.sizes, left.count
-    best: list[int] = []
+    best: list[tuple[int, int]] = []
     least, budget = room, nodes
 
-    def descend(room: int, high: int, chosen: list[int]) -> bool:
+    def descend(room: int, high: int, chosen: list[tuple[int, int]]) -> bool:
         nonlocal best, least, budget
         if room < least:
             best, least = chosen[:], room
         if room == 0:
             return True
-        if high and room <= sizes[high - 1] and count.get(room, 0) > chosen.count(room):
-            best, least = [*chosen, room], 0
+        if high and room <= sizes[high - 1] and room in count:
+            best, least = [*chosen, (room, 1)], 0
             return True
         at = bisect_right(sizes, room, 0, high) - 1
         while at >= 0 and budget > 0:
             v = sizes[at]
-            budget -= 1
-            if count[v] > chosen.count(v):
-                rest = room - v
-                if rest and rest - least >= 7 * v:
-                    break  # a dive leaves the many small pieces to later sequences; the search below knows no such rule
-                chosen.append(v)
-                done = descend(rest, at + 1, chosen)
+            most = min(count[v], room // v)
+            for k in range(most, 0, -1):
+                budget -= 1
+                rest = room - k * v
+                if k == most and rest and rest - least >= 7 * v:
+                    return False  # a dive leaves the many small pieces to later sequences; the search below knows no such rule
+                chosen.append((v, k))
+                done = descend(rest, at, chosen)
                 chosen.pop()
                 if done:
                     return True
+                if budget <= 0:
+                    break
             at -= 1
         return False
 
     descend(room, len(sizes), [])
-    return best
+    return [v for v, k in best for _ in range(k)]
 
 
 def dive(lengths: list[int], capacity: int, nodes: int) -> list[list[int]]:
@@ -288,29 +296,36 @@ class OutOfNodes(Exception):
     pass
 
 
-def fillings(room: int, left: Pieces, spend) -> list[list[int]]:
-    """All undominated fillings of `room`, from the least waste on; the empty one if nothing fits."""
-    found: list[list[int]] = []
-
-    def descend(room_left: int, high: int, chosen: list[int]) -> None:
-        spend()
-        at = bisect_right(left.sizes, room_left, 0, high) - 1
-        if (at < 0 or all(left.count[v] == chosen.count(v) for v in left.sizes[: at + 1])) and not dominated(chosen, room, left):
-            found.append(chosen[:])
-        while at >= 0:
-            v = left.sizes[at]
-            if left.count[v] > chosen.count(v):
-                chosen.append(v)
-                descend(room_left - v, at + 1, chosen)
-                chosen.pop()
-            at -= 1
-
-    descend(room, len(left.sizes), [])
-    return sorted(found, key=lambda f: (-sum(f), [-v for v in f]))
-
-
-def branch_and_bound(lengths: list[int], capacity: int, best: list[list[int]], bound: int, nodes: int) -> tuple[list[list[int]], bool]:
-    """The best packing found, as lists of lengths, and whether it is proved to need the fewest sequences."""
+def fillings(room: int, left: Pieces, most_waste: int, spend, even: bool = False) -> Iterator[list[int]]:
+    """Undominated fillings of `room` that waste no more than `most_waste`, one by one, from the least waste on. They are
+    made for a range of wastes at a time, as the search asks for them; the empty one is among them. Of equal wastes the one
+    with the largest pieces comes first or, if `even`, the one whose largest piece is smallest."""
+    sizes, count = left.sizes[: bisect_right(left.sizes, room)], left.count
+    below = [0]
+    for v in sizes:
+        below.append(below[-1] + v * count[v])
+    low, high = 0, min(most_waste, FIRST_WASTE)
+    while low <= most_waste:
+        found: list[list[int]] = []
+        waiting = [(room, len(sizes), ())]
+        while waiting:
+            rest, top, chosen = waiting.pop()
+            spend()
+            if low <= rest <= high:
+                found.append([v for v, k in chosen for _ in range(k)])
+            for at in range(bisect_right(sizes, rest, 0, top) - 1, -1, -1):
+                if rest - below[at + 1] > high:
+                    break
+                v = sizes[at]
+                waiting += [(rest - k * v, at, (*chosen, (v, k))) for k in range(1, min(count[v], rest // v) + 1)]
+        for filling in sorted(found, key=lambda f: (-sum(f), [v if even else -v for v in f])):
+            if not dominated(filling, room, left):
+                yield filling
+        low, high = high + 1, min(most_waste, 4 * high + 3)
+
+
+def branch_and_bound(lengths: list[int], capacity: int, best: list[list[int]], bound: int, nodes: int, even: bool = False) -> tuple[list[list[int]], bool, int]:
+    """The best packing found, as lists of lengths, whether it is proved to need the fewest sequences, and the nodes left."""
     left, total, budget = Pieces(lengths), sum(lengths), nodes
 
     def spend() -> None:
@@ -320,18 +335,19 @@ def branch_and_bound(lengths: list[int], capacity: int, best: list[list[int]], b
             raise OutOfNodes
 
     def opened(waste: int) -> list:
-        """[largest piece, its fillings, the next of them, the one in use, waste before]."""
+        """[largest piece, its fillings to come, the one in use, waste before]."""
         largest = left.take(left.sizes[-1])
-        return [largest, fillings(capacity - largest, left, spend), 0, None, waste]
+        allowed = (len(best) - 1) * capacity - total - waste
+        return [largest, fillings(capacity - largest, left, allowed, spend, even), None, waste]
 
     try:
         path = [opened(0)]
         while path:
-            largest, options, at, used, waste = frame = path[-1]
+            largest, options, used, waste = frame = path[-1]
             for v in used or ():
                 left.put(v)
-            frame[3] = None
-            filling = options[at] if at < len(options) else None
+            frame[2] = None
+            filling = next(options, None)
             more = waste + capacity - largest - sum(filling or ())
             if filling is None or -(-(total + more) // capacity) >= len(best):  # later fillings waste no less
                 left.put(largest)
@@ -339,16 +355,46 @@ def branch_and_bound(lengths: list[int], capacity: int, best: list[list[int]], b
                 continue
             for v in filling:
                 left.take(v)
-            frame[2], frame[3] = at + 1, filling
+            frame[2] = filling
             if left.sizes:
                 path.append(opened(more))
             elif len(path) < len(best):
-                best = [[f[0], *f[3]] for f in path]
+                best = [[f[0], *f[2]] for f in path]
                 if len(best) <= bound:
-                    return best, True
+                    return best, True, budget
     except OutOfNodes:
-        return best, False
-    return best, True
+        return best, False, 0
+    return best, True, budget
+
+
+def searched(bins: list[list[int]], capacity: int, bound: int, nodes: int) -> list[list[int]]:
+    """Fewer sequences where branch and bound finds them. It takes the most wasteful sequences, as many as waste one
+    sequence and a part of another between them, and TOGETHER others beside them apart and packs their pieces anew; what it
+    finds takes their place. A group of few sequences is searched as a whole, and an end of that search proves it."""
+    bins = sorted(bins, key=sum)
+    turn = 0
+    while len(bins) > bound and nodes > 0 and turn < TURNS:
+        waste = many = 0
+        while many < len(bins) and waste < capacity + capacity // SPARE:
+            waste += capacity - sum(bins[many])
+            many += 1
+        if waste < capacity:
+            break  # no sequence can go
+        others = range(many + turn % max(1, (len(bins) - many) // TOGETHER), len(bins), max(1, (len(bins) - many) // TOGETHER))
+        picked = [*range(many), *others]
+        apart = [bins[i] for i in picked]
+        pieces = [v for b in apart for v in b]
+        found, ended, left = branch_and_bound(pieces, capacity, apart, lower_bound(pieces, capacity), min(nodes, TRY_NODES), even=turn % 2 == 0)
+        nodes -= min(nodes, TRY_NODES) - left
+        if len(found) < len(apart):
+            out = set(picked)
+            bins = sorted([*(b for i, b in enumerate(bins) if i not in out), *found], key=sum)
+            turn = 0
+        elif ended and len(picked) == len(bins):
+            break  # proved
+        else:
+            turn += 1
+    return bins
 
 
 def pack_lengths(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> list[list[int]]:
@@ -361,7 +407,7 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODE
         if len(best) > bound:
             best = min(best, dive(lengths, capacity, n), key=len)
     if len(best) > bound:
-        best, _ = branch_and_bound(lengths, capacity, best, bound, nodes)
+        best = searched(best, capacity, bound, nodes)
     waiting: dict[int, list[int]] = {}
     for i in range(len(lengths) - 1, -1, -1):
         waiting.setdefault(lengths[i], []).append(i)

@@ -302,17 +302,47 @@ def test_branch_and_bound_equals_an_exact_solver():
         if lengths:
             assert packing.lower_bound(lengths, 100) <= len(bins)
             largest = [[v] for v in lengths]  # from the worst incumbent, by the search alone
-            found, proved = packing.branch_and_bound(lengths, 100, largest, packing.lower_bound(lengths, 100), 10**6)
+            found, proved, _ = packing.branch_and_bound(lengths, 100, largest, packing.lower_bound(lengths, 100), 10**6)
             assert len(found) == len(bins) and proved
 
 
 def test_fillings_are_the_undominated_ones():
     left = packing.Pieces([50, 30, 30, 20, 10])
-    assert packing.fillings(60, left, lambda: None) == [[50, 10], [30, 30]]
-    assert packing.fillings(5, left, lambda: None) == [[]]
+    assert list(packing.fillings(60, left, 60, lambda: None)) == [[50, 10], [30, 30]]
+    assert list(packing.fillings(60, left, 60, lambda: None, even=True)) == [[30, 30], [50, 10]]
+    assert list(packing.fillings(5, left, 5, lambda: None)) == [[]] and list(packing.fillings(5, left, 4, lambda: None)) == []
     assert packing.dominated([30, 20, 10], 60, left) and packing.dominated([20, 10], 60, left) and not packing.dominated([50, 10], 60, left)
 
 
+def test_fillings_come_one_by_one_by_rising_waste():
+    rng, spent = random.Random(4), []
+    left = packing.Pieces([rng.randint(800, 1900) for _ in range(60)])
+    some = packing.fillings(2_000, left, 2_000, lambda: spent.append(1))
+    first = [next(some) for _ in range(3)]
+    before = len(spent)
+    rest = list(some)
+    assert before < len(spent) and [sum(f) for f in first + rest] == sorted((sum(f) for f in first + rest), reverse=True)
+
+
+@pytest.mark.parametrize("lengths,most", [([3] * 4_096, 4), ([3] * 8_192, 7), ([7] * 8_000, 14), ([1000] * 8_000, 2_000), ([1, 2, 3, 5, 900, 1300, 2049, 4096] * 1_000, 2_200)])
+def test_many_equal_pieces(lengths, most):
+    bins = packing.pack_lengths(lengths)
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= 4_096 for b in bins)
+    assert packing.lower_bound(lengths, 4_096) <= len(bins) <= most
+
+
+def test_the_search_betters_the_dives():
+    rng = random.Random(1)
+    lengths = [rng.randint(700, 2_100) for _ in range(3_000)]
+    dives = min(len(packing.dive(lengths, 4_096, n)) for n in packing.FILL_NODES)
+    assert len(packing.pack_lengths(lengths)) < min(dives, len(packing.best_fit_decreasing(lengths, 4_096)))
+
+
+def test_rows_of_two_tokens(spark):
+    found = packing.pack_documents(spark.range(4_096).selectExpr("id AS doc_id", "'a b' AS text"), default_tokenizer()).selectExpr("sum(length)", "count(DISTINCT sequence_id)").first()
+    assert tuple(found) == (3 * 4_096, 4)
+
+
 def test_other_vocabulary_files_encode_whole_texts():
     import public_tokenizers
     from tokenizers import Tokenizer

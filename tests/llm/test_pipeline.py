@@ -129,3 +129,23 @@ def test_whole_run_equals_brute_force(spark, tmp_path):
         ids = [*model.encode(t, add_special_tokens=False).ids, 1]
         want += [(d, k, s, len(part := ids[s : s + 4096]), zlib.crc32(np.array(part, "<u4").tobytes())) for k, s in enumerate(range(0, len(ids), 4096))]
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found) == sorted(want)
+
+
+@pytest.mark.parametrize("stage", [P.quality, P.near_duplicates, P.decontamination, P.secrets])
+def test_columns_of_any_name_pass_through(spark, hard, stage):
+    odd = hard.toDF(*hard.columns[:5], "a.b", "c`d", "A B")
+    found = stage(spark, odd, SF)
+    assert found.columns == odd.columns and found.dtypes == odd.dtypes
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, stage(spark, hard, SF).collect()))
+
+
+def test_run_gives_the_batch_setting_back(spark):
+    before = spark.conf.get(P.BATCH_SETTING)
+    spark.conf.set(P.BATCH_SETTING, 777)
+    try:
+        P.small_batches(spark)
+        assert spark.conf.get(P.BATCH_SETTING) == "777"
+        spark.conf.set(P.BATCH_SETTING, 12_345)
+        assert P.run(spark, SF).count() > 0 and spark.conf.get(P.BATCH_SETTING) == "12345"
+    finally:
+        spark.conf.set(P.BATCH_SETTING, before)
