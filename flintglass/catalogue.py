@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from .functions import text as fn
 from .operators import content, enrich, images, messages, packets
 from .plans.registered import ORACLE_SQL, QUERIES, query
-from .plans.views import edges, packets as packets_v, table, tags
+from .plans.views import edges, frames, packets as packets_v, table, tags
+from .sources import captures
 from .streaming import live
 
 # ---- packets
 
 _COUNTS = "SELECT file, count(*) AS n_packets, count(*) FILTER (dport IN (80, 443)) AS n_http, count(*) FILTER (sport = 53 OR dport = 53) AS n_dns FROM packets_v GROUP BY file"
 _FLOWS = "SELECT file, concat(ip_src, '/', sport, '=>', ip_dst, '/', dport) AS flow, min(pkt_no) AS first_pkt FROM packets_v GROUP BY ALL"
+_SKIPPED = "((dport IN (80, 443) AND k % 3 = 0) OR (dport = 53 AND k % 4 = 0))"
+_KEPT_FLOWS = _FLOWS.replace("FROM packets_v", f"FROM packets_v WHERE NOT {_SKIPPED}")
 _KEY = "file, ip_src, sport, ip_dst, dport"
 _SEGMENTS = f"""WITH ep AS (SELECT *, coalesce(sum(fin) OVER (PARTITION BY {_KEY} ORDER BY pkt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM packets_v WHERE ip_proto = 6),
  op AS (SELECT *, max(syn) OVER (PARTITION BY {_KEY}, epoch ORDER BY pkt_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS opened FROM ep),
@@ -30,7 +33,7 @@ SESSION_US = 6 * 3600 * 1_000_000
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packet counts of each capture with its number of distinct flows."""
     p = packets_v(spark, sf_dir)
-    return packets.packet_counts(p).join(packets.distinct_flows(p).groupBy("file").agg(F.count("*").alias("n_flows")), "file")
+    return packets.packet_counts(p).join(packets.all_flows(p).groupBy("file").agg(F.count("*").alias("n_flows")), "file")
 
 
 @query(_COUNTS)
@@ -43,9 +46,32 @@ def distinct_ips(spark, sf_dir):
     return packets.distinct_ips(packets_v(spark, sf_dir))
 
 
-@query(_FLOWS)
+def _outcomes(spark, sf_dir):
+    """The captures' frames, dissected, with what their payload bytes say."""
+    return packets.outcomes(captures.dissect(frames(spark, sf_dir)))
+
+
+@query(_KEPT_FLOWS)
 def distinct_flows(spark, sf_dir):
-    return packets.distinct_flows(packets_v(spark, sf_dir))
+    return packets.distinct_flows(_outcomes(spark, sf_dir))
+
+
+@query(_FLOWS)
+def all_flows(spark, sf_dir):
+    return packets.all_flows(packets_v(spark, sf_dir))
+
+
+@query("SELECT file, pkt_no, ip_src AS source_ip, ip_dst AS destination_ip, 'GET' AS method, '1.1' AS version, concat('/', event_type, '/', k) AS uri, concat('h', k) AS host, concat('/', event_type, '/', k) AS uri_field, 6 AS n_fields FROM packets_v WHERE dport IN (80, 443) AND k % 3 > 0")
+def http_requests(spark, sf_dir):
+    """Requests from frame bytes; the header `uri` gives way to the request's own."""
+    found = packets.http_requests(_outcomes(spark, sf_dir))
+    return found.select("file", "pkt_no", *packets.OVERLAID, F.col("fields")["host"].alias("host"), F.col("fields")["uri"].alias("uri_field"), F.size("fields").alias("n_fields"))
+
+
+@query("SELECT file, 'A' AS type, concat(event_type, '.com') AS request, ip_dst AS response, min(pkt_no) AS pkt_no FROM packets_v WHERE dport = 53 AND k % 4 > 0 GROUP BY ALL")
+def dns_from_frames(spark, sf_dir):
+    """First answer by type, name and value, from frame bytes."""
+    return packets.first_by_key(packets.dns_requests(_outcomes(spark, sf_dir)), ["file", "type", "request", "response"], "pkt_no", [])
 
 
 @query("SELECT file, ip_src, ip_dst, concat('/', event_type, '/', k) AS uri, min(pkt_no) AS pkt_no, arg_min(sport, pkt_no) AS sport FROM packets_v WHERE dport IN (80, 443) GROUP BY ALL")
@@ -116,20 +142,25 @@ _HTTP = "SELECT file, ip_src, ip_dst, concat('/', event_type, '/', k) AS uri, mi
 _DSTS = "SELECT file, ip_dst AS ip, min(pkt_no) AS first_pkt FROM packets_v GROUP BY ALL"
 
 
+_DNS_ROWS = "SELECT DISTINCT file, 'A' AS type, concat(event_type, '.com') AS request, ip_dst AS response FROM packets_v WHERE dport = 53 AND k % 4 > 0"
+_HTTP_ROWS = "SELECT DISTINCT file, ip_src AS source_ip, ip_dst AS destination_ip, 'GET' AS method, '1.1' AS version, concat('/', event_type, '/', k) AS uri FROM packets_v WHERE dport IN (80, 443) AND k % 3 > 0"
+
+
 def _items(section: str, sql: str, fields: str) -> str:
     return f"SELECT file, '{section}' AS section, CAST(to_json(struct_pack({fields})) AS VARCHAR) AS item FROM ({sql})"
 
 
 @query(" UNION ALL ".join([
-    _items("counts", _COUNTS, "n_packets, n_http, n_dns"), _items("flows", _FLOWS, "flow, first_pkt"), _items("dns_data", _DNS, "type, request, response"),
-    _items("http_requests", _HTTP, "ip_src, ip_dst, uri"), _items("destination_ip_details", _DSTS, "ip, first_pkt"),
+    _items("counts", _COUNTS, "n_packets, n_http, n_dns"), _items("flows", _KEPT_FLOWS, "flow, first_pkt"), _items("dns_data", _DNS_ROWS, "type, request, response"),
+    _items("http_requests", _HTTP_ROWS, "source_ip, destination_ip, method, version, uri"), _items("destination_ip_details", _DSTS, "ip, first_pkt"),
 ]))
 def capture_summary(spark, sf_dir):
-    """The five sections of a capture's document, one JSON item a row."""
-    p = packets_v(spark, sf_dir)
+    """The five sections of a capture's document, one JSON item a row, from the frames."""
+    p, dns, http = _outcomes(spark, sf_dir), ["type", "request", "response"], list(packets.OVERLAID)
     return messages.summary_items(
-        F.col("file"), counts=(packets.packet_counts(p), ["n_packets", "n_http", "n_dns"]), flows=(packets.distinct_flows(p), ["flow", "first_pkt"]), dns_data=(distinct_dns(spark, sf_dir), ["type", "request", "response"]),
-        http_requests=(distinct_http(spark, sf_dir), ["ip_src", "ip_dst", "uri"]), destination_ip_details=(packets.distinct_ips(p).filter("role = 'dst'"), ["ip", "first_pkt"]),
+        F.col("file"), counts=(packets.packet_counts(p), ["n_packets", "n_http", "n_dns"]), flows=(packets.distinct_flows(p), ["flow", "first_pkt"]),
+        dns_data=(packets.dns_requests(p).select("file", *dns).distinct(), dns), http_requests=(packets.http_requests(p).select("file", *http).distinct(), http),
+        destination_ip_details=(packets.distinct_ips(p).filter("role = 'dst'"), ["ip", "first_pkt"]),
     )
 
 
@@ -162,7 +193,7 @@ def dns_sorted(spark, sf_dir):
 
 @query("SELECT flow, first_pkt, ip_src, CAST(sport AS INT) AS sport, ip_dst, CAST(dport AS INT) AS dport FROM (" + _FLOWS.replace("AS flow,", "AS flow, ip_src, sport, ip_dst, dport,").replace("GROUP BY ALL", "GROUP BY file, ip_src, sport, ip_dst, dport") + ")")
 def flow_split(spark, sf_dir):
-    return packets.distinct_flows(packets_v(spark, sf_dir)).withColumn("s", packets.split_flow_key(F.col("flow"))).select("flow", "first_pkt", "s.*")
+    return packets.all_flows(packets_v(spark, sf_dir)).withColumn("s", packets.split_flow_key(F.col("flow"))).select("flow", "first_pkt", "s.*")
 
 
 # ---- contents

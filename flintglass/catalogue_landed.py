@@ -186,6 +186,27 @@ def files_found(spark, sf_dir):
     return content.found_files(rows, "data").select(F.substring_index("file", "-", 1).alias("file"), "name")
 
 
+_LINE = "concat('GET /', repeat('p', 5000), ' HTTP/1.1')"
+_BODY = "concat('body ', event_id)"
+_STREAMS = f"""SELECT event_id, CASE event_id % 6
+ WHEN 0 THEN concat('HTTP/1.0 200 OK\\r\\nContent-Length: ', length({_BODY}), '\\r\\n\\r\\n', {_BODY}, 'rest')
+ WHEN 1 THEN concat('HTTP/1.0 200 OK\\r\\nServer: s\\r\\n\\r\\n', {_BODY})
+ WHEN 2 THEN concat('HTTP/1.1 200 OK\\r\\nContent-Length: ', length({_BODY}), '\\r\\n\\r\\n', {_BODY}, 'HTTP/1.1 200 OK\\r\\nContent-Length: 3\\r\\n\\r\\nend')
+ WHEN 3 THEN concat({_LINE}, '\\r\\nContent-Length: 4\\r\\n\\r\\nlong')
+ WHEN 4 THEN concat('SSH-2.0 HTTP\\r\\n', {_BODY}) ELSE 'HTTP/1.1 204 No Content\\r\\n\\r\\n' END AS data FROM {{events}}"""
+
+
+@query("""SELECT event_id, 'http10' AS protocol, concat('body ', event_id) AS payload FROM events WHERE event_id % 6 = 0
+ UNION ALL SELECT event_id, 'unknown', concat('HTTP/1.0 200 OK', chr(13), chr(10), 'Server: s', chr(13), chr(10), chr(13), chr(10), 'body ', event_id) FROM events WHERE event_id % 6 = 1
+ UNION ALL SELECT event_id, 'http11', unnest([concat('body ', event_id), 'end']) FROM events WHERE event_id % 6 = 2 UNION ALL SELECT event_id, 'http11', 'long' FROM events WHERE event_id % 6 = 3
+ UNION ALL SELECT event_id, 'unknown', concat('SSH-2.0 HTTP', chr(13), chr(10), 'body ', event_id) FROM events WHERE event_id % 6 = 4""")
+def protocol_dispatch(spark, sf_dir):
+    """Payloads by protocol: HTTP/1.0 with a length and without one (the whole stream), pipelined HTTP/1.1, a start line of
+    5,000 characters, other streams and messages without a body."""
+    streams = spark.sql(_STREAMS, events=table(spark, sf_dir, "events")).withColumn("data", F.encode("data", "UTF-8"))
+    return content.dissected(streams, "data").select("event_id", "protocol", F.col("payload").cast("string").alias("payload"))
+
+
 # ---- catalogue filters
 
 

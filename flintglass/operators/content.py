@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_time_text
-from .messages import http_bodies
+from .messages import http_bodies, http_body
 
 ENTROPY_BYTES, LEAST_BYTES = 102_400, 1280
 # Format, (header, trailer or None: to the end) alternatives, extension, category. The pattern text is Latin-1.
@@ -90,9 +90,11 @@ def carve(payloads: DataFrame, data: str, signatures: tuple = SIGNATURES) -> Dat
 DECODERS: dict[str, tuple[int, Callable[[Column], Column]]] = {
     "plain": (10, lambda c: c), "base64": (50, lambda c: F.try_to_binary(F.decode(c, "ISO-8859-1"), F.lit("base64"))),
 }
-#: Protocols by name: order, test of the first line, the payloads of a stream (array of binary).
+#: Protocols by name: order, test of the first line, the payloads of a stream (array of binary; null if it is none of this
+#: protocol after all, so that the next one is tried). Only streams that pass the test, and that no earlier protocol has
+#: taken, are given to the payloads' function.
 DISSECTORS: dict[str, tuple[int, Callable[[Column], Column], Callable[[Column], Column]]] = {
-    "http10": (45, lambda line: F.contains(line, F.lit("HTTP/1.0")), lambda data: http_bodies(data)), "http11": (50, lambda line: F.contains(line, F.lit("HTTP/1.1")), lambda data: http_bodies(data)),
+    "http10": (45, lambda line: F.contains(line, F.lit("HTTP/1.0")), lambda data: http_body(data)), "http11": (50, lambda line: F.contains(line, F.lit("HTTP/1.1")), lambda data: http_bodies(data)),
     "unknown": (200, lambda line: F.lit(True), lambda data: F.array(data)),
 }
 
@@ -121,12 +123,26 @@ def protocol(first_line: Column) -> Column:
     return F.coalesce(*(F.when(test(first_line), name) for name, (_, test, _) in _dissectors()))
 
 
+def first_line(data: Column) -> Column:
+    """The first line of a stream, of any length, without its line end."""
+    return F.rtrim(F.substring_index(F.decode(data, "ISO-8859-1"), "\n", 1), F.lit("\r"))
+
+
+def identified(streams: DataFrame, data: str) -> DataFrame:
+    """protocol and payloads (array of binary) of each stream: of the first protocol in order whose test the first line
+    passes and which finds payloads; null for null streams."""
+    taken, line, given, got = "_taken", "_line", "_given", "_got"
+    rows = streams.withColumns({line: first_line(F.col(data)), taken: F.lit(None).cast("struct<protocol:string,payloads:array<binary>>")})
+    for name, (_, test, take) in _dissectors():
+        rows = rows.withColumn(given, F.when(test(F.col(line)) & F.col(taken).isNull(), F.col(data)))
+        rows = rows.withColumn(got, F.when(F.col(given).isNotNull(), take(F.col(given))))
+        rows = rows.withColumn(taken, F.coalesce(taken, F.when(F.col(got).isNotNull(), F.struct(F.lit(name).alias("protocol"), F.col(got).alias("payloads")))))
+    return rows.select(*streams.columns, f"{taken}.protocol", f"{taken}.payloads")
+
+
 def dissected(streams: DataFrame, data: str) -> DataFrame:
-    """protocol and payload: the payloads of each stream by its protocol."""
-    line = F.split(F.decode(F.substring(data, 1, 4096), "ISO-8859-1"), "\r\n")[0]
-    kinds = streams.withColumn("protocol", protocol(line))
-    payloads = F.coalesce(*(F.when(F.col("protocol") == name, take(F.col(data))) for name, (_, _, take) in _dissectors()))
-    return kinds.withColumn("payload", F.explode(payloads))
+    """protocol and payload: a row for each payload of each stream."""
+    return identified(streams, data).withColumn("payload", F.explode("payloads")).drop("payloads")
 
 
 def found_files(streams: DataFrame, data: str, entropy: bool = False) -> DataFrame:
@@ -151,8 +167,9 @@ def last_of_each(pairs: Column) -> Column:
 
 
 def http_request(raw: Column) -> Column:
-    """Struct of method, uri, version and header map of a request text; null where the request line does not parse."""
-    lines = F.split(raw, "\r\n")
+    """Struct of method, uri, version and header map of a request text; null where the request line does not parse. Headers
+    end at the first empty line."""
+    lines = F.split(F.substring_index(raw, "\r\n\r\n", 1), "\r\n")
     pattern = r"^([A-Z]+) (\S+) HTTP/([0-9.]+)$"
     head = lines[0]
     header = F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.contains(x, F.lit(":")))

@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,13 +42,13 @@ def _name(data: bytes, at: int) -> tuple[str, int]:
             at += 1 + n
 
 
-def read_answers(data: bytes | None) -> list[dict]:
-    """Answers of a kept type of a good response: response bit, plain query, no error, at least one answer."""
-    found: list[dict] = []
+def _answers(data: bytes | None, found: list[dict]) -> bool:
+    """Adds the answers of a kept type to `found`; whether this is a good response: response bit, plain query, no error, at
+    least one answer, all of them whole."""
     try:
         _, flags, questions, answers = struct.unpack_from(">4H", data)
         if flags & 0xF80F != 0x8000:
-            return []
+            return False
         at = 12
         for _ in range(questions):
             at = _name(data, at)[1] + 4
@@ -55,20 +56,40 @@ def read_answers(data: bytes | None) -> list[dict]:
             name, at = _name(data, at)
             kind, _, _, size = struct.unpack_from(">HHIH", data, at)
             at += 10
-            if kind in DNS_TYPES and at + size <= len(data):
+            if at + size > len(data):
+                return False
+            if kind in DNS_TYPES:
                 value = ".".join(map(str, data[at : at + size])) if kind == 1 else _name(data, at)[0]
                 found.append({"type": DNS_TYPES[kind], "request": name, "response": value})
             at += size
+        return answers > 0
     except (TypeError, ValueError, IndexError, struct.error):
-        pass  # null or cut message: the answers before the cut stay
+        return False  # null or cut message
+
+
+def read_answers(data: bytes | None) -> list[dict]:
+    """Answers of a kept type of a response; of a cut one those before the cut."""
+    found: list[dict] = []
+    _answers(data, found)
     return found
 
 
+def read_good_response(data: bytes | None) -> list[dict] | None:
+    """Answers of a kept type of a good response (maybe none); null for any other message."""
+    found: list[dict] = []
+    return found if _answers(data, found) else None
+
+
 @F.pandas_udf(T.ArrayType(ANSWER))
 def dns_answers(data: pd.Series) -> pd.Series:
     return data.map(read_answers)
 
 
+@F.pandas_udf(T.ArrayType(ANSWER))
+def good_response(data: pd.Series) -> pd.Series:
+    return data.map(read_good_response)
+
+
 def inflated(body: bytes, coding: bytes) -> bytes:
     """The decoded body; other codings and broken bodies stay as they are."""
     for bits in {b"gzip": (31,), b"x-gzip": (31,), b"deflate": (15, -15)}.get(coding, ()):
@@ -79,18 +100,27 @@ def inflated(body: bytes, coding: bytes) -> bytes:
     return body
 
 
-def read_bodies(data: bytes | None) -> list[bytes]:
-    """Bodies of consecutive messages, by their length headers; empty ones and those without a length are left out."""
-    found, at = [], 0
-    data = data or b""
+def _messages(data: bytes, at: int = 0) -> Iterator[bytes | None]:
+    """The body of each message from `at` on, by its length header; null for a message without one."""
     while (end := data.find(b"\r\n\r\n", at)) >= 0:
         head, at = data[at : end + 2], end + 4
-        if m := _LENGTH.search(head):
-            body, at = data[at : at + int(m[1])], at + int(m[1])
-            coding = next((c[1].lower() for p in _CODING.values() if (c := p.search(head))), b"")
-            if body:
-                found.append(inflated(body, coding))
-    return found
+        m = _LENGTH.search(head)
+        if not m:
+            yield None
+            continue
+        body, at = data[at : at + int(m[1])], at + int(m[1])
+        yield inflated(body, next((c[1].lower() for p in _CODING.values() if (c := p.search(head))), b""))
+
+
+def read_bodies(data: bytes | None) -> list[bytes] | None:
+    """Bodies of consecutive messages; empty ones and those without a length are left out. Null for null."""
+    return None if data is None else [body for body in _messages(data) if body]
+
+
+def read_body(data: bytes | None) -> list[bytes] | None:
+    """The body of the one message of a stream; null, so that another reader may try, where it has no length or is empty."""
+    body = None if data is None else next(_messages(data), None)
+    return [body] if body else None
 
 
 @F.pandas_udf(T.ArrayType(T.BinaryType()))
@@ -98,6 +128,11 @@ def http_bodies(data: pd.Series) -> pd.Series:
     return data.map(read_bodies)
 
 
+@F.pandas_udf(T.ArrayType(T.BinaryType()))
+def http_body(data: pd.Series) -> pd.Series:
+    return data.map(read_body)
+
+
 def _sums_to_zero(data: bytes) -> bool:
     total = int(np.frombuffer(data + b"\0" * (len(data) % 2), ">u2").sum(dtype=np.uint64))
     while total >> 16:

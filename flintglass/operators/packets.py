@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .content import http_request
+from .messages import good_response
+
 STREAM = ["file", "ip_src", "sport", "ip_dst", "dport"]
 HTTP_PORTS, DNS_PORT = (80, 443), 53
 
@@ -39,11 +42,48 @@ def split_flow_key(flow: Column) -> Column:
     return F.struct(part(1, 1).alias("ip_src"), part(1, 2).cast("int").alias("sport"), part(2, 1).alias("ip_dst"), part(2, 2).cast("int").alias("dport"))
 
 
-def distinct_flows(packets: DataFrame) -> DataFrame:
+def outcomes(packets: DataFrame, payload: str = "payload") -> DataFrame:
+    """Adds what a packet's payload bytes say: `request` (method, uri, version, headers) of a packet to an HTTP port,
+    `answers` of one from or to the DNS port, and `skipped`: a packet to an HTTP port that is no request, or a DNS packet
+    that is no good response.
+
+    Only the payloads of DNS ports reach Python; a packet that is skipped as a request is not read as an answer."""
+    http, dns = is_http(F.col("dport")), is_dns(F.col("sport"), F.col("dport"))
+    rows = packets.withColumn("request", F.when(http, http_request(F.decode(F.col(payload), "ISO-8859-1"))))
+    rows = rows.withColumn("_dns", F.when(dns & ~(http & F.col("request").isNull()), F.col(payload)))
+    rows = rows.withColumn("answers", F.when(dns, good_response("_dns"))).drop("_dns")
+    bad = (http & F.col("request").isNull()) | (dns & F.col("answers").isNull())
+    return rows.withColumn("skipped", F.coalesce(bad, F.lit(False)))
+
+
+#: Keys that a request's own values take, whatever its headers say.
+OVERLAID = ("source_ip", "destination_ip", "method", "version", "uri")
+
+
+def http_requests(outcomes: DataFrame) -> DataFrame:
+    """One row for each parsed request: the packet, the five overlaid values and `fields`, the headers with these on top."""
+    own = (F.col("ip_src"), F.col("ip_dst"), F.col("request.method"), F.col("request.version"), F.col("request.uri"))
+    rows = outcomes.filter("request IS NOT NULL").select("file", "pkt_no", *(c.alias(n) for c, n in zip(own, OVERLAID, strict=True)), F.col("request.headers").alias("_h"))
+    others = F.map_filter("_h", lambda k, _: ~k.isin(*OVERLAID))
+    return rows.withColumn("fields", F.map_concat(others, F.create_map(*(x for n in OVERLAID for x in (F.lit(n), F.col(n)))))).drop("_h")
+
+
+def dns_requests(outcomes: DataFrame) -> DataFrame:
+    """One row for each answer of a good response."""
+    return outcomes.select("file", "pkt_no", F.explode("answers").alias("a")).select("file", "pkt_no", "a.*")
+
+
+def all_flows(packets: DataFrame) -> DataFrame:
+    """Each capture's flows with the packet that showed them first."""
     first = packets.groupBy(*STREAM).agg(F.min("pkt_no").alias("first_pkt"))
     return first.select("file", flow_key().alias("flow"), "first_pkt")
 
 
+def distinct_flows(outcomes: DataFrame) -> DataFrame:
+    """The flows of packets that are not skipped."""
+    return all_flows(outcomes.filter(~F.col("skipped")))
+
+
 def first_by_key(rows: DataFrame, keys: list[str], order: str, keep: list[str]) -> DataFrame:
     """The row of smallest `order` for each key: requests of one uri, equal DNS answers."""
     return rows.groupBy(*keys).agg(F.min_by(F.struct(order, *keep), order).alias("r")).select(*keys, "r.*")

@@ -17,6 +17,14 @@ FROM (SELECT *, event_id AS pkt_no, CAST(regexp_extract(props, '([0-9]+)', 1) AS
  coalesce(sum(CASE WHEN event_type IN ('click','view') THEN 1 ELSE 0 END)
   OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM {events}) e
 """
+_N = "lpad(hex({0}), {1}, '0')".format
+_DNS_WIRE = f"concat('0000', CASE WHEN k % 4 = 0 THEN '8183' ELSE '8180' END, '00010001', '00000000', {_N('length(event_type)', 2)}, hex(event_type), '03636F6D00', '00010001', 'C00C', '00010001', '0000003C', '0004', 'C00002', {_N('user_id % 16', 2)})"
+_PAYLOAD = f"""CASE WHEN dport IN (80, 443) AND k % 3 = 0 THEN hex('no request') WHEN dport IN (80, 443) THEN hex(concat('GET /', event_type, '/', k, ' HTTP/1.1\\r\\nHost: h', k, '\\r\\nUri: header\\r\\n\\r\\nUri: body'))
+ WHEN dport = 53 THEN {_DNS_WIRE} ELSE hex(concat('<', k, '>')) END"""
+_FRAMES = f"""SELECT file, pkt_no, ts_us, unhex(concat(repeat('00', 12), '0800', '4500', {_N("20 + CASE WHEN ip_proto = 6 THEN 20 ELSE 8 END + length(p) div 2", 4)}, '0000000040', {_N('ip_proto', 2)}, '0000',
+ '0A00', {_N('CAST(floor(user_id / 256) AS BIGINT)', 2)}, {_N('user_id % 256', 2)}, 'C00002', {_N('user_id % 16', 2)}, {_N('sport', 4)}, {_N('dport', 4)},
+ CASE WHEN ip_proto = 6 THEN concat({_N('seq', 8)}, '0000000050', {_N('fin + 2 * syn', 2)}, '000000000000') ELSE concat({_N('8 + length(p) div 2', 4)}, '0000') END, p)) AS frame
+ FROM (SELECT *, sport - 1024 AS user_id, {_PAYLOAD} AS p FROM {{packets}}) e"""
 _TAGS = "SELECT p_brand AS image, p_partkey AS ord, concat('3.', p_size, '.', p_partkey % 20, '.', p_partkey) AS name FROM {part}"
 _EDGES = "SELECT p_partkey AS dependent, CAST(floor(p_partkey / 3) AS BIGINT) AS base FROM {part} WHERE p_partkey > 0"
 DUCK = {
@@ -37,6 +45,12 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, _PACKETS, "events", ts_us="unix_micros(CAST(ts AS TIMESTAMP))")
 
 
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, pkt_no, ts_us and frame: the packets as bytes. Two of three packets to HTTP ports hold a request whose header
+    `uri` is not its uri; three of four DNS packets hold a good response."""
+    return spark.sql(_FRAMES, packets=packets(spark, sf_dir))
+
+
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, _TAGS, "part")
 
