@@ -1,15 +1,21 @@
-"""Packet tables: counts, first-seen sets, TCP stream rebuilding and UDP sessions by window functions."""
+"""Packet tables: counts, first-seen sets, TCP stream rebuilding and UDP sessions.
+
+Streams are rebuilt by running aggregates over runs of packet or sequence numbers, so that a flow with a large part of all
+packets is worked on by many tasks."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.segments import running, same
 from .content import http_request
 from .messages import good_response
 
 STREAM = ["file", "ip_src", "sport", "ip_dst", "dport"]
 HTTP_PORTS, DNS_PORT = (80, 443), 53
+#: Packet numbers, and sequence numbers, of one run of a flow.
+RUN, SEQ_RUN = 1 << 20, 1 << 24
 
 
 def is_http(dport: Column) -> Column:
@@ -89,22 +95,32 @@ def first_by_key(rows: DataFrame, keys: list[str], order: str, keep: list[str])
     return rows.groupBy(*keys).agg(F.min_by(F.struct(order, *keep), order).alias("r")).select(*keys, "r.*")
 
 
+def _runs(packets: DataFrame, width: int | None = None) -> DataFrame:
+    """The packets with `_run`: the run of packet numbers that they belong to, which bounds what a task holds of a flow."""
+    return packets.withColumn("_run", F.floor(F.col("pkt_no") / F.lit(width or RUN)))
+
+
 def tcp_epochs(packets: DataFrame) -> DataFrame:
-    """TCP packets that stand in an open stream, with its number: SYN opens, FIN closes, others outside are dropped."""
-    w = Window.partitionBy(*STREAM).orderBy("pkt_no")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    numbered = packets.filter("ip_proto = 6").withColumn("epoch", F.coalesce(F.sum("fin").over(before), F.lit(0)))
-    opened = Window.partitionBy(*STREAM, "epoch").orderBy("pkt_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return numbered.withColumn("opened", F.max("syn").over(opened)).filter("opened = 1").drop("opened")
+    """TCP packets that stand in an open stream, with its number: SYN opens, FIN closes, others outside are dropped.
+
+    A stream is open if its last SYN came no earlier than the end that the last FIN before the packet made."""
+    fin, syn = F.col("fin") == 1, F.col("syn") == 1
+    values = {"epoch": ("sum", "fin", "before"), "_syn": ("max", F.when(syn, F.col("pkt_no"))), "_fin": ("max", F.when(fin, F.col("pkt_no")), "before")}
+    rows = running(_runs(packets.filter("ip_proto = 6")), STREAM, "_run", ["pkt_no"], values)
+    opened = rows.filter("_syn IS NOT NULL AND (_fin IS NULL OR _fin < _syn)")
+    return opened.withColumn("epoch", F.coalesce("epoch", F.lit(0))).drop("_run", "_syn", "_fin")
 
 
 def tcp_segments(packets: DataFrame) -> DataFrame:
-    """Payload packets of open streams, the first arrival of each sequence number, with `joined`: it continues the one before."""
-    key = [*STREAM, "epoch"]
-    first = Window.partitionBy(*key, "seq").orderBy("pkt_no")
+    """Payload packets of open streams, the first arrival of each sequence number, with `joined`: it continues the one before.
+
+    The one before is the largest sequence number so far, over runs of sequence numbers."""
+    first = Window.partitionBy(*STREAM, "epoch", "seq").orderBy("pkt_no")
     kept = tcp_epochs(packets).filter("len > 0").withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn")
-    after = F.lag(F.col("seq") + F.col("len")).over(Window.partitionBy(*key).orderBy("seq"))
-    return kept.withColumn("joined", F.coalesce(after == F.col("seq"), F.lit(True)))
+    kept = kept.withColumn("_run", F.floor(F.col("seq") / SEQ_RUN))
+    before = F.struct("seq", (F.col("seq") + F.col("len")).alias("end"))
+    rows = running(kept, [*STREAM, "epoch"], "_run", ["seq"], {"_before": ("max", before, "before")})
+    return rows.withColumn("joined", F.coalesce(F.col("_before.end") == F.col("seq"), F.lit(True))).drop("_run", "_before")
 
 
 def tcp_streams(packets: DataFrame) -> DataFrame:
@@ -116,25 +132,29 @@ def tcp_streams(packets: DataFrame) -> DataFrame:
 
 def stream_chunks(segments: DataFrame, order: str = "seq") -> DataFrame:
     """The segments of valid streams with `pos`, their place in the stream's bytes: a stream of any length stays many rows."""
-    w = Window.partitionBy(*STREAM, "epoch")
-    rows = segments.withColumn("valid", F.bool_and("joined").over(w)).withColumn("pos", F.sum("len").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("len"))
-    return rows.filter("valid").drop("valid")
+    key = [*STREAM, "epoch"]
+    broken = segments.filter(~F.col("joined")).select(*key).distinct()
+    whole = segments.join(broken, same(segments, broken, key), "left_anti").withColumn("_run", F.floor(F.col(order) / SEQ_RUN))
+    rows = running(whole, key, "_run", [order], {"pos": ("sum", "len")})
+    return rows.withColumn("pos", F.col("pos") - F.col("len")).drop("_run")
 
 
 def stream_bytes(segments: DataFrame, payload: str, order: str = "seq", first: int | None = None, part: str = "epoch") -> DataFrame:
-    """The payloads of each stream in order as one value, and its first bytes; for streams that fit in a row (see stream_chunks)."""
-    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(payload).cast("binary").alias("b"))))
-    rows = segments.groupBy(*STREAM, part).agg(F.bool_and("joined").alias("valid"), F.aggregate(parts, F.lit(b""), lambda a, p: F.concat(a, p["b"])).alias("data"))
+    """The payloads of each stream in order as one value, and its first bytes, in time that grows with the bytes; for
+    streams that fit in a row (see stream_chunks)."""
+    rows = segments.withColumn("_part", F.col(payload).cast("binary"))
+    whole = F.expr(f"listagg(_part) WITHIN GROUP (ORDER BY `{order}`)")
+    rows = rows.groupBy(*STREAM, part).agg(F.bool_and("joined").alias("valid"), F.coalesce(whole, F.lit(b"")).alias("data"))
     rows = rows.filter("valid").drop("valid")
     return rows if first is None else rows.withColumn("head", F.substring("data", 1, first))
 
 
 def udp_numbered(packets: DataFrame, timeout_us: int = 120_000_000) -> DataFrame:
     """UDP packets with the number of their session: a gap strictly greater than the time-out opens the next one."""
-    w = Window.partitionBy(*STREAM).orderBy("pkt_no")
-    gap = F.col("ts_us") - F.lag("ts_us").over(w)
-    rows = packets.filter("ip_proto = 17 AND len > 0").withColumn("new", F.coalesce((gap > timeout_us).cast("int"), F.lit(0)))
-    return rows.withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("new")
+    rows = _runs(packets.filter("ip_proto = 17 AND len > 0"))
+    rows = running(rows, STREAM, "_run", ["pkt_no"], {"_before": ("max", F.struct("pkt_no", "ts_us"), "before")})
+    rows = rows.withColumn("_new", F.coalesce((F.col("ts_us") - F.col("_before.ts_us") > timeout_us).cast("int"), F.lit(0)))
+    return running(rows, STREAM, "_run", ["pkt_no"], {"session": ("sum", "_new")}).drop("_run", "_before", "_new")
 
 
 def udp_sessions(packets: DataFrame, timeout_us: int = 120_000_000) -> DataFrame:

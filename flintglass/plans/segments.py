@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,23 +20,25 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(and_, (left[k].eqNullSafe(right[k]) for k in keys))
 
 
-def running(df: DataFrame, keys: list[str], segment: str, order: list, values: dict[str, tuple[str, Column | str]]) -> DataFrame:
-    """Adds the running aggregate of each value up to and with the row: {name: ("sum" | "xor" | "max" | "min", column)}.
+def running(df: DataFrame, keys: list[str], segment: str, order: list, values: dict[str, tuple]) -> DataFrame:
+    """Adds the running aggregate of each value: {name: ("sum" | "xor" | "max" | "min", column)} up to and with the row, or
+    up to the row before with a third element "before". Null where no value came yet.
 
     `segment` numbers bounded runs of a group's rows in the order of `order`. A task holds one segment; what the earlier
     segments of the group amount to is a row a segment and is joined to their rows, so that a group with a large part of
     all rows is worked on by as many tasks as it has segments."""
-    within = Window.partitionBy(*keys, segment)
-    inside = within.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy(*keys, segment).orderBy(*order)
+    value = {n: F.col(v[1]) if isinstance(v[1], str) else v[1] for n, v in values.items()}
+    made, joint = ({n: _KINDS[v[0]][i] for n, v in values.items()} for i in (0, 1))
+    last = {n: -1 if v[2:] == ("before",) else Window.currentRow for n, v in values.items()}
+    totals = df.groupBy(*keys, segment).agg(*(made[n](value[n]).alias("_t_" + n) for n in values))
     earlier = Window.partitionBy(*keys).orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
-    value = {name: F.col(c) if isinstance(c, str) else c for name, (_, c) in values.items()}
-    totals = df.groupBy(*keys, segment).agg(*(_KINDS[kind][0](value[name]).alias("_t_" + name) for name, (kind, _) in values.items()))
-    before = totals.select(*keys, segment, *(_KINDS[kind][0]("_t_" + name).over(earlier).alias("_b_" + name) for name, (kind, _) in values.items()))
-    before = before.filter(reduce(lambda a, b: a | b, (F.col("_b_" + name).isNotNull() for name in values)))
-    rows = df.withColumns({name: _KINDS[kind][0](value[name]).over(inside) for name, (kind, _) in values.items()})
-    on = same(rows, before, [*keys, segment])
-    joined = rows.join(before, on, "left").select(*(rows[c] for c in df.columns if c not in values), *(F.when(before["_b_" + n].isNull(), rows[n]).when(rows[n].isNull(), before["_b_" + n]).otherwise(_KINDS[kind][1](before["_b_" + n], rows[n])).alias(n) for n, (kind, _) in values.items()))
-    return joined
+    before = totals.select(*keys, segment, *(made[n]("_t_" + n).over(earlier).alias("_b_" + n) for n in values))
+    before = before.filter(reduce(or_, (F.col("_b_" + n).isNotNull() for n in values)))
+    rows = df.withColumns({n: made[n](value[n]).over(within.rowsBetween(Window.unboundedPreceding, last[n])) for n in values})
+    joined = rows.join(before, same(rows, before, [*keys, segment]), "left")
+    both = {n: F.when(before["_b_" + n].isNull(), rows[n]).when(rows[n].isNull(), before["_b_" + n]).otherwise(joint[n](before["_b_" + n], rows[n])) for n in values}
+    return joined.select(*(rows[c] for c in df.columns if c not in values), *(c.alias(n) for n, c in both.items()))
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:

@@ -69,3 +69,113 @@ def test_outcomes_of_packets(spark):
     assert {(r.flow, r.first_pkt) for r in packets.distinct_flows(found).collect()} == {("a/1000=>b/80", 1), ("a/53=>b/4000", 5), ("a/5=>b/6", 13)}
     assert packets.all_flows(found).count() == 6
     assert messages.read_good_response(None) is None and messages.read_answers(dns(cut=2)) == []
+
+
+KINDS = "file string, ip_src string, sport int, ip_dst string, dport int, pkt_no long, ts_us long, ip_proto int, seq long, syn int, fin int, len int"
+
+
+def random_packets(rng, n=1_500):
+    """Half of all packets are of one flow; time jumps, sequence numbers repeat, streams open and close anywhere."""
+    rows, at, seq = [], 0, defaultdict(int)
+    for i in range(n):
+        at += rng.choice((1, 5, 130)) * 1_000_000
+        flow = 1 if rng.random() < 0.5 else rng.randrange(2, 8)
+        for proto in (6, 17):
+            length = rng.choice((0, 10, 10, 10))
+            rows.append(("f", "a", flow, None if flow == 7 else "b", 80, 2 * i + (proto == 17), at, proto, 100 + seq[flow], int(rng.random() < 0.1), int(rng.random() < 0.03), length))
+            if proto == 6 and rng.random() < 0.97:
+                seq[flow] += length
+            if rng.random() < 0.02:
+                seq[flow] = 0
+    return rows
+
+
+def modelled(rows, timeout=120_000_000):
+    """Valid TCP streams and UDP sessions by a loop over the packets."""
+    opened, number, tcp, last, session, udp = {}, defaultdict(int), [], {}, defaultdict(int), defaultdict(list)
+
+    def close(key, epoch):
+        parts = sorted((q, n, t) for q, (n, t) in opened.pop(key).items())
+        if parts:
+            whole = all(a[0] + a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
+            tcp.append((*key, epoch, len(parts), min(p[2] for p in parts), max(p[2] for p in parts), whole, sum(p[1] for p in parts)))
+
+    for file, src, sport, dst, dport, _, t, proto, seq, syn, fin, n in sorted(rows, key=lambda r: r[5]):
+        key = (file, src, sport, dst, dport)
+        if proto == 6:
+            if syn and key not in opened:
+                opened[key] = {}
+            if key in opened and n:
+                opened[key].setdefault(seq, (n, t))
+            if fin:
+                if key in opened:
+                    close(key, number[key])
+                number[key] += 1
+        elif n:
+            if key in last and t - last[key] > timeout:
+                session[key] += 1
+            last[key] = t
+            udp[(*key, session[key])].append(t)
+    for key in list(opened):
+        close(key, number[key])
+    return tcp, [(*k, len(v), min(v), max(v)) for k, v in udp.items()]
+
+
+def as_rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("run,seq_run,seed", [(1 << 20, 1 << 24, 1), (64, 64, 2), (7, 10, 3)])
+def test_hot_flows_in_runs(spark, monkeypatch, run, seq_run, seed):
+    monkeypatch.setattr(packets, "RUN", run)
+    monkeypatch.setattr(packets, "SEQ_RUN", seq_run)
+    rows = random_packets(random.Random(seed))
+    given = spark.createDataFrame(rows, KINDS)
+    tcp, udp = modelled(rows)
+    found = packets.tcp_streams(given).select(*packets.STREAM, F.col("epoch").cast("long"), "n_packets", "first_us", "last_us", "valid")
+    assert as_rows(found) == sorted((r[:-1] for r in tcp), key=repr)
+    assert as_rows(packets.udp_sessions(given).withColumn("session", F.col("session").cast("long"))) == sorted(udp, key=repr)
+    chunks = packets.stream_chunks(packets.tcp_segments(given)).groupBy(*packets.STREAM, F.col("epoch").cast("long")).agg(F.min("pos"), F.max(F.col("pos") + F.col("len")))
+    assert as_rows(chunks) == sorted(((*r[:6], 0, r[-1]) for r in tcp if r[-2]), key=repr)
+
+
+def test_a_hot_flow_is_shared_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(packets, "RUN", 1_000)
+    rows = spark.range(100_000).selectExpr("'f' AS file", "'a' AS ip_src", "1 AS sport", "'b' AS ip_dst", "2 AS dport", "id AS pkt_no", "id AS ts_us", "6 AS ip_proto", "id * 10 AS seq", "CAST(id = 0 AS INT) AS syn", "0 AS fin", "10 AS len")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shares = packets.tcp_epochs(rows).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in shares) == 100_000 and max(r["count"] for r in shares) < 50_000
+
+
+def test_running_values(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, rng.randrange(-50, 50)])) for i in range(400)]
+    frame = spark.createDataFrame(rows, "k string, i long, v long").withColumn("part", F.floor(F.col("i") / 13))
+    values = {"total": ("sum", "v"), "most": ("max", "v", "before"), "least": ("min", "v"), "mixed": ("xor", F.abs("v"))}
+    got = {r.i: r for r in segments.running(frame, ["k"], "part", ["i"], values).collect()}
+    assert len(got) == 400
+    for k, i, _ in rows:
+        upto = [v for kk, j, v in rows if kk == k and j <= i and v is not None]
+        before = [v for kk, j, v in rows if kk == k and j < i and v is not None]
+        mixed = None
+        for v in upto:
+            mixed = (mixed or 0) ^ abs(v)
+        assert (got[i].total, got[i].most, got[i].least, got[i].mixed) == (sum(upto) if upto else None, max(before, default=None), min(upto, default=None), mixed)
+    numbered = segments.numbered(frame.select("k", "i", "v"), ["k"], [F.col("v").asc_nulls_first(), F.col("i").desc()], "place").collect()
+    for k in ("a", "b", None):
+        own = sorted((r for r in numbered if r.k == k), key=lambda r: (r.v is not None, r.v or 0, -r.i))
+        assert [r.place for r in own] == list(range(len(own)))
+
+
+def test_stream_bytes_take_time_in_proportion(spark):
+    def took(n):
+        rows = spark.range(n).selectExpr("'f' AS file", "'a' AS ip_src", "1 AS sport", "'b' AS ip_dst", "2 AS dport", "0 AS epoch", f"{n} - id AS seq", "true AS joined", "unhex(repeat(lpad(hex(id % 256), 2, '0'), 2000)) AS payload")
+        began = time.time()
+        assert packets.stream_bytes(rows, "payload").select(F.length("data"), F.hex(F.substring("data", 1, 1))).first()[0] == 2_000 * n
+        return time.time() - began
+
+    took(100)
+    assert took(16_000) < 16 * took(2_000) + 5  # copying all earlier bytes at each step takes 64 times as long
