@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as fn
-from .operators import content, enrich, images, messages, packets
+from .operators import content, enrich, images, messages, packets, rules
 from .plans.registered import ORACLE_SQL, QUERIES, query
 from .plans.views import edges, frames, packets as packets_v, table, tags
 from .sources import captures
@@ -228,12 +228,21 @@ def base64_decode(spark, sf_dir):
     return content.decoded(coded, "payload").select("doc_id", "decoder", F.octet_length("decoded").cast("long").alias("n"))
 
 
-_RULES = [("mit_line", "Released under the MIT License."), ("apache_line", "Licensed under the Apache License"), ("token", "token = "), ("insult", "stupid"), ("mail", "example.com")]
+_RULES = [("mit_line", "license", "Released under the MIT License."), ("apache_line", "license", "Licensed under the Apache License"), ("token", "secret", "token = "), ("insult", "", "stupid"), ("mail", "personal", "example.com"), ("e", "", "e")]
 
 
-@query("SELECT doc_id, rule FROM documents, (VALUES " + ", ".join(f"('{n}', '{p}')" for n, p in _RULES) + ") r(rule, pattern) WHERE contains(text, pattern)")
+@query("SELECT doc_id, rule, tags FROM documents, (VALUES " + ", ".join(f"('{n}', '{t}', '{p}')" for n, t, p in _RULES) + ") r(rule, tags, pattern) WHERE contains(text, pattern)")
 def rule_match(spark, sf_dir):
-    return content.rule_matches(table(spark, sf_dir, "documents"), "doc_id", "text", _RULES)
+    rows = spark.createDataFrame([(n, [t] if t else [], p) for n, t, p in _RULES], "name string, tags array<string>, pattern string")
+    return rules.rule_matches(table(spark, sf_dir, "documents"), "doc_id", "text", rows).withColumn("tags", F.array_join("tags", ","))
+
+
+@query(f"SELECT o_orderkey, concat('customer', c_custkey) AS rule, concat('t', c_custkey % 3, ',all') AS tags FROM orders JOIN customer ON contains(concat('Order of ', lpad(CAST(o_custkey AS VARCHAR), 9, '0'), '.'), lpad(CAST(c_custkey AS VARCHAR), 9, '0'))")
+def rule_match_table(spark, sf_dir):
+    """A rule for each customer: a table of rules that grows with the data, met through the index of their grams."""
+    made = table(spark, sf_dir, "customer").selectExpr("concat('customer', c_custkey) AS name", "array(concat('t', c_custkey % 3), 'all') AS tags", "lpad(CAST(c_custkey AS STRING), 9, '0') AS pattern")
+    notes = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "concat('Order of ', lpad(CAST(o_custkey AS STRING), 9, '0'), '.') AS note")
+    return rules.rule_matches(notes, "o_orderkey", "note", made).withColumn("tags", F.array_join("tags", ","))
 
 
 @query("SELECT event_type, k, count(*) AS n FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY ALL")

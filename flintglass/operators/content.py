@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_time_text
+from . import rules
 from .messages import http_bodies, http_body
 
 ENTROPY_BYTES, LEAST_BYTES = 102_400, 1280
@@ -73,17 +74,13 @@ def spans(text: Column, *signatures: tuple[str, str | None]) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)" + "|".join(f"(?:{f})" for f in forms)), F.lit(0))
 
 
-def carve(payloads: DataFrame, data: str, signatures: tuple = SIGNATURES) -> DataFrame:
-    """One row for each signature match in a binary column: format, category, ext, number, carved bytes.
+def carve(payloads: DataFrame, data: str, signatures: tuple | DataFrame = SIGNATURES, keep: list[str] | None = None) -> DataFrame:
+    """One row for each signature match in a binary column: format, category, ext, number, carved bytes, and the `keep`
+    columns (all by default).
 
-    signatures: rows (format, ((header, trailer), ..), extension, category); users pass SIGNATURES with rows of their own."""
-    text = F.decode(F.col(data), "ISO-8859-1")
-
-    def matches(name: str, forms: tuple, ext: str, category: str) -> Column:
-        kind = [F.lit(v).alias(n) for n, v in (("format", name), ("category", category), ("ext", ext))]
-        return F.transform(spans(text, *forms), lambda s, i: F.struct(*kind, (i + 1).alias("number"), F.encode(s, "ISO-8859-1").alias("carved")))
-
-    return payloads.withColumn("c", F.explode(F.concat(*(matches(*row) for row in signatures)))).select(*payloads.columns, "c.*")
+    signatures: a table of rules (rules.SIGNATURE_COLUMNS), or rows like those of SIGNATURES. Users add rows."""
+    table = signatures if isinstance(signatures, DataFrame) else rules.signature_rules(payloads.sparkSession, signatures)
+    return rules.carve(payloads, data, table, keep)
 
 
 #: Decoders of a payload column by name, with their order; null for a payload that one cannot decode.
@@ -150,7 +147,7 @@ def found_files(streams: DataFrame, data: str, entropy: bool = False) -> DataFra
     each decoded payload also as a file of its own, with its entropy class as category."""
     keys = ["file", "ip_src", "ip_dst", "first_us"]
     payloads = decoded(dissected(streams, data).select(*keys, "payload"), "payload").select(*keys, "ord", "decoded")
-    files = carve(payloads, "decoded").select(*keys, "ord", "category", "ext", "number", "carved")
+    files = carve(payloads, "decoded", keep=[*keys, "ord"]).select(*keys, "ord", "category", "ext", "number", "carved")
     if entropy:
         whole = payloads.withColumn("id", F.struct(*keys, "ord", F.md5("decoded").alias("digest")))
         classes = entropy_classes(whole.dropDuplicates(["id"]), "id", "decoded").select("id", F.col("entropy_class").alias("category"))
@@ -189,12 +186,6 @@ def cef_event(line: Column) -> Column:
     return F.struct(*(part(i).alias(f) for i, f in enumerate(fields)), last_of_each(F.zip_with(names, values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))).alias("extension"))
 
 
-def rule_matches(docs: DataFrame, key: str, text: str, rules: list[tuple[str, str]]) -> DataFrame:
-    """(key, rule) for every rule (name, literal pattern) whose pattern the text holds."""
-    hits = F.filter(F.array(*(F.when(F.contains(F.col(text), F.lit(p)), F.lit(n)) for n, p in rules)), lambda r: r.isNotNull())
-    return docs.select(key, F.explode(hits).alias("rule"))
-
-
 def registered_domains(urls: DataFrame, url: str, suffixes: DataFrame) -> DataFrame:
     """host, its longest public suffix and the registered domain below it; suffixes(suffix) may be of any size."""
     host = F.lower(F.regexp_extract(url, r"^[a-z]+://([^/:?#]+)", 1))
