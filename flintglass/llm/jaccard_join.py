@@ -1,6 +1,7 @@
 """N-gram Jaccard join with several global token orders.
 
-A document is the set of its distinct word shingles (64-bit hashes). Texts with equal sets form a class. Under any
+A document is the set of its distinct word shingles (64-bit hashes). Texts with equal sets form a class; that members of
+a class have equal sets is proved by a second key of 64 bits. Under any
 global order, two sets with a Jaccard similarity of at least t share a token among the first |A| - ceil(t |A|) + 1 of
 each; ORDERS such orders are used, all with the frequent shingles (found by a sketch over all documents) last, so that
 common lines and passages hardly ever stand in a prefix. The first order proposes pairs. A pair goes on only if under
@@ -43,6 +44,8 @@ COUNTER = 1_500_000
 STAR_ROUNDS = 2
 #: Classes to verify are broadcast (two numbers each) up to so many rows, and joined by a shuffle of the texts beyond.
 BROADCAST_ROWS = 100_000
+#: The second key of a class is a key of the seed that lies so far on.
+PROOF = 1_000
 _TOP = np.uint64(1 << 63)
 
 
@@ -132,9 +135,10 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def signatures(docs: DataFrame, ngram: int, percent: int, frequent: tuple[np.ndarray, np.ndarray], orders: int = ORDERS) -> DataFrame:
-    """(doc_id, n, cls, p0..): set size, class key and prefixes; a task gives the prefixes of a class once."""
-    fields = [("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64())]
+def signatures(docs: DataFrame, ngram: int, percent: int, frequent: tuple[np.ndarray, np.ndarray], orders: int = ORDERS, seed: int = 0) -> DataFrame:
+    """(doc_id, n, cls, proof, p0..): set size, class key, a second key and prefixes; a task gives the prefixes of a class
+    once."""
+    fields = [("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("proof", pa.int64())]
     schema = pa.schema([*fields, *[(f"p{k}", pa.list_(pa.int64())) for k in range(orders)]])
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT pairs of numbers
 
@@ -145,9 +149,10 @@ def signatures(docs: DataFrame, ngram: int, percent: int, frequent: tuple[np.nda
             for text in batch.column(1).to_pylist():
                 tokens = shingle_set(text, ngram)
                 n = len(tokens)
-                cls = class_key(tokens)
+                cls = class_key(tokens, seed)
                 cols[1].append(n)
                 cols[2].append(cls)
+                cols[3].append(class_key(tokens, seed + PROOF))
                 fresh = n > 0 and cls not in met
                 if fresh:
                     if len(met) > 1_000_000:
@@ -158,21 +163,21 @@ def signatures(docs: DataFrame, ngram: int, percent: int, frequent: tuple[np.nda
                 for k in range(orders):
                     if fresh:
                         r = ranks(tokens, k, *common)
-                        cols[3 + k].append(np.sort(_signed(np.partition(r, length - 1)[:length] if length < n else r)))
+                        cols[4 + k].append(np.sort(_signed(np.partition(r, length - 1)[:length] if length < n else r)))
                     else:
-                        cols[3 + k].append(None)
+                        cols[4 + k].append(None)
             arrays = [batch.column(0), *(pa.array(c, f.type) for c, f in zip(cols[1:], list(schema)[1:], strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    ddl = "doc_id long, n long, cls long, " + ", ".join(f"p{k} array<long>" for k in range(orders))
+    ddl = "doc_id long, n long, cls long, proof long, " + ", ".join(f"p{k} array<long>" for k in range(orders))
     return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(run, ddl)
 
 
-def class_key(tokens: np.ndarray) -> int:
-    """A 64-bit key of a set."""
+def class_key(tokens: np.ndarray, seed: int = 0) -> int:
+    """A 64-bit key of a set; each seed gives other keys."""
     if not len(tokens):
         return 0
-    a, b = np.bitwise_xor.reduce(mix(tokens, 101)), np.add.reduce(mix(tokens, 102))
+    a, b = np.bitwise_xor.reduce(mix(tokens, 101 + 10 * seed)), np.add.reduce(mix(tokens, 102 + 10 * seed))
     return int(mix(np.array([a ^ mix(b[None] + np.uint64(len(tokens)), 103)[0]], np.uint64), 104).view(np.int64)[0])
 
 
@@ -192,7 +197,7 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataF
     return both.filter(keep).select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, ngram: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, ngram: int, percent: int, seed: int) -> DataFrame:
     """Pairs whose whole sets reach the threshold; the sets are made again from the texts of the classes in question."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(members, "cls").select("cls", F.col("first_doc").alias("doc_id"))
     schema = pa.schema([("cls", pa.int64()), ("tokens", pa.list_(pa.int64()))])
@@ -202,7 +207,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, ngram: int,
             keys, sets = [], []
             for cls, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = shingle_set(text, ngram)
-                key = class_key(tokens)
+                key = class_key(tokens, seed)
                 if cls is None or key == cls:
                     keys.append(key)
                     sets.append(tokens.view(np.int64))
@@ -221,10 +226,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, ngram: int,
     return both.filter(100 * common >= percent * (F.size("ta") + F.size("tb") - common)).select("a", "b")
 
 
-def class_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, orders: int = ORDERS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, cls) of every document, and (cls, first_doc, copies, comp) of every class with words."""
-    sets = cut(signatures(docs, ngram, percent, frequent_shingles(docs, ngram), orders))
-    members = cut(sets.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")))
+def class_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, orders: int = ORDERS) -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, n, cls) of every document, (cls, first_doc, copies, comp) of every class with words, and the keys' seed.
+
+    Documents of a class must agree in a second key of 64 bits as well; if any do not, all keys are made anew."""
+    frequent, seed = frequent_shingles(docs, ngram), 0
+    while True:
+        sets = cut(signatures(docs, ngram, percent, frequent, orders, seed))
+        kept = sets.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.min("proof").alias("least"), F.max("proof").alias("most"))
+        members = cut(kept.select("cls", "first_doc", "copies", (F.col("least") != F.col("most")).alias("mixed")))
+        if members.filter("mixed").isEmpty():
+            break
+        seed += 1
+    members = members.drop("mixed")
     chosen = sets.filter("p0 IS NOT NULL").select("cls", "n", *(f"p{k}" for k in range(orders))).dropDuplicates(["cls"])
     rows = sets.filter("p0 IS NOT NULL").select("cls", "n", "doc_id", F.posexplode("p0").alias("pos", "token"))
     by_token = Window.partitionBy("token").orderBy("doc_id", "cls")
@@ -250,18 +264,18 @@ def class_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT
         if pairs.isEmpty():
             continue  # a round without a new partner says nothing about the pairs of the last round
         tested = pairs if tested is None else tested.union(pairs)
-        found = cut(_verified(cut(_near(pairs, chosen, percent, orders)), docs, members, ngram, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        found = cut(_verified(cut(_near(pairs, chosen, percent, orders)), docs, members, ngram, percent, seed).select(F.col("a").alias("u"), F.col("b").alias("v")))
         edges = found if edges is None else cut(edges.union(found))
         labels = components(edges)
     known = members.withColumn("comp", F.col("cls"))
     if labels is not None:
         known = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("label", "cls")).drop("label")
-    return sets.select("doc_id", "n", "cls"), known
+    return sets.select("doc_id", "n", "cls"), known, seed
 
 
 def link_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every document."""
-    return _named(*class_components(docs, ngram, percent, orders))
+    return _named(*class_components(docs, ngram, percent, orders)[:2])
 
 
 def _fits(a: Column, b: Column, percent: int) -> Column:
@@ -316,7 +330,7 @@ def one_of_each(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, ord
     class key; of rows that are equal in both, one with the smallest text. Rows without words all stay.
 
     Every row's fate follows from its own text: another text under the same doc_id is not touched."""
-    sets, known = class_components(docs, ngram, percent, orders)
+    sets, known, seed = class_components(docs, ngram, percent, orders)
     sizes = known.groupBy("comp").agg(F.sum("copies").alias("size")).filter("size > 1")
     grouped = cut(known.join(cut(sizes), "comp").select("cls", "comp"))  # classes that do not stand alone
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "cls")
@@ -326,7 +340,7 @@ def one_of_each(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, ord
     winners = cut(same.join(first, "comp").filter(F.col("rank") == F.col("first")).select("comp", F.col("doc_id").alias("win_doc"), F.col("cls").alias("win_cls"), (F.col("n") > 1).alias("repeated")))
 
     mark = unused("_join_", docs.columns)
-    keyed = with_class(docs.withColumn(mark + "id", F.col("doc_id").cast("long")), ngram, mark + "cls")
+    keyed = with_class(docs.withColumn(mark + "id", F.col("doc_id").cast("long")), ngram, mark + "cls", seed)
     fate = cut(grouped.join(winners, "comp").select(*(F.col(c).alias(mark + c) for c in ("cls", "comp", "win_doc", "win_cls", "repeated"))))
     small = fate.count() <= BROADCAST_ROWS  # five numbers a row
     judged = keyed.join(F.broadcast(fate) if small else fate, mark + "cls", "left")
@@ -339,14 +353,14 @@ def one_of_each(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, ord
     return kept.unionByName(again.select("r.*"))
 
 
-def with_class(docs: DataFrame, ngram: int, name: str) -> DataFrame:
+def with_class(docs: DataFrame, ngram: int, name: str, seed: int) -> DataFrame:
     """The rows with the class key of their text (0 without words)."""
     schema = to_arrow_schema(docs.schema).append(pa.field(name, pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            keys = pa.array([class_key(shingle_set(t, ngram)) for t in texts], pa.int64())
+            keys = pa.array([class_key(shingle_set(t, ngram), seed) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, keys], schema=schema)
 
     return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{name}` long"]))

@@ -496,6 +496,43 @@ def test_secrets(spark, docs, empty):
     assert {r.spans for r in secret_cnn.report(spark.createDataFrame([(1, t) for t, s in planted.items() if not s], "doc_id long, text string"), net).collect()} == {""}
 
 
+def test_a_secret_around_a_base_span_goes_whole(spark, docs):
+    net = secret_cnn.fit(docs)
+    token = "QxZpTgHkLmWvRbNcYd0123456789abcdef0123QxZpTgHkLmWvRbNcYd"
+    text = f"Authorization: Bearer {token} and more"
+    base, added = secret_cnn.scan_text(text, net)
+    assert base and [x[:2] for x in added] == [(22, 22 + len(token))]
+    assert secret_cnn.redacted(text, base, added) == "Authorization: Bearer [secret] and more"
+    assert secret_cnn.uncovered([(0, 5), (6, 20), (30, 40)], [(2, 0, 4), (8, 2, 12), (10, 0, 14), (30, 1, 44)]) == [(3, 2), (8, 6), (0, 10)]
+
+
+def test_the_threshold_keeps_the_recall():
+    rng = np.random.default_rng(5)
+    for secret in (rng.random(500), rng.random(3), np.ones(7), rng.random(49)):
+        t = secret_cnn.threshold(secret)
+        assert (secret >= t).mean() >= secret_cnn.MIN_RECALL and ((secret > t).mean() < secret_cnn.MIN_RECALL or len(set(secret)) == 1)
+
+
+def test_forms_held_out():
+    """Each fifth written form is left out of training: recall and false alarms on what it has never seen."""
+    found, total = Counter(), Counter()
+    for part in range(5):
+        findings = []
+        for kind, forms in ((True, secret_cnn.SECRETS), (False, secret_cnn.CLEAN)):
+            for i, form in enumerate(forms):
+                for j, (text, s, e, secret) in enumerate(secret_cnn.written_findings(20, seed=i, forms=[(form, kind)])):
+                    codes, place = secret_cnn.codes_of([text])
+                    at, until, _ = secret_cnn.window_starts(np.array([s]) + place[0], np.array([e]) + place[0])
+                    findings.append((i % 5 == part, secret_cnn.windows(codes, at, until), secret, j % 4 == 0))
+        net = secret_cnn.train([f[1:] for f in findings if not f[0]])
+        for out, w, secret, _ in findings:
+            if out:
+                total[secret] += 1
+                found[secret] += bool(net.probability(net.score(w)).max() >= net.threshold)
+    print("recall on forms held out", found[True] / total[True], "false alarms", found[False] / total[False])
+    assert found[True] >= 0.8 * total[True] and found[False] <= 0.25 * total[False]
+
+
 def test_secret_query(spark):
     found = QUERIES["op10_secret_cnn"](spark, SF).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
