@@ -229,20 +229,20 @@ def parse(source: str) -> Page:
     return page
 
 
+#: Elements that stand around a page's text and not in a form that is filled in.
+AROUND = ("article", "main", "nav", "header", "footer", "aside")
+
+
 def _fill(page: Page, found: list[tuple[int, str, int, int]], outer: dict[int, int]) -> None:
-    """Blocks, sizes and link sizes without the forms' own text; a form around the page's text becomes a div."""
+    """Blocks, sizes and link sizes without the forms' own text. A form that encloses the article or the page's furniture,
+    or the outermost one where no text stands outside of forms, is a frame around the page and becomes a div."""
     page.size, page.linked = [0] * len(page.tag), [0] * len(page.tag)
     wide = set()
     if outer:
-        inside = dict.fromkeys(outer, 0)
-        for _, text, _, form in found:
-            while form >= 0:
-                inside[form] += len(text)
-                form = outer[form]
-        total = sum(len(text) for _, text, _, _ in found)
-        wide = {f for f, n in inside.items() if 2 * n > total}
+        if found and all(form >= 0 for *_, form in found):
+            wide = {f for f, o in outer.items() if o < 0}
         for i, tag in enumerate(page.tag):
-            if tag in ("article", "main"):
+            if tag in AROUND:
                 while i >= 0:
                     if page.tag[i] == "form":
                         wide.add(i)

@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import mix, slices
+from .textops import cut, mix, slices
 
 DIMENSIONS = 1024
 MAX_TRAINING, LEAST_TRAINING = 20_000, 500
+#: Languages whose counts are broadcast; more of them are joined by a shuffle.
+MOST_BROADCAST = 10_000
 #: Trigram vectors kept by a task; the store is rebuilt when it is full.
 STORE = 16_384
 #: Trigrams bundled at a time, so that a long text needs no more memory than a short one.
@@ -117,8 +119,11 @@ def learn(docs: DataFrame, max_training: int = MAX_TRAINING) -> list[tuple[str,
     """(language, unit prototype) in order of the language; docs: the rows that may be learned from."""
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
     counts = known.groupBy("lang").agg(F.least(F.count("*"), F.approx_count_distinct(F.xxhash64("text"))).alias("n"))  # one row for each language
-    each = max(LEAST_TRAINING, max_training // max(1, counts.count()))
-    drawn = known.join(F.broadcast(counts), "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) * F.col("n") < F.lit(each * 1_000_000)).select("lang", "text")
+    counts = cut(counts)
+    n_langs = counts.count()
+    each = max(LEAST_TRAINING, max_training // max(1, n_langs))
+    sized = known.join(F.broadcast(counts) if n_langs <= MOST_BROADCAST else counts, "lang")
+    drawn = sized.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) * F.col("n") < F.lit(each * 1_000_000)).select("lang", "text").distinct()
     schema = pa.schema([("lang", pa.string()), ("v", pa.list_(pa.float64()))])
 
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

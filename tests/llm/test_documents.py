@@ -633,6 +633,26 @@ def test_html_shapes(spark):
     assert html_tree.extract_pages(none, html_tree.fit(none)).count() == 0
 
 
+def test_the_language_sample_holds_a_text_once(spark):
+    words = ["der die das und nicht ein eine mit", "the and of to in that is was", "le la les des et une dans pour"]
+    rows = [(f"l{k}", f"{words[k]} {i}") for k in range(3) for i in range(200)] + [("l0", "the and of to in that is was hot text")] * 2_000
+    learned = [p for p in (lang_hd.learn(spark.createDataFrame(rows, "lang string, text string")), lang_hd.learn(spark.createDataFrame(sorted(set(rows)), "lang string, text string")))]
+    for (a, x), (b, y) in zip(*learned, strict=True):
+        assert a == b and np.allclose(x, y)
+    found = lang_hd.predict(spark.createDataFrame([(1, "that is the text of the house")], "doc_id long, text string"), learned[0]).first()
+    assert found.lang_pred == "l1"
+
+
+def test_a_form_of_any_size_is_left_out():
+    article = f"<div class=post><h1>Head</h1><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></div>"
+    want = "\n".join(["Head", LONG_TEXT.strip(), LONG_TEXT.strip()])
+    model = html_tree.train(html_tree.labelled_pages())
+    for n in (0, 1, 6, 9, 40, 200):
+        form = "<form action=/join><h2>Sign up</h2>" + "<p><label>Your name and address, please, so that we can write to you.</label><input></p>" * n + "</form>"
+        for page in (article + form, form + article, f"<nav><a href=1>Home</a></nav><main>{article}</main>{form}<footer>foot</footer>"):
+            assert html_tree.extract(f"<html><body>{page}</body></html>", model) == want, n
+
+
 def test_html_takes_time_in_proportion():
     import time
 
