@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as fn
-from .operators import content, enrich, images, messages, packets, rules
+from .operators import content, enrich, images, intervals, messages, packets, rules
 from .plans.registered import ORACLE_SQL, QUERIES, query
 from .plans.views import edges, frames, packets as packets_v, table, tags
 from .sources import captures
@@ -285,6 +285,25 @@ def ip_owner(spark, sf_dir):
     return _ranged(spark, sf_dir).select("c_custkey", "ip", F.coalesce("owner", F.lit("")).alias("owner"))
 
 
+_BLOCKS = """SELECT concat(10 + n_nationkey, '.0.0.0/8') AS block, n_nationkey AS asn, n_name AS owner FROM {0} UNION ALL SELECT concat(10 + n_nationkey, '.', 16 * (n_nationkey % 8), '.0.0/12'), CASE WHEN n_nationkey % 3 > 0 THEN 100 + n_nationkey END, concat(n_name, '-inner') FROM {0}
+ UNION ALL SELECT '0.0.0.0/0', 0, 'rest' FROM {0} WHERE n_nationkey = 0 UNION ALL SELECT concat('2001:db8:', n_nationkey, '::/48'), 200 + n_nationkey, n_name FROM {0} UNION ALL SELECT concat('2001:db8:', n_nationkey, ':8000::/49'), 300 + n_nationkey, concat(n_name, '-upper') FROM {0}"""
+_ADDRESS = "CASE WHEN c_custkey % 4 = 0 THEN concat('2001:db8:', c_custkey % 30, ':', CASE WHEN c_custkey % 8 = 0 THEN 'c000' ELSE '1' END, '::', c_custkey % 7) WHEN c_custkey % 41 = 1 THEN 'none' ELSE concat(c_custkey % 50, '.', c_custkey % 256, '.1.', c_custkey % 9) END"
+
+
+@query(f"""WITH c AS (SELECT c_custkey, {_ADDRESS} AS ip, c_custkey % 50 AS a, c_custkey % 256 AS b, c_custkey % 30 AS g FROM customer)
+ SELECT c_custkey, ip, CASE WHEN c_custkey % 4 = 0 THEN CASE WHEN n_name IS NULL THEN '' WHEN c_custkey % 8 = 0 THEN concat('2001:db8:', g, ':8000::/49') ELSE concat('2001:db8:', g, '::/48') END
+  WHEN ip = 'none' THEN '' WHEN n_name IS NULL THEN '0.0.0.0/0' WHEN b // 16 = n_nationkey % 8 THEN concat(a, '.', 16 * (n_nationkey % 8), '.0.0/12') ELSE concat(a, '.0.0.0/8') END AS block,
+ CASE WHEN c_custkey % 4 = 0 THEN CASE WHEN n_name IS NULL THEN '' WHEN c_custkey % 8 = 0 THEN CAST(300 + n_nationkey AS VARCHAR) ELSE CAST(200 + n_nationkey AS VARCHAR) END
+  WHEN ip = 'none' THEN '' WHEN n_name IS NULL THEN '0' WHEN b // 16 = n_nationkey % 8 THEN CASE WHEN n_nationkey % 3 > 0 THEN CAST(100 + n_nationkey AS VARCHAR) ELSE '' END ELSE CAST(n_nationkey AS VARCHAR) END AS asn,
+ CASE WHEN c_custkey % 4 = 0 THEN CASE WHEN n_name IS NULL THEN '' WHEN c_custkey % 8 = 0 THEN concat(n_name, '-upper') ELSE n_name END
+  WHEN ip = 'none' THEN '' WHEN n_name IS NULL THEN 'rest' WHEN b // 16 = n_nationkey % 8 THEN concat(n_name, '-inner') ELSE n_name END AS owner
+ FROM c LEFT JOIN nation ON n_nationkey = CASE WHEN c_custkey % 4 = 0 THEN g WHEN ip = 'none' THEN -1 ELSE a - 10 END""")
+def block_owner(spark, sf_dir):
+    """Block, asn and owner of IPv4 and IPv6 addresses; blocks stand in blocks, one holds all of IPv4."""
+    blocks = spark.sql(_BLOCKS.replace("{0}", "{n}"), n=table(spark, sf_dir, "nation"))
+    return intervals.block_owners(table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_ADDRESS} AS ip"), "ip", blocks)
+
+
 _PLACES = "SELECT 16777216 + n_nationkey * 400000 AS first_ip, 16777216 + n_nationkey * 400000 + 299999 AS last_ip, 12 AS prefix_len, n_nationkey * 1.5E0 AS latitude, n_nationkey * -2.5E0 AS longitude, CASE WHEN n_nationkey % 4 > 0 THEN concat('r', n_regionkey) END AS region, n_name AS country FROM {0}"
 
 

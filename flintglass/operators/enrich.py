@@ -6,20 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_public
-
-#: Addresses and ranges meet in buckets of so many addresses, so that the range join is an equi-join.
-BUCKET = 1 << 16
+from .intervals import flattened, looked_up, number_key
 
 
 def range_join(points: DataFrame, ranges: DataFrame, ip: str) -> DataFrame:
-    """Left join of `ip` with (first_ip, last_ip, prefix_len, ...): the narrowest range that holds it."""
-    cover = F.explode(F.sequence(F.floor(F.col("first_ip") / BUCKET), F.floor(F.col("last_ip") / BUCKET)))
-    buckets = ranges.withColumn("_b", cover)
-    distinct = points.select(ip).distinct().withColumn("_b", F.floor(F.col(ip) / BUCKET))
-    hits = distinct.join(buckets, "_b").filter(F.col(ip).between(F.col("first_ip"), F.col("last_ip")))
+    """Left join of `ip` with (first_ip, last_ip, prefix_len, ...): the narrowest range that holds it, then the one that
+    begins first."""
     names = [c for c in ranges.columns if c not in ("first_ip", "last_ip")]
-    best = hits.groupBy(ip).agg(F.max_by(F.struct(*names), F.struct("prefix_len", -F.col("first_ip"))).alias("r"))
-    return points.join(best, ip, "left").select(*points.columns, *(F.col(f"r.{n}").alias(n) for n in names))
+    keyed = ranges.select(number_key(F.col("first_ip")).alias("first"), number_key(F.col("last_ip")).alias("last"), *names)
+    return looked_up(points, number_key(F.col(ip)), flattened(keyed, names), names)
 
 
 def ip_locations(points: DataFrame, places: DataFrame, ip: str) -> DataFrame:
