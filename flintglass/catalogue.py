@@ -313,13 +313,15 @@ def ip_location(spark, sf_dir):
     return enrich.ip_locations(table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_IP} AS ip"), places, "ip").drop("ip")
 
 
-_NAMES = "SELECT c_custkey % 50 AS ip, CASE WHEN c_custkey % 50 < 45 THEN c_mktsegment END AS host, CASE WHEN c_custkey % 50 >= 45 THEN 'down' END AS error FROM {c} UNION ALL SELECT s_suppkey % 50, CASE WHEN s_suppkey % 50 < 40 OR s_suppkey % 50 = 47 THEN concat('host', s_nationkey) END, CASE WHEN s_suppkey % 50 >= 40 AND s_suppkey % 50 <> 47 THEN 'timeout' END FROM {s}"
+_ONE = "SELECT c_custkey % 50 AS ip, CASE WHEN c_custkey % 50 < 45 THEN c_mktsegment END AS host, CASE WHEN c_custkey % 50 >= 45 THEN 'down' END AS error FROM {c}"
+_TWO = "SELECT s_suppkey % 50 AS ip, CASE WHEN s_suppkey % 50 < 40 OR s_suppkey % 50 = 47 THEN concat('host', s_nationkey) END AS host, CASE WHEN s_suppkey % 50 >= 40 AND s_suppkey % 50 <> 47 THEN 'timeout' END AS error FROM {s}"
 
 
-@query("WITH n AS (" + _NAMES.format(c="customer", s="supplier") + ") SELECT DISTINCT ip, host, CAST(NULL AS VARCHAR) AS error FROM n WHERE host IS NOT NULL UNION ALL SELECT ip, NULL, min(error) FROM n GROUP BY ip HAVING count(host) = 0 AND count(error) > 0")
+@query("WITH n AS (" + _ONE.format(c="customer") + " UNION ALL " + _TWO.format(s="supplier") + ") SELECT DISTINCT ip, host, CAST(NULL AS VARCHAR) AS error FROM n WHERE host IS NOT NULL UNION ALL SELECT ip, NULL, min(error) FROM n GROUP BY ip HAVING count(host) = 0 AND count(error) > 0")
 def host_names(spark, sf_dir):
-    rows = spark.sql(_NAMES, c=table(spark, sf_dir, "customer"), s=table(spark, sf_dir, "supplier"))
-    return enrich.merge_host_names(rows, rows.limit(0))
+    """Names of two providers: some addresses have both, some one with the other's error, some only errors of both."""
+    one, two = spark.sql(_ONE, c=table(spark, sf_dir, "customer")), spark.sql(_TWO, s=table(spark, sf_dir, "supplier"))
+    return enrich.merge_host_names(one, two)
 
 
 @query("SELECT md5(concat('ind', event_id)) AS value, 'MD5' AS kind, CAST(ts AS DATE) AS day FROM events UNION ALL SELECT concat(event_id % 223 + 1, '.', (event_id // 223) % 256, '.', (event_id // 57088) % 256, '.', event_id // 14614528), 'IP', CAST(ts AS DATE) FROM events UNION ALL SELECT concat('host', event_id, '.example.com'), 'Domain', CAST(ts AS DATE) FROM events UNION ALL SELECT concat('http://host', event_id, '.example.com/', event_id % 97), 'URL', CAST(ts AS DATE) FROM events")
@@ -458,6 +460,19 @@ def failure_report(spark, sf_dir):
     return images.failure_report(rows, "run")
 
 
+@query("SELECT base, CAST((rn - 1) // 2 AS BIGINT) AS chunk, string_agg(CAST(dependent AS VARCHAR), ',' ORDER BY dependent) AS dependents FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY dependent) AS rn FROM edges_v) GROUP BY base, chunk")
+def dependents_in_chunks(spark, sf_dir):
+    return images.dependents_in_chunks(edges(spark, sf_dir), 2).withColumn("dependents", F.array_join(F.transform("dependents", lambda d: d.cast("string")), ","))
+
+
+@query("""WITH f AS (SELECT o_custkey AS run, o_orderkey, o_orderpriority AS step, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderkey AS VARCHAR)) - 1 AS i FROM orders WHERE o_orderstatus = 'F')
+ SELECT run, CAST(i // 3 AS BIGINT) AS chunk, concat('{', string_agg(concat('"', o_orderkey, '":{"step":"', step, '"}'), ',' ORDER BY i), '}') AS report FROM f GROUP BY run, chunk
+ UNION ALL SELECT o_custkey, 0, '{}' FROM orders GROUP BY o_custkey HAVING count(*) FILTER (o_orderstatus = 'F') = 0""")
+def failure_chunks(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").selectExpr("o_custkey AS run", "o_orderstatus <> 'F' AS ok", "CAST(o_orderkey AS STRING) AS image", "o_orderpriority AS step")
+    return images.failure_chunks(rows, "run", 3)
+
+
 # ---- licences and versions
 
 _LINES = "WITH f AS (SELECT source AS image, doc_id, unnest(regexp_extract_all(text, '(?:Licensed|Released|licensed) under [^.\\n]*')) AS license FROM documents)"

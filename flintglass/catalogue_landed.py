@@ -47,12 +47,16 @@ def rewrite_base(spark, sf_dir):
     return parts.select("path", F.md5(fn.rewrite_base(F.col("content"), F.col("name"), F.col("old"), F.lit("2.0"), now)).alias("digest"), F.length(fn.rewrite_date(F.col("content"), now)).cast("long").alias("n_dated"))
 
 
-@query("SELECT p_partkey AS image, true AS stale FROM part WHERE p_partkey % 3 = 0")
+_DATED = r"concat('# Last modified', CASE p_size % 4 WHEN 0 THEN ': 2024-01-02' WHEN 1 THEN ': never' WHEN 2 THEN ': 2023-05-06T07:08:09Z' ELSE ' by hand' END, '\nFROM org/base', p_size, '\n')"
+
+
+@query("SELECT p_partkey AS image, p_size % 4 > 0 AS stale, CAST(42 + length(CAST(p_size AS VARCHAR)) AS BIGINT) AS n FROM part WHERE p_partkey % 3 = 0 AND p_size % 4 < 3")
 def stale_last_modified(spark, sf_dir):
-    """Build files under a folder whose last-modified line would be renewed."""
-    files = _build_files(spark, sf_dir).withColumn("folder", F.when(F.col("path").cast("long") % 3 == 0, "docker/python").otherwise("docker/other"))
-    chosen = files.filter(F.col("folder").rlike("docker/python") & F.contains("content", F.lit("# Last modified:")))
-    return chosen.select(F.col("path").cast("long").alias("image"), (fn.rewrite_date(F.col("content"), F.lit("2024-01-02")) != F.col("content")).alias("stale"))
+    """Build files under a folder whose last-modified line would be renewed; some have today's date already."""
+    path = F.concat(F.when(F.col("p_partkey") % 3 == 0, "docker/python/").otherwise("docker/other/"), F.col("p_partkey").cast("string"))
+    files = table(spark, sf_dir, "part").select("p_partkey", path.alias("path"), F.expr(_DATED).alias("content"))
+    found = images.stale_files(files, "docker/python", F.lit("2024-01-02"))
+    return found.select(F.col("p_partkey").alias("image"), "stale", F.length("renewed").cast("long").alias("n"))
 
 
 _MANIFEST = r"CASE WHEN p_partkey % 2 = 0 THEN concat('[requires]\npython_version = \"3.', p_size, '\"\n') ELSE concat('[tool]\npython = \"~3.', p_size, '\"\n') END"
@@ -167,17 +171,17 @@ def carve(spark, sf_dir):
     return content.carve(raw, "data").select("p_partkey", "format", "number", F.hex("carved").alias("carved"))
 
 
-_CLASSED = "SELECT pkt_no, 'Image' AS category, 'png' AS ext, '89504E470D0A1A0A' || '49454E44AE426082' AS carved FROM packets_v UNION ALL SELECT pkt_no, 'uncategorized', 'unknown', '7889504E470D0A1A0A' || '49454E44AE42608279' FROM packets_v"
+_CLASSED = "SELECT pkt_no, ip_src, ip_dst, ts_us, 'Image' AS category, 'png' AS ext, '89504E470D0A1A0A' || '49454E44AE426082' AS carved FROM packets_v UNION ALL SELECT pkt_no, ip_src, ip_dst, ts_us, 'uncategorized', 'unknown', '7889504E470D0A1A0A' || '49454E44AE42608279' FROM packets_v"
 
 
-@query(f"SELECT category, ext, count(*) AS n, count(DISTINCT carved) AS n_contents FROM ({_CLASSED}) GROUP BY ALL")
+@query(f"SELECT category, CAST(CAST(make_timestamp(ts_us) AS DATE) AS VARCHAR) AS day, ext, count(*) AS n, count(DISTINCT carved) AS n_contents, count(DISTINCT ip_src) AS n_src, count(DISTINCT ip_dst) AS n_dst FROM ({_CLASSED}) GROUP BY ALL")
 def carved_sink(spark, sf_dir):
     """Files found in the payloads of streams, and each payload as a file with its entropy class; written and read back."""
     rows = packets_v(spark, sf_dir).selectExpr("concat(file, pkt_no) AS file", "ip_src", "ip_dst", "ts_us AS first_us", "unhex('7889504E470D0A1A0A49454E44AE42608279') AS data")
     folder = fresh_folder(spark, "files")
-    found = content.found_files(rows, "data", entropy=True).withColumns({"ip_src": F.lit("a"), "ip_dst": F.lit("b")})  # few folders
-    feeds.write_files(found, folder)
-    return spark.read.parquet(folder).groupBy("category", "ext").agg(F.count("*").alias("n"), F.countDistinct("carved").alias("n_contents"))
+    feeds.write_files(content.found_files(rows, "data", entropy=True), folder)
+    found = spark.read.parquet(folder).groupBy("category", F.col("day").cast("string").alias("day"), "ext")
+    return found.agg(F.count("*").alias("n"), *(F.countDistinct(c).alias(n) for n, c in (("n_contents", "carved"), ("n_src", "ip_src"), ("n_dst", "ip_dst"))))
 
 
 @query("SELECT file, concat('Images_', ip_src, '_', ip_dst, '_', strftime(make_timestamp(ts_us - ts_us % 1000000), '%Y-%m-%d_%H-%M-%S'), '_1.png') AS name FROM packets_v")
@@ -277,11 +281,12 @@ def not_set_apart(spark, sf_dir):
     return images.not_set_apart(part.selectExpr("p_partkey AS image"), part.filter("p_size < 5").selectExpr("p_partkey AS image"), ("7", "13"))
 
 
-@query("SELECT p_partkey FROM part WHERE p_type LIKE '%E%' AND p_size > 10")
+@query("SELECT p_partkey, concat('3.', p_size) AS version FROM part WHERE p_type LIKE '%E%' OR p_size % 5 = 0")
 def python_named_base(spark, sf_dir):
-    """Interpreter versions are only aligned for bases that carry the interpreter's name."""
-    rows = table(spark, sf_dir, "part").withColumn("base", F.expr("CASE WHEN p_type LIKE '%E%' THEN concat('python3-', p_size) ELSE 'alpine' END"))
-    return rows.filter(F.contains("base", F.lit("python")) & (F.col("p_size") > 10)).select("p_partkey")
+    """Interpreter versions are only aligned for bases that carry the interpreter's name, wherever it stands."""
+    base = F.expr("CASE WHEN p_type LIKE '%E%' THEN concat('python3-', p_size) WHEN p_size % 5 = 0 THEN concat('slim-python', p_size) WHEN p_size % 5 = 1 THEN 'Python' ELSE 'alpine' END")
+    rows = table(spark, sf_dir, "part").select("p_partkey", base.alias("base"), F.expr("concat('3.', p_size, '.1.', p_partkey)").alias("tag"))
+    return images.aligned_with_interpreter(rows, "base").select("p_partkey", fn.python_version_in_tag(F.col("tag")).alias("v")).select("p_partkey", F.regexp_extract("v", r"^3\.\d+", 0).alias("version"))
 
 
 _BRANCHES = "SELECT concat('lib/img', o_custkey % 50) AS base, concat('origin/autoupdate/Update_lib_img', o_custkey % 50, CASE WHEN o_orderkey % 4 = 0 THEN '_slim' ELSE '' END, '_from_3.1_to_3.', o_orderkey % 20, '.0') AS branch, o_orderkey % 20 AS minor FROM orders"

@@ -8,8 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import file_time_text
+from ..plans.shared import cut
 from . import rules
 from .messages import http_bodies, http_body
 
@@ -33,39 +36,51 @@ SIGNATURES = (
 )
 
 
-def byte_histograms(rows: DataFrame, key: str, data: str, limit: int = ENTROPY_BYTES) -> DataFrame:
-    """(key, n, bins): counts of the 256 byte values of the first `limit` bytes, in Arrow batches."""
-    kind = rows.select(key).schema[0]
+def with_histograms(rows: DataFrame, data: str, limit: int = ENTROPY_BYTES) -> DataFrame:
+    """Adds n and bins, the counts of the 256 byte values of the first `limit` bytes of a binary column, in Arrow batches."""
+    plain = rows.toDF(*(f"c{i}" for i in range(len(rows.columns))))  # whatever the names
+    at = rows.columns.index(data)
+    out = T.StructType([*plain.schema, T.StructField("n", T.LongType()), T.StructField("bins", T.ArrayType(T.LongType()))])
+    schema = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = batch.column(1)
+            data = batch.column(at)
             bins = np.zeros((batch.num_rows, 256), np.int64)
             for i in range(batch.num_rows):
                 held = data[i].as_buffer()
                 if held is not None:
                     bins[i] = np.bincount(np.frombuffer(held, np.uint8)[:limit], minlength=256)
             lists = pa.ListArray.from_arrays(np.arange(0, bins.size + 1, 256, dtype=np.int32), bins.ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bins.sum(1)), lists], ["k", "n", "bins"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bins.sum(1)), lists], schema=schema)
 
-    found = rows.select(key, F.col(data).cast("binary")).mapInArrow(run, f"k {kind.dataType.simpleString()}, n long, bins array<long>")
-    return found.withColumnRenamed("k", key)
+    return plain.mapInArrow(run, out).toDF(*rows.columns, "n", "bins")
 
 
-def entropy_classes(rows: DataFrame, key: str, data: str) -> DataFrame:
-    """Shannon entropy, chi-square against equal bins and class of each value."""
+def byte_histograms(rows: DataFrame, key: str, data: str, limit: int = ENTROPY_BYTES) -> DataFrame:
+    """(key, n, bins) of each value."""
+    return with_histograms(rows.select(key, F.col(data).cast("binary")), data, limit).drop(data)
+
+
+def with_entropy(rows: DataFrame, data: str) -> DataFrame:
+    """Adds n, Shannon entropy, chi-square against equal bins and class of each value, in the pass that counts its bytes;
+    empty and null values are left out."""
     zero = F.lit(0.0)
     p = lambda c: c / F.col("n")
-    found = byte_histograms(rows, key, data)
     entropy = F.aggregate(F.filter("bins", lambda c: c > 0), zero, lambda a, c: a - p(c) * F.log2(p(c)))
     expected = F.col("n") / 256
     chi = F.aggregate("bins", zero, lambda a, c: a + (c - expected) * (c - expected) / expected)
-    found = found.filter("n > 0").select(key, "n", entropy.alias("entropy"), chi.alias("chi_square"))
     kind = (
         F.when(F.col("n") < LEAST_BYTES, "uncategorized").when(F.col("entropy") < 7.9, "plain")
         .when((F.col("chi_square") > 206) & (F.col("chi_square") < 311), "encrypted").otherwise("compressed")
     )
-    return found.withColumn("entropy_class", kind)
+    found = with_histograms(rows, data).filter("n > 0").withColumns({"entropy": entropy, "chi_square": chi})
+    return found.withColumn("entropy_class", kind).drop("bins")
+
+
+def entropy_classes(rows: DataFrame, key: str, data: str) -> DataFrame:
+    """Key, n, entropy, chi_square and entropy_class of each value that is not empty."""
+    return with_entropy(rows.select(key, F.col(data).cast("binary")), data).drop(data)
 
 
 def spans(text: Column, *signatures: tuple[str, str | None]) -> Column:
@@ -144,14 +159,15 @@ def dissected(streams: DataFrame, data: str) -> DataFrame:
 
 def found_files(streams: DataFrame, data: str, entropy: bool = False) -> DataFrame:
     """The files inside the payloads of streams (file, ip_src, ip_dst, first_us): name, category, ext and bytes; entropy:
-    each decoded payload also as a file of its own, with its entropy class as category."""
+    each decoded payload also as a file of its own, with its entropy class as category.
+
+    With entropy the decoded payloads are written once and read by both; each is classed in one pass."""
     keys = ["file", "ip_src", "ip_dst", "first_us"]
-    payloads = decoded(dissected(streams, data).select(*keys, "payload"), "payload").select(*keys, "ord", "decoded")
+    payloads = decoded(dissected(streams, data).select(*keys, "payload"), "payload").select(*keys, "ord", F.col("decoded").cast("binary").alias("decoded"))
+    payloads = cut(payloads) if entropy else payloads
     files = carve(payloads, "decoded", keep=[*keys, "ord"]).select(*keys, "ord", "category", "ext", "number", "carved")
     if entropy:
-        whole = payloads.withColumn("id", F.struct(*keys, "ord", F.md5("decoded").alias("digest")))
-        classes = entropy_classes(whole.dropDuplicates(["id"]), "id", "decoded").select("id", F.col("entropy_class").alias("category"))
-        own = whole.join(classes, "id").select(*keys, "ord", "category", F.lit("unknown").alias("ext"), F.lit(1).alias("number"), F.col("decoded").alias("carved"))
+        own = with_entropy(payloads, "decoded").select(*keys, "ord", F.col("entropy_class").alias("category"), F.lit("unknown").alias("ext"), F.lit(1).alias("number"), F.col("decoded").alias("carved"))
         files = files.unionByName(own)
     place = Window.partitionBy(*keys, "category", "ext").orderBy("ord", "number", F.md5("carved"))
     name = F.concat_ws("_", F.concat("category", F.lit("s")), "ip_src", "ip_dst", file_time_text(F.col("first_us") / 1_000_000), F.row_number().over(place).cast("string"))

@@ -7,9 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import parse_versions, tag_family_regex
+from ..functions.text import parse_versions, rewrite_date, tag_family_regex
+from ..plans.segments import numbered
 from ..plans.shared import cut
 
+#: Items of one row of a large group.
+CHUNK = 10_000
+# Fixed value: what begins the line with a build file's date.
+DATE_LINE = "# Last modified:"
+
 
 def latest_tag_by_version(tags: DataFrame, keys: list[str]) -> DataFrame:
     """The tag with the greatest version list of each image; equal versions take the smallest name."""
@@ -109,7 +115,15 @@ def latest_tag_by_time(tags: DataFrame, keys: list[str]) -> DataFrame:
     return tags.filter(~is_sha_tag(F.col("name"))).groupBy(*keys).agg(F.max_by("name", F.struct(F.col("last_updated"), -F.col("ord"))).alias("latest"))
 
 
+def dependents_in_chunks(edges: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(base, chunk, dependents): the sorted dependents of each base in arrays of at most `size`, numbered from 0, so that a
+    base of any number of images is many rows, made by many tasks."""
+    rows = numbered(edges.select("base", "dependent"), ["base"], [F.col("dependent").asc()], "_at").withColumn("chunk", F.floor(F.col("_at") / size))
+    return rows.groupBy("base", "chunk").agg(F.array_sort(F.collect_list("dependent")).alias("dependents"))
+
+
 def dependents_by_base(edges: DataFrame) -> DataFrame:
+    """The dependents of each base as one array, for bases whose images fit in a row (see dependents_in_chunks)."""
     return edges.groupBy("base").agg(F.count("*").alias("n_dependents"), F.array_sort(F.collect_list("dependent")).alias("dependents"))
 
 
@@ -211,9 +225,36 @@ def build_summary(events: DataFrame, run: str) -> DataFrame:
     )
 
 
+def _failures(events: DataFrame, run: str) -> DataFrame:
+    return events.groupBy(run, "image").agg(F.max(F.when(~F.col("ok"), F.col("step"))).alias("step"))
+
+
 def failure_report(events: DataFrame, run: str) -> DataFrame:
-    """The failed images of each run with their step, as one JSON object in order of the image; `{}` without a failure."""
-    last = events.groupBy(run, "image").agg(F.max(F.when(~F.col("ok"), F.col("step"))).alias("step"))
+    """The failed images of each run with their step, as one JSON object in order of the image; `{}` without a failure. For
+    runs whose failures fit in a row (see failure_chunks)."""
     failed = F.array_sort(F.collect_list(F.when(F.col("step").isNotNull(), F.struct("image", F.struct("step").alias("at")))))
-    return last.groupBy(run).agg(F.to_json(F.map_from_entries(failed)).alias("report"))
+    return _failures(events, run).groupBy(run).agg(F.to_json(F.map_from_entries(failed)).alias("report"))
+
+
+def failure_chunks(events: DataFrame, run: str, size: int = CHUNK) -> DataFrame:
+    """(run, chunk, report): the failed images of each run in order, as JSON objects of at most `size` images, numbered
+    from 0; a run without a failure has one of none."""
+    last = _failures(events, run)
+    failed = numbered(last.filter("step IS NOT NULL"), [run], [F.col("image").asc()], "_at").withColumn("chunk", F.floor(F.col("_at") / size))
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("image", F.struct("step").alias("at")))))
+    reports = failed.groupBy(run, "chunk").agg(F.to_json(entries).alias("report"))
+    good = last.groupBy(run).agg(F.count("step").alias("n")).filter("n = 0")
+    return reports.unionByName(good.select(run, F.lit(0).cast("long").alias("chunk"), F.lit("{}").alias("report")))
+
+
+def stale_files(files: DataFrame, folder: str, now: Column) -> DataFrame:
+    """Build files (path, content) under a folder (a pattern) that have a last-modified line, with the content as of `now`
+    and whether that changes it."""
+    chosen = files.filter(F.col("path").rlike(folder) & F.contains("content", F.lit(DATE_LINE)))
+    renewed = chosen.withColumn("renewed", rewrite_date(F.col("content"), now))
+    return renewed.withColumn("stale", F.col("renewed") != F.col("content"))
+
 
+def aligned_with_interpreter(images: DataFrame, base: str, interpreter: str = "python") -> DataFrame:
+    """Images whose base carries the interpreter's name; only their manifests follow the base's version."""
+    return images.filter(F.contains(F.col(base), F.lit(interpreter)))

@@ -29,5 +29,8 @@ def write_entries(entries: DataFrame, path: str, name: str) -> None:
 
 
 def write_files(files: DataFrame, path: str) -> None:
-    """Found files as Parquet, a folder for each category, source and destination."""
-    files.write.partitionBy("category", "ip_src", "ip_dst").parquet(path)
+    """Found files as Parquet, a folder for each category and day of their first packet (null: none known), sorted by
+    addresses inside; the rows of a folder are dealt by ranges of addresses, so that a large one has several writers."""
+    dated = files.withColumn("day", F.to_date(F.timestamp_micros("first_us")))
+    order = ["category", "day", "ip_src", "ip_dst"]
+    dated.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("category", "day").parquet(path)
