@@ -182,7 +182,10 @@ def class_key(tokens: np.ndarray, seed: int = 0) -> int:
 
 
 def _near(pairs: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
-    """Pairs (a, b) that pass the prefix filters of all orders."""
+    """Pairs (a, b) that pass the prefix filters of all orders; only the prefixes of their own classes are moved."""
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+    small = wanted.count() <= BROADCAST_ROWS
+    sets = sets.join(F.broadcast(wanted) if small else wanted, "cls", "left_semi").dropDuplicates(["cls"])
     side = lambda s: sets.select(F.col("cls").alias(s), F.col("n").alias(f"n{s}"), *(F.col(f"p{k}").alias(f"{s}{k}") for k in range(orders)))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     na, nb = F.col("na"), F.col("nb")
@@ -239,7 +242,7 @@ def class_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT
             break
         seed += 1
     members = members.drop("mixed")
-    chosen = sets.filter("p0 IS NOT NULL").select("cls", "n", *(f"p{k}" for k in range(orders))).dropDuplicates(["cls"])
+    chosen = sets.filter("p0 IS NOT NULL").select("cls", "n", *(f"p{k}" for k in range(orders)))
     rows = sets.filter("p0 IS NOT NULL").select("cls", "n", "doc_id", F.posexplode("p0").alias("pos", "token"))
     by_token = Window.partitionBy("token").orderBy("doc_id", "cls")
     shared = rows.withColumn("before", F.lag("cls").over(by_token)).withColumn("after", F.lead("cls").over(by_token))
