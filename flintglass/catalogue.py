@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text as fn
 from .operators import content, enrich, images, intervals, messages, packets, rules
 from .plans.registered import ORACLE_SQL, QUERIES, query
+from .plans.segments import numbered
 from .plans.views import edges, frames, packets as packets_v, table, tags
 from .sources import captures
 from .streaming import live
@@ -181,14 +182,71 @@ def all_streams(spark, sf_dir):
     return packets.all_streams(packets_v(spark, sf_dir), SESSION_US)
 
 
-@query(_HTTP)
+@query(f"SELECT *, row_number() OVER (ORDER BY file, ip_src, ip_dst, uri, pkt_no) - 1 AS place FROM ({_HTTP})")
 def http_sorted(spark, sf_dir):
-    return distinct_http(spark, sf_dir).select("file", "ip_src", "ip_dst", "uri", "pkt_no").orderBy("file", "ip_src", "ip_dst", "uri", "pkt_no")
+    """The rows with their place in the sorted table."""
+    order = ["file", "ip_src", "ip_dst", "uri", "pkt_no"]
+    return numbered(distinct_http(spark, sf_dir).select(*order), [], [F.col(c) for c in order], "place")
 
 
-@query(_DNS)
+@query(f"SELECT *, row_number() OVER (ORDER BY file, type, request, response, pkt_no) - 1 AS place FROM ({_DNS})")
 def dns_sorted(spark, sf_dir):
-    return distinct_dns(spark, sf_dir).select("file", "type", "request", "response", "pkt_no").orderBy("file", "type", "request", "response", "pkt_no")
+    order = ["file", "type", "request", "response", "pkt_no"]
+    return numbered(distinct_dns(spark, sf_dir).select(*order), [], [F.col(c) for c in order], "place")
+
+
+@query("SELECT file, ip_proto, count(*) AS n, CAST(sum(len(p)) AS BIGINT) AS n_bytes FROM (SELECT *, concat('<', k, '>') AS p FROM packets_v WHERE pkt_no % 7 > 0 AND pkt_no % 11 > 0 AND dport = 4242) GROUP BY ALL")
+def transport_split(spark, sf_dir):
+    """Frames of IPv6 and of ICMP are dropped; the others by transport."""
+    other = F.when(F.col("pkt_no") % 7 == 0, F.lit(b"\x86\xdd")).otherwise(F.lit(b"\x08\x00"))
+    proto = F.when(F.col("pkt_no") % 11 == 0, F.lit(b"\x01")).otherwise(F.substring("frame", 24, 1))
+    changed = F.concat(F.substring("frame", 1, 12), other, F.substring("frame", 15, 9), proto, F.substring("frame", 25, 100_000))
+    rows = captures.dissect(frames(spark, sf_dir).withColumn("frame", changed)).filter("dport = 4242")
+    return rows.groupBy("file", "ip_proto").agg(F.count("*").alias("n"), F.sum("payload_len").cast("long").alias("n_bytes"))
+
+
+@query("SELECT pkt_no, CASE WHEN pkt_no % 7 > 0 THEN pkt_no % 2 = 0 END AS ok FROM packets_v")
+def checksum_ok(spark, sf_dir):
+    """Header sums of fragments: right for even packets, one off for odd ones; frames of IPv6 have none."""
+    word = lambda at: F.conv(F.hex(F.substring("frame", at, 2)), 16, 10).cast("long")
+    part = F.concat(F.substring("frame", 1, 20), F.lit(b"\x00\x01"), F.substring("frame", 23, 100_000))
+    rows = frames(spark, sf_dir).withColumn("frame", part)
+    total = sum((word(15 + 2 * i) for i in range(10)), F.lit(0).cast("long"))
+    folded = total % 65_536 + F.floor(total / 65_536)
+    due = (65_535 - (folded % 65_536 + F.floor(folded / 65_536)) + F.col("pkt_no") % 2) % 65_536
+    due = F.unhex(F.lpad(F.hex(due.cast("long")), 4, "0"))
+    kind = F.when(F.col("pkt_no") % 7 == 0, F.lit(b"\x86\xdd")).otherwise(F.lit(b"\x08\x00"))
+    summed = F.concat(F.substring("frame", 1, 12), kind, F.substring("frame", 15, 10), due, F.substring("frame", 27, 100_000))
+    return rows.select("pkt_no", messages.checksum_ok(summed).alias("ok"))
+
+
+@query("SELECT page_id, md5(url) AS digest FROM pages WHERE url <> '' AND page_id % 4 < 3 UNION ALL SELECT page_id, md5(concat('no gzip ', url)) FROM pages WHERE page_id % 4 = 3")
+def content_decode(spark, sf_dir):
+    """Bodies by their codings: none, deflate (a stored block), a transfer coding over an unknown one, a broken one."""
+    size = F.octet_length("url")
+    little = lambda c: F.concat(F.lpad(F.hex(c % 256), 2, "0"), F.lpad(F.hex(F.floor(c / 256)), 2, "0"))
+    stored = F.unhex(F.concat(F.lit("01"), little(size.cast("long")), little((65_535 - size).cast("long")), F.hex("url")))
+    kind = F.col("page_id") % 4
+    body = F.when((kind == 1) | (kind == 2), stored).when(kind == 3, F.concat(F.lit("no gzip "), "url").cast("binary")).otherwise(F.col("url").cast("binary"))
+    coding = F.when(kind == 1, "Content-Encoding: Deflate\r\n").when(kind == 2, "content-encoding: br\r\nTransfer-Encoding: deflate\r\n").when(kind == 3, "Content-Encoding: gzip\r\n").otherwise("")
+    head = F.concat(F.lit("HTTP/1.1 200 OK\r\n"), coding, F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n")).cast("binary")
+    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(messages.http_bodies(F.concat(head, body))).alias("body"))
+    return rows.select("page_id", F.md5("body").alias("digest"))
+
+
+@query("SELECT s_suppkey, CAST(0 AS INT) AS ord, 'plain' AS decoder, s_name AS decoded FROM supplier UNION ALL SELECT s_suppkey, CAST(1 AS INT), 'upper', upper(s_name) FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, CAST(2 AS INT), 'late', 'late' FROM supplier")
+def plugin_order(spark, sf_dir):
+    """Decoders that a user adds stand in their order among the others and may decline."""
+    content.register_decoder("upper", 20, lambda c: F.when(F.right(F.decode(c, "UTF-8"), F.lit(1)).isin("0", "2", "4", "6", "8"), F.upper(F.decode(c, "UTF-8")).cast("binary")))
+    content.register_decoder("late", 60, lambda c: F.lit(b"late"))
+    plain, decoders = content.DECODERS["base64"], content.DECODERS
+    try:
+        del decoders["base64"]
+        rows = content.decoded(table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").cast("binary").alias("payload")), "payload")
+    finally:
+        decoders["base64"] = plain
+        del decoders["upper"], decoders["late"]
+    return rows.select("s_suppkey", "ord", "decoder", F.decode("decoded", "UTF-8").alias("decoded"))
 
 
 @query("SELECT flow, first_pkt, ip_src, CAST(sport AS INT) AS sport, ip_dst, CAST(dport AS INT) AS dport FROM (" + _FLOWS.replace("AS flow,", "AS flow, ip_src, sport, ip_dst, dport,").replace("GROUP BY ALL", "GROUP BY file, ip_src, sport, ip_dst, dport") + ")")

@@ -20,6 +20,7 @@ from ..plans.shared import fresh_folder
 _KEPT = [*STREAM, "pkt_no", "ts_us", "ip_proto", "seq", "syn", "fin", "len"]
 #: How late a packet may come; a TCP stream without a packet for so long is closed.
 LATE, IDLE_MS = "10 minutes", 3_600_000
+STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def replay(packets: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -32,9 +33,13 @@ def replay(packets: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> Da
     late = {"file": F.lit(None), "ts": F.max("ts") + F.expr("INTERVAL 3650 DAYS"), "ts_us": F.max("ts_us"), "ip_proto": F.max("ip_proto"), "len": F.lit(1)}
     end = rows.agg(*(late.get(f.name, F.lit(0)).cast(f.dataType).alias(f.name) for f in rows.schema))
     rows.unionByName(end).write.parquet(f"{folder}/in")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = operator(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
-    stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").start().awaitTermination()
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = operator(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+        stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").start().awaitTermination()
+    finally:
+        spark.conf.set(STORE, before)
     return spark.read.schema(stream.schema).parquet(f"{folder}/out").filter("file IS NOT NULL")
 
 
@@ -53,30 +58,34 @@ def udp_sessions_live(packets: DataFrame, timeout_us: int, late: str = LATE) ->
 
 
 class _TcpStreams(StatefulProcessor):
-    """Segments of the open stream by sequence number; a FIN, or no packet for IDLE_MS, emits the stream if it is contiguous.
+    """Segments of the open stream; a FIN, or no packet for IDLE_MS, emits the stream if it is contiguous.
 
-    The state of a key holds one stream; rows of a batch come in any order and are taken by packet number."""
+    The rows of a batch come in any order and are taken by packet number, those between two FINs at once; the state of a
+    key holds the segments of one open stream in order of arrival."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", "started boolean")
-        self.segments = handle.getMapState("segments", "seq long", "len long, ts_us long")
+        self.segments = handle.getListState("segments", "seq long, len long, ts_us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found, last = [], 0
-        for r in pd.concat(list(rows)).sort_values("pkt_no").itertuples(index=False):
-            last = max(last, int(r.ts_us) // 1000)
-            if r.syn:
+        batch, found = pd.concat(list(rows)).sort_values("pkt_no"), []
+        is_open = self.open.exists()
+        for _, part in batch.groupby(batch["fin"].cumsum() - batch["fin"]):
+            started = (part["syn"].cummax() > 0) | is_open
+            own = part.loc[started & (part["len"] > 0), ["seq", "len", "ts_us"]]
+            is_open = bool(started.iloc[-1])
+            if part["fin"].iloc[-1]:
+                if is_open:
+                    found += self._close(key, own)
+                is_open = False
+            elif is_open:
                 self.open.update((True,))
-            if not self.open.exists():
-                continue
-            if r.len > 0 and not self.segments.containsKey((int(r.seq),)):
-                self.segments.updateValue((int(r.seq),), (int(r.len), int(r.ts_us)))
-            if r.fin:
-                found += self._close(key)
-        if self.open.exists():
+                if len(own):
+                    self.segments.appendList(list(own.astype("int64").itertuples(index=False, name=None)))
+        if is_open:
             self._forget_timers()
-            self.handle.registerTimer(max(last, timerValues.getCurrentWatermarkInMs()) + IDLE_MS)
+            self.handle.registerTimer(max(int(batch["ts_us"].max()) // 1000, timerValues.getCurrentWatermarkInMs()) + IDLE_MS)
         if found:
             yield self._rows(found)
 
@@ -92,12 +101,15 @@ class _TcpStreams(StatefulProcessor):
     def _rows(self, found: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(found, columns=[*STREAM, "n_packets", "first_us", "last_us"])
 
-    def _close(self, key) -> list[tuple]:
-        parts = sorted((k[0], *v) for k, v in self.segments.iterator())
+    def _close(self, key, last: pd.DataFrame | None = None) -> list[tuple]:
+        earlier = pd.DataFrame(list(self.segments.get()) if self.segments.exists() else [], columns=["seq", "len", "ts_us"])
         self.segments.clear()
         self.open.clear()
-        whole = parts and all(a[0] + a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
-        return [(*key, len(parts), min(p[2] for p in parts), max(p[2] for p in parts))] if whole else []
+        parts = pd.concat([earlier, last]) if last is not None and len(earlier) else earlier if last is None else last
+        parts = parts.drop_duplicates("seq").sort_values("seq")  # the first arrival of a number stays
+        ends, starts = (parts["seq"] + parts["len"]).to_numpy()[:-1], parts["seq"].to_numpy()[1:]
+        whole = len(parts) and (ends == starts).all()
+        return [(*key, len(parts), int(parts["ts_us"].min()), int(parts["ts_us"].max()))] if whole else []
 
     def close(self) -> None:
         pass
