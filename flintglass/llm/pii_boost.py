@@ -2,8 +2,8 @@
 
 Base rules (e-mail, IPv4, card, phone) always give spans. High-recall generators propose further, overlapping spans;
 each gets a code of format and context features. Boosted depth-2 trees are fitted on counts of (code, label, fold): of
-the candidates of all documents, positive where they hold a base span, and of the written examples below, whose marked
-values are personal data that no base rule knows. At most 2 ** N_BITS codes a generator exist, so the table that reaches
+the candidates of all documents, positive where they hold a base span, and of examples made of the written forms below,
+whose marked values are personal data that no base rule knows. At most 2 ** N_BITS codes a generator exist, so the table that reaches
 the driver has a fixed bound. Scores are made monotone probabilities on a held-out fold, and a threshold for each
 generator (precision of at least MIN_PRECISION there) selects the candidates. Selected candidates that are no base span
 themselves are added to the base spans; they may overlap them, where they hold more than the base rule found.
@@ -19,6 +19,7 @@ nothing; ties take the smaller bit; other columns are ignored.
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -59,97 +60,90 @@ N_BITS = 18
 CHUNK = 256
 ROUNDS, RATE, MIN_PRECISION = 60, 0.4, 0.9
 #: What one written example weighs against one candidate of the table.
-WRITTEN_WEIGHT = 20
-# Written examples; what stands between << and >> is personal data. The first of each pair of lines
-# trains, the second calibrates.
-WRITTEN = """
-write to <<jane.doe(at)example.org>> today
-please mail <<sam.hill(at)example.net>> about it
-contact <<bob[at]mail.example.net>>
-contact: <<ann[at]post.example.org>> or come by
-reach me: <<maria (at) example.com>>
-reach us: <<peter (at) example.org>>
-mail <<d'arcy@example.com>> please
-mail <<o'neil@example.org>> now
-deploy with root@server and wait
-log in as admin@cluster and go
-look(at)this strange thing
-the state(at)rest of it
-call <<555-123-4567>> now
-call <<555-867-5309>> later
-tel <<(212) 555-0187>>
-tel. <<(415) 555-0133>>
-phone: <<020 7946 0958>>
-phone <<0171 496 0123>>
-fax <<0171 234 5678>> office
-fax <<0221 345 6789>> desk
-mobile <<07700 900123>>
-mobil: <<07700 900456>>
-ssn <<123-45-6789>>
-social security <<987-65-4321>>
-account <<1234 5678 9012>> at the bank
-konto <<4321 8765 2109>> bei
-order 1234567 has come
-order 7654321 went out
-in the years 2019 2020 2021 and
-in the years 1997 1998 1999 they
-total 12.345.678 units
-total 98.765.432 pieces
-isbn 978-3-16-148410-0
-isbn 978-0-30-640615-7
-build 170000000123
-build 180000000456
-as 3.14159265 shows
-as 2.71828182 shows
-page 1 2 3 4 5 6 7 8 of
-page 2 3 4 5 6 7 8 9 of
-host <<10.0.0.12:8080>> is up
-server <<192.168.1.20:443>> is up
-ip <<172.16.4.9:3306>> is up
-addr <<10.1.2.3:6379>> is up
-version 1.22.3 is out
-version 4.10.2 is out
-at 12:30:45 sharp
-at 23:59:59 sharp
-section 1.2.3.4.5 says
-section 5.4.3.2.1 says
-release 2024.01.31 has
-release 2023.12.01 has
-born <<12/03/1985>> in
-born on <<07/11/1992>> in
-dob <<1990-07-21>>
-dob: <<1984-02-03>>
-date of birth <<03.11.1972>>
-birth date <<21.06.1969>>
-published 12/03/2015 by
-published 07/11/2012 by
-updated 2021-07-21 again
-updated 2020-02-03 again
-it was 03.11.2020 then
-it was 21.06.2019 then
-iban <<DE89 3704 0044 0532 0130 00>>
-IBAN: <<GB29 NWBK 6016 1331 9268 19>>
-konto <<FR14 2004 1010 0505 0001 3M02 606>>
-account <<ES91 2100 0418 4502 0005 1332>>
-iban <<NL20 INGB 0001 2345 67>> please
-iban: <<BE68 5390 0754 7034>> please
-account <<AT61 1904 3002 3457 3201>> bank
-konto <<NO93 8601 1117 947>> bank
-part AB12 3456 7890 1234 fits
-part CD34 5678 9012 3456 fits
-release RC01 2023 1101 0002
-release RC02 2024 0301 0001
-mac <<00:1A:2B:3C:4D:5E>>
-addr <<00-1B-63-84-45-E6>>
-mac <<3C:22:FB:AA:01:7E>> seen
-mac addr <<F0:9F:C2:11:22:33>> seen
-port <<00-14-22-01-23-45>>
-addr <<00-50-56-C0-00-08>>
-host <<2001:0db8:85a3:0000:0000:8a2e:0370:7334>>
-server <<2001:0db8:0000:0042:0000:8a2e:0370:7335>>
-part 12:30:45:10:20:30 of
-part 11:22:33:44:55:10 of
+WRITTEN_WEIGHT = 2
+#: Examples made of each written form; one of so many calibrates and does not train.
+EACH, CALIBRATE = 12, 3
+# Words before personal data and before other numbers, by kind, in four languages.
+CUES = {
+    "mail": "write to|please mail|contact|contact:|reach me:|e-mail|mail an|schreib an|kontakt:|contactez|courriel|mail \u00e0|correo|escribe a",
+    "phone": "call|tel|tel.|phone:|phone|fax|mobile|handy|mobil:|telefon|anrufen|appelez|t\u00e9l tel|llama al tel|tel\u00e9fono tel",
+    "account": "account|konto|credit account|account no|kontonummer|tarjeta|carte", "social": "ssn|social security|ssn:|passport", "iban": "iban|IBAN:|konto|account|iban bitte|IBAN",
+    "host": "host|server|ip|addr|server addr|the ip", "mac": "mac|addr|mac addr|mac:", "birth": "born|born on|dob|dob:|date of birth|birth date|geboren am|geboren:|n\u00e9 le|n\u00e9e le|nacido el|nacida el",
+    "other": "order|total|page|section|version|release|part|published|updated|build|isbn|it was|in the years|as|at|room|item no|seit|la p\u00e1gina|le total|sobre",
+}
+# Written forms. What stands between << and >> is personal data. {d:n} stands for n digits, {b} for a number up
+# to 255, {D} and {M} for a day and a month, {Y} for a year of birth, {R} for a recent year, {w} for a word, {h:n} for n
+# hexadecimal digits, {C:n} for n capitals.
+FORMS = """
+mail | <<{w}.{w}(at){w}.org>>
+mail | <<{w}[at]{w}.{w}.net>>
+mail | <<{w} (at) {w}.com>>
+mail | <<{w}_{w}(at){w}-{w}.de>>
+mail | <<{w}{d:2} [at] {w}.fr>>
+mail | <<{w}(at){w}.es>>
+mail | <<d'{w}@{w}.com>>
+mail | <<o'{w}@{w}.org>>
+phone | <<{d:3}-{d:3}-{d:4}>>
+phone | <<({d:3}) {d:3}-{d:4}>>
+phone | <<({d:3}) {d:3} {d:4}>>
+phone | <<{d:3}.{d:3}.{d:4}>>
+phone | <<0{d:2} {d:4} {d:4}>>
+phone | <<0{d:3} {d:3} {d:4}>>
+phone | <<0{d:4} {d:6}>>
+phone | <<0{d:1} {d:2} {d:2} {d:2} {d:2}>>
+phone | <<0{d:3}-{d:7}>>
+phone | <<(0{d:3}) {d:6}>>
+phone | <<{d:3} {d:3} {d:3}>>
+account | <<{d:4} {d:4} {d:4}>>
+account | <<{d:4}-{d:4}-{d:4}>>
+account | <<{d:10}>>
+social | <<{d:3}-{d:2}-{d:4}>>
+social | <<{d:3} {d:2} {d:4}>>
+iban | <<DE{d:2} {d:4} {d:4} {d:4} {d:4} {d:2}>>
+iban | <<GB{d:2} {C:4} {d:4} {d:4} {d:4} {d:2}>>
+iban | <<FR{d:2} {d:4} {d:4} {d:4} {d:4} {d:1}{C:1}{d:2} {d:3}>>
+iban | <<ES{d:2} {d:4} {d:4} {d:4} {d:4} {d:4}>>
+iban | <<NL{d:2} {C:4} {d:4} {d:4} {d:2}>>
+iban | <<AT{d:2} {d:4} {d:4} {d:4} {d:4}>>
+host | <<10.{b}.{b}.{b}:{d:4}>>
+host | <<192.168.{b}.{b}:{d:3}>>
+host | <<172.16.{b}.{b}:{d:5}>>
+host | <<2001:0db8:{h:4}:{h:4}:{h:4}:{h:4}:{h:4}:{h:4}>>
+host | <<fd{h:2}:{h:4}:{h:4}:{h:4}:{h:4}:{h:4}:{h:4}:{h:4}>>
+mac | <<{h:2}:{h:2}:{h:2}:{h:2}:{h:2}:{h:2}>>
+mac | <<{h:2}-{h:2}-{h:2}-{h:2}-{h:2}-{h:2}>>
+birth | <<{D}/{M}/{Y}>>
+birth | <<{Y}-{M}-{D}>>
+birth | <<{D}.{M}.{Y}>>
+birth | <<{M}/{D}/{Y}>>
+other | {w}@{w}
+other | look(at){w} and
+other | the {w}(at){w} of
+other | {d:7} has come
+other | {R} {R} {R} and
+other | {d:2}.{d:3}.{d:3} units
+other | 978-{d:1}-{d:2}-{d:6}-{d:1}
+other | 1700000{d:5}
+other | 3.{d:8} shows
+other | {d:1} {d:1} {d:1} {d:1} {d:1} {d:1} {d:1} {d:1} of
+other | {d:1}.{d:2}.{d:1} is out
+other | {d:1}.{d:1}.{d:1}.{d:1}.{d:1} says
+other | {d:2}:{d:2}:{d:2} sharp
+other | {R}.{M}.{D} has
+other | {D}/{M}/{R} by
+other | {R}-{M}-{D} again
+other | {D}.{M}.{R} then
+other | {C:2}{d:2} {d:4} {d:4} {d:4} fits
+other | {C:2}{d:2} {R} {d:4} {d:4}
+other | {d:2}:{d:2}:{d:2}:{d:2}:{d:2}:{d:2} of
+other | {d:4} {d:4} pieces
+other | {d:3} {d:3} {d:3} rows
+other | {d:4}-{d:4}-{d:2}
+other | {b}.{d:3}.{d:1}.{d:4}
 """.strip().split("\n")
+_SLOT = re.compile(r"\{(\w)(?::(\d))?\}")
+#: Words after an example.
+_TAILS = ("", " today", " please", " and more", " or later", " bitte", " s'il vous", " por favor", ", thanks", ".")
 _MARKED = re.compile(r"<<(.*?)>>")
 _SPANS = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 
@@ -217,10 +211,32 @@ def propose(docs: DataFrame) -> DataFrame:
     return rows.selectExpr("doc_id", "CAST(pmod(xxhash64(t), 4) AS INT) AS fold", f"concat({', '.join(base)}) AS base", f"concat({', '.join(found)}) AS candidates")
 
 
-def written_examples(spark: SparkSession) -> DataFrame:
-    """The written examples as (doc_id: line, text, truth)."""
+def written_lines(each: int = EACH, seed: int = 3) -> list[tuple[int, str, list[str]]]:
+    """(number, text, its personal data): each written form filled `each` times, behind words of its kind."""
+    rng, found = random.Random(seed), []
+    letters = {"d": "0123456789", "h": "0123456789abcdef", "C": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+    def fill(m: re.Match) -> str:
+        kind, n = m[1], int(m[2] or 1)
+        if kind in letters:
+            return "".join(rng.choice(letters[kind]) for _ in range(n))
+        if kind == "w":
+            return "".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(1, 5)))
+        low, high = {"b": (0, 255), "D": (1, 28), "M": (1, 12), "Y": (1940, 2004), "R": (2010, 2026)}[kind]
+        return f"{rng.randint(low, high):0{1 if kind == 'b' else 2}d}"
+
+    for i, form in enumerate(FORMS):
+        kind, pattern = form.split(" | ")
+        for j in range(each):
+            line = f"{rng.choice(CUES[kind].split('|'))} {_SLOT.sub(fill, pattern)}{rng.choice(_TAILS)}"
+            found.append((i * each + j, _MARKED.sub(r"\1", line), _MARKED.findall(line)))
+    return found
+
+
+def written_examples(spark: SparkSession, each: int = EACH, seed: int = 3) -> DataFrame:
+    """The examples as (doc_id: the form's number times `each`, and on, text, truth)."""
     quoted = lambda x: '"' + x + '"'
-    lines = [f"({i}, {quoted(_MARKED.sub(r'\1', line))}, CAST(array({', '.join(map(quoted, _MARKED.findall(line)))}) AS array<string>))" for i, line in enumerate(WRITTEN)]
+    lines = [f"({i}, {quoted(text)}, CAST(array({', '.join(map(quoted, truth))}) AS array<string>))" for i, text, truth in written_lines(each, seed)]
     return spark.sql("SELECT * FROM VALUES " + ", ".join(lines) + " AS examples(doc_id, text, truth)")
 
 
@@ -311,7 +327,7 @@ def _counts(proposed: DataFrame, fold: Column) -> list[tuple]:
 
 def fit(proposed: DataFrame) -> Booster:
     counts = _counts(proposed, F.col("fold") > 0)
-    written = _counts(propose(written_examples(proposed.sparkSession)), F.col("doc_id") % 2 == 0)
+    written = _counts(propose(written_examples(proposed.sparkSession)), F.col("doc_id") % CALIBRATE > 0)
     return fit_booster(counts + [(*x[:4], WRITTEN_WEIGHT * x[4]) for x in written])
 
 
