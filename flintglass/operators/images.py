@@ -207,9 +207,8 @@ def without(images: DataFrame, name: str, *lists: DataFrame) -> DataFrame:
 
 
 def batches(rows: DataFrame, base: str, order: str, size: int) -> DataFrame:
-    """Slices of `size` rows a base, in order."""
-    rn = F.row_number().over(Window.partitionBy(base).orderBy(order))
-    return rows.withColumn("batch", F.floor((rn - 1) / size).cast("long"))
+    """Slices of `size` rows a base, in order, for bases of any number of rows."""
+    return numbered(rows, [base], [F.col(order)], "batch").withColumn("batch", F.floor(F.col("batch") / size).cast("long"))
 
 
 def first_per_base(rows: DataFrame, base: str, order: str, most: int) -> DataFrame:

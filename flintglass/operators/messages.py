@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from ..plans.segments import numbered
 
 # Numbers of the kept record types.
 DNS_TYPES = {1: "A", 5: "CNAME", 12: "PTR"}
@@ -160,8 +161,8 @@ def checksum_ok(frame: pd.Series) -> pd.Series:
 
 
 def number_files(files: DataFrame, alike: list[str], order: list[str]) -> DataFrame:
-    """Adds number: 1, 2, .. among files of equal name."""
-    return files.withColumn("number", F.row_number().over(Window.partitionBy(*alike).orderBy(*order)))
+    """Adds number: 1, 2, .. among files of equal name, however many there are."""
+    return numbered(files, alike, [F.col(c) for c in order], "number").withColumn("number", (F.col("number") + 1).cast("int"))
 
 
 def summary_items(file: Column, **sections: tuple[DataFrame, list[str]]) -> DataFrame:
