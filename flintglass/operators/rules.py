@@ -180,23 +180,27 @@ class PatternIndex:
         for size, own in sized.items():
             grams = [gram_hashes(patterns[i], size) for i in own]
             values, counts = np.unique(np.concatenate([np.unique(g) for g in grams]), return_counts=True)
-            place = [int(counts[np.searchsorted(values, g)].argmin()) for g in grams]
-            key = np.array([g[p] for g, p in zip(grams, place, strict=True)], np.uint64)
+            key = np.array([g[counts[np.searchsorted(values, g)].argmin()] for g in grams], np.uint64)
             by = np.argsort(key, kind="stable")
             bits = np.zeros(1 << _BITS, bool)
             bits[key >> np.uint64(64 - _BITS)] = True
-            self.by_size[size] = key[by], np.array(own)[by], np.array(place)[by], bits
+            self.by_size[size] = key[by], np.array(own)[by], bits
 
-    def found(self, data: bytes) -> set[int]:
-        """The patterns that the data holds."""
-        hits: set[int] = set()
-        for size, (keys, rule, place, bits) in self.by_size.items():
+    def found(self, texts: list[bytes]) -> list[tuple[int, int]]:
+        """(text, pattern) of every pattern that a text holds; the grams of all texts are looked up at once."""
+        data, hits = b"\0".join(texts), []
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        for size, (keys, rule, bits) in self.by_size.items():
             hashes = gram_hashes(data, size)
             at = np.flatnonzero(bits[hashes >> np.uint64(64 - _BITS)])
-            lo, hi = np.searchsorted(keys, hashes[at], "left"), np.searchsorted(keys, hashes[at], "right")
-            for p, x, y in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                hits.update(int(rule[i]) for i in range(x, y) if rule[i] not in hits and p >= place[i] and data.startswith(self.patterns[rule[i]], p - int(place[i])))
-        return hits
+            first = np.searchsorted(keys, hashes[at])
+            same = np.flatnonzero(keys[np.minimum(first, len(keys) - 1)] == hashes[at])
+            row = np.searchsorted(starts, at[same], "right") - 1
+            for met in np.unique(row * len(keys) + first[same]).tolist():  # a gram across two texts is no pattern of either
+                i, x = divmod(met, len(keys))
+                y = int(np.searchsorted(keys, keys[x], "right"))
+                hits += [(i, r) for r in rule[x:y].tolist() if self.patterns[r] in texts[i]]
+        return sorted(hits)
 
 
 @lru_cache(maxsize=1)
@@ -215,7 +219,7 @@ def _block_matches(docs: DataFrame, key: str, text: str, rows: list[tuple[str, l
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE):
                 part = batch.slice(lo, SLICE)
-                found = [(i, r) for i, t in enumerate(part.column(1).to_pylist()) if t for r in sorted(index.found(t.encode()))]
+                found = index.found([t.encode() if t else b"" for t in part.column(1).to_pylist()])
                 names, tags = pa.array([rules[r][0] for _, r in found], pa.string()), pa.array([rules[r][1] for _, r in found], schema.field(2).type)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([i for i, _ in found], pa.int32())), names, tags], schema=schema)
 
@@ -234,6 +238,6 @@ def rule_matches(docs: DataFrame, key: str, text: str, rules: DataFrame, most_by
     parts = []
     for b in range(max(1, -(-total // most_bytes))):
         own = checked.filter(F.pmod(F.xxhash64("row"), F.lit(max(1, -(-total // most_bytes)))) == b)
-        rows = [(r.name, list(r.tags or []), r.pattern.encode()) for r in own.toLocalIterator()]  # about most_bytes
+        rows = [(r.name, list(r.tags or []), r.pattern.encode()) for r in own.collect()]  # about most_bytes
         parts.append(_block_matches(docs, key, text, rows))
     return reduce(DataFrame.unionByName, parts)
