@@ -44,6 +44,8 @@ COUNTER = 1_500_000
 STAR_ROUNDS = 2
 #: Classes to verify are broadcast (two numbers each) up to so many rows, and joined by a shuffle of the texts beyond.
 BROADCAST_ROWS = 100_000
+#: Classes whose prefixes are compared are broadcast (one number each) up to so many rows, and joined by a shuffle beyond.
+NEAR_ROWS = 1_000_000
 #: The second key of a class is a key of the seed that lies so far on.
 PROOF = 1_000
 _TOP = np.uint64(1 << 63)
@@ -184,7 +186,7 @@ def class_key(tokens: np.ndarray, seed: int = 0) -> int:
 def _near(pairs: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
     """Pairs (a, b) that pass the prefix filters of all orders; only the prefixes of their own classes are moved."""
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
-    small = wanted.count() <= BROADCAST_ROWS
+    small = wanted.count() <= NEAR_ROWS
     sets = sets.join(F.broadcast(wanted) if small else wanted, "cls", "left_semi").dropDuplicates(["cls"])
     side = lambda s: sets.select(F.col("cls").alias(s), F.col("n").alias(f"n{s}"), *(F.col(f"p{k}").alias(f"{s}{k}") for k in range(orders)))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
