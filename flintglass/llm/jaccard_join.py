@@ -4,13 +4,16 @@ A document is the set of its distinct word shingles (64-bit hashes). Texts with
 a class have equal sets is proved by a second key of 64 bits. Under any
 global order, two sets with a Jaccard similarity of at least t share a token among the first |A| - ceil(t |A|) + 1 of
 each; ORDERS such orders are used, all with the frequent shingles (found by a sketch over all documents) last, so that
-common lines and passages hardly ever stand in a prefix. The first order proposes pairs. A pair goes on only if under
+common lines and passages hardly ever stand in a prefix. The first order proposes pairs: of a token's classes only those
+that another one of them fits in size go on, tokens with the same classes become one with their number as weight, and a
+pair must share SHARED tokens (fewer where the threshold asks for fewer) among so many more than a pair's prefixes need
+to share one. A pair goes on only if under
 EVERY order the two prefixes share a token and their known parts differ in no more tokens than the threshold allows;
-then the whole sets are compared. Both filters are exact: no link is lost.
+then the whole sets are compared. These filters are exact: no link is lost.
 
 Groups of near copies are not expanded into pairs. First each class is compared with the class of smallest doc_id with
 which it shares most prefix tokens; components of the links found are joined; after some such rounds, whether or not
-they found anything, all pairs that share a prefix token and lie in different components are compared. Result: one row
+they found anything, all pairs that share enough prefix tokens and lie in different components are compared. Result: one row
 for each document with its class and component. The windows and the join by a prefix token hold all classes of the token
 in one task; prefix tokens are rare ones, but for those of a large group of near copies.
 
@@ -42,6 +45,8 @@ LOCAL_COUNT, LEAST_DOCUMENTS = 3, 6
 COUNTER = 1_500_000
 #: Rounds with one partner a class before all remaining pairs are compared.
 STAR_ROUNDS = 2
+#: Prefix tokens that a pair must share to be compared, where its sizes allow.
+SHARED = 3
 #: Classes to verify are broadcast (two numbers each) up to so many rows, and joined by a shuffle of the texts beyond.
 BROADCAST_ROWS = 100_000
 #: The second key of a class is a key of the seed that lies so far on.
@@ -189,7 +194,7 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataF
     side = lambda s: sets.select(F.col("cls").alias(s), F.col("n").alias(f"n{s}"), *(F.col(f"p{k}").alias(f"{s}{k}") for k in range(orders)))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     na, nb = F.col("na"), F.col("nb")
-    spare = na + nb - 2 * F.ceil(F.lit(percent) * (na + nb) / F.lit(100 + percent))
+    spare = na + nb - 2 * _overlap(na, nb, percent)
     keep = (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
     for k in range(orders):
         a, b = F.col(f"a{k}"), F.col(f"b{k}")
@@ -243,24 +248,17 @@ def class_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT
         seed += 1
     members = members.drop("mixed")
     chosen = sets.filter("p0 IS NOT NULL").select("cls", "n", *(f"p{k}" for k in range(orders)))
-    rows = sets.filter("p0 IS NOT NULL").select("cls", "n", "doc_id", F.posexplode("p0").alias("pos", "token"))
-    by_token = Window.partitionBy("token").orderBy("doc_id", "cls")
-    shared = rows.withColumn("before", F.lag("cls").over(by_token)).withColumn("after", F.lead("cls").over(by_token))
-    shared = cut(shared.filter(F.coalesce(F.col("before") != F.col("cls"), F.lit(False)) | F.coalesce(F.col("after") != F.col("cls"), F.lit(False))).select("token", "cls", "n", "pos", "doc_id"))
+    shared = cut(_shared(sets.filter("p0 IS NOT NULL").select("cls", "n", "doc_id", F.posexplode("p0").alias("pos", "token")), percent))
 
     edges, labels, tested = None, None, None
     for turn in range(STAR_ROUNDS + 1):
-        at = shared
-        if labels is not None:
-            at = shared.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-            mixed = at.groupBy("token").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("token")
-            at = at.join(mixed, "token", "left_semi")
-        elif turn == STAR_ROUNDS:
-            at = shared.withColumn("label", F.col("cls"))  # no link yet: each class is its own component
-        if turn < STAR_ROUNDS:
-            pairs = _star_pairs(at, turn, percent, labels is not None)
+        if labels is None:  # no link yet: each class is its own component
+            at = shared.withColumn("label", F.col("cls"))
         else:
-            pairs = _all_pairs(at, percent)
+            at = shared.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+            members_of = Window.partitionBy("token")
+            at = at.withColumn("low", F.min("label").over(members_of)).withColumn("high", F.max("label").over(members_of)).filter("low <> high").drop("low", "high")
+        pairs = _star_pairs(at, turn, percent) if turn < STAR_ROUNDS else _all_pairs(at, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs)
@@ -285,34 +283,61 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _star_pairs(rows: DataFrame, turn: int, percent: int, labelled: bool) -> DataFrame:
-    """One partner for each class: of the leaders of its tokens, the one met most often.
+def _overlap(na: Column, nb: Column, percent: int) -> Column:
+    """The least number of tokens that two linked sets have in common."""
+    return F.ceil(F.lit(percent) * (na + nb) / F.lit(100 + percent))
+
+
+def _least_shared(na: Column, nb: Column, percent: int) -> Column:
+    """The least number of tokens that the prefixes of two linked sets have in common, of one order.
+
+    The set whose prefix ends first has all but n - prefix_length(n) of the common tokens in it, and they stand in the other
+    prefix too."""
+    return _overlap(na, nb, percent) + 1 - F.ceil(F.lit(percent) * F.greatest(na, nb) / F.lit(100))
+
+
+def _shared(rows: DataFrame, percent: int) -> DataFrame:
+    """(token, pos, cls, n, doc_id, weight): the classes of a token that another one of them fits in size; tokens with the same
+    such classes become one, the first of them in the order, with their count as weight.
+
+    By size the neighbours of a class fit it if any other does. Two classes that fit stay under every token that they
+    share, so that their weights add up to the number of these."""
+    by_size = Window.partitionBy("token").orderBy("n", "cls", "doc_id")
+    near = rows.select("*", *(f("cls").over(by_size).alias(f"{s}_cls") for f, s in ((F.lag, "less"), (F.lead, "more"))), *(f("n").over(by_size).alias(f"{s}_n") for f, s in ((F.lag, "less"), (F.lead, "more"))))
+    fits = [F.coalesce((F.col(f"{s}_cls") != F.col("cls")) & _fits(F.col(f"{s}_n"), F.col("n"), percent), F.lit(False)) for s in ("less", "more")]
+    once = near.filter(fits[0] | fits[1]).groupBy("token", "pos", "cls", "n").agg(F.min("doc_id").alias("doc_id"))
+    members = Window.partitionBy("token")
+    alike = once.select("*", F.count("*").over(members).alias("k"), F.bit_xor(F.xxhash64("cls")).over(members).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).over(members).alias("y"))
+    return alike.groupBy("k", "x", "y", "cls", "n").agg(F.min("token").alias("token"), F.min("pos").alias("pos"), F.min("doc_id").alias("doc_id"), F.count("*").alias("weight")).drop("k", "x", "y")
+
+
+def _star_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
+    """One partner for each class: of the leaders of its tokens, the one met most often, if they share half of the tokens that
+    linked classes do; some tokens of a pair may have another leader.
 
     Leaders are the member of smallest doc_id in the first turn and of largest doc_id after it."""
     order = [F.col("doc_id").asc() if turn % 2 == 0 else F.col("doc_id").desc(), F.col("cls").asc()]
     w = Window.partitionBy("token").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    led = rows.withColumn("lead", F.first(F.struct("cls", "n", *(["label"] if labelled else []))).over(w))
-    apart = F.col("lead.label") != F.col("label") if labelled else F.col("lead.cls") != F.col("cls")
-    led = led.filter(apart & _fits(F.col("lead.n"), F.col("n"), percent))
-    counted = led.groupBy("cls", F.col("lead.cls").alias("other")).agg(F.count("*").alias("n_shared"))
+    led = rows.withColumn("lead", F.first(F.struct("cls", "n", "label")).over(w))
+    led = led.filter((F.col("lead.label") != F.col("label")) & _fits(F.col("lead.n"), F.col("n"), percent))
+    counted = led.groupBy("cls", "n", F.col("lead.cls").alias("other"), F.col("lead.n").alias("m")).agg(F.sum("weight").alias("n_shared"))
+    counted = counted.filter(2 * F.col("n_shared") >= _least_shared(F.col("n"), F.col("m"), percent))
     best = counted.groupBy("cls").agg(F.max_by("other", F.struct("n_shared", "other")).alias("other"))
     return best.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
 
 
 def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that share a token and fit in size and position.
-
-    Tokens with the same members give the same pairs, so that the first of them in the order stands for all; the first
-    token that a pair shares is always among those kept, and the position bound holds for it."""
-    rows = rows.select("token", "cls", "n", "pos", "label").distinct()
-    alike = rows.groupBy("token").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
-    first = alike.groupBy("k", "x", "y").agg(F.min("token").alias("token")).select("token")
-    rows = rows.join(first, "token", "left_semi")
-    one = lambda s: rows.select("token", F.col("cls").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"i{s}"), F.col("label").alias(f"l{s}"))
+    """All pairs of different components that fit in size and share enough tokens among the first of both.
+
+    Of linked sets the first n - overlap + k tokens share k at least, for each k that keeps them inside the prefixes. Tokens
+    of equal members count in full if the first of them lies there, so that no pair counts too little."""
+    one = lambda s, *more: rows.select("token", F.col("cls").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"i{s}"), F.col("label").alias(f"l{s}"), *more)
     na, nb = F.col("na"), F.col("nb")
-    least = F.ceil(F.lit(percent) * (na + nb) / F.lit(100 + percent))
-    near = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _fits(na, nb, percent) & (F.least(na - F.col("ia"), nb - F.col("ib")) >= least)
-    return one("a").join(one("b"), "token").filter(near).select("a", "b").distinct()
+    least = F.least(F.lit(SHARED), _least_shared(na, nb, percent))
+    apart = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _fits(na, nb, percent)
+    early = F.least(na - F.col("ia"), nb - F.col("ib")) > _overlap(na, nb, percent) - least
+    counted = one("a", "weight").join(one("b"), "token").filter(apart & early).groupBy("a", "b", "na", "nb").agg(F.sum("weight").alias("n_shared"))
+    return counted.filter(F.col("n_shared") >= least).select("a", "b")
 
 
 def _named(sets: DataFrame, known: DataFrame) -> DataFrame:

@@ -452,6 +452,35 @@ def test_jaccard_compares_all_pairs_when_stars_find_none(spark):
         assert found == {2: 2, 3: 2, **{d: d for d, _ in others}}
 
 
+def test_jaccard_compares_only_pairs_that_share_enough(spark, monkeypatch):
+    """Texts of one size that share a passage in twos are no pairs to compare; linked ones of all sizes stay."""
+    texts = [[f"w{i}_{j}" for j in range(200)] for i in range(40)]
+    for i in range(10, 40, 2):  # ten words in common, too few for a link
+        texts[i + 1][50:60] = texts[i][50:60]
+    copies = [[*t[:k], "changed", *t[k + 1 :]] for t, k in zip(texts[:5], (0, 30, 100, 150, 199), strict=True)] + [t[:-19] for t in texts[5:10]]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts + copies)], "doc_id long, text string")
+    compared, near = [], jaccard_join._near
+    monkeypatch.setattr(jaccard_join, "_near", lambda pairs, *a: compared.append(pairs.count()) or near(pairs, *a))
+    found = {r.doc_id: r.component_id for r in jaccard_join.link_components(rows).collect()}
+    assert found == {i: i - 40 if i >= 40 else i for i in range(50)}
+    assert sum(compared) == 10, "the linked pairs alone"
+
+
+def test_jaccard_counts_the_prefix_tokens_of_each_pair(spark):
+    rng, sets = random.Random(3), {}
+    for c in range(60):  # sets of near copies and others, with tokens in global order
+        base = set(rng.sample(range(150), rng.randint(20, 60))) if c % 4 == 0 else set(base) - set(rng.sample(sorted(base), 2)) | set(rng.sample(range(150), 2))
+        sets[c] = base
+    for percent in (80, 90):
+        prefix = {c: sorted(s)[: jaccard_join.prefix_length(len(s), percent)] for c, s in sets.items()}
+        rows = spark.createDataFrame([(c, len(sets[c]), 100 + c + twin, i, t) for c in sets for twin in (0, 500)[: 1 + c % 2] for i, t in enumerate(prefix[c])], "cls long, n long, doc_id long, pos int, token long")
+        found = Counter((r.a, r.b) for r in jaccard_join._all_pairs(jaccard_join._shared(rows, percent).withColumn("label", F.col("cls")), percent).collect())
+        linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+        assert linked and linked <= set(found) and max(found.values()) == 1
+        rivals = {(a, b) for a in sets for b in sets if a < b and set(prefix[a]) & set(prefix[b])}
+        assert len(found) < len(rivals) / 2, (len(found), len(rivals))
+
+
 def test_decontamination(spark, docs, empty):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
     extra = spark.createDataFrame([(900, "short item"), (901, None), (902, "!!"), (None, "word5 word6 word7 word8 word9 word10 word11 word12 word13 word14 word15"), (903, "same"), (900, "Short, ITEM")], bench.schema)
