@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flintglass.llm import decontaminate, html_tree, jaccard_join, lang_hd, license_rules, line_crf, merkle_fixity, packing, pii_boost, secret_cnn
+from flintglass.llm import components, decontaminate, html_tree, jaccard_join, lang_hd, license_rules, line_crf, merkle_fixity, packing, pii_boost, secret_cnn
 from flintglass.llm.registry import ORACLE_SQL, QUERIES, default_tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -561,6 +561,40 @@ def test_the_threshold_keeps_the_recall():
         assert (secret >= t).mean() >= secret_cnn.MIN_RECALL and ((secret > t).mean() < secret_cnn.MIN_RECALL or len(set(secret)) == 1)
 
 
+def test_every_finding_is_learned(spark):
+    """All findings reach the shards and the held-out scores, long ones whole and copies once; the partitions change nothing."""
+    long = "".join(np.random.default_rng(4).choice(list("ghijklXYZ0123"), 3_000))
+    texts = [f"text {i} password={i:04d}abcdefghijkl and internationalization{i}" for i in range(300)] + [f"password={long}"] * 50
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secret_cnn.finding_rows(rows).collect()
+    windows = lambda y: sum(len(r.codes) // secret_cnn.WINDOW for r in found if r.y == y)
+    assert windows(True) == 300 + -(-3_000 // secret_cnn.INSIDE) and windows(False) == 300
+    assert len({r.long for r in found} - {0}) == 1 and max(len(r.codes) for r in found) == secret_cnn.ROW_WINDOWS * secret_cnn.WINDOW
+    met = Counter()
+    inner = secret_cnn.epoch_over
+    secret_cnn.epoch_over = lambda shards, *more: (met.update([(shards.count(), shards.select("shard").distinct().count())]), inner(shards, *more))[1]
+    try:
+        nets = [secret_cnn.fit(rows.repartition(n), shard=60) for n in (1, 5)]
+    finally:
+        secret_cnn.epoch_over = inner
+    known = sum(not r.held for r in found)
+    assert met == {(known, -(-known // 60)): 2 * secret_cnn.EPOCHS} and known > 120
+    assert all(np.array_equal(getattr(nets[0], k), getattr(nets[1], k)) for k in secret_cnn.SHAPES) and nets[0].threshold == nets[1].threshold
+
+
+def test_components_broadcast_and_shuffled(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    edges = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 30)] + [(int(a), int(b)) for a, b in rng.integers(200, 260, (30, 2))]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
+    for most in (0, 1_000):
+        monkeypatch.setattr(components, "BROADCAST_ROWS", most)
+        assert {r.node: r.label for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()} == want
+
+
 def test_forms_held_out():
     """Each fifth written form is left out of training: recall and false alarms on what it has never seen."""
     found, total = Counter(), Counter()
