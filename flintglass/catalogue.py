@@ -9,7 +9,7 @@ from .functions import text as fn
 from .operators import content, enrich, images, intervals, messages, packets, rules
 from .plans.registered import ORACLE_SQL, QUERIES, query
 from .plans.segments import numbered
-from .plans.views import edges, frames, packets as packets_v, table, tags
+from .plans.views import edges, frames, named, packets as packets_v, table, tags
 from .sources import captures
 from .streaming import live
 
@@ -49,7 +49,7 @@ def distinct_ips(spark, sf_dir):
 
 def _outcomes(spark, sf_dir):
     """The captures' frames, dissected, with what their payload bytes say."""
-    return packets.outcomes(captures.dissect(frames(spark, sf_dir)))
+    return packets.outcomes(named(captures.dissect(frames(spark, sf_dir))))
 
 
 @query(_KEPT_FLOWS)
