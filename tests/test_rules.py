@@ -53,3 +53,31 @@ def test_a_hundred_thousand_rules(spark):
     docs = spark.range(2_000).selectExpr("id AS k", "concat('some text. common opening of all rules, then number ', id * 60, '; and common opening of all rules, then number x') AS text")
     found = rules.rule_matches(docs, "k", "text", table).collect()
     assert sorted((r.k, r.rule, r.tags[0]) for r in found) == sorted((k, f"r{60 * k}", f"t{60 * k % 7}") for k in range(2_000) if 60 * k < 100_000)
+
+
+def test_a_joined_table_of_rules_stays_off_the_driver(spark, monkeypatch):
+    reached = []
+    frame = type(spark.range(0))
+    for name, columns in (("collect", lambda rows: rows[0].__fields__ if rows else []), ("toArrow", lambda t: t.column_names)):
+        monkeypatch.setattr(frame, name, lambda self, f=getattr(frame, name), c=columns: reached.append((set(c(out := f(self))), len(out))) or out)
+    table = spark.range(60_000).selectExpr("concat('r', id) AS name", "array('t') AS tags", "lpad(CAST(id AS STRING), 9, '0') AS pattern")
+    docs = spark.range(500).selectExpr("id AS k", "concat('Order of ', lpad(CAST(id * 150 AS STRING), 9, '0'), '.') AS text")
+    found = rules.rule_matches(docs, "k", "text", table)
+    assert not any("pattern" in columns or "name" in columns for columns, _ in reached)  # only counts and bits
+    monkeypatch.undo()
+    assert sorted((r.k, r.rule, r.tags) for r in found.collect()) == [(k, f"r{150 * k}", ["t"]) for k in range(400)]
+
+
+@pytest.mark.parametrize("bits", [10, 27])
+def test_joined_patterns_of_all_lengths(spark, monkeypatch, bits):
+    monkeypatch.setattr(rules, "_MAP_BITS", bits)  # few bits: almost all grams seem to be known
+    monkeypatch.setattr(rules, "_LOOKED_UP", 5_000)
+    rng = random.Random(4)
+    letters = ["a", "b", "é", "日", " "]
+    texts = ["".join(rng.choices(letters, k=rng.choice((0, 3, 9, 60, 900, 6_000)))) for _ in range(120)] + ["ab" * 3_000, "x" * 2_000 + "seldom word" + "y" * 2_000 + "seldom wore"]
+    cuts = [(t, rng.randrange(len(t)), rng.choice((1, 2, 7, 8, 9, 63, 64, 65, 300, 5_000))) for t in texts * 2 if t]
+    patterns = [t[i : i + n] for t, i, n in cuts] + ["seldom word", "seldom wore", "seldom wors", "abababab", "a" * 64 + "b", "\0", "xseldom", "x\0y"]
+    table = [(f"r{i}", [str(i)] if i % 3 else None, p) for i, p in enumerate(patterns)]
+    docs = [(i % 50 or None, t) for i, t in enumerate(texts)]
+    found = rules.rule_matches(spark.createDataFrame(docs, "k int, text string"), "k", "text", spark.createDataFrame(table, "name string, tags array<string>, pattern string"), 0)
+    assert sorted(((r.k, r.rule, r.tags) for r in found.collect()), key=repr) == sorted(((k, n, t or []) for k, text in docs for n, t, p in table if p in text), key=repr)
