@@ -229,7 +229,7 @@ def _block_matches(docs: DataFrame, key: str, text: str, rows: list[tuple[str, l
 
 # ---- tables of patterns of any size
 
-#: Bytes that a rule takes in a task as Python values, besides its texts.
+#: Bytes that a rule is taken to need as Python values, besides its texts (an estimate).
 ROW_BYTES = 700
 #: Patterns of up to SHORT bytes are checked in a window of the text, longer ones in windows of the longest pattern's size.
 SHORT = 64
